@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -21,11 +20,11 @@ SPACE = "▁"
 #: The model ranks its pieces and gives no probabilities: a piece of rank r weighs (r + SHIFT)^-EXPONENT (Zipf's
 #: law) to the power theta. Bytes of characters without a piece weigh as the last rank.
 SHIFT, EXPONENT = 2.7, 1.0
-#: Units of text that the lattice falls apart into: one space at most, then characters that are no space. No piece
-#: with letters has a space behind its first character; runs of spaces are left to single-space pieces.
-UNIT = re.compile(r" ?[^ ]+| ")
+#: Units of text that the lattice falls apart into: a space at most, then letters, digits or signs; other white
+#: space by itself. Pieces that would cross a unit's end are not used.
+UNIT = re.compile(r" ?[^\W\d_]+| ?\d+| ?(?:_|[^\w\s])+|\s")
 #: Units up to this length are kept between texts, and this many of them; longer ones are computed each time.
-CACHE_CHARS, CACHE_UNITS = 48, 200_000
+CACHE_CHARS, CACHE_UNITS = 48, 300_000
 
 
 class Lattice:
@@ -44,7 +43,12 @@ class Lattice:
         for b, i in enumerate(self.bytes):
             self.spelled[i] = bytes([b])
         first = min(self.id_of.values())
-        self.weight = {t: (i - first + SHIFT) ** (-EXPONENT * theta) for t, i in self.id_of.items()}
+        self.trie: dict = {}
+        for t, i in self.id_of.items():
+            node = self.trie
+            for c in t:
+                node = node.setdefault(c, {})
+            node[""] = (i - first + SHIFT) ** (-EXPONENT * theta), i
         self.least = (len(sp) + SHIFT) ** (-EXPONENT * theta)
         self.longest = max(map(len, self.id_of))
         self.cache: dict[str, int] = {}
@@ -56,8 +60,8 @@ class Lattice:
         self.states = 0
         self.last = array("q")  # of each unit: its final state
         self.cum = array("d")  # state + cumulative share: sorted over all options
-        self.prev = array("q")  # option -> state before the piece, or -1 at the unit's start
-        self.piece = array("q")  # option -> piece id, or -1 - code point for bytes
+        self.prev = array("i")  # option -> state before the piece, or -1 at the unit's start
+        self.piece = array("i")  # option -> piece id, or -1 - code point for bytes
 
     def unit(self, u: str) -> int:
         k = self.cache.get(u)
@@ -66,37 +70,47 @@ class Lattice:
         return k
 
     def forward(self, u: str) -> int:
-        """Filter a unit: alpha[j] sums alpha[i] * weight(u[i:j]), scaled at each place against underflow."""
-        base, n = self.states, len(u)
-        alpha, weight, ids = [1.0] + [0.0] * n, self.weight, self.id_of
-        logs = 0.0
-        for j in range(1, n + 1):
-            found = []
-            for i in range(max(0, j - self.longest), j):
-                if alpha[i] and (w := weight.get(u[i:j])) is not None:
-                    found.append((alpha[i] * w, i, ids[u[i:j]]))
-            if not any(i == j - 1 for _, i, _ in found):
-                found.append((alpha[j - 1] * self.least, j - 1, -1 - ord(u[j - 1])))
-            total = sum(x for x, _, _ in found)
-            alpha[j], run, state = total, 0.0, base + j - 1
-            for x, i, p in found:
+        """Filter a unit from left to right: alpha[j] sums alpha[i] * weight(u[i:j]) over the pieces that end at j."""
+        n, base, root = len(u), self.states, self.trie
+        alpha, ends = [1.0] + [0.0] * n, [[] for _ in range(n + 1)]
+        cum, prev, piece = [], [], []
+        for i in range(n):
+            a = alpha[i]
+            if a < 1e-150:  # shares stay as they are when all that is open is scaled alike
+                for j in range(i, min(n, i + self.longest) + 1):
+                    alpha[j] /= a
+                    if j > i:
+                        ends[j] = [(x / a, k, p) for x, k, p in ends[j]]
+                a = 1.0
+            node, j = root, i
+            while j < n and (node := node.get(u[j])) is not None:
+                j += 1
+                if (hit := node.get("")) is not None:
+                    x = a * hit[0]
+                    alpha[j] += x
+                    ends[j].append((x, i, hit[1]))
+            if not (ends[i + 1] and ends[i + 1][-1][1] == i):
+                x = a * self.least
+                alpha[i + 1] += x
+                ends[i + 1].append((x, i, -1 - ord(u[i])))
+            j, total, run = i + 1, alpha[i + 1], 0.0
+            state = base + i
+            for x, k, p in ends[j]:
                 run += x
-                self.cum.append(state + min(run / total, 1.0))
-                self.prev.append(base + i - 1 if i else -1)
-                self.piece.append(p)
-            self.cum[-1] = state + 1.0
-            if total < 1e-200:  # rescale the places that later pieces may start from
-                logs += math.log(total)
-                lo = max(0, j - self.longest)
-                alpha[lo : j + 1] = [a / total for a in alpha[lo : j + 1]]
-                alpha[:lo] = [0.0] * lo
+                cum.append(state + run / total)
+                prev.append(base + k - 1 if k else -1)
+                piece.append(p)
+            cum[-1] = state + 1.0
+        self.cum.fromlist(cum)
+        self.prev.fromlist(prev)
+        self.piece.fromlist(piece)
         self.states += n
         self.last.append(base + n - 1)
         return len(self.last) - 1
 
     def sample(self, texts: list[str], keys: list[str], seed: int) -> list[np.ndarray]:
         """Piece ids of each text. The random numbers of a text follow from its key and the seed alone."""
-        if len(self.last) > CACHE_UNITS or len(self.cum) > 8_000_000:
+        if len(self.last) > CACHE_UNITS or len(self.cum) > 10_000_000:
             self.reset()
         units = [UNIT.findall(" " + t) if t else [] for t in texts]
         index = np.array([self.unit(u) for us in units for u in us], np.int64)
@@ -112,7 +126,7 @@ class Lattice:
 
     def walk(self, index: np.ndarray, owner: np.ndarray, place: np.ndarray):
         """Sample all units at once from their last states backward: piece ids in text order, and their number by unit."""
-        cum, prev, piece, last = np.frombuffer(self.cum), np.frombuffer(self.prev, np.int64), np.frombuffer(self.piece, np.int64), np.frombuffer(self.last, np.int64)
+        cum, prev, piece, last = np.frombuffer(self.cum, np.float64), np.frombuffer(self.prev, np.int32), np.frombuffer(self.piece, np.int32), np.frombuffer(self.last, np.int64)
         state, counts = last[index], np.zeros(len(index), np.int64)
         steps, active = [], np.arange(len(index))
         while len(active):
