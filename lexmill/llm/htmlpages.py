@@ -10,11 +10,12 @@ LINKS = "<li><a href='/a'>Home</a></li><li><a href='/b'>World news</a></li><li><
 MENU = f"<nav><ul>{LINKS}</ul></nav>"
 #: What a body is made of: paragraphs of several lengths, headings, lists, quotes and tables.
 BODIES = (
-    f"<h1>{TITLE}</h1><p>{LONG}</p><p>{MID}</p><p>{SHORT}</p><p>{LONG}</p>",
+    f"<h1>{TITLE}</h1><p>{LONG}</p><p>{MID}</p><ul><li>{SHORT}</li><li>{MID}</li><li>{SHORT}</li></ul><p>{SHORT}</p><p>{LONG}</p>",
     f"<h1>{TITLE}</h1><p>{SHORT}</p><h2>What the report says</h2><p>{LONG}</p><ul><li>The northern span is sound.</li><li>The southern span is not</li></ul><p>{MID}</p>",
     f"<h1>{TITLE}</h1><p>{LONG}</p><blockquote><p>{MID}</p></blockquote><h3>Costs</h3><p>{MID} <a href='/x'>See the report</a>.</p><table><tr><td>Span</td><td>Cost</td></tr><tr><td>North</td><td>1.2</td></tr></table>",
     f"<p>{LONG}</p><p>{LONG}</p><div>{MID}</div><pre>load = 3 * span</pre><ol><li>{MID}</li><li>{SHORT}</li></ol><p>On site</p><figure><figcaption>{SHORT}</figcaption></figure>",
-    f"<h1>{TITLE}</h1><p>On.</p><p>{SHORT}</p><p>{MID}</p><p>Engineers said</p>",
+    f"<h1>{TITLE}</h1><p>On.</p><p>{SHORT}</p><ol><li>{MID}</li><li>{SHORT}</li><li>Piers</li></ol><p>{MID}</p><p>Engineers said</p><ul><li>Spans</li></ul>",
+    f"<h2>{TITLE}</h2><ul><li>{MID}</li><li>{SHORT}</li><li>{SHORT}</li><li>{MID}</li></ul><p>{SHORT}</p><dl><dt>Pier</dt><dd>{MID}</dd></dl>",
 )
 #: Containers of the body: (opening, closing).
 FRAMES = (

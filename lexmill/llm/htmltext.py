@@ -107,14 +107,14 @@ class Tree(HTMLParser):
 
 
 def features(tree: Tree, i: int) -> list[str]:
-    """What is seen of a node: its tag and names, or a text's length, links and marks."""
+    """What is seen of a node besides its tag: its names, or a text's length, links and marks."""
     if tree.tags[i] == TEXT:
         text = tree.texts[i]
         n = len(text)
         length = "0" if n < 25 else "1" if n < 80 else "2" if n < 250 else "3"
         links = tree.linked[i] / max(n, 1)
         return [f"length {length}", f"links {0 if links < 0.2 else 1 if links < 0.7 else 2}", f"ends {text[-1] in '.!?;:…»”'}"]
-    return [f"tag {tree.tags[i]}", *(f"name {w}" for w in tree.names[i])]
+    return [f"name {w}" for w in tree.names[i]]
 
 
 #: States of a node: no content, content, and neither itself but with content below.
@@ -132,7 +132,7 @@ def states(tree: Tree) -> list[int]:
 
 
 class Model:
-    """Potentials: likelihoods of features by state, and of a child's state by its kind and its parent's state."""
+    """Potentials: likelihoods of features by state, and of a child's state by its tag and its parent's state."""
 
     def __init__(self, pages: list[str], smooth: float = 0.5):
         seen, total = [Counter() for _ in STATES], [Counter() for _ in STATES]
@@ -144,7 +144,7 @@ class Model:
                 for f in features(tree, i):
                     seen[of[i]][f] += 1
                     total[of[i]][f.split()[0]] += 1
-                pair[tree.tags[i] == TEXT, of[tree.parents[i]], of[i]] += 1
+                pair[tree.tags[i], of[tree.parents[i]], of[i]] += 1
         known = set().union(*seen)
         kinds = Counter(f.split()[0] for f in known)
         self.unary = {}
@@ -152,14 +152,14 @@ class Model:
             k = f.split()[0]
             own = [(seen[y][f] + smooth) / (total[y][k] + smooth * (kinds[k] + 1)) for y in STATES]
             self.unary[f] = tuple(x / sum(own) for x in own)
-        for p in STATES:  # a wrapper's own text: as likely content as not
-            pair[True, WRAPPER, p] += 50 * (p != WRAPPER)
+        for y in (OTHER, CONTENT):  # a wrapper's own text: as likely content as not
+            pair[TEXT, WRAPPER, y] += 50
+        rows = [[sum(n for (tag, q, z), n in pair.items() if tag != TEXT and (q, z) == (p, y)) + smooth for y in STATES] for p in STATES]
+        self.any = [[x / sum(r) for x in r] for r in rows]
         self.pair = {}
-        for leaf in (False, True):
-            rows = [[pair[leaf, p, y] + smooth for y in STATES] for p in STATES]
-            if leaf:
-                rows = [[*r[:2], 1e-9] for r in rows]
-            self.pair[leaf] = [[x / sum(r) for x in r] for r in rows]
+        for tag in {t for t, _, _ in pair}:  # few sightings of a tag leave it near what holds for any element
+            rows = [[pair[tag, p, y] + 2 * self.any[p][y] * (tag != TEXT) + 1e-3 for y in STATES] for p in STATES]
+            self.pair[tag] = [[x / sum(r) for x in r] for r in rows]
 
     def marginals(self, tree: Tree) -> list[float]:
         """P(content) of each node; the root is a wrapper. Messages go up from the leaves, then down from the root."""
@@ -176,7 +176,7 @@ class Model:
                     b[2] *= u[2]
             _scale(b)
             x, y, z = b
-            up[i] = m = tuple([r[0] * x + r[1] * y + r[2] * z for r in self.pair[tags[i] == TEXT]])
+            up[i] = m = tuple([r[0] * x + r[1] * y + r[2] * z for r in self.pair.get(tags[i], self.any)])
             p = belief[parents[i]]
             p[0] *= m[0]
             p[1] *= m[1]
@@ -185,7 +185,7 @@ class Model:
         out = [0.0] * n
         down = [(0.0, 0.0, 1.0)] * n
         for i in range(1, n):
-            p, m, t = parents[i], up[i], self.pair[tags[i] == TEXT]
+            p, m, t = parents[i], up[i], self.pair.get(tags[i], self.any)
             q, d = belief[p], down[p]
             # the parent's belief without what this child told it
             a, b, c = d[0] * q[0] / m[0], d[1] * q[1] / m[1], d[2] * q[2] / m[2]

@@ -98,7 +98,7 @@ def sketches(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
 def _links(threshold: int):
     """Exact links between the members of two blocks, without those that join what is joined already."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("cls").reset_index(drop=True)
         left, right = pdf[pdf["blk"] == pdf["i"]], pdf[pdf["blk"] == pdf["j"]]
         sig = np.stack([np.frombuffer(s, np.uint16) for s in pdf["sig"]])
@@ -168,11 +168,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: st
     members = work.write(keyed.join(shared, "bucket").select("bucket", "cls", "head"), "members")
 
     groups = components(members.select(F.col("cls").alias("a"), F.col("head").alias("b")), work, "groups")
-    groups = work.write(groups.withColumn("size", F.count("*").over(_by("component"))), "grouped")
+    groups = work.write(_sized(groups, "component"), "grouped")
     by_group = groups.where(F.col("size") <= GROUP_MAX).select(F.col("component").alias("grp"), F.lit(False).alias("single"), F.col("node").alias("cls"), "size")
     giant = groups.where(F.col("size") > GROUP_MAX).select(F.col("node").alias("cls"))
     by_bucket = members.join(giant, "cls", "left_semi").select(F.col("bucket").alias("grp"), F.lit(True).alias("single"), "cls")
-    by_bucket = by_bucket.withColumn("size", F.count("*").over(_by("grp")))
+    by_bucket = _sized(by_bucket, "grp")
     dealt = by_group.unionByName(by_bucket)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     blk = F.pmod(F.xxhash64("cls", F.lit(7)), blocks).cast("int")
@@ -196,10 +196,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: st
     return out.withColumnRenamed("id", id_col)
 
 
-def _by(*cols: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols)
+def _sized(df: DataFrame, key: str) -> DataFrame:
+    """Adds the rows of each key as size: counts by partial aggregation, joined back so that AQE can split large keys."""
+    return df.join(df.groupBy(key).agg(F.count("*").alias("size")), key)
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
