@@ -30,7 +30,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, n_pieces, ids_sha256, lossless of each document's sampled segmentation."""
-    return pieces.digest(pieces.encode(docs))
+    return pieces.digests(docs)
 
 
 STAGES = [

@@ -24,7 +24,7 @@ SHIFT, EXPONENT = 2.7, 1.0
 #: space by itself. Pieces that would cross a unit's end are not used.
 UNIT = re.compile(r" ?[^\W\d_]+| ?\d+| ?(?:_|[^\w\s])+|\s")
 #: Units up to this length are kept between texts, and this many of them; longer ones are computed each time.
-CACHE_CHARS, CACHE_UNITS = 48, 300_000
+CACHE_CHARS, CACHE_UNITS = 48, 120_000
 
 
 class Lattice:
@@ -49,25 +49,104 @@ class Lattice:
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = (i - first + SHIFT) ** (-EXPONENT * theta), i
+        self.flatten()
         self.least = (len(sp) + SHIFT) ** (-EXPONENT * theta)
         self.longest = max(map(len, self.id_of))
         self.cache: dict[str, int] = {}
         # the options of all filters' states, end to end
         self.reset()
 
+    def flatten(self) -> None:
+        """The trie as arrays: sorted edges (node, code point) -> node, and of each node its weight and piece or -1."""
+        keys, to, weight, piece, queue = [], [], [0.0], [-1], [(self.trie, 0)]
+        for node, k in queue:
+            for c, child in node.items():
+                if c == "":
+                    weight[k], piece[k] = child
+                else:
+                    keys.append(k << 21 | ord(c))
+                    to.append(len(weight))
+                    queue.append((child, len(weight)))
+                    weight.append(0.0)
+                    piece.append(-1)
+        order = np.argsort(keys)
+        self.edges, self.to = np.array([*np.array(keys)[order], 2**62]), np.array([*np.array(to)[order], 0])
+        self.weights, self.pieces = np.array(weight), np.array(piece)
+
     def reset(self) -> None:
         self.cache.clear()
         self.states = 0
         self.last = array("q")  # of each unit: its final state
-        self.cum = array("d")  # state + cumulative share: sorted over all options
+        self.cum = array("q")  # state * 2^32 + cumulative share in 2^-32: sorted over all options
         self.prev = array("i")  # option -> state before the piece, or -1 at the unit's start
         self.piece = array("i")  # option -> piece id, or -1 - code point for bytes
 
-    def unit(self, u: str) -> int:
-        k = self.cache.get(u)
-        if k is None:
-            k = self.cache[u] = self.forward(u)
-        return k
+    def numbers(self, units: list[str]) -> np.ndarray:
+        """The filters' numbers of the units; new ones are computed together, long ones singly."""
+        cache = self.cache
+        new = [u for u in dict.fromkeys(units) if u not in cache]
+        some = [u for u in new if len(u) <= CACHE_CHARS]
+        if some:
+            self.forward_all(some)
+        for u in new:
+            if len(u) > CACHE_CHARS:
+                cache[u] = self.forward(u)
+        return np.array([cache[u] for u in units], np.int64)
+
+    def forward_all(self, us: list[str]) -> None:
+        """forward() of many short units: one walk of the trie from all characters, then all units place by place."""
+        sizes = np.array([len(u) for u in us])
+        stops = np.cumsum(sizes)
+        n = int(stops[-1])
+        chars = np.frombuffer("".join(us).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        place = np.arange(n) - np.repeat(stops - sizes, sizes)
+        left = np.repeat(stops, sizes) - np.arange(n)
+        found, start, node = [], np.arange(n), np.zeros(n, np.int64)
+        for k in range(1, self.longest + 1):
+            inside = left[start] >= k
+            start, node = start[inside], node[inside]
+            key = node << 21 | chars[start + (k - 1)]
+            at = np.searchsorted(self.edges, key)
+            hit = self.edges[at] == key
+            start, node = start[hit], self.to[at[hit]]
+            whole = self.pieces[node] >= 0
+            got = start[whole], node[whole]
+            if k == 1:  # characters without a piece are spelled
+                bare = np.ones(n, bool)
+                bare[got[0]] = False
+                bare = np.nonzero(bare)[0]
+                found.append((bare, bare, np.full(len(bare), self.least), -1 - chars[bare]))
+            found.append((got[0], got[0] + (k - 1), self.weights[got[1]], self.pieces[got[1]]))
+            if not len(start):
+                break
+        first, last, weight, piece = (np.concatenate(x) for x in zip(*found[::-1], strict=True))
+        order = np.argsort(last, kind="stable")  # by end, and there by start
+        first, last, weight, piece = first[order], last[order], weight[order], piece[order]
+        alpha, share = np.zeros(n), np.empty(len(first))
+        inner, depth = place[first] > 0, place[last].astype(np.uint16)
+        by_depth = np.argsort(depth, kind="stable")
+        cuts = np.searchsorted(depth[by_depth], np.arange(int(depth.max()) + 2))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            m = by_depth[lo:hi]
+            share[m] = x = np.where(inner[m], alpha[first[m] - 1], 1.0) * weight[m]
+            np.add.at(alpha, last[m], x)
+        rank = np.arange(len(last)) - np.searchsorted(last, last)
+        run, cum = np.zeros(n), np.empty(len(last), np.int64)
+        base = self.states
+        for k in range(int(rank.max()) + 1):
+            m = np.nonzero(rank == k)[0]
+            e = last[m]
+            run[e] += share[m]
+            cum[m] = (base + e << 32) + (run[e] / alpha[e] * 2.0**32).astype(np.int64)
+        ends = np.append(np.nonzero(last[1:] != last[:-1])[0], len(last) - 1)
+        cum[ends] = base + last[ends] + 1 << 32
+        self.cum.frombytes(cum.tobytes())
+        self.prev.frombytes(np.where(inner, base + first - 1, -1).astype(np.int32).tobytes())
+        self.piece.frombytes(piece.astype(np.int32).tobytes())
+        no = len(self.last)
+        self.last.frombytes((base + stops - 1).tobytes())
+        self.states += n
+        self.cache.update(zip(us, range(no, no + len(us)), strict=True))
 
     def forward(self, u: str) -> int:
         """Filter a unit from left to right: alpha[j] sums alpha[i] * weight(u[i:j]) over the pieces that end at j."""
@@ -97,10 +176,10 @@ class Lattice:
             state = base + i
             for x, k, p in ends[j]:
                 run += x
-                cum.append(state + run / total)
+                cum.append((state << 32) + int(run / total * 2.0**32))
                 prev.append(base + k - 1 if k else -1)
                 piece.append(p)
-            cum[-1] = state + 1.0
+            cum[-1] = state + 1 << 32
         self.cum.fromlist(cum)
         self.prev.fromlist(prev)
         self.piece.fromlist(piece)
@@ -110,10 +189,10 @@ class Lattice:
 
     def sample(self, texts: list[str], keys: list[str], seed: int) -> list[np.ndarray]:
         """Piece ids of each text. The random numbers of a text follow from its key and the seed alone."""
-        if len(self.last) > CACHE_UNITS or len(self.cum) > 10_000_000:
+        if len(self.last) > CACHE_UNITS or len(self.cum) > 5_000_000:
             self.reset()
         units = [UNIT.findall(" " + t) if t else [] for t in texts]
-        index = np.array([self.unit(u) for us in units for u in us], np.int64)
+        index = self.numbers([u for us in units for u in us])
         for u in {u for us in units for u in us if len(u) > CACHE_CHARS}:
             del self.cache[u]  # found again only by computing it again
         n_units = np.array([len(us) for us in units])
@@ -126,11 +205,11 @@ class Lattice:
 
     def walk(self, index: np.ndarray, owner: np.ndarray, place: np.ndarray):
         """Sample all units at once from their last states backward: piece ids in text order, and their number by unit."""
-        cum, prev, piece, last = np.frombuffer(self.cum, np.float64), np.frombuffer(self.prev, np.int32), np.frombuffer(self.piece, np.int32), np.frombuffer(self.last, np.int64)
+        cum, prev, piece, last = np.frombuffer(self.cum, np.int64), np.frombuffer(self.prev, np.int32), np.frombuffer(self.piece, np.int32), np.frombuffer(self.last, np.int64)
         state, counts = last[index], np.zeros(len(index), np.int64)
         steps, active = [], np.arange(len(index))
         while len(active):
-            r = np.searchsorted(cum, state[active] + uniform(owner[active], place[active], len(steps)), side="right")
+            r = np.searchsorted(cum, (state[active] << 32) + uniform(owner[active], place[active], len(steps)), side="right")
             steps.append((active, piece[r]))
             counts[active] += 1
             back = prev[r]
@@ -160,13 +239,13 @@ class Lattice:
 
 
 def uniform(owner: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
-    """Numbers in [0, 1) that depend on row key, unit and step only (a splitmix64 finisher)."""
+    """Numbers of 32 random bits that depend on row key, unit and step only (a splitmix64 finisher)."""
     with np.errstate(over="ignore"):
         z = owner + place * np.uint64(0x9E3779B97F4A7C15) + np.uint64((step * 0xD1B54A32D192ED03 + 0x632BE59BD9B4E019) % 2**64)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
-    return np.minimum((z >> np.uint64(11)).astype(np.float64) * 2.0**-53, 1 - 2.0**-33)
+    return (z >> np.uint64(32)).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -174,13 +253,13 @@ def lattice(model: str, theta: float) -> Lattice:
     return Lattice(model, theta)
 
 
-def _chunks(texts: list, keys: list, chars: int = 400_000):
+def _slices(pdf: pd.DataFrame, chars: int = 800_000) -> Iterator[pd.DataFrame]:
     """Slices of a batch of some total length, so that long texts don't meet in one pass."""
     lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars or i == len(texts) - 1:
-            yield texts[lo : i + 1], keys[lo : i + 1]
+    for i, t in enumerate(pdf["text"]):
+        size += len(t) if isinstance(t, str) else 0
+        if size >= chars or i == len(pdf) - 1:
+            yield pdf.iloc[lo : i + 1].copy()
             lo, size = i + 1, 0
 
 
@@ -190,22 +269,28 @@ def encode(docs: DataFrame, seed: int = 0, theta: float = 1.0, model: str = DEFA
     The probability of a segmentation is the product of its pieces' weights, normalised over the lattice. The
     same key, text, seed, theta and model give the same ids on any machine, so repeated rows agree; a null key is
     a key of its own. Null text gives null ids, empty text an empty array. Other columns are not read."""
+    return _pass(docs, seed, theta, model, key_col, text_col, "text string, ids array<int>", _listed).withColumnRenamed("text", text_col)
+
+
+def _listed(lat: Lattice, pdf: pd.DataFrame, ids: list) -> pd.DataFrame:
+    pdf["ids"] = [x if isinstance(t, str) else None for x, t in zip(ids, pdf["text"], strict=True)]
+    return pdf[["key", "text", "ids"]]
+
+
+def _pass(docs: DataFrame, seed: int, theta: float, model: str, key_col: str, text_col: str, schema: str, finish) -> DataFrame:
+    """Sample the rows' segmentations and hand them to finish, slice by slice."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lat = lattice(model, theta)
         for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            ids: list = []
-            for part, keys in _chunks(texts, pdf["k"].tolist()):
-                ids += lat.sample(part, keys, seed)
-            pdf["ids"] = [x if isinstance(t, str) else None for x, t in zip(ids, pdf["text"], strict=True)]
-            yield pdf[["key", "text", "ids"]]
+            for part in _slices(pdf):
+                texts = [t if isinstance(t, str) else "" for t in part["text"]]
+                yield finish(lat, part, lat.sample(texts, part["k"].tolist(), seed))
 
     inner = docs.select(F.col(key_col).alias("key"), F.coalesce(F.col(key_col).cast("string"), F.lit("\u0000null")).alias("k"), F.col(text_col).alias("text"))
     kind = inner.schema["key"].dataType.simpleString()
-    out = inner.mapInPandas(run, f"key {kind}, text string, ids array<int>")
-    return out.withColumnsRenamed({"key": key_col, "text": text_col})
+    return inner.mapInPandas(run, f"key {kind}, {schema}").withColumnRenamed("key", key_col)
 
 
 def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -220,17 +305,21 @@ def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids",
     return encoded.withColumn(out_col, run(F.col(ids_col)))
 
 
-def digest(encoded: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, n_chars, n_pieces, ids_sha256, lossless) of encoded rows, after decoding them."""
-    back = decode(encoded.select(key_col, text_col, "ids"))
-    return back.select(
-        key_col,
-        F.length(text_col).cast("long").alias("n_chars"),
-        F.size("ids").cast("long").alias("n_pieces"),
-        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
-        F.col("decoded").eqNullSafe(F.col(text_col)).alias("lossless"),
-    )
+def digests(docs: DataFrame, seed: int = 0, theta: float = 1.0, model: str = DEFAULT_MODEL, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, n_chars, n_pieces, ids_sha256, lossless): encode() and decode() of each row in one pass, digested there.
+
+    The hash is that of the ids as little-endian 32-bit numbers; lossless says whether decoding gave the text back.
+    Null text: null counts and hash, lossless."""
+    return _pass(docs, seed, theta, model, key_col, text_col, "n_chars long, n_pieces long, ids_sha256 string, lossless boolean", _digested)
+
+
+def _digested(lat: Lattice, pdf: pd.DataFrame, ids: list) -> pd.DataFrame:
+    texts = pdf["text"].tolist()
+    out = [(len(t), len(x), hashlib.sha256(x.tobytes()).hexdigest(), lat.decode(x.tolist()) == t) if isinstance(t, str) else (None, None, None, True) for t, x in zip(texts, ids, strict=True)]
+    out = pd.DataFrame(out, columns=["n_chars", "n_pieces", "ids_sha256", "lossless"]).astype({"n_chars": "Int64", "n_pieces": "Int64"})
+    out.insert(0, "key", pdf["key"].to_numpy())
+    return out
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return digest(encode(table(spark, sf_dir, "documents")))
+    return digests(table(spark, sf_dir, "documents"))

@@ -141,10 +141,16 @@ def test_sampled_pieces(spark):
                 grow(j, [*ids, p], w * (p - min(lat.id_of.values()) + pieces.SHIFT) ** -0.5)
 
     grow(0, [], 1.0)
-    k = lat.unit(unit)
+    k = int(lat.numbers([unit])[0])
     n = 20_000
     got, counts = lat.walk(np.full(n, k), np.arange(n, dtype=np.uint64), np.zeros(n, np.uint64))
     seen = Counter(map(tuple, np.split(got.tolist(), np.cumsum(counts)[:-1])))
+    one, all_ = pieces.Lattice(theta=0.5), pieces.Lattice(theta=0.5)
+    us = [" kanalopo", "漢x", "aaaaaaaa", unit, " ", "ñandú"]
+    all_.forward_all(us)
+    for u in us:
+        one.forward(u)
+    assert (one.cum, one.prev, one.piece, one.last) == (all_.cum, all_.prev, all_.piece, all_.last)
     total = sum(weights.values())
     assert {tuple(map(int, s)) for s in seen} <= set(weights)
     for s, w in weights.items():
@@ -159,7 +165,8 @@ def test_pieces_rows(spark):
     enc = pieces.encode(odd_docs(spark))
     a = {r["text"]: r["ids"] for r in enc.collect()}
     assert a[None] is None and a[""] == []
-    assert all(r["lossless"] for r in pieces.digest(enc).collect())
+    assert all(r["lossless"] for r in pieces.digests(odd_docs(spark)).collect())
+    assert all(r["decoded"] == r["text"] for r in pieces.decode(enc).collect())
     assert a == {r["text"]: r["ids"] for r in pieces.encode(odd_docs(spark).repartition(3)).collect()}
     assert a != {r["text"]: r["ids"] for r in pieces.encode(odd_docs(spark), seed=1).collect()}
     assert pieces.encode(odd_docs(spark).limit(0)).count() == 0
