@@ -17,11 +17,14 @@ from lexmill.llm.common import Workspace, fold, ship, small, table
 
 #: The classifier is fitted on this many labelled rows at most, drawn by hash of the id from all labelled rows.
 TRAIN_ROWS = 12_000
-#: Terms are words and beginnings of words of PREFIX letters; those that tell the labels apart by this much are used.
-PREFIX = (3, 4, 5, 6)
-MIN_DOCS, MIN_LIFT, MAX_TERMS = 5, 3.0, 4_096
+#: Terms are words and beginnings of words of PREFIX letters; those that tell the labels apart by this much are used:
+#: rows that have the term, how much likelier it is in toxic rows, and the share of its rows that are toxic.
+PREFIX = (3, 4, 5, 6, 8)
+MIN_DOCS, MIN_LIFT, MIN_SHARE, MAX_TERMS = 5, 3.0, 0.33, 4_096
+#: Scores kept by vector in a task: texts with the same terms as often have the same neighbours.
+KEPT = 50_000
 #: Neighbours that vote, and examples in a block of the lists.
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK = 15, 1024
 #: Votes of weight PRIOR for the share of toxic rows among the examples without any term.
 PRIOR = 0.3
 REJECT = 0.7
@@ -87,7 +90,7 @@ def choose(labelled: DataFrame) -> Vocabulary:
     lift = ((F.col("t") + 0.5) / n1) / ((F.col("c") + 0.5) / n0)
     # a term must tell toxic rows apart beyond chance: three standard deviations of a binomial count
     expected = (F.col("c") + F.col("t")) * n1 / (n0 + n1)
-    telling = sums.withColumn("lift", lift).where((F.col("lift") >= MIN_LIFT) & (F.col("t") >= MIN_DOCS) & (F.col("t") > expected + 3 * F.sqrt(expected)))
+    telling = sums.withColumn("lift", lift).where((F.col("lift") >= MIN_LIFT) & (F.col("t") >= MIN_DOCS) & (F.col("t") > expected + 3 * F.sqrt(expected)) & (F.col("t") >= MIN_SHARE * (F.col("t") + F.col("c"))))
     best = telling.orderBy(F.desc(F.log("lift") * F.col("t")), "term").limit(MAX_TERMS).select("term").collect()
     return Vocabulary({r["term"]: i for i, r in enumerate(best)})
 
@@ -121,14 +124,18 @@ class BlockMaxIndex:
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or len(top) == k and bound[b] < top[-1][0] - 1e-9:
                 break
+            if len(top) == k and bound[b] <= top[-1][0] + 4e-10 and b * BLOCK > top[-1][1]:
+                continue  # could only tie, behind smaller ids
             score = np.zeros(BLOCK)
             for w, at, weights, starts, _ in found:
                 lo, hi = starts[b], starts[b + 1]
                 score[at[lo:hi] - b * BLOCK] += w * weights[lo:hi]
             if without is not None and without // BLOCK == b:
                 score[without - b * BLOCK] = 0
-            hits = np.nonzero(score > 0)[0]
-            top = sorted(top + [(float(round(score[i], 12)), b * BLOCK + i) for i in hits.tolist()], key=lambda x: (-x[0], x[1]))[:k]
+            score = np.round(score, 9)
+            hits = np.nonzero(score >= (top[-1][0] if len(top) == k else 1e-9))[0]
+            hits = hits[np.argsort(-score[hits], kind="stable")[:k]]
+            top = sorted([*top, *zip(score[hits].tolist(), (hits + b * BLOCK).tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
         return top
 
 
@@ -235,13 +242,18 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = spark.sparkContext.broadcast(fit(vocab, vectors, own, drawn))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model.value
+        m, known = model.value, {}
         for pdf in batches:
             scores, evidence = [], []
             for t, c in zip(pdf["terms"], pdf["counts"], strict=True):
-                s, near = m.score(dict(zip(t.tolist(), c.tolist(), strict=True)))
-                scores.append(min(max(s, 0.0), 1.0))
-                evidence.append([{"id": int(m.index.ids[at]), "cosine": x, "label": int(m.index.labels[at])} for x, at in near])
+                key = tuple(sorted(zip(t.tolist(), c.tolist(), strict=True)))
+                if key not in known:
+                    if len(known) >= KEPT:
+                        known.clear()
+                    s, near = m.score(dict(key))
+                    known[key] = min(max(s, 0.0), 1.0), [{"id": int(m.index.ids[at]), "cosine": x, "label": int(m.index.labels[at])} for x, at in near]
+                scores.append(known[key][0])
+                evidence.append(known[key][1])
             yield pd.DataFrame({"id": pdf["id"], "score": scores, "evidence": evidence})
 
     out = vectors.mapInPandas(run, f"id {kind}, score double, evidence array<struct<id:bigint,cosine:double,label:int>>")
