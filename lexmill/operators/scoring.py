@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +23,8 @@ def overlap(questions: DataFrame, docs: DataFrame, q: str, d: str) -> DataFrame:
     return hits.select(q, d, (F.col("n") / F.col("nq")).alias("score"))
 
 
-def bm25(questions: DataFrame, docs: DataFrame, q: str, d: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(q, d, score): Okapi BM25; a negative idf becomes epsilon times the mean idf; repeated query tokens count.
-
-    docs should be cheap to read again: corpus statistics, frequencies and scores are separate passes."""
+def _parts(questions: DataFrame, docs: DataFrame, q: str, d: str, k1: float, b: float, epsilon: float) -> DataFrame:
+    """(q, d, part): what each shared token adds to a pair's BM25; one row for a distinct token of a pair."""
     tf = docs.select(d, F.size("toks").alias("dl"), F.explode("toks").alias("token")).groupBy(d, "token").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
@@ -33,7 +34,83 @@ def bm25(questions: DataFrame, docs: DataFrame, q: str, d: str, k1: float = 1.5,
     idf = raw.join(wanted.select("token").distinct(), "token", "left_semi").join(F.broadcast(mean))
     idf = idf.select("token", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     part = F.col("qf") * F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.join(idf, "token").join(wanted, "token").groupBy(q, d).agg(F.sum(part).alias("score"))
+    return tf.join(idf, "token").join(wanted, "token").select(q, d, part.alias("part"))
+
+
+def bm25(questions: DataFrame, docs: DataFrame, q: str, d: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """(q, d, score): Okapi BM25; a negative idf becomes epsilon times the mean idf; repeated query tokens count.
+
+    docs should be cheap to read again: corpus statistics, frequencies and scores are separate passes."""
+    return _parts(questions, docs, q, d, k1, b, epsilon).groupBy(q, d).agg(F.sum("part").alias("score"))
+
+
+def fuzzy_plain(a: Column, b: Column) -> Column:
+    """1 for equal texts, 0.5 if one contains the other, else 0; 0 for empty ones."""
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.5).otherwise(0.0)
+
+
+def boost(question: Column, name: Column, tags: Column) -> Column:
+    """0.12 if name and question contain one another, 0.08 once if a tag is in the question; 0.25 at most."""
+    named = F.when(F.contains(question, name) | F.contains(name, question), 0.12).otherwise(0.0)
+    tagged = F.when(F.exists(tags, lambda t: F.contains(question, t)), 0.08).otherwise(0.0)
+    return F.least(F.lit(0.25), named + tagged)
+
+
+def hybrid(questions: DataFrame, docs: DataFrame, q: str, d: str) -> DataFrame:
+    """(q, d, score): 0.6 BM25 over the question's best + 0.25 overlap + 0.15 fuzzy + boost, within 0 and 1.
+
+    questions: key, norm, toks; docs: key, norm, toks, name, tags. Only pairs that share a token are scored: any other
+    gets 0.275 at most, which is under the threshold of 0.3. BM25 and overlap come from one join on tokens; of its
+    pairs alone the texts are compared."""
+    parts = _parts(questions, docs, q, d, 1.5, 0.75, 0.25).groupBy(q, d).agg(F.sum("part").alias("bm"), F.count("*").alias("hits"))
+    most = parts.groupBy(q).agg(F.max("bm").alias("most"))
+    asked = questions.select(q, F.col("norm").alias("qn"), F.size(F.array_distinct("toks")).alias("nq"))
+    pairs = parts.join(most, q).join(asked, q).join(docs.select(d, "norm", "name", "tags"), d)
+    bm = F.when(F.col("most") > 0, F.col("bm") / F.col("most")).otherwise(F.col("bm"))
+    total = 0.6 * bm + 0.25 * F.col("hits") / F.col("nq") + 0.15 * fuzzy_plain(F.col("qn"), F.col("norm")) + boost(F.col("qn"), F.col("name"), F.col("tags"))
+    return pairs.select(q, d, F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("score"))
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, with the columns of the table as bits of one integer."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+def token_set_ratio(a: str, b: str) -> float:
+    """0 to 100: the best indel similarity among common words, common words with one's rest, and with the other's rest."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, left, right = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    if both and not (left and right):
+        return 100.0
+    shared = len(both) + bool(both)
+    n, m = shared + len(left), shared + len(right)
+    found = [200 * (shared + common_subsequence(left, right)) / (n + m)]
+    if both:
+        found += [200 * len(both) / (len(both) + n), 200 * len(both) / (len(both) + m)]
+    return max(found)
+
+
+def fuzzy_ratio(pairs: DataFrame, a: str, b: str, out: str = "fuzzy") -> DataFrame:
+    """pairs with the token-set ratio of two text columns, 0 to 1. Costs the product of the lengths: for winners, not for all."""
+    fields = [f for f in pairs.schema.fields if f.name not in (a, b)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ratio = [token_set_ratio(x or "", y or "") / 100 for x, y in zip(pdf[a], pdf[b], strict=True)]
+            yield pdf.drop(columns=[a, b]).assign(**{out: ratio})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return pairs.mapInPandas(run, f"{schema}, `{out}` double")
 
 
 def trigger_score(q_toks: Column, q_norm: Column, triggers: Column) -> Column:
@@ -51,6 +128,12 @@ def trigger_score(q_toks: Column, q_norm: Column, triggers: Column) -> Column:
     return F.aggregate(triggers, F.lit(0.0), lambda a, t: a + one(t))
 
 
+def block_score(triggers_score: Column, q_toks: Column, own_toks: Column, overview: Column) -> Column:
+    """Trigger scores and three times the share of the block's own question; half of it for overview blocks."""
+    share = F.size(F.array_intersect(q_toks, own_toks)) / F.greatest(F.size(F.array_distinct(own_toks)), F.lit(1))
+    return (triggers_score + 3 * share) * F.when(overview, 0.5).otherwise(1.0)
+
+
 def tag_hits(questions: DataFrame, items: DataFrame, q: str, d: str) -> DataFrame:
     """(q, d, hits): how many of an item's tags are substrings of the question's text q; repeats of a tag count.
 

@@ -6,10 +6,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill import catalog
+from lexmill import catalog, catalog_answers
 from lexmill.functions import text as X
-from lexmill.operators import merge, ranking, scoring
-from lexmill.plans import routing
+from lexmill.operators import merge, products, ranking, scoring
+from lexmill.plans import provider, routing, rules
+from lexmill.sources.knowledge import read_items, read_texts
 from lexmill.sources.tagged import parse_pairs
 from lexmill.streaming.answering import answer_stream
 
@@ -85,12 +86,72 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("id", "route")) == rows(answer(src))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+def test_token_set_ratio():
+    def plain(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    for a, b in (("", "x"), ("abcbdab", "bdcaba"), ("the cat", "a hat the"), ("aaaa", "aa")):
+        assert scoring.common_subsequence(a, b) == plain(a, b)
+    assert scoring.token_set_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 100
+    assert scoring.token_set_ratio("", "a") == 0
+    assert round(scoring.token_set_ratio("ab", "ac"), 6) == 50
+
+
+def test_hybrid_on_one_pair(spark):
+    q = spark.createDataFrame([(1, "red bolt", ["red", "bolt"])], "q int, norm string, toks array<string>")
+    d = spark.createDataFrame([(1, "red bolt", ["red", "bolt"], "red bolt", ["red"]), (2, "x", ["x"], "x", []), (3, "y", ["y"], "y", [])], "d int, norm string, toks array<string>, name string, tags array<string>")
+    assert rows(scoring.hybrid(q, d, "q", "d").select("q", "d", F.round("score", 6))) == [(1, 1, 1.0)]
+
+
+def test_rules(spark):
+    got = one(spark, rules.answer_by_pattern(F.col("q"), F.col("a"), [{"pattern": "^x", "mode": "override", "answer": "X"}, {"pattern": "x", "mode": "augment", "answer": "more"}]), q="xx", a="old")
+    assert got == "X\n\nmore"
+    good, bad = rules.usable(spark, [{"pattern": "a"}, {"pattern": "("}])
+    assert (len(good), len(bad)) == (1, 1)
+    assert one(spark, rules.render("{b} and {a}", a=F.col("x"), b=F.lit("{a}")), x="1") == "{a} and 1"
+
+
+def test_provider_falls_back(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, p string")
+    assert {r["reply"] for r in provider.ask(df, "p").collect()} == {provider.UNAVAILABLE}
+    assert [r["reply"] for r in provider.ask(df, "p", call=lambda p: [x.upper() for x in p]).orderBy("id").collect()] == ["A", ""]
+    c = spark.createDataFrame([(1, 7, 1, "8"), (1, 8, 2, "8"), (2, 7, 1, None), (2, 9, 2, None)], "q int, d int, r int, chosen string")
+    assert rows(provider.pick(c, "q", "d", "r", "chosen")) == [(1, 8, 2), (2, 7, 1)]
+
+
+def test_knowledge_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"items": [{"id": "1"}, {"id": "2"}]}')
+    (tmp_path / "b.json").write_text('[{"id": "3"}]')
+    (tmp_path / "c.json").write_text("{")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "t.TXT").write_text("hello")
+    got = read_items(spark, str(tmp_path / "*.json"), "id string").select("place", "id")
+    assert rows(got) == [(0, "1"), (0, "3"), (1, "2")]
+    assert read_items(spark, str(tmp_path / "none"), "id string").count() == 0
+    assert rows(read_texts(spark, str(tmp_path)).select("name", "text")) == [("t.TXT", "hello")]
+    with pytest.raises(Exception):
+        read_items(spark, str(tmp_path / "c.json"), "id string", strict=True).collect()
+
+
+def test_lookup_prefers_exact_names(spark):
+    p = spark.createDataFrame([(1, "Red bolt"), (2, "redbolt"), (3, "blue nut")], "k int, n string")
+    q = spark.createDataFrame([("RED-BOLT",), ("a nut 5",), ("none",)], "q string")
+    assert rows(products.lookup(q, p, "q", "q", "k", "n", ("red",), ("red",))) == [("RED-BOLT", 1, True, None), ("a nut 5", 3, False, 1.0)]
+
+
+QUERIES, SQL = catalog.QUERIES | catalog_answers.QUERIES, catalog.SQL | catalog_answers.SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.execute(f"create view {f[:-8]} as select * from '{SF}/{f}'")
-    got, want = catalog.QUERIES[name](spark, SF), con.sql(catalog.SQL[name])
+    got, want = QUERIES[name](spark, SF), con.sql(SQL[name])
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     assert rows(got.select(*cols)) == sorted((tuple(r) for r in want.project(", ".join(f'"{c}"' for c in cols)).fetchall()), key=str)
