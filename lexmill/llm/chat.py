@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import functools
 import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +16,14 @@ from pyspark.sql import types as T
 
 from lexmill.llm.common import ship, table
 
-DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: How the vocabulary's words are cut (a fixed value of the public byte-level vocabulary).
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: White space beyond this many signs in a row is encoded in parts, as the cut would backtrack over all of it.
+SPACES = 1000
+_SPACES = re.compile(rf"(\s{{{SPACES},}})")
+#: Rows that are held decoded at a time.
+CHUNK = 1000
 #: The template's own marks, in the order of their reserved ids behind the tokenizer's vocabulary.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 MARKS = (TURN, TEXT, END)
@@ -39,65 +48,77 @@ def unescape(s: str) -> str:
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str):
-    from tokenizers import Tokenizer
+    """The ranks of a vocabulary file; it has no special tokens, so every content is ordinary text."""
+    import tiktoken
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f)}
+    return tiktoken.Encoding("chat", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+
+def encode(tok, s: str) -> np.ndarray:
+    """Ids of a content; decode() undoes it for any text."""
+    if len(s) < SPACES:
+        return tok.encode_to_numpy(s, disallowed_special=()).astype(np.int32)
+    parts = [p[i : i + SPACES] if k % 2 else p for k, p in enumerate(_SPACES.split(s)) for i in (range(0, len(p), SPACES) if k % 2 else (0,))]
+    return np.concatenate([tok.encode_to_numpy(p, disallowed_special=()) for p in parts]).astype(np.int32)
+
+
+def decode(tok, ids: np.ndarray) -> str:
+    return tok.decode_bytes(ids.tolist()).decode("utf-8")
 
 
 def format_turns(turns: DataFrame, path: str = DEFAULT_TOKENIZER, learn: tuple[str, ...] = ("assistant",), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row for each turn: conv, place (from 0), ids, text_from, text_to, in_loss, start, formatted, start_chars.
+    """One row for each turn: conv, place (from 0), ids, text_from, text_to, in_loss, start, start_chars.
 
     ids are the tokens of the turn: TURN, the role's, TEXT, the text's, END, where the marks are reserved ids behind
     the vocabulary and content is encoded by itself, so no content can make or swallow a mark. Tokens
     [text_from, text_to) are content of the turn, and in_loss says whether they count; start and start_chars are
-    prefix sums: the turn's first token and character in its conversation. formatted is the same as text.
+    prefix sums: the turn's first token and character in its conversation. render() adds the same as text.
     Turns are ordered by turn, role and text. Null role and text count as empty, and a null conversation id is a
     conversation of its own; repeated rows stay. Other columns are not read; no rows give no rows.
 
     Segments are encoded row by row; only lengths take part in the windows, whose sums are kept while rows stream
     by, so that one conversation may be of any length."""
     ship(turns.sparkSession)
-    marks = {m: i for i, m in enumerate(MARKS)}
+    fixed = sum(map(len, MARKS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = tokenizer(path)
-        first = tok.get_vocab_size()
-        for pdf in batches:
-            roles, texts = [escape(r or "") for r in pdf["role"]], [escape(t or "") for t in pdf["text"]]
-            a = [e.ids for e in tok.encode_batch(roles, add_special_tokens=False)]
-            b = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
-            pdf["ids"] = [[first + marks[TURN], *x, first + marks[TEXT], *y, first + marks[END]] for x, y in zip(a, b, strict=True)]
-            pdf["text_from"] = [len(x) + 2 for x in a]
-            pdf["text_to"] = [len(x) + 2 + len(y) for x, y in zip(a, b, strict=True)]
-            pdf["in_loss"] = [r in learn for r in pdf["role"]]
-            yield pdf.drop(columns=["role", "text"])
+        turn, text, end = (np.array([tok.n_vocab + i], np.int32) for i in range(len(MARKS)))
+        for batch in batches:
+            for at in range(0, len(batch), CHUNK):
+                pdf = batch.iloc[at : at + CHUNK]
+                roles, texts = [escape(r) for r in pdf["role"]], [escape(t) for t in pdf["text"]]
+                a, b = [encode(tok, r) for r in roles], [encode(tok, t) for t in texts]
+                segments = np.array([[1 + len(x), 1, len(y)] for x, y in zip(a, b, strict=True)]).cumsum(axis=1)
+                yield pd.DataFrame({
+                    "conv": pdf["conv"], "turn": pdf["turn"], "tie": pdf["tie"],
+                    "ids": [np.concatenate([turn, x, text, y, end]) for x, y in zip(a, b, strict=True)],
+                    "text_from": segments[:, 1], "text_to": segments[:, 2], "in_loss": pdf["role"].isin(learn),
+                    "chars": [fixed + len(r) + len(t) for r, t in zip(roles, texts, strict=True)],
+                })
 
     inner = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     inner = inner.withColumn("tie", F.xxhash64("role", "text"))
     kinds = {f.name: f.dataType.simpleString() for f in inner.schema.fields}
-    out = inner.mapInPandas(run, f"conv {kinds['conv']}, turn {kinds['turn']}, tie bigint, ids array<int>, text_from int, text_to int, in_loss boolean")
-    out = render(out, path)
+    out = inner.mapInPandas(run, f"conv {kinds['conv']}, turn {kinds['turn']}, tie bigint, ids array<int>, text_from int, text_to int, in_loss boolean, chars long")
     order = Window.partitionBy("conv").orderBy("turn", "tie")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return out.select(
         "conv", (F.row_number().over(order) - 1).alias("place"), "ids", "text_from", "text_to", "in_loss",
         F.coalesce(F.sum(F.size("ids").cast("long")).over(before), F.lit(0)).cast("long").alias("start"),
-        "formatted", F.coalesce(F.sum(F.length("formatted").cast("long")).over(before), F.lit(0)).cast("long").alias("start_chars"),
+        F.coalesce(F.sum("chars").over(before), F.lit(0)).cast("long").alias("start_chars"),
     ).withColumnRenamed("conv", conv_col)
 
 
-def _spell(tok, ids: list[int]) -> list[str]:
+def _spell(tok, ids: np.ndarray) -> list[str]:
     """Segments between the marks, decoded, and the marks themselves, in order."""
-    first, out, run = tok.get_vocab_size(), [], []
-    for i in ids:
-        if i >= first:
-            out += [tok.decode(run, skip_special_tokens=False), MARKS[i - first]]
-            run = []
-        else:
-            run.append(i)
-    return [*out, tok.decode(run, skip_special_tokens=False)]
+    out, at = [], 0
+    for i in np.nonzero(ids >= tok.n_vocab)[0].tolist():
+        out += [decode(tok, ids[at:i]), MARKS[ids[i] - tok.n_vocab]]
+        at = i + 1
+    return [*out, decode(tok, ids[at:])]
 
 
 def render(out: DataFrame, path: str = DEFAULT_TOKENIZER) -> DataFrame:
@@ -106,7 +127,7 @@ def render(out: DataFrame, path: str = DEFAULT_TOKENIZER) -> DataFrame:
     @F.pandas_udf("string")
     def spelled(ids: pd.Series) -> pd.Series:
         tok = tokenizer(path)
-        return pd.Series(["".join(_spell(tok, x.tolist())) for x in ids], dtype=object)
+        return pd.Series(["".join(_spell(tok, x)) for x in ids], dtype=object)
 
     return out.withColumn("formatted", spelled("ids"))
 
@@ -133,23 +154,23 @@ def digests(formatted: DataFrame, path: str = DEFAULT_TOKENIZER, conv_col: str =
             return pd.DataFrame([row])
 
         for pdf in batches:
-            rows = zip(pdf["conv"], pdf["ids"], pdf["text_from"], pdf["text_to"], pdf["in_loss"], pdf["formatted"], strict=True)
+            rows = zip(pdf["conv"], pdf["ids"], pdf["text_from"], pdf["text_to"], pdf["in_loss"], strict=True)
             finished = []
-            for conv, ids, lo, hi, in_loss, formatted_text in rows:
+            for conv, ids, lo, hi, in_loss in rows:
                 conv = None if pd.isna(conv) else conv
                 if not now or now[0] != conv:
                     if now:
                         finished.append(done())
                     now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids = ids.tolist()
-                _, _, role, _, text, _, _ = _spell(tok, ids)
+                spelled = _spell(tok, ids)
+                _, _, role, _, text, _, _ = spelled
                 now[1] += 1
                 now[2].update(f"{unescape(role)}\n{unescape(text)}\n".encode("utf-8", "surrogatepass"))
                 if in_loss:
-                    learned = unescape(tok.decode(ids[lo:hi], skip_special_tokens=False))
+                    learned = unescape(decode(tok, ids[lo:hi]))
                     now[3] += len(learned)
                     now[4].update(learned.encode("utf-8", "surrogatepass"))
-                now[5] += len(formatted_text)
+                now[5] += sum(map(len, spelled))
             if finished:
                 yield pd.concat(finished)
         if now:
@@ -157,7 +178,7 @@ def digests(formatted: DataFrame, path: str = DEFAULT_TOKENIZER, conv_col: str =
 
     dealt = formatted.withColumnRenamed(conv_col, "conv").repartition("conv").sortWithinPartitions("conv", "place")
     schema = f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    out = dealt.select("conv", "ids", "text_from", "text_to", "in_loss", "formatted").mapInPandas(run, schema)
+    out = dealt.select("conv", "ids", "text_from", "text_to", "in_loss").mapInPandas(run, schema)
     return out.withColumnRenamed("conv", conv_col)
 
 

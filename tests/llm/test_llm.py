@@ -210,7 +210,12 @@ def test_chat_escapes_and_odd_rows(spark):
     assert rows[2]["turns_sha256"] == hashlib.sha256(b"\n\n").hexdigest() and rows[None]["loss_chars"] == 1
     for r in f.collect():
         assert sum(r["loss_mask"]) == (r["text_to"] - r["text_from"]) * r["in_loss"]
+    for r in chat.render(chat.format_turns(turns)).collect():
+        assert r["formatted"].startswith(chat.TURN) and r["formatted"].endswith(chat.END) and (r["start"] == 0) == (r["start_chars"] == 0)
     assert chat.digests(chat.format_turns(turns.limit(0))).count() == 0
+    tok = chat.tokenizer(chat.DEFAULT_TOKENIZER)
+    for s in (" " * 300_000 + "x", "\n" * 5000, "a" * 100_000, "x" + "\t" * 1000 + "y" * 2000, "^" * 5000, ""):
+        assert chat.decode(tok, chat.encode(tok, s)) == s
 
 
 def test_url_rules_and_list(spark):
