@@ -25,6 +25,8 @@ SHIFT, EXPONENT = 2.7, 1.0
 UNIT = re.compile(r" ?[^\W\d_]+| ?\d+| ?(?:_|[^\w\s])+|\s")
 #: Units up to this length are kept between texts, and this many of them; longer ones are computed each time.
 CACHE_CHARS, CACHE_UNITS = 48, 120_000
+#: New units are filtered together up to about this many characters; a pass holds some 500 bytes a character.
+PASS_CHARS = 50_000
 
 
 class Lattice:
@@ -86,8 +88,9 @@ class Lattice:
         cache = self.cache
         new = [u for u in dict.fromkeys(units) if u not in cache]
         some = [u for u in new if len(u) <= CACHE_CHARS]
-        if some:
-            self.forward_all(some)
+        stops = np.cumsum([len(u) for u in some])
+        for part in np.split(np.arange(len(some)), np.nonzero(np.diff(stops // PASS_CHARS))[0] + 1) if some else ():
+            self.forward_all([some[k] for k in part.tolist()])
         for u in new:
             if len(u) > CACHE_CHARS:
                 cache[u] = self.forward(u)
@@ -253,7 +256,7 @@ def lattice(model: str, theta: float) -> Lattice:
     return Lattice(model, theta)
 
 
-def _slices(pdf: pd.DataFrame, chars: int = 800_000) -> Iterator[pd.DataFrame]:
+def _slices(pdf: pd.DataFrame, chars: int = 300_000) -> Iterator[pd.DataFrame]:
     """Slices of a batch of some total length, so that long texts don't meet in one pass."""
     lo, size = 0, 0
     for i, t in enumerate(pdf["text"]):
