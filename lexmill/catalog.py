@@ -140,6 +140,16 @@ def trigger_top15(spark, d):
     return ranking.top_k(s, "item_id", 15, F.desc("score"), F.asc("doc_id"))
 
 
+def trigger_texts_top15(spark, d):
+    """Triggers are all sentences of all documents, whole. No SQL: every sentence against every question is too slow there."""
+    parts = F.transform(F.split("text", r"[.!?]+(?=\s|$)|\n"), X.normalize_folded)
+    docs = _t(spark, d, "documents").select("doc_id", "text").repartition("doc_id")  # few files should not mean few tasks
+    k = docs.select("doc_id", F.explode(parts).alias("trigger")).where("trigger <> ''")
+    q = _t(spark, d, "benchmark").select("item_id", X.normalize_folded(F.col("text")).alias("qn")).withColumn("qt", F.array_distinct(X.tokens(F.col("qn"))))
+    s = scoring.trigger_sums(q, k, "item_id", "doc_id").withColumn("score", F.round("score", 6))
+    return ranking.top_k(s, "item_id", 15, F.desc("score"), F.asc("doc_id"))
+
+
 def tiered_best(spark, d):
     """Documents of one source are the overlay, which goes before the rest."""
     source = _t(spark, d, "documents").select("doc_id", F.coalesce(F.col("source") != "src0", F.lit(True)).cast("int").alias("tier"))
@@ -160,7 +170,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         norm_keep_accents, norm_fold, norm_stop, norm_compact, syn_expand, route_questions, kb_overlap_top1, bm25_top10, tag_count_top1, index_filter, kb_stats,
-        merge_overlay, gen_cross, txt_parse, lang_fallback, guardrails, slot_fill, trigger_top15, tiered_best, cascade_filter,
+        merge_overlay, gen_cross, txt_parse, lang_fallback, guardrails, slot_fill, trigger_top15, trigger_texts_top15, tiered_best, cascade_filter,
     )
 } | {"html_text": html_text_pages}
 

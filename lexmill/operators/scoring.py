@@ -128,6 +128,27 @@ def trigger_score(q_toks: Column, q_norm: Column, triggers: Column) -> Column:
     return F.aggregate(triggers, F.lit(0.0), lambda a, t: a + one(t))
 
 
+def trigger_sums(questions: DataFrame, triggers: DataFrame, q: str, d: str) -> DataFrame:
+    """(q, d, score): trigger_score over all triggers of d, for pairs that score; repeats of a trigger count.
+
+    questions: key, qn and qt (its distinct words); triggers: key and trigger, one row each, of any number. A trigger of
+    n words scores with half of them in the question at least, so one of any n - half + 1 words is there: these, the
+    longest, are joined with the questions' words, and a pair is scored at the first word it shares. Sums are partial."""
+    k = triggers.select(d, "trigger", F.array_distinct(F.split("trigger", " ")).alias("words")).withColumn("n", F.size("words")).where("n > 1")
+    k = k.withColumn("half", F.greatest(F.lit(1), F.floor(F.col("n") / 2).cast("int")))
+    longest = F.sort_array(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    k = k.withColumn("words", F.transform(longest, lambda x: x["w"]))
+    k = k.select(d, "trigger", "words", "n", "half", F.explode(F.slice("words", F.lit(1), F.col("n") - F.col("half") + 1)).alias("token"))
+    asked = questions.select(q, "qn", "qt", F.explode("qt").alias("token"))
+    met = k.join(asked, "token").withColumn("shared", F.array_intersect("words", "qt"))
+    met = met.where((F.size("shared") >= F.col("half")) & (F.get("shared", F.lit(0)) == F.col("token")))
+    met = met.withColumn("hits", F.size("shared"))
+    whole = F.when(F.col("hits") == F.col("n"), F.lit(3.0)).otherwise(F.lit(0.0))
+    inside = F.when((F.length("trigger") >= 10) & F.contains("qn", "trigger"), F.lit(0.5)).otherwise(F.lit(0.0))
+    scored = met.select(q, d, (whole + F.col("hits") / F.col("n") + inside).alias("part"))
+    return scored.groupBy(q, d).agg(F.sum("part").alias("score"))
+
+
 def block_score(triggers_score: Column, q_toks: Column, own_toks: Column, overview: Column) -> Column:
     """Trigger scores and three times the share of the block's own question; half of it for overview blocks."""
     share = F.size(F.array_intersect(q_toks, own_toks)) / F.greatest(F.size(F.array_distinct(own_toks)), F.lit(1))

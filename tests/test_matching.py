@@ -1,6 +1,8 @@
 """Formulas by hand-computed values, and every query against its SQL."""
 
 import os
+import random
+import re
 
 import duckdb
 import pytest
@@ -52,6 +54,34 @@ def test_trigger_score(spark):
     assert got == (3 + 1) + 0.5 + 0 + (3 + 1 + 0.5)
 
 
+def test_triggers_of_whole_texts(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["a", "to", "the", "bolt", "nut", "screw", "washer", "connector"]
+    said = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))
+    docs = [(i, "".join(said() + rng.choice([". ", "!\n", "\n", "? "]) for _ in range(rng.randrange(40)))) for i in range(60)]
+    docs += [(100, "filler words here. " * 100 + "Mount every dowel"), (101, None), (102, "")]
+    items = [(i, said()) for i in range(20)] + [(50, "please mount every dowel"), (51, ""), (52, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def score(question, text):
+        total, qt = 0.0, set(question.split())
+        for t in (" ".join(x.lower().split()) for x in re.split(r"[.!?]+(?=\s|$)|\n", text)):
+            w = set(t.split())
+            if len(w) > 1:
+                hits = len(w & qt)
+                total += 3 * (hits == len(w)) + (hits / len(w) if hits >= max(1, len(w) // 2) else 0) + 0.5 * (len(t) >= 10 and t in question)
+        return round(total, 6)
+
+    want = []
+    for i, question in items:
+        best = sorted((-score(question or "", t or ""), d) for d, t in docs)
+        want += [(i, d, -s, k) for k, (s, d) in enumerate(best[:15], 1) if s < 0]
+    got = catalog.trigger_texts_top15(spark, str(tmp_path)).select("item_id", "doc_id", "score", "rank")
+    assert rows(got) == sorted(want, key=str)
+    assert (50, 100, 4.5) in {r[:3] for r in want}
+
+
 def test_merge_last_wins(spark):
     a = spark.createDataFrame([(1, "x", 0), (1, "y", 1), (2, "z", 2), (None, "n", 3)], "id int, v string, p int")
     b = spark.createDataFrame([(2, "w", 0)], "id int, v string, p int")
