@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontamination": decontam.op4_decontamination,
     "op5_chat_format": chat.op5_chat_format,
     "op6_url_filter": urls.op6_url_filter,
+    "op6_url_filter_table": urls.op6_url_filter_table,
     "op7_language_id": langid.op7_language_id,
     "op8_warc": warc.op8_warc,
     "op9_toxicity": toxicity.op9_toxicity,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,8 @@ from lexmill.llm.common import Workspace, ascii_lower, small, table
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Listed sites and pages of production, as canonical URLs: a host and "/" lists the host and its subdomains.
 LISTED = ("casino-win.example.com/", "cheap-pills.example.com/", "free-bets.example.com/")
+#: Session setting that names a table of listed URLs.
+LISTED_TABLE = "lexmill.urls.listed"
 #: Bits a key, and the bits of a block: eight words of 64, one bit set in four of them for each key.
 BITS_PER_KEY, PROBES = 16, 4
 
@@ -113,10 +117,24 @@ def production_list(spark) -> DataFrame:
     return spark.createDataFrame([(u,) for u in LISTED], T.StructType([T.StructField("url", T.StringType())]))
 
 
+def listed_table(spark) -> DataFrame:
+    """url: the Parquet table of any size that lexmill.urls.listed names, or the package's six sites."""
+    path = spark.conf.get(LISTED_TABLE, None)
+    if path:
+        return spark.read.parquet(path).select("url")
+    lines = pkgutil.get_data(__package__, "blocked_sites.csv").decode().split()[1:]  # read by the driver alone
+    return spark.createDataFrame([(u,) for u in lines], "url string")
+
+
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), production_rules(spark), production_list(spark))
 
 
+def op6_url_filter_table(spark, sf_dir: str) -> DataFrame:
+    """The same with the list read as a table."""
+    return judge(table(spark, sf_dir, "pages"), production_rules(spark), listed_table(spark))
+
+
 _HOST = r"translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = rf"""
 with p as (select page_id, {_HOST} host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) path from pages),
