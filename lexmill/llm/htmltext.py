@@ -16,8 +16,12 @@ from lexmill.llm.common import ship, table
 from lexmill.llm.htmlpages import labelled_pages
 
 #: Elements whose text is never shown as text.
-HIDDEN = {"script", "style", "noscript", "template", "head", "title", "iframe", "object", "svg", "math", "canvas", "audio", "video"}
+HIDDEN = {"script", "style", "noscript", "template", "head", "title", "iframe", "object", "svg", "canvas", "audio", "video", "annotation", "annotation-xml"}
+#: What may stand in a head: anything else closes one that is still open, as does text.
+HEADED = {"head", "html", "base", "link", "meta", "title", "style", "script", "noscript", "template"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "acronym"}
+#: Formulas are read as the text of their leaves.
+INLINE |= {"math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mtable", "mtr", "mtd", "mstyle", "mpadded", "mphantom", "menclose", "merror"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: What an opening tag closes when it is open above, up to the nearest of its bounds.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -62,7 +66,15 @@ class Tree(HTMLParser):
             self.links -= tag == "a"
         del self.open[at:]
 
+    def close_head(self) -> None:
+        """End a head that is open, with what is open in it, but for templates."""
+        at = next((k for k, (tag, _) in enumerate(self.open) if tag == "head"), 0)
+        if at and all(tag != "template" for tag, _ in self.open[at:]):
+            self.pop(at)
+
     def handle_starttag(self, tag, attrs):
+        if tag == "body" or self.open[-1][0] == "head" and tag not in HEADED:
+            self.close_head()
         if tag == "br":
             self.run.append(" ")
         if tag in VOID or tag in ("html", "body"):
@@ -71,6 +83,8 @@ class Tree(HTMLParser):
             self.links += tag == "a"
             self.open.append((tag, self.open[-1][1]))
             return
+        if tag == "object" and not self.hidden and not dict(attrs).get("data"):
+            return  # nothing to load: its content is shown
         closes, bounds = _CLOSES.get(tag, (("p",) if tag not in HIDDEN else (), ("button", "td", "th", "table")))
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] in closes:
@@ -101,6 +115,8 @@ class Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open[-1][0] == "head" and data.strip():
+            self.close_head()
         if not self.hidden:
             self.run.append(data)
             self.run_linked += len(data) if self.links else 0
