@@ -18,9 +18,9 @@ from lexmill.llm.common import Workspace, fold, ship, small, table
 #: The classifier is fitted on this many labelled rows at most, drawn by hash of the id from all labelled rows.
 TRAIN_ROWS = 12_000
 #: Terms are words and beginnings of words of PREFIX letters; those that tell the labels apart by this much are used:
-#: rows that have the term, how much likelier it is in toxic rows, and the share of its rows that are toxic.
+#: rows that have the term, and how much likelier it is in toxic rows.
 PREFIX = (3, 4, 5, 6, 8)
-MIN_DOCS, MIN_LIFT, MIN_SHARE, MAX_TERMS = 5, 3.0, 0.33, 4_096
+MIN_DOCS, MIN_LIFT, MAX_TERMS = 5, 3.0, 4_096
 #: Scores kept by vector in a task: texts with the same terms as often have the same neighbours.
 KEPT = 50_000
 #: Neighbours that vote, and examples in a block of the lists.
@@ -70,7 +70,7 @@ class Vocabulary:
 
 
 def choose(labelled: DataFrame) -> Vocabulary:
-    """Terms that at least MIN_DOCS labelled rows have and that are MIN_LIFT times likelier with one label.
+    """Terms that at least MIN_DOCS labelled rows have and that are MIN_LIFT times likelier with the toxic label.
 
     labelled: text, label. Each task counts documents by term; sums are by shuffle, and at most MAX_TERMS of the
     most telling terms come back to the driver."""
@@ -90,7 +90,7 @@ def choose(labelled: DataFrame) -> Vocabulary:
     lift = ((F.col("t") + 0.5) / n1) / ((F.col("c") + 0.5) / n0)
     # a term must tell toxic rows apart beyond chance: three standard deviations of a binomial count
     expected = (F.col("c") + F.col("t")) * n1 / (n0 + n1)
-    telling = sums.withColumn("lift", lift).where((F.col("lift") >= MIN_LIFT) & (F.col("t") >= MIN_DOCS) & (F.col("t") > expected + 3 * F.sqrt(expected)) & (F.col("t") >= MIN_SHARE * (F.col("t") + F.col("c"))))
+    telling = sums.withColumn("lift", lift).where((F.col("lift") >= MIN_LIFT) & (F.col("t") >= MIN_DOCS) & (F.col("t") > expected + 3 * F.sqrt(expected)))
     best = telling.orderBy(F.desc(F.log("lift") * F.col("t")), "term").limit(MAX_TERMS).select("term").collect()
     return Vocabulary({r["term"]: i for i, r in enumerate(best)})
 
@@ -203,11 +203,15 @@ def fit(vocab: Vocabulary, vectors: DataFrame, own: DataFrame, drawn: DataFrame)
     return model
 
 
-def draw(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(id, label) of a sample by hash of the id, of about rows labelled documents; equal rows once."""
-    clean = labels.where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").cast("int").alias("label"))
-    share = min(1.0, rows / max(clean.count(), 1))
-    return clean.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
+def usable(labels: DataFrame) -> DataFrame:
+    """(id, label) of all labelled documents; equal rows once."""
+    return labels.where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").cast("int").alias("label"))
+
+
+def draw(known: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """A sample by hash of the id, of about rows of the usable labels."""
+    share = min(1.0, rows / max(known.count(), 1))
+    return known.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -220,14 +224,15 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Null ids and repeated rows pass through; other columns are not read.
 
     Texts are read once, into short vectors over the chosen terms; document frequencies are counted over all of
-    them. The model is bounded by TRAIN_ROWS and MAX_TERMS and goes to the executors as a broadcast variable."""
+    them, and terms are chosen by all labelled rows. The model is bounded by TRAIN_ROWS and MAX_TERMS and goes to the executors as a broadcast variable."""
     spark = docs.sparkSession
     ship(spark)
     work = Workspace(spark, "toxicity")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     source = docs if train_docs is None else train_docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    drawn = work.write(draw(labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")), train_rows), "drawn")
-    labelled = work.write(source.join(small(drawn), "id").dropDuplicates(["id"]).select("text", "label", "id"), "labelled")
+    known = work.write(usable(labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))), "known")
+    drawn = work.write(draw(known, train_rows), "drawn")
+    labelled = work.write(source.join(small(known), "id").dropDuplicates(["id"]).select("text", "label", "id"), "labelled")
     vocab = choose(labelled)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,7 +243,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kind = docs.schema["id"].dataType.simpleString()
     schema = f"id {kind}, terms array<int>, counts array<int>"
     vectors = work.write(docs.mapInPandas(count, schema), "vectors")
-    own = work.write(labelled.select("id", "text").mapInPandas(count, schema), "own")
+    own = work.write(labelled.join(small(drawn.select("id")), "id", "left_semi").select("id", "text").mapInPandas(count, schema), "own")
     model = spark.sparkContext.broadcast(fit(vocab, vectors, own, drawn))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,0 +1,18 @@
+"""Terms of the toxicity classifier: those that most of their rows have clean, and statistics over all labelled rows."""
+
+from lexmill.llm import toxicity
+
+
+def test_terms_with_more_clean_rows(spark):
+    rows = [(("murk " if i < 20 or 100 <= i < 150 else "") + "kana lopo", int(i < 100)) for i in range(1000)]
+    vocab = toxicity.choose(spark.createDataFrame(rows, "text string, label int"))
+    assert "murk" in vocab.number and "kana" not in vocab.number
+
+
+def test_terms_of_all_labelled_rows(spark, monkeypatch):
+    seen, choose = [], toxicity.choose
+    monkeypatch.setattr(toxicity, "choose", lambda labelled: seen.append(labelled.count()) or choose(labelled))
+    docs = spark.createDataFrame([(i, "vile kana" if i % 5 == 0 else "kana") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    out = toxicity.score(docs, labels, train_rows=100).collect()
+    assert seen == [300] and len(out) == 300
