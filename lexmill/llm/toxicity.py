@@ -2,274 +2,357 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import Workspace, fold, ship, small, table
 
-#: The classifier is fitted on this many labelled rows at most, drawn by hash of the id from all labelled rows.
+#: The classifier is fitted on this many labelled rows at most, drawn by hash of id and text from all labelled rows.
 TRAIN_ROWS = 12_000
-#: Terms are words and beginnings of words of PREFIX letters; those that tell the labels apart by this much are used:
-#: rows that have the term, and how much likelier it is in toxic rows.
+#: Terms are words and their beginnings of these lengths.
 PREFIX = (3, 4, 5, 6, 8)
-MIN_DOCS, MIN_LIFT, MAX_TERMS = 5, 3.0, 4_096
-#: Scores kept by vector in a task: texts with the same terms as often have the same neighbours.
-KEPT = 50_000
+#: A term's weight is its idf times the square of its log odds of a toxic row, as if SHRINK more rows had the term at
+#: the odds of all rows. Common terms weigh little by it, but every term of every text counts.
+SHRINK = 10.0
 #: Neighbours that vote, and examples in a block of the lists.
-NEIGHBOURS, BLOCK = 15, 1024
-#: Votes of weight PRIOR for the share of toxic rows among the examples without any term.
-PRIOR = 0.3
+NEIGHBOURS, BLOCK = 25, 128
+#: Terms of so few examples have no blocks: their lists are read at once.
+RARE = 4
+#: Votes of weight PRIOR for the share of toxic rows among the examples.
+PRIOR = 1e-3
 REJECT = 0.7
+#: Words whose terms a task remembers.
+KEPT_WORDS = 60_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str) -> Counter:
-    """Lower-cased words and, marked by *, their beginnings."""
-    words = Counter(_WORD.findall(text.lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        for k in PREFIX:
-            if len(w) > k:
-                out[w[:k] + "*"] += n
+def terms(word: str) -> list[int]:
+    """The 64-bit keys of a lower-cased word and, marked by *, of its beginnings."""
+    out = [xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))]
+    out += [xxhash.xxh64_intdigest((word[:k] + "*").encode("utf-8", "surrogatepass")) for k in PREFIX if len(word) > k]
     return out
 
 
-@dataclass
-class Vocabulary:
-    """Chosen terms by number, and the beginnings that lead to one, so that others are passed over."""
-
-    number: dict[str, int]
-    lead: set[str] = field(default_factory=set)
-
-    def __post_init__(self) -> None:
-        self.lead = {t[:2] for t in self.number}
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        """How often each chosen term occurs in the whole text."""
-        out: dict[int, int] = {}
-        if not isinstance(text, str):
-            return out
-        number, lead = self.number, self.lead
-        for w in _WORD.findall(text.lower()):
-            if w[:2] in lead:
-                if (i := number.get(w)) is not None:
-                    out[i] = out.get(i, 0) + 1
-                for k in PREFIX:
-                    if len(w) > k and (i := number.get(w[:k] + "*")) is not None:
-                        out[i] = out.get(i, 0) + 1
-        return out
-
-
-def choose(labelled: DataFrame) -> Vocabulary:
-    """Terms that at least MIN_DOCS labelled rows have and that are MIN_LIFT times likelier with the toxic label.
-
-    labelled: text, label. Each task counts documents by term; sums are by shuffle, and at most MAX_TERMS of the
-    most telling terms come back to the driver."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            by: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, label in zip(pdf["text"], pdf["label"], strict=True):
-                by[int(label)].update(terms(text).keys() if isinstance(text, str) else ())
-            keys = list(by[0].keys() | by[1].keys())
-            yield pd.DataFrame({"term": keys, "clean": [by[0][k] for k in keys], "toxic": [by[1][k] for k in keys]})
-
-    n = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    n0, n1 = n.get(0, 0) + 1.0, n.get(1, 0) + 1.0
-    parts = labelled.select("text", "label").mapInPandas(run, "term string, clean long, toxic long")
-    sums = parts.groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(F.col("c") + F.col("t") >= MIN_DOCS)
-    lift = ((F.col("t") + 0.5) / n1) / ((F.col("c") + 0.5) / n0)
-    # a term must tell toxic rows apart beyond chance: three standard deviations of a binomial count
-    expected = (F.col("c") + F.col("t")) * n1 / (n0 + n1)
-    telling = sums.withColumn("lift", lift).where((F.col("lift") >= MIN_LIFT) & (F.col("t") >= MIN_DOCS) & (F.col("t") > expected + 3 * F.sqrt(expected)))
-    best = telling.orderBy(F.desc(F.log("lift") * F.col("t")), "term").limit(MAX_TERMS).select("term").collect()
-    return Vocabulary({r["term"]: i for i, r in enumerate(best)})
+class Terms:
+    """The terms of texts, by key or, with a vocabulary, by their numbers there; others are left out."""
+
+    def __init__(self, keys: np.ndarray | None = None):
+        self.keys = keys
+        self.known: dict[str, np.ndarray] = {}
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct terms of the whole text, sorted, and how often each occurs."""
+        words = Counter(_WORD.findall(text.lower())) if isinstance(text, str) else {}
+        if not words:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        known = self.known
+        new = [w for w in words if w not in known]
+        if new:
+            if len(known) + len(new) > KEPT_WORDS:
+                known.clear()
+                new = list(words)
+            parts = [terms(w) for w in new]
+            keys = np.array([k for p in parts for k in p], np.uint64)
+            ends = np.cumsum([len(p) for p in parts])
+            if self.keys is not None:
+                at = np.searchsorted(self.keys, keys)
+                hit = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+                ends = np.concatenate([[0], np.cumsum(hit)])[ends]
+                keys = at[hit]
+            for w, ids in zip(new, np.split(keys, ends[:-1]), strict=True):
+                known[w] = ids.copy()
+        found = [known[w] for w in words]
+        ids = np.concatenate(found)
+        n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) for x in found])
+        ids, at = np.unique(ids, return_inverse=True)
+        return ids, np.bincount(at, n, len(ids)).astype(np.int64)
 
 
 class BlockMaxIndex:
-    """Inverted lists of unit TF-IDF vectors in blocks of examples; a block's largest weights bound its cosines."""
-
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[dict[int, float]]):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.labels = ids[order], labels[order]
+    """Inverted lists of unit vectors, in blocks of examples; a block's largest weight of a term bounds its part.
+
+    Examples are rows (sorted by id), terms are numbers; rows, cols, weights: the entries of all vectors."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, n_terms: int, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray):
+        self.ids, self.labels = ids, labels
+        order = np.argsort(cols.astype(np.int64) * max(len(ids), 1) + rows)
+        rows, cols, weights = rows[order], cols[order], weights[order].astype(np.float32)
+        self.rows, self.weights = rows.astype(np.uint16 if len(ids) < 1 << 16 else np.int32), weights
+        self.starts = np.searchsorted(cols, np.arange(n_terms + 1)).astype(np.int32)
+        self.size = np.diff(self.starts)
+        self.most = np.zeros(n_terms, np.float32)
+        np.maximum.at(self.most, cols, weights)
+        # blocks of the terms that are not rare: number, first posting, largest weight
+        block = rows // BLOCK
+        first = np.ones(len(cols), bool)
+        first[1:] = (cols[1:] != cols[:-1]) | (block[1:] != block[:-1])
+        first &= self.size[cols] > RARE
+        at = np.nonzero(first)[0]
+        self.block, self.post = block[at].astype(np.uint16), at.astype(np.int32)
+        self.block_starts = np.searchsorted(cols[at], np.arange(n_terms + 1)).astype(np.int32)
+        ends = np.minimum(np.append(at[1:], len(cols)), self.starts[cols[at] + 1]) if len(at) else at
+        self.post_ends = ends.astype(np.int32)
+        self.peak = np.maximum.reduceat(weights, at) if len(at) else np.empty(0, np.float32)
+        if len(at):  # reduceat runs on to the next block's start, over rare terms in between
+            loose = np.nonzero(ends != np.append(at[1:], len(cols)))[0]
+            for k in loose.tolist():
+                self.peak[k] = weights[at[k] : ends[k]].max()
         self.blocks = -(-len(ids) // BLOCK)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for at, k in enumerate(order.tolist()):
-            for t, w in vectors[k].items():
-                lists.setdefault(t, []).append((at, w))
-        self.lists = {}
-        for t, entries in lists.items():
-            at, w = np.array([e[0] for e in entries]), np.array([e[1] for e in entries])
-            block_of = at // BLOCK
-            best = np.zeros(self.blocks)
-            np.maximum.at(best, block_of, w)
-            self.lists[t] = at, w, np.searchsorted(block_of, np.arange(self.blocks + 1)), best
-
-    def nearest(self, query: dict[int, float], k: int, without: int | None = None) -> list[tuple[float, int]]:
-        """The k best (cosine, place) over 0, exactly; ties go to the smaller id. without: a place to leave out."""
-        found = [(w, *self.lists[t]) for t, w in sorted(query.items()) if t in self.lists]
-        if not found:
-            return []
-        bound = sum(w * best for w, _, _, _, best in found)
-        top: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(top) == k and bound[b] < top[-1][0] - 1e-9:
+
+    def _add(self, score: np.ndarray, lo: np.ndarray, hi: np.ndarray, q: np.ndarray) -> np.ndarray:
+        at, of = _ranges(lo, hi)
+        return score + np.bincount(self.rows[at], q[of] * self.weights[at], len(score)) if len(at) else score
+
+    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and places of the k best over 0, exactly; ties (to six digits) go to the smaller id.
+
+        terms, q: numbers and weights of the query's unit vector. Rare and heavy terms are added up first, until what the
+        others can add is small against the k-th score; the blocks' largest weights then rule out most examples,
+        and lists of the other terms are read for the remaining blocks alone."""
+        n = len(self.ids)
+        score = np.zeros(n)
+        if not len(terms) or not n:
+            return np.empty(0), np.empty(0, np.int64)
+        lo, hi = self.starts[terms], self.starts[terms + 1]
+        rare = self.size[terms] <= RARE
+        score = self._add(score, lo[rare], hi[rare], q[rare])
+        impact = np.where(rare, 0.0, q * self.most[terms])
+        order = np.argsort(-impact, kind="stable")[: int((~rare).sum())]
+        rest = np.append(np.cumsum(impact[order][::-1])[::-1], 0.0)
+        done, step, floor = 0, 24, 0.0
+        while done < len(order):
+            now = order[done : done + step]
+            score = self._add(score, lo[now], hi[now], q[now])
+            done += len(now)
+            floor = self._kth(score, k, without)
+            if rest[done] <= 0.25 * floor:
                 break
-            if len(top) == k and bound[b] <= top[-1][0] + 4e-10 and b * BLOCK > top[-1][1]:
-                continue  # could only tie, behind smaller ids
-            score = np.zeros(BLOCK)
-            for w, at, weights, starts, _ in found:
-                lo, hi = starts[b], starts[b + 1]
-                score[at[lo:hi] - b * BLOCK] += w * weights[lo:hi]
-            if without is not None and without // BLOCK == b:
-                score[without - b * BLOCK] = 0
-            score = np.round(score, 9)
-            hits = np.nonzero(score >= (top[-1][0] if len(top) == k else 1e-9))[0]
-            hits = hits[np.argsort(-score[hits], kind="stable")[:k]]
-            top = sorted([*top, *zip(score[hits].tolist(), (hits + b * BLOCK).tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
-        return top
+            step = min(max(24, int(np.searchsorted(-rest, -0.25 * floor)) - done), 2 * step)
+        weak = order[done:]
+        if len(weak):
+            e, of = _ranges(self.block_starts[terms[weak]], self.block_starts[terms[weak] + 1])
+            more = np.bincount(self.block[e], q[weak][of] * self.peak[e], self.blocks)
+            open_ = score + np.repeat(more, BLOCK)[:n] >= floor - 1e-6
+            live = np.zeros(self.blocks, bool)
+            live[np.nonzero(open_)[0] // BLOCK] = True
+            take = live[self.block[e]]
+            score = self._add(score, self.post[e][take], self.post_ends[e][take], q[weak][of[take]])
+            score[~np.repeat(live, BLOCK)[:n]] = 0
+        if without is not None:
+            score[without] = 0
+        score = np.round(score, 6)
+        floor = max(self._kth(score, k), 1e-6)
+        hits = np.nonzero(score >= floor)[0]
+        hits = hits[np.argsort(-score[hits], kind="stable")[:k]]
+        return score[hits], hits
+
+    @staticmethod
+    def _kth(score: np.ndarray, k: int, without: int | None = None) -> float:
+        if without is not None:
+            score = np.delete(score, without)
+        return float(np.partition(score, len(score) - k)[len(score) - k]) if len(score) >= k else 0.0
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, end to end, and the number of the range of each."""
+    n = (hi - lo).astype(np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n), of
 
 
 @dataclass
 class Model:
-    """All that scoring needs, of bounded size: idf of the terms, index of the examples, calibration steps."""
+    """All that scoring needs, of bounded size: keys and weights of the examples' terms, index, calibration steps."""
 
-    idf: np.ndarray
-    index: BlockMaxIndex
+    keys: np.ndarray
+    weights: np.ndarray
+    index: BlockMaxIndex | None
     prior: float
-    steps: tuple[np.ndarray, np.ndarray]
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm else {}
 
-    def vote(self, counts: dict[int, int], without: int | None = None) -> tuple[float, list[tuple[float, int]]]:
-        """Share of toxic neighbours, each weighing by its distance, and the neighbours."""
-        near = self.index.nearest(self.vector(counts), NEIGHBOURS, without)
-        weights = [s * s for s, _ in near]
-        toxic = sum(w for w, (_, at) in zip(weights, near, strict=True) if self.index.labels[at])
-        return (toxic + PRIOR * self.prior) / (sum(weights) + PRIOR), near
+    def vector(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        v = (1 + np.log(n)) * self.weights[ids]
+        return v / max(float(np.sqrt((v * v).sum())), 1e-12)
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        vote, near = self.vote(counts)
-        x, y = self.steps
-        return float(np.interp(vote, x, y)), near
+    def vote(self, ids: np.ndarray, n: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        """Share of toxic neighbours, each weighing by its distance, and the neighbours (cosine, place)."""
+        near, at = self.index.nearest(ids, self.vector(ids, n), NEIGHBOURS, without)
+        w = near * near
+        return float((w @ self.index.labels[at] + PRIOR * self.prior) / (w.sum() + PRIOR)), near, at
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The increasing function nearest to y at x, by pooling, as points to draw lines between."""
+    """The increasing function nearest to y at x, by pooling: the ends of the pools, to draw lines between."""
     order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []  # mean, weight, sum of x
+    pools: list[list[float]] = []  # mean, weight, least and greatest x
     for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([b, 1.0, a])
-        while len(pools) > 1 and (pools[-2][0] >= pools[-1][0] or pools[-2][2] / pools[-2][1] == pools[-1][2] / pools[-1][1]):
-            m, w, s = pools.pop()
+        pools.append([b, 1.0, a, a])
+        while len(pools) > 1 and (pools[-2][0] >= pools[-1][0] or pools[-2][3] == pools[-1][2]):
+            m, w, _, top = pools.pop()
             q = pools[-1]
-            q[0], q[1], q[2] = (q[0] * q[1] + m * w) / (q[1] + w), q[1] + w, q[2] + s
-    return np.array([p[2] / p[1] for p in pools]), np.array([min(max(p[0], 0.0), 1.0) for p in pools])
-
-
-def fit(vocab: Vocabulary, vectors: DataFrame, own: DataFrame, drawn: DataFrame) -> Model:
-    """idf over all documents' vectors; index of the drawn examples (about TRAIN_ROWS), whose vectors are own;
-    calibration on votes that leave the example itself out."""
-    n_docs = max(vectors.count(), 1)
-    df = np.zeros(len(vocab.number))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # MAX_TERMS rows at most
-        df[r["t"]] = r["count"]
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-    rows = own.join(drawn, "id").select("id", "label", "terms", "counts").orderBy("id", "label").toPandas()
-    counts = [dict(zip(t, c, strict=True)) for t, c in zip(rows["terms"], rows["counts"], strict=True)]
-    ids, labels = rows["id"].to_numpy(np.int64), rows["label"].to_numpy(np.int64)
-    bare = np.array([not c for c in counts], bool)
-    prior = (labels[bare].sum() + 0.5) / (bare.sum() + 1) if len(ids) else 0.5
-    model = Model(idf, None, float(prior), (np.array([0.0]), np.array([0.0])))
-    model.index = BlockMaxIndex(ids, labels, [model.vector(c) for c in counts])
-    order = np.argsort(ids, kind="stable").tolist()
-    votes = np.array([model.vote(counts[k], without=at)[0] for at, k in enumerate(order)])
-    if len(votes):
-        model.steps = isotonic(votes, labels[order].astype(float))
-    else:
-        model.steps = np.array([0.0, 1.0]), np.array([prior, prior])
-    return model
+            q[0], q[1], q[3] = (q[0] * q[1] + m * w) / (q[1] + w), q[1] + w, top
+    return np.array([z for p in pools for z in p[2:]]), np.array([min(max(p[0], 0.0), 1.0) for p in pools for _ in (0, 1)])
 
 
 def usable(labels: DataFrame) -> DataFrame:
-    """(id, label) of all labelled documents; equal rows once."""
+    """(id, label) of all labelled documents; of conflicting labels the toxic one."""
     return labels.where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").cast("int").alias("label"))
 
 
-def draw(known: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """A sample by hash of the id, of about rows of the usable labels."""
-    share = min(1.0, rows / max(known.count(), 1))
-    return known.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
+def examples(labelled: DataFrame, rows: int) -> pd.DataFrame:
+    """id, label, terms and counts (as bytes) of the drawn rows, about rows of them, sorted by id."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Terms()
+        for pdf in batches:
+            for at in range(0, len(pdf), 200):
+                part = pdf.iloc[at : at + 200]
+                found = [known.counts(t) for t in part["text"]]
+                yield pd.DataFrame({"id": part["id"], "label": part["label"], "terms": [i.astype(np.uint64).tobytes() for i, _ in found], "counts": [n.astype(np.int32).tobytes() for _, n in found]})
+
+    share = min(1.0, rows / max(labelled.count(), 1))
+    drawn = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    out = drawn.mapInPandas(run, "id long, label int, terms binary, counts binary").toPandas()
+    return out.sort_values(["id", "terms"], kind="stable").reset_index(drop=True)
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(id, score, predicted, evidence), one row for each row of docs.
 
-    labels (id, label 0 or 1; others and nulls are passed over) name the rows to learn from; their texts are in
-    train_docs, by default docs. score is the calibrated share of toxic votes among the NEIGHBOURS labelled examples
-    of highest cosine, predicted is 1 from 0.7 on, evidence lists (example id, cosine, label). Null, empty and
-    termless texts have no neighbours and get the calibrated prior; without labels all get 0.5. Whole texts count.
-    Null ids and repeated rows pass through; other columns are not read.
+def fit(docs: DataFrame, labelled: DataFrame, rows: int) -> tuple[Model, list]:
+    """The model without its calibration, and the examples' (terms, counts).
 
-    Texts are read once, into short vectors over the chosen terms; document frequencies are counted over all of
-    them, and terms are chosen by all labelled rows. The model is bounded by TRAIN_ROWS and MAX_TERMS and goes to the executors as a broadcast variable."""
+    Log odds of terms come from the drawn examples, document frequencies from all docs: each task counts the terms of
+    its texts, and sums are by shuffle. What reaches the driver is bounded by the drawn rows and their terms."""
     spark = docs.sparkSession
-    ship(spark)
-    work = Workspace(spark, "toxicity")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    source = docs if train_docs is None else train_docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = work.write(usable(labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))), "known")
-    drawn = work.write(draw(known, train_rows), "drawn")
-    labelled = work.write(source.join(small(known), "id").dropDuplicates(["id"]).select("text", "label", "id"), "labelled")
-    vocab = choose(labelled)
+    pdf = examples(labelled, rows)
+    ids, labels = pdf["id"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64)
+    own = [np.frombuffer(t, np.uint64) for t in pdf["terms"]]
+    counts = [np.frombuffer(c, np.int32) for c in pdf["counts"]]
+    del pdf
+    keys, cols = np.unique(np.concatenate([*own, np.empty(0, np.uint64)]), return_inverse=True)
+    cols = cols.astype(np.int32)
+    at = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t in own])
+    del own
+    shared = spark.sparkContext.broadcast(keys)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, n = Terms(shared.value), np.zeros(len(shared.value), np.int64)
         for pdf in batches:
-            found = [vocab.counts(t) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "terms": [list(c) for c in found], "counts": [list(c.values()) for c in found]})
+            for t in pdf["text"]:
+                n[known.counts(t)[0]] += 1
+        i = np.nonzero(n)[0]
+        for lo in range(0, len(i), 100_000):
+            yield pd.DataFrame({"i": i[lo : lo + 100_000].astype(np.int32), "n": n[i[lo : lo + 100_000]]})
+
+    total = docs.select("text").mapInPandas(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(len(keys))
+    df[total["i"].to_numpy()] = total["n"].to_numpy()
+    shared.unpersist()
+    share = (labels.sum() + 0.5) / (len(ids) + 1)
+    have = np.bincount(cols, minlength=len(keys))
+    toxic = np.bincount(cols, labels[at], len(keys))
+    odds = np.log((toxic / share + SHRINK) / (have + SHRINK))
+    model = Model(keys, ((np.log((1 + docs.count()) / (1 + df)) + 1) * odds**2).astype(np.float32), None, float(share))
+    ends = np.cumsum([len(c) for c in counts])
+    split = np.split(cols, ends[:-1]) if len(ids) else []
+    vectors = [model.vector(t, n) for t, n in zip(split, counts, strict=True)]
+    model.index = BlockMaxIndex(ids, labels, len(keys), at, cols, np.concatenate([*vectors, np.empty(0)]))
+    return model, list(zip(split, counts, strict=True))
+
+
+def calibrate(spark, model, own: list) -> tuple[np.ndarray, np.ndarray]:
+    """The calibration from votes of the examples, each without itself; a job over their places."""
+    n = len(own)
+    if not n:
+        return np.array([0.0, 1.0]), np.array([0.5, 0.5])
+    rows = spark.createDataFrame(pd.DataFrame({"at": np.arange(n), "t": [t.tobytes() for t, _ in own], "n": [c.tobytes() for _, c in own]}), "at long, t binary, n binary")
 
-    kind = docs.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, terms array<int>, counts array<int>"
-    vectors = work.write(docs.mapInPandas(count, schema), "vectors")
-    own = work.write(labelled.join(small(drawn.select("id")), "id", "left_semi").select("id", "text").mapInPandas(count, schema), "own")
-    model = spark.sparkContext.broadcast(fit(vocab, vectors, own, drawn))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = model.value
+        for pdf in batches:
+            votes = [m.vote(np.frombuffer(t, np.int32), np.frombuffer(c, np.int32), int(at))[0] for at, t, c in pdf.itertuples(index=False)]
+            yield pd.DataFrame({"at": pdf["at"], "vote": votes})
+
+    votes = rows.repartition(max(1, min(64, n // 100)), "at").mapInPandas(run, "at long, vote double").toPandas().sort_values("at")
+    return isotonic(votes["vote"].to_numpy(), model.value.index.labels.astype(float))
+
+
+def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
+    """A function of texts that gives (score, evidence) of each: the fitted and calibrated classifier.
+
+    docs: id, text; labels: id, label. Of an id with several texts each is an example with the id's label."""
+    spark = docs.sparkSession
+    work = Workspace(spark, "toxicity")
+    known = work.write(usable(labels), "known")
+    labelled = work.write(docs.where("text is not null").join(small(known), "id").select("id", "text", "label").distinct(), "labelled")
+    model, own = fit(docs, labelled, train_rows)
+    shared = spark.sparkContext.broadcast(model)
+    steps = calibrate(spark, shared, own)
+    del model, own
+
+    def classify(texts, memory: dict) -> tuple[list[float], list[list[dict]]]:
+        m = shared.value
+        known = memory.setdefault("terms", Terms(m.keys))
+        scores, evidence = [], []
+        for t in texts:
+            vote, near, at = m.vote(*known.counts(t))
+            scores.append(float(np.interp(vote, *steps)))
+            evidence.append([{"id": int(i), "cosine": float(s), "label": int(y)} for i, s, y in zip(m.index.ids[at], near, m.index.labels[at], strict=True)])
+        return scores, evidence
+
+    return classify
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(id, score, predicted, evidence), one row for each row of docs.
+
+    labels (id, label 0 or 1; others and nulls are passed over, of conflicting ones the toxic one holds) name the rows
+    to learn from; their texts are in train_docs, by default docs. score is the calibrated share of toxic votes among
+    the NEIGHBOURS labelled examples of highest cosine, predicted is 1 from 0.7 on, evidence lists (example id, cosine,
+    label). Null, empty and wordless texts have no neighbours and get the score of a vote at the examples' share; without
+    labels all get 0.5. Whole texts and all their terms count; a term that no example has weighs nothing. Null ids and
+    repeated rows pass through; an empty table gives an empty table; other columns are not read.
+
+    Texts are read twice: to count document frequencies, and to score. The model is bounded by train_rows examples and
+    goes to the executors as a broadcast variable."""
+    ship(docs.sparkSession)
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs if train_docs is None else train_docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    classify = trained(source, labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")), train_rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, known = model.value, {}
+        memory: dict = {}
         for pdf in batches:
-            scores, evidence = [], []
-            for t, c in zip(pdf["terms"], pdf["counts"], strict=True):
-                key = tuple(sorted(zip(t.tolist(), c.tolist(), strict=True)))
-                if key not in known:
-                    if len(known) >= KEPT:
-                        known.clear()
-                    s, near = m.score(dict(key))
-                    known[key] = min(max(s, 0.0), 1.0), [{"id": int(m.index.ids[at]), "cosine": x, "label": int(m.index.labels[at])} for x, at in near]
-                scores.append(known[key][0])
-                evidence.append(known[key][1])
+            scores, evidence = classify(pdf["text"], memory)
             yield pd.DataFrame({"id": pdf["id"], "score": scores, "evidence": evidence})
 
-    out = vectors.mapInPandas(run, f"id {kind}, score double, evidence array<struct<id:bigint,cosine:double,label:int>>")
+    kind = docs.schema["id"].dataType.simpleString()
+    out = docs.mapInPandas(run, f"id {kind}, score double, evidence array<struct<id:bigint,cosine:double,label:int>>")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), "evidence")
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, whose text is not predicted toxic."""
-    bad = score(docs, labels, id_col, train_docs=train_docs).where("predicted = 1").select(id_col).distinct()
-    bad = Workspace(docs.sparkSession, "toxicity-bad").write(bad, "bad")
-    return docs.join(small(bad), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_clean(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of docs, all columns, whose text is not predicted toxic; each row is judged by its own text."""
+    ship(docs.sparkSession)
+    source = docs if train_docs is None else train_docs
+    classify = trained(source.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")))
+
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory: dict = {}
+        for batch in batches:
+            scores, _ = classify(batch.column(at).to_pylist(), memory)
+            yield batch.filter(pa.array([s < REJECT for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

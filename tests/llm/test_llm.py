@@ -286,21 +286,6 @@ def test_zip_directories(tmp_path):
     assert gzip.decompress(gzip.compress(b"a", 1, mtime=0)) == b"a"
 
 
-def test_nearest_is_exact():
-    rng = np.random.default_rng(4)
-    vectors = []
-    for _ in range(700):
-        v = {int(t): float(rng.integers(1, 4)) for t in rng.choice(60, 4, replace=False)}
-        n = sum(x * x for x in v.values()) ** 0.5
-        vectors.append({t: x / n for t, x in v.items()})
-    index = toxicity.BlockMaxIndex(np.arange(700), np.zeros(700, int), vectors)
-    for q in vectors[:60]:
-        want = sorted(((round(sum(w * v.get(t, 0) for t, w in q.items()), 9), i) for i, v in enumerate(vectors)), key=lambda x: (-x[0], x[1]))[:15]
-        got = index.nearest(q, 15)
-        assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=1e-9)
-        assert {i for s, i in got if s > want[-1][0] + 1e-9} == {i for s, i in want if s > want[-1][0] + 1e-9}
-
-
 def test_toxicity(spark):
     rng = random.Random(2)
     bad = ("vile", "scumbag", "idiotic")
