@@ -81,40 +81,38 @@ class Terms:
 class BlockMaxIndex:
     """Inverted lists of unit vectors, in blocks of examples; a block's largest weight of a term bounds its part.
 
-    Examples are rows (sorted by id), terms are numbers; rows, cols, weights: the entries of all vectors."""
+    Examples are rows, sorted by id; terms are numbers, each of at least one row. rows, cols, weights: the entries of
+    all vectors, sorted by col and row."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, n_terms: int, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray):
         self.ids, self.labels = ids, labels
-        order = np.argsort(cols.astype(np.int64) * max(len(ids), 1) + rows)
-        rows, cols, weights = rows[order], cols[order], weights[order].astype(np.float32)
-        self.rows, self.weights = rows.astype(np.uint16 if len(ids) < 1 << 16 else np.int32), weights
+        self.rows, self.weights = rows.astype(np.uint16 if len(ids) < 1 << 16 else np.int32), weights.astype(np.float32)
         self.starts = np.searchsorted(cols, np.arange(n_terms + 1)).astype(np.int32)
         self.size = np.diff(self.starts)
-        self.most = np.zeros(n_terms, np.float32)
-        np.maximum.at(self.most, cols, weights)
+        self.most = np.maximum.reduceat(self.weights, self.starts[:-1]) if n_terms else np.empty(0, np.float32)
         # blocks of the terms that are not rare: number, first posting, largest weight
-        block = rows // BLOCK
+        block = (self.rows // BLOCK).astype(np.uint16)
         first = np.ones(len(cols), bool)
         first[1:] = (cols[1:] != cols[:-1]) | (block[1:] != block[:-1])
-        first &= self.size[cols] > RARE
+        first &= np.repeat(self.size > RARE, self.size)
         at = np.nonzero(first)[0]
-        self.block, self.post = block[at].astype(np.uint16), at.astype(np.int32)
+        self.block, self.post = block[at], at.astype(np.int32)
         self.block_starts = np.searchsorted(cols[at], np.arange(n_terms + 1)).astype(np.int32)
         ends = np.minimum(np.append(at[1:], len(cols)), self.starts[cols[at] + 1]) if len(at) else at
         self.post_ends = ends.astype(np.int32)
-        self.peak = np.maximum.reduceat(weights, at) if len(at) else np.empty(0, np.float32)
+        self.peak = np.maximum.reduceat(self.weights, at) if len(at) else np.empty(0, np.float32)
         if len(at):  # reduceat runs on to the next block's start, over rare terms in between
             loose = np.nonzero(ends != np.append(at[1:], len(cols)))[0]
             for k in loose.tolist():
-                self.peak[k] = weights[at[k] : ends[k]].max()
+                self.peak[k] = self.weights[at[k] : ends[k]].max()
         self.blocks = -(-len(ids) // BLOCK)
 
     def _add(self, score: np.ndarray, lo: np.ndarray, hi: np.ndarray, q: np.ndarray) -> np.ndarray:
         at, of = _ranges(lo, hi)
         return score + np.bincount(self.rows[at], q[of] * self.weights[at], len(score)) if len(at) else score
 
-    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and places of the k best over 0, exactly; ties (to six digits) go to the smaller id.
+    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, without: slice | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and places of the k best over 0, exactly; ties (to six digits) go to the smaller id. without: places left out.
 
         terms, q: numbers and weights of the query's unit vector. Rare and heavy terms are added up first, until what the
         others can add is small against the k-th score; the blocks' largest weights then rule out most examples,
@@ -157,9 +155,10 @@ class BlockMaxIndex:
         return score[hits], hits
 
     @staticmethod
-    def _kth(score: np.ndarray, k: int, without: int | None = None) -> float:
+    def _kth(score: np.ndarray, k: int, without: slice | None = None) -> float:
         if without is not None:
-            score = np.delete(score, without)
+            score = score.copy()
+            score[without] = 0
         return float(np.partition(score, len(score) - k)[len(score) - k]) if len(score) >= k else 0.0
 
 
@@ -183,7 +182,7 @@ class Model:
         v = (1 + np.log(n)) * self.weights[ids]
         return v / max(float(np.sqrt((v * v).sum())), 1e-12)
 
-    def vote(self, ids: np.ndarray, n: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, ids: np.ndarray, n: np.ndarray, without: slice | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         """Share of toxic neighbours, each weighing by its distance, and the neighbours (cosine, place)."""
         near, at = self.index.nearest(ids, self.vector(ids, n), NEIGHBOURS, without)
         w = near * near
@@ -208,38 +207,47 @@ def usable(labels: DataFrame) -> DataFrame:
     return labels.where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").cast("int").alias("label"))
 
 
-def examples(labelled: DataFrame, rows: int) -> pd.DataFrame:
-    """id, label, terms and counts (as bytes) of the drawn rows, about rows of them, sorted by id."""
+def draw(labelled: DataFrame, rows: int) -> DataFrame:
+    """About rows of the labelled rows, by hash of id and text."""
+    share = min(1.0, rows / max(labelled.count(), 1))
+    return labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def entries(drawn: DataFrame):
+    """ids and labels of the examples, sorted by id, and their terms end to end: keys, 1 + log of the counts, numbers of terms."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Terms()
         for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at : at + 200]
+            for at in range(0, len(pdf), 100):
+                part = pdf.iloc[at : at + 100]
                 found = [known.counts(t) for t in part["text"]]
-                yield pd.DataFrame({"id": part["id"], "label": part["label"], "terms": [i.astype(np.uint64).tobytes() for i, _ in found], "counts": [n.astype(np.int32).tobytes() for _, n in found]})
+                yield pd.DataFrame({"id": part["id"], "label": part["label"], "terms": [i.astype(np.uint64).tobytes() for i, _ in found], "tf": [(1 + np.log(n)).astype(np.float32).tobytes() for _, n in found]})
 
-    share = min(1.0, rows / max(labelled.count(), 1))
-    drawn = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    out = drawn.mapInPandas(run, "id long, label int, terms binary, counts binary").toPandas()
-    return out.sort_values(["id", "terms"], kind="stable").reset_index(drop=True)
+    pdf = drawn.mapInPandas(run, "id long, label int, terms binary, tf binary").toPandas().sort_values(["id", "terms"], kind="stable")
+    ids, labels = pdf["id"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64)
+    sizes = pdf["terms"].map(len).to_numpy(np.int64) // 8
+    tf = np.frombuffer(b"".join(pdf["tf"]), np.float32)
+    pdf = pdf["terms"]
+    return ids, labels, np.frombuffer(b"".join(pdf), np.uint64), tf, sizes
 
 
-def fit(docs: DataFrame, labelled: DataFrame, rows: int) -> tuple[Model, list]:
-    """The model without its calibration, and the examples' (terms, counts).
+def fit(docs: DataFrame, drawn: DataFrame) -> Model:
+    """The model without its calibration.
 
     Log odds of terms come from the drawn examples, document frequencies from all docs: each task counts the terms of
     its texts, and sums are by shuffle. What reaches the driver is bounded by the drawn rows and their terms."""
     spark = docs.sparkSession
-    pdf = examples(labelled, rows)
-    ids, labels = pdf["id"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64)
-    own = [np.frombuffer(t, np.uint64) for t in pdf["terms"]]
-    counts = [np.frombuffer(c, np.int32) for c in pdf["counts"]]
-    del pdf
-    keys, cols = np.unique(np.concatenate([*own, np.empty(0, np.uint64)]), return_inverse=True)
-    cols = cols.astype(np.int32)
-    at = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t in own])
-    del own
+    ids, labels, keys, tf, sizes = entries(drawn)
+    order = np.argsort(keys, kind="stable")
+    rows = np.repeat(np.arange(len(ids), dtype=np.uint16 if len(ids) < 1 << 16 else np.int32), sizes)[order]
+    tf = tf[order]
+    keys = keys[order]
+    del order
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    cols = (np.cumsum(first, dtype=np.int32) - 1).astype(np.int32)
+    keys = keys[first].copy()
     shared = spark.sparkContext.broadcast(keys)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,34 +262,33 @@ def fit(docs: DataFrame, labelled: DataFrame, rows: int) -> tuple[Model, list]:
     total = docs.select("text").mapInPandas(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(len(keys))
     df[total["i"].to_numpy()] = total["n"].to_numpy()
-    shared.unpersist()
+    del total
     share = (labels.sum() + 0.5) / (len(ids) + 1)
     have = np.bincount(cols, minlength=len(keys))
-    toxic = np.bincount(cols, labels[at], len(keys))
+    toxic = np.bincount(cols[labels[rows] == 1], minlength=len(keys))
     odds = np.log((toxic / share + SHRINK) / (have + SHRINK))
-    model = Model(keys, ((np.log((1 + docs.count()) / (1 + df)) + 1) * odds**2).astype(np.float32), None, float(share))
-    ends = np.cumsum([len(c) for c in counts])
-    split = np.split(cols, ends[:-1]) if len(ids) else []
-    vectors = [model.vector(t, n) for t, n in zip(split, counts, strict=True)]
-    model.index = BlockMaxIndex(ids, labels, len(keys), at, cols, np.concatenate([*vectors, np.empty(0)]))
-    return model, list(zip(split, counts, strict=True))
-
-
-def calibrate(spark, model, own: list) -> tuple[np.ndarray, np.ndarray]:
-    """The calibration from votes of the examples, each without itself; a job over their places."""
-    n = len(own)
-    if not n:
-        return np.array([0.0, 1.0]), np.array([0.5, 0.5])
-    rows = spark.createDataFrame(pd.DataFrame({"at": np.arange(n), "t": [t.tobytes() for t, _ in own], "n": [c.tobytes() for _, c in own]}), "at long, t binary, n binary")
+    weights = ((np.log((1 + docs.count()) / (1 + df)) + 1) * odds**2).astype(np.float32)
+    tf = tf * weights[cols]
+    norm = np.sqrt(np.bincount(rows, tf * tf, len(ids)))
+    tf = tf / np.maximum(norm, 1e-12).astype(np.float32)[rows]
+    shared.unpersist()
+    return Model(keys, weights, BlockMaxIndex(ids, labels, len(keys), rows, cols, tf), float(share))
+
+
+def calibrate(drawn: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
+    """The calibration from votes of the examples, each without those of its own id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
+        known = Terms(m.keys)
         for pdf in batches:
-            votes = [m.vote(np.frombuffer(t, np.int32), np.frombuffer(c, np.int32), int(at))[0] for at, t, c in pdf.itertuples(index=False)]
-            yield pd.DataFrame({"at": pdf["at"], "vote": votes})
+            own = [slice(*np.searchsorted(m.index.ids, [i, i + 1]).tolist()) for i in pdf["id"]]
+            yield pd.DataFrame({"vote": [m.vote(*known.counts(t), s)[0] for t, s in zip(pdf["text"], own, strict=True)], "label": pdf["label"]})
 
-    votes = rows.repartition(max(1, min(64, n // 100)), "at").mapInPandas(run, "at long, vote double").toPandas().sort_values("at")
-    return isotonic(votes["vote"].to_numpy(), model.value.index.labels.astype(float))
+    votes = drawn.mapInPandas(run, "vote double, label double").toPandas().sort_values(["vote", "label"])
+    if votes.empty:
+        return np.array([0.0, 1.0]), np.array([0.5, 0.5])
+    return isotonic(votes["vote"].to_numpy(), votes["label"].to_numpy())
 
 
 def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
@@ -292,10 +299,9 @@ def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
     work = Workspace(spark, "toxicity")
     known = work.write(usable(labels), "known")
     labelled = work.write(docs.where("text is not null").join(small(known), "id").select("id", "text", "label").distinct(), "labelled")
-    model, own = fit(docs, labelled, train_rows)
-    shared = spark.sparkContext.broadcast(model)
-    steps = calibrate(spark, shared, own)
-    del model, own
+    drawn = work.write(draw(labelled, train_rows).repartition(64, "id"), "drawn")
+    shared = spark.sparkContext.broadcast(fit(docs, drawn))
+    steps = calibrate(drawn, shared)
 
     def classify(texts, memory: dict) -> tuple[list[float], list[list[dict]]]:
         m = shared.value
