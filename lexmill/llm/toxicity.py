@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,28 +20,27 @@ from lexmill.llm.common import Workspace, fold, ship, small, table
 #: The classifier is fitted on this many labelled rows at most, drawn by hash of id and text from all labelled rows.
 TRAIN_ROWS = 12_000
 #: Terms are words and their beginnings of these lengths.
-PREFIX = (3, 4, 5, 6, 8)
+PREFIX = (3, 4, 6)
 #: A term's weight is its idf times the square of its log odds of a toxic row, as if SHRINK more rows had the term at
 #: the odds of all rows. Common terms weigh little by it, but every term of every text counts.
 SHRINK = 10.0
 #: Neighbours that vote, and examples in a block of the lists.
-NEIGHBOURS, BLOCK = 25, 128
+NEIGHBOURS, BLOCK = 20, 128
 #: Terms of so few examples have no blocks: their lists are read at once.
 RARE = 4
 #: Votes of weight PRIOR for the share of toxic rows among the examples.
 PRIOR = 1e-3
 REJECT = 0.7
 #: Words whose terms a task remembers.
-KEPT_WORDS = 60_000
+KEPT_WORDS = 150_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(word: str) -> list[int]:
     """The 64-bit keys of a lower-cased word and, marked by *, of its beginnings."""
-    out = [xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))]
-    out += [xxhash.xxh64_intdigest((word[:k] + "*").encode("utf-8", "surrogatepass")) for k in PREFIX if len(word) > k]
-    return out
+    key = xxhash.xxh64_intdigest
+    return [key(word.encode("utf-8", "surrogatepass"))] + [key(f"{word[:k]}*".encode("utf-8", "surrogatepass")) for k in PREFIX if len(word) > k]
 
 
 class Terms:
@@ -48,34 +48,59 @@ class Terms:
 
     def __init__(self, keys: np.ndarray | None = None):
         self.keys = keys
-        self.known: dict[str, np.ndarray] = {}
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct terms of the whole text, sorted, and how often each occurs."""
+        self.rows: dict[str, int] = {}  # of known words
+        self.table = np.zeros((0, 1 + len(PREFIX)), np.uint64 if keys is None else np.int32)  # their terms
+        self.valid = np.zeros((0, 1 + len(PREFIX)), bool)
+
+    def learn(self, new: list[str]) -> None:
+        parts = [terms(w) for w in new]
+        n = np.array([len(p) for p in parts])
+        valid = np.arange(1 + len(PREFIX)) < n[:, None]
+        found = np.array([k for p in parts for k in p], np.uint64)
+        if self.keys is not None:
+            at = np.minimum(np.searchsorted(self.keys, found), max(len(self.keys) - 1, 0))
+            hit = self.keys[at] == found if len(self.keys) else np.zeros(len(found), bool)
+            found = np.where(hit, at, 0)
+        else:
+            hit = np.ones(len(found), bool)
+        rows, known = np.zeros(valid.shape, self.table.dtype), np.zeros(valid.shape, bool)
+        rows[valid], known[valid] = found, hit
+        base = len(self.rows)
+        while len(self.table) < base + len(new):
+            room = np.zeros((max(4096, len(self.table)), self.table.shape[1]), self.table.dtype)
+            self.table, self.valid = np.concatenate([self.table, room]), np.concatenate([self.valid, room != 0])
+        self.table[base : base + len(new)], self.valid[base : base + len(new)] = rows, known
+        self.rows.update(zip(new, range(base, base + len(new)), strict=True))
+
+    def _of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the text's distinct words in the table, and how often each occurs."""
         words = Counter(_WORD.findall(text.lower())) if isinstance(text, str) else {}
-        if not words:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        known = self.known
-        new = [w for w in words if w not in known]
+        new = [w for w in words if w not in self.rows]
         if new:
-            if len(known) + len(new) > KEPT_WORDS:
-                known.clear()
+            if len(self.rows) + len(new) > KEPT_WORDS:
+                self.rows.clear()
                 new = list(words)
-            parts = [terms(w) for w in new]
-            keys = np.array([k for p in parts for k in p], np.uint64)
-            ends = np.cumsum([len(p) for p in parts])
-            if self.keys is not None:
-                at = np.searchsorted(self.keys, keys)
-                hit = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
-                ends = np.concatenate([[0], np.cumsum(hit)])[ends]
-                keys = at[hit]
-            for w, ids in zip(new, np.split(keys, ends[:-1]), strict=True):
-                known[w] = ids.copy()
-        found = [known[w] for w in words]
-        ids = np.concatenate(found)
-        n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) for x in found])
-        ids, at = np.unique(ids, return_inverse=True)
-        return ids, np.bincount(at, n, len(ids)).astype(np.int64)
+            self.learn(new)
+        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        return self.table[at], self.valid[at], np.fromiter(words.values(), np.int64, len(words))
+
+    def distinct(self, text: str | None) -> np.ndarray:
+        """The distinct terms of the whole text, sorted."""
+        table, valid, _ = self._of(text)
+        ids = np.sort(table[valid])
+        return ids[np.append(True, ids[1:] != ids[:-1])] if len(ids) else ids
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct terms of the whole text, sorted, and how often each occurs."""
+        table, valid, n = self._of(text)
+        ids = table[valid]
+        if not len(ids):
+            return ids, np.empty(0, np.int64)
+        n = np.broadcast_to(n[:, None], valid.shape)[valid]
+        order = np.argsort(ids)
+        ids = ids[order]
+        first = np.nonzero(np.append(True, ids[1:] != ids[:-1]))[0]
+        return ids[first], np.add.reduceat(n[order], first)
 
 
 class BlockMaxIndex:
@@ -224,12 +249,10 @@ def entries(drawn: DataFrame):
                 found = [known.counts(t) for t in part["text"]]
                 yield pd.DataFrame({"id": part["id"], "label": part["label"], "terms": [i.astype(np.uint64).tobytes() for i, _ in found], "tf": [(1 + np.log(n)).astype(np.float32).tobytes() for _, n in found]})
 
-    pdf = drawn.mapInPandas(run, "id long, label int, terms binary, tf binary").toPandas().sort_values(["id", "terms"], kind="stable")
-    ids, labels = pdf["id"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64)
-    sizes = pdf["terms"].map(len).to_numpy(np.int64) // 8
-    tf = np.frombuffer(b"".join(pdf["tf"]), np.float32)
-    pdf = pdf["terms"]
-    return ids, labels, np.frombuffer(b"".join(pdf), np.uint64), tf, sizes
+    found = drawn.orderBy("id", F.xxhash64("text")).mapInPandas(run, "id long, label int, terms binary, tf binary").toArrow()
+    flat = [np.frombuffer(c.buffers()[2] or b"", t)for c, t in ((found["terms"].combine_chunks(), np.uint64), (found["tf"].combine_chunks(), np.float32))]
+    sizes = pc.binary_length(found["terms"]).to_numpy().astype(np.int64) // 8
+    return found["id"].to_numpy(), found["label"].to_numpy().astype(np.int64), flat[0][: sizes.sum()], flat[1][: sizes.sum()], sizes
 
 
 def fit(docs: DataFrame, drawn: DataFrame) -> Model:
@@ -254,7 +277,7 @@ def fit(docs: DataFrame, drawn: DataFrame) -> Model:
         known, n = Terms(shared.value), np.zeros(len(shared.value), np.int64)
         for pdf in batches:
             for t in pdf["text"]:
-                n[known.counts(t)[0]] += 1
+                n[known.distinct(t)] += 1
         i = np.nonzero(n)[0]
         for lo in range(0, len(i), 100_000):
             yield pd.DataFrame({"i": i[lo : lo + 100_000].astype(np.int32), "n": n[i[lo : lo + 100_000]]})

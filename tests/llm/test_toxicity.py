@@ -72,7 +72,7 @@ def test_scores_brute_force(spark):
     vectors = [vector(c) for c in counts]
 
     def vote(i, without=None):
-        near = sorted(((-round(sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), 6), j) for j in labels if j != without))[:25]
+        near = sorted(((-round(sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), 6), j) for j in labels if j != without))[:20]
         w = [(s * s, labels[j]) for s, j in near if s < 0]
         return (sum(s * y for s, y in w) + 1e-3 * share) / (sum(s for s, _ in w) + 1e-3)
 
