@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import Workspace, fold, ship, small, table
 
 #: The classifier is fitted on this many labelled rows at most, drawn by hash of id and text from all labelled rows.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 #: Terms are words and their beginnings of these lengths.
 PREFIX = (3, 4, 6)
 #: A term's weight is its idf times the square of its log odds of a toxic row, as if SHRINK more rows had the term at
@@ -113,23 +113,17 @@ class BlockMaxIndex:
         self.ids, self.labels = ids, labels
         self.rows, self.weights = rows.astype(np.uint16 if len(ids) < 1 << 16 else np.int32), weights.astype(np.float32)
         self.starts = np.searchsorted(cols, np.arange(n_terms + 1)).astype(np.int32)
-        self.size = np.diff(self.starts)
-        self.most = np.maximum.reduceat(self.weights, self.starts[:-1]) if n_terms else np.empty(0, np.float32)
-        # blocks of the terms that are not rare: number, first posting, largest weight
-        block = (self.rows // BLOCK).astype(np.uint16)
-        first = np.ones(len(cols), bool)
-        first[1:] = (cols[1:] != cols[:-1]) | (block[1:] != block[:-1])
-        first &= np.repeat(self.size > RARE, self.size)
-        at = np.nonzero(first)[0]
-        self.block, self.post = block[at], at.astype(np.int32)
-        self.block_starts = np.searchsorted(cols[at], np.arange(n_terms + 1)).astype(np.int32)
-        ends = np.minimum(np.append(at[1:], len(cols)), self.starts[cols[at] + 1]) if len(at) else at
-        self.post_ends = ends.astype(np.int32)
-        self.peak = np.maximum.reduceat(self.weights, at) if len(at) else np.empty(0, np.float32)
-        if len(at):  # reduceat runs on to the next block's start, over rare terms in between
-            loose = np.nonzero(ends != np.append(at[1:], len(cols)))[0]
-            for k in loose.tolist():
-                self.peak[k] = self.weights[at[k] : ends[k]].max()
+        size = np.diff(self.starts)
+        # blocks of the terms that are not rare: number, first posting, postings, largest weight
+        self.common = np.nonzero(size > RARE)[0].astype(np.int32)
+        mine = np.nonzero(np.repeat(size > RARE, size))[0]
+        term, block = cols[mine], (self.rows[mine] // BLOCK).astype(np.uint16)
+        first = np.nonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])))[0] if len(mine) else mine
+        self.block, self.post = block[first], mine[first].astype(np.int32)
+        self.count = np.diff(np.append(first, len(mine))).astype(np.uint8 if BLOCK < 256 else np.int32)
+        self.peak = np.maximum.reduceat(self.weights[mine], first) if len(mine) else np.empty(0, np.float32)
+        self.block_starts = np.searchsorted(term[first], np.append(self.common, n_terms)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.peak, self.block_starts[:-1]) if len(mine) else np.empty(0, np.float32)
         self.blocks = -(-len(ids) // BLOCK)
 
     def _add(self, score: np.ndarray, lo: np.ndarray, hi: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -147,10 +141,12 @@ class BlockMaxIndex:
         if not len(terms) or not n:
             return np.empty(0), np.empty(0, np.int64)
         lo, hi = self.starts[terms], self.starts[terms + 1]
-        rare = self.size[terms] <= RARE
+        rare = hi - lo <= RARE
         score = self._add(score, lo[rare], hi[rare], q[rare])
-        impact = np.where(rare, 0.0, q * self.most[terms])
-        order = np.argsort(-impact, kind="stable")[: int((~rare).sum())]
+        at = np.searchsorted(self.common, terms[~rare])
+        lo, hi, q = lo[~rare], hi[~rare], q[~rare]
+        impact = q * self.most[at]
+        order = np.argsort(-impact, kind="stable")
         rest = np.append(np.cumsum(impact[order][::-1])[::-1], 0.0)
         done, step, floor = 0, 24, 0.0
         while done < len(order):
@@ -163,13 +159,14 @@ class BlockMaxIndex:
             step = min(max(24, int(np.searchsorted(-rest, -0.25 * floor)) - done), 2 * step)
         weak = order[done:]
         if len(weak):
-            e, of = _ranges(self.block_starts[terms[weak]], self.block_starts[terms[weak] + 1])
+            e, of = _ranges(self.block_starts[at[weak]], self.block_starts[at[weak] + 1])
             more = np.bincount(self.block[e], q[weak][of] * self.peak[e], self.blocks)
             open_ = score + np.repeat(more, BLOCK)[:n] >= floor - 1e-6
             live = np.zeros(self.blocks, bool)
             live[np.nonzero(open_)[0] // BLOCK] = True
             take = live[self.block[e]]
-            score = self._add(score, self.post[e][take], self.post_ends[e][take], q[weak][of[take]])
+            first = self.post[e][take]
+            score = self._add(score, first, first + self.count[e][take], q[weak][of[take]])
             score[~np.repeat(live, BLOCK)[:n]] = 0
         if without is not None:
             score[without] = 0
@@ -235,7 +232,7 @@ def usable(labels: DataFrame) -> DataFrame:
 def draw(labelled: DataFrame, rows: int) -> DataFrame:
     """About rows of the labelled rows, by hash of id and text."""
     share = min(1.0, rows / max(labelled.count(), 1))
-    return labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return labelled.where(F.pmod(F.xxhash64("id", "mark"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
 def entries(drawn: DataFrame):
@@ -249,7 +246,8 @@ def entries(drawn: DataFrame):
                 found = [known.counts(t) for t in part["text"]]
                 yield pd.DataFrame({"id": part["id"], "label": part["label"], "terms": [i.astype(np.uint64).tobytes() for i, _ in found], "tf": [(1 + np.log(n)).astype(np.float32).tobytes() for _, n in found]})
 
-    found = drawn.orderBy("id", F.xxhash64("text")).mapInPandas(run, "id long, label int, terms binary, tf binary").toArrow()
+    found = drawn.mapInPandas(run, "id long, label int, terms binary, tf binary").toArrow()
+    found = found.take(pc.sort_indices(found["id"]))
     flat = [np.frombuffer(c.buffers()[2] or b"", t)for c, t in ((found["terms"].combine_chunks(), np.uint64), (found["tf"].combine_chunks(), np.float32))]
     sizes = pc.binary_length(found["terms"]).to_numpy().astype(np.int64) // 8
     return found["id"].to_numpy(), found["label"].to_numpy().astype(np.int64), flat[0][: sizes.sum()], flat[1][: sizes.sum()], sizes
@@ -321,8 +319,8 @@ def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
     spark = docs.sparkSession
     work = Workspace(spark, "toxicity")
     known = work.write(usable(labels), "known")
-    labelled = work.write(docs.where("text is not null").join(small(known), "id").select("id", "text", "label").distinct(), "labelled")
-    drawn = work.write(draw(labelled, train_rows).repartition(64, "id"), "drawn")
+    labelled = docs.where("text is not null").join(small(known), "id").select("id", "text", "label", F.xxhash64("text").alias("mark"))
+    drawn = work.write(draw(labelled, train_rows).dropDuplicates(["id", "mark"]).repartition(32, "id"), "drawn")
     shared = spark.sparkContext.broadcast(fit(docs, drawn))
     steps = calibrate(drawn, shared)
 
