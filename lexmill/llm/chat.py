@@ -19,9 +19,10 @@ from lexmill.llm.common import ship, table
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's words are cut (a fixed value of the public byte-level vocabulary).
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: White space beyond this many signs in a row is encoded in parts, as the cut would backtrack over all of it.
-SPACES = 1000
-_SPACES = re.compile(rf"(\s{{{SPACES},}})")
+#: Runs of white space (Unicode's, a fixed value) of this many signs are cut out before the pattern sees them, where it
+#: would cut itself: it would run out of stack over some million of them.
+SPACES = 100_000
+_SPACES = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{SPACES},}}")
 #: Rows that are held decoded at a time.
 CHUNK = 1000
 #: The template's own marks, in the order of their reserved ids behind the tokenizer's vocabulary.
@@ -57,11 +58,16 @@ def tokenizer(path: str):
 
 
 def encode(tok, s: str) -> np.ndarray:
-    """Ids of a content; decode() undoes it for any text."""
-    if len(s) < SPACES:
-        return tok.encode_to_numpy(s, disallowed_special=()).astype(np.int32)
-    parts = [p[i : i + SPACES] if k % 2 else p for k, p in enumerate(_SPACES.split(s)) for i in (range(0, len(p), SPACES) if k % 2 else (0,))]
-    return np.concatenate([tok.encode_to_numpy(p, disallowed_special=()) for p in parts]).astype(np.int32)
+    """Ids of a content; decode() undoes it for any text.
+
+    The pattern takes all of a run of white space before a word but its last sign as one piece, and a run at the end
+    whole: long runs are handed over as such pieces, so ids are those of the undivided text."""
+    parts, at = [], 0
+    for m in _SPACES.finditer(s) if len(s) >= SPACES else ():
+        if m.end() < len(s):
+            parts += [s[at : m.start()], s[m.start() : m.end() - 1]]
+            at = m.end() - 1
+    return np.concatenate([tok.encode_to_numpy(p, disallowed_special=()) for p in [*parts, s[at:]]]).astype(np.int32)
 
 
 def decode(tok, ids: np.ndarray) -> str:
@@ -69,17 +75,16 @@ def decode(tok, ids: np.ndarray) -> str:
 
 
 def format_turns(turns: DataFrame, path: str = DEFAULT_TOKENIZER, learn: tuple[str, ...] = ("assistant",), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row for each turn: conv, place (from 0), ids, text_from, text_to, in_loss, start, start_chars.
+    """One row for each turn: conv, turn, tie, ids, text_from, text_to, in_loss, n_tokens, chars.
 
     ids are the tokens of the turn: TURN, the role's, TEXT, the text's, END, where the marks are reserved ids behind
     the vocabulary and content is encoded by itself, so no content can make or swallow a mark. Tokens
-    [text_from, text_to) are content of the turn, and in_loss says whether they count; start and start_chars are
-    prefix sums: the turn's first token and character in its conversation. render() adds the same as text.
-    Turns are ordered by turn, role and text. Null role and text count as empty, and a null conversation id is a
-    conversation of its own; repeated rows stay. Other columns are not read; no rows give no rows.
+    [text_from, text_to), sums of the lengths of the segments before them, are content of the turn, and in_loss says
+    whether they count; mask() spells that out. Turns of a conversation are ordered by turn, and turns of one number
+    by tie, a hash of role and text. Null role and text count as empty, and a null conversation id is a conversation
+    of its own; repeated rows stay. Other columns are not read; no rows give no rows.
 
-    Segments are encoded row by row; only lengths take part in the windows, whose sums are kept while rows stream
-    by, so that one conversation may be of any length."""
+    Segments are encoded row by row, without any exchange; place() and render() add places and text."""
     ship(turns.sparkSession)
     fixed = sum(map(len, MARKS))
 
@@ -91,25 +96,40 @@ def format_turns(turns: DataFrame, path: str = DEFAULT_TOKENIZER, learn: tuple[s
                 pdf = batch.iloc[at : at + CHUNK]
                 roles, texts = [escape(r) for r in pdf["role"]], [escape(t) for t in pdf["text"]]
                 a, b = [encode(tok, r) for r in roles], [encode(tok, t) for t in texts]
-                segments = np.array([[1 + len(x), 1, len(y)] for x, y in zip(a, b, strict=True)]).cumsum(axis=1)
+                segments = np.array([[1 + len(x), 1, len(y), 1] for x, y in zip(a, b, strict=True)]).cumsum(axis=1)
                 yield pd.DataFrame({
                     "conv": pdf["conv"], "turn": pdf["turn"], "tie": pdf["tie"],
                     "ids": [np.concatenate([turn, x, text, y, end]) for x, y in zip(a, b, strict=True)],
-                    "text_from": segments[:, 1], "text_to": segments[:, 2], "in_loss": pdf["role"].isin(learn),
+                    "text_from": segments[:, 1], "text_to": segments[:, 2], "in_loss": pdf["role"].isin(learn), "n_tokens": segments[:, 3],
                     "chars": [fixed + len(r) + len(t) for r, t in zip(roles, texts, strict=True)],
                 })
 
     inner = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     inner = inner.withColumn("tie", F.xxhash64("role", "text"))
     kinds = {f.name: f.dataType.simpleString() for f in inner.schema.fields}
-    out = inner.mapInPandas(run, f"conv {kinds['conv']}, turn {kinds['turn']}, tie bigint, ids array<int>, text_from int, text_to int, in_loss boolean, chars long")
-    order = Window.partitionBy("conv").orderBy("turn", "tie")
+    out = inner.mapInPandas(run, f"conv {kinds['conv']}, turn {kinds['turn']}, tie bigint, ids array<int>, text_from int, text_to int, in_loss boolean, n_tokens long, chars long")
+    return out.withColumnRenamed("conv", conv_col)
+
+
+def place(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """Adds place (from 0), start and start_chars: prefix sums over the turns before, the turn's first token and
+    character in its conversation."""
+    order = Window.partitionBy(conv_col).orderBy("turn", "tie")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return out.select(
-        "conv", (F.row_number().over(order) - 1).alias("place"), "ids", "text_from", "text_to", "in_loss",
-        F.coalesce(F.sum(F.size("ids").cast("long")).over(before), F.lit(0)).cast("long").alias("start"),
-        F.coalesce(F.sum("chars").over(before), F.lit(0)).cast("long").alias("start_chars"),
-    ).withColumnRenamed("conv", conv_col)
+    return formatted.withColumns({
+        "place": F.row_number().over(order) - 1,
+        "start": F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"),
+        "start_chars": F.coalesce(F.sum("chars").over(before), F.lit(0)).cast("long"),
+    })
+
+
+def loss_mask(n: int, lo: int, hi: int, in_loss: bool) -> np.ndarray:
+    """0 or 1 for each of n tokens: the running sum of +1 where counted content begins and -1 behind its end."""
+    step = np.zeros(n + 1, np.int8)
+    if in_loss:
+        step[lo] += 1
+        step[hi] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8)
 
 
 def _spell(tok, ids: np.ndarray) -> list[str]:
@@ -133,15 +153,20 @@ def render(out: DataFrame, path: str = DEFAULT_TOKENIZER) -> DataFrame:
 
 
 def mask(out: DataFrame) -> DataFrame:
-    """Adds loss_mask: 0 or 1 for each token, from the running count of the segment's ends passed."""
-    inside = F.transform(F.col("ids"), lambda _, i: ((i >= F.col("text_from")) & (i < F.col("text_to")) & F.col("in_loss")).cast("tinyint"))
-    return out.withColumn("loss_mask", inside)
+    """Adds loss_mask: loss_mask() of each turn's tokens."""
+
+    @F.pandas_udf("array<tinyint>")
+    def masks(n: pd.Series, lo: pd.Series, hi: pd.Series, in_loss: pd.Series) -> pd.Series:
+        return pd.Series([loss_mask(*x) for x in zip(n, lo, hi, in_loss, strict=True)], dtype=object)
+
+    return out.withColumn("loss_mask", masks("n_tokens", "text_from", "text_to", "in_loss"))
 
 
 def digests(formatted: DataFrame, path: str = DEFAULT_TOKENIZER, conv_col: str = "conv_id") -> DataFrame:
     """Read conversations back from their tokens: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    Turns stream through in order with two hash states for each conversation, never gathered."""
+    What is learned are the tokens under the loss mask. Turns stream through in order with two hash states for each
+    conversation, never gathered: a hash of texts in order needs one task for a conversation, of whatever length."""
     kind = formatted.schema[conv_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,7 +192,7 @@ def digests(formatted: DataFrame, path: str = DEFAULT_TOKENIZER, conv_col: str =
                 now[1] += 1
                 now[2].update(f"{unescape(role)}\n{unescape(text)}\n".encode("utf-8", "surrogatepass"))
                 if in_loss:
-                    learned = unescape(decode(tok, ids[lo:hi]))
+                    learned = unescape(decode(tok, ids[loss_mask(len(ids), lo, hi, in_loss) == 1]))
                     now[3] += len(learned)
                     now[4].update(learned.encode("utf-8", "surrogatepass"))
                 now[5] += sum(map(len, spelled))
@@ -176,7 +201,7 @@ def digests(formatted: DataFrame, path: str = DEFAULT_TOKENIZER, conv_col: str =
         if now:
             yield done()
 
-    dealt = formatted.withColumnRenamed(conv_col, "conv").repartition("conv").sortWithinPartitions("conv", "place")
+    dealt = formatted.withColumnRenamed(conv_col, "conv").repartition("conv").sortWithinPartitions("conv", "turn", "tie")
     schema = f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     out = dealt.select("conv", "ids", "text_from", "text_to", "in_loss").mapInPandas(run, schema)
     return out.withColumnRenamed("conv", conv_col)

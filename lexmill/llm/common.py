@@ -10,12 +10,15 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A side is broadcast only after its rows were counted, and only up to this many narrow rows (some 50 MB).
-BROADCAST_ROWS = 500_000
+#: A side is broadcast only after its rows were counted and measured, and only up to this many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 48 << 20
+#: Keys of more rows than this are dealt over several tasks.
+HOT_ROWS = 1_000
 
 _shipped: set[str] = set()
 
@@ -60,11 +63,33 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for broadcast if its counted rows are few; else leave it to a shuffle join.
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark df for broadcast if its counted rows are few and short together; else leave it to a shuffle join.
 
-    df should be cheap to count, such as a table that shared() has written."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    Texts, binaries and arrays are measured, not guessed. df should be cheap to read again, such as a table that a
+    Workspace has written; no more than rows + 1 rows are looked at."""
+    wide = [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType))]
+    length = F.lit(16 * len(df.columns)).cast("long")
+    for c, f in zip(wide, (f for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType))), strict=True):
+        if isinstance(f.dataType, T.ArrayType):
+            flat = F.octet_length(F.array_join(c, "")) if isinstance(f.dataType.elementType, T.StringType) else F.lit(0)
+            length = length + F.coalesce(F.size(c) * 16 + flat, F.lit(0))
+        else:
+            length = length + F.coalesce(F.octet_length(c), F.lit(0))
+    n, total = df.limit(rows + 1).select(length.alias("b")).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
+
+
+def spread(rows: DataFrame, keyed: DataFrame, key: str, by: str, hot: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+    """rows joined with keyed on key, where keys of many rows are dealt over several tasks.
+
+    keyed has one row for each key and its number of rows as n; it should be a written table. Keys of over hot rows
+    are looked up first (there are few); their rows are dealt by the column by, and their row of keyed is repeated."""
+    parts = small(keyed.where(F.col("n") > hot).select(key, F.ceil(F.col("n") / hot).cast("int").alias("_parts")))
+    dealt = rows.join(parts, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(F.col(by), F.lit(3)), F.col("_parts")).cast("int"), F.lit(0)))
+    copies = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / hot).cast("int") - 1))
+    copied = keyed.withColumn("_part", F.explode(F.when(F.col("n") > hot, copies).otherwise(F.array(F.lit(0))))).drop("n")
+    return dealt.drop("_parts").join(copied, [key, "_part"], how).drop("_part")
 
 
 class Workspace:
@@ -91,8 +116,12 @@ class Workspace:
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Unset, a session on one machine gets a temporary one; on a cluster, where
+    the driver's disk is not the executors', that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='lexmill-checkpoints-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Workspace, ascii_lower, let, ship, small, table, words
+from lexmill.llm.common import Workspace, ascii_lower, let, ship, small, spread, table, words
 from lexmill.llm.graph import components
 
 #: Registers of a sketch are ROWS x BANDS. A pair at similarity s shares no band with probability
@@ -18,10 +18,11 @@ from lexmill.llm.graph import components
 ROWS, BANDS = 4, 28
 #: A register holds the count of leading zeros of its least hash in 6 bits and the 10 bits that follow.
 MANTISSA = 10
-#: An estimate may lie this far under the threshold (five standard errors at 112 registers) and still be confirmed.
-MARGIN = 0.17
-#: Groups of candidates are compared block by block; larger groups go back to their single buckets.
-BLOCK, GROUP_MAX = 384, 20_000
+#: An estimate may lie this many standard errors under the threshold and still be confirmed: 1e-9 of the pairs at the
+#: threshold lie further, as many as share no band.
+ERRORS = 6
+#: Members of a bucket are compared block by block.
+BLOCK = 384
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,13 +70,12 @@ def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (n * m / (n + m) * width * (np.exp(-(n + m) * lo) - np.exp(-(n + m) * hi))).sum(-1)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of all pairs of two lists of sketches, accidental agreements taken out."""
-    same = np.zeros((len(a), len(b)), np.uint8)
-    for k in range(a.shape[1]):
-        same += a[:, k][:, None] == b[:, k][None, :]
-    c = chance(na[:, None], nb[None, :])
-    return (same / a.shape[1] - c) / (1 - c)
+def likely(same: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether pairs that agree in this many registers can have the threshold's similarity (in per cent): sizes close
+    enough, and the estimate, with accidental agreements taken out, within ERRORS of it."""
+    c, j = chance(na, nb), threshold / 100
+    estimate = (same / len(_MUL) - c) / (1 - c)
+    return (estimate >= j - ERRORS * np.sqrt(j * (1 - j) / len(_MUL))) & (100 * np.minimum(na, nb) >= threshold * np.maximum(na, nb))
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,126 +86,138 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ns.append(len(h))
             digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
             sigs.append(registers(h).tobytes() if len(h) else None)
-        yield pd.DataFrame({"id": pdf["id"], "n_shingles": ns, "digest": digests, "sig": sigs})
+        yield pd.DataFrame({"id": pdf["id"], "mark": pdf["mark"], "n_shingles": ns, "digest": digests, "sig": sigs})
 
 
 def sketches(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, digest of the full set, sketch), null digest and sketch for an empty set."""
-    h = docs.select(F.col(id_col).alias("id"), shingle_hashes(F.col(text_col), n).alias("h"))
-    return h.mapInPandas(_sketch, "id long, n_shingles long, digest binary, sig binary")
+    """(id, mark, n_shingles, digest of the full set, sketch), null digest and sketch for an empty set. mark tells
+    the texts of one id apart."""
+    h = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), shingle_hashes(F.col(text_col), n).alias("h"))
+    return h.mapInPandas(_sketch, "id long, mark long, n_shingles long, digest binary, sig binary")
 
 
-def _links(threshold: int):
-    """Exact links between the members of two blocks, without those that join what is joined already."""
+def _stacked(sigs) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), len(_MUL))
+
+
+def _across(threshold: int):
+    """Likely pairs of different components between the members of two blocks of a bucket, from their sketches."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("cls").reset_index(drop=True)
         left, right = pdf[pdf["blk"] == pdf["i"]], pdf[pdf["blk"] == pdf["j"]]
-        sig = np.stack([np.frombuffer(s, np.uint16) for s in pdf["sig"]])
-        n = pdf["n"].to_numpy()
-        li, ri = left.index.to_numpy(), right.index.to_numpy()
-        est = estimate(sig[li], sig[ri], n[li], n[ri])
-        small_n, large_n = np.minimum(n[li][:, None], n[ri][None, :]), np.maximum(n[li][:, None], n[ri][None, :])
-        ok = (est >= threshold / 100 - MARGIN) & (100 * small_n >= threshold * large_n)
-        if key[1] == key[2]:
-            ok &= li[:, None] < ri[None, :]
-        x, y = np.nonzero(ok)
-        order = np.argsort(-est[x, y], kind="stable")
-        parent = list(range(len(pdf)))
-
-        def root(v: int) -> int:
-            while parent[v] != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-
-        sets: dict[int, frozenset] = {}
-
-        def full(v: int) -> frozenset:
-            if v not in sets:
-                sets[v] = frozenset(np.asarray(pdf.at[v, "h"]).tolist())
-            return sets[v]
-
-        out = []
-        for p, q in zip(li[x[order]].tolist(), ri[y[order]].tolist(), strict=True):
-            rp, rq = root(p), root(q)
-            if rp == rq:
-                continue
-            a, b = full(p), full(q)
-            both = len(a & b)
-            if 100 * both >= threshold * (len(a) + len(b) - both):
-                parent[rp] = rq
-                out.append((pdf.at[p, "cls"], pdf.at[q, "cls"]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        a, b = _stacked(left["sig"]), _stacked(right["sig"])
+        same = np.zeros((len(a), len(b)), np.uint8)
+        for k in range(len(_MUL)):
+            same += a[:, k][:, None] == b[:, k][None, :]
+        ok = left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
+        x, y = np.nonzero(ok & (same > 0))
+        x, y = (z[likely(same[x, y], left["n"].to_numpy()[x], right["n"].to_numpy()[y], threshold)] for z in (x, y))
+        p, q = left["cls"].to_numpy()[x], right["cls"].to_numpy()[y]
+        out = pd.DataFrame({"a": np.maximum(p, q), "b": np.minimum(p, q)})
+        return out.drop_duplicates()
 
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id, kept.
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int, work: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) of classes that are linked: likely by their sketches, and sure by their full sets."""
 
-    Rows are linked if their sets of distinct n-word shingles have 100 * intersection >= threshold * union;
-    component_id is the least id reachable, and kept marks that row. Texts of 1 to n - 1 words are one shingle;
-    null, empty and wordless texts have none and stand alone. Equal ids with equal texts fall together; ids are
-    longs and a null id stands alone. An empty table gives an empty table. Other columns are not read.
-
-    Equal sets fall to a class first (a partial aggregate), so a group of copies is one row from there on. Band
-    keys of four registers give buckets; the buckets' stars give groups of candidates, which are split into
-    blocks, and each pair of blocks is compared once: estimates of all pairs from the sketches, then the full
-    sets of pairs that could reach the threshold and are not yet joined. A group of over GROUP_MAX classes is
-    compared within each of its buckets instead. No pairs are emitted but those that join something."""
-    spark = docs.sparkSession
-    ship(spark)
-    work = Workspace(spark, "minhash")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    @F.pandas_udf("boolean")
+    def may(p: pd.Series, q: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series(likely((_stacked(p) == _stacked(q)).sum(axis=1), n.to_numpy(), m.to_numpy(), threshold))
+
+    pairs = work.write(pairs, f"{name}-pairs")
+    for own, other in (("a", "b"), ("b", "a")):
+        counts = work.write(pairs.groupBy(own).agg(F.count("*").alias("n")), f"{name}-{own}")
+        rows = sets.select(F.col("cls").alias(own), F.struct("n", "sig", "h").alias(f"set_{own}")).join(counts, own)
+        both = spread(pairs if own == "a" else both, rows, own, other, hot=256)
+    p, q = F.col("set_a"), F.col("set_b")
+    both = both.where(may(p["sig"], q["sig"], p["n"], q["n"])).withColumn("both", F.size(F.array_intersect(p["h"], q["h"])).cast("long"))
+    linked = both.where(100 * F.col("both") >= threshold * (p["n"] + q["n"] - F.col("both")))
+    return work.write(linked.select("a", "b"), name)
+
+
+def _classes(docs: DataFrame, n: int, threshold: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and (digest, component_id, n) of the classes of equal sets, n being their rows."""
     sk = work.write(sketches(docs, n, "id", "text"), "sketches")
+    named = sk.where("sig is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("rows"))
+    classes = work.write(named.select(F.monotonically_increasing_id().alias("cls"), "digest", "rep.id", "rep.mark", "n", "sig", "rows"), "classes")
 
-    named = sk.where("sig is not null and id is not null")
-    classes = work.write(named.groupBy("digest", "n_shingles").agg(F.min("id").alias("cls"), F.min("sig").alias("sig")), "classes")
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + 2 * ROWS * b, 2 * ROWS)) for b in range(BANDS)])
     keyed = classes.select("cls", F.explode(bands).alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("cls").alias("head"), F.count("*").alias("size")).where("size > 1")
-    members = work.write(keyed.join(shared, "bucket").select("bucket", "cls", "head"), "members")
-
-    groups = components(members.select(F.col("cls").alias("a"), F.col("head").alias("b")), work, "groups")
-    groups = work.write(_sized(groups, "component"), "grouped")
-    by_group = groups.where(F.col("size") <= GROUP_MAX).select(F.col("component").alias("grp"), F.lit(False).alias("single"), F.col("node").alias("cls"), "size")
-    giant = groups.where(F.col("size") > GROUP_MAX).select(F.col("node").alias("cls"))
-    by_bucket = members.join(giant, "cls", "left_semi").select(F.col("bucket").alias("grp"), F.lit(True).alias("single"), "cls")
-    by_bucket = _sized(by_bucket, "grp")
-    dealt = by_group.unionByName(by_bucket)
+    shared = work.write(keyed.groupBy("bucket").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = work.write(spread(keyed, shared, "bucket", "cls"), "members")
+    wanted = work.write(members.select("cls").distinct().join(classes.select("cls", "id", "mark", "n", "sig"), "cls"), "wanted")
+    texts = docs.withColumn("mark", F.xxhash64("text")).join(small(wanted.select("id", "mark")), ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
+    sets = texts.select("id", "mark", shingle_hashes(F.col("text"), n).alias("h")).join(wanted, ["id", "mark"])
+    sets = work.write(sets.select("cls", "n", "sig", "h"), "sets")
+
+    # every member with its bucket's head; then, in buckets that are not one component by that, all that are apart
+    stars = members.where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
+    links = _confirmed(stars, sets, threshold, work, "stars")
+    comps = work.write(components(links, work, "joined"), "comps")
+    at = members.select("cls", "bucket").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "bucket", F.coalesce("component", "cls").alias("comp"))
+    at = work.write(at, "placed")
+    apart = work.write(at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n", F.col("n").alias("size")), "apart")
+    open_ = spread(at, apart, "bucket", "cls").join(wanted.select("cls", F.col("n").alias("n"), "sig"), "cls")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    blk = F.pmod(F.xxhash64("cls", F.lit(7)), blocks).cast("int")
-    dealt = dealt.withColumns({"blocks": blocks, "blk": blk})
-    dealt = work.write(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "dealt")
+    open_ = open_.withColumn("blk", F.pmod(F.xxhash64("cls", F.lit(7)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    open_ = open_.select("bucket", "cls", "comp", "n", "sig", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
+    more = open_.groupBy("bucket", "i", "j").applyInPandas(_across(threshold), "a long, b long").distinct()
+    found = _confirmed(more.join(stars, ["a", "b"], "left_anti"), sets, threshold, work, "across")
+    links = links.unionByName(found)
+    comps = comps if found.isEmpty() else work.write(components(links, work, "all"), "all-comps")
+
+    placed = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("digest", "id", "rows", F.coalesce("component", "cls").alias("comp"))
+    least = work.write(placed.groupBy("comp").agg(F.min("id").alias("component_id"), F.count("*").alias("n")), "least")
+    return sk, work.write(spread(placed, least, "comp", "digest").select("digest", "component_id", "comp", F.col("rows").alias("n")), "placed-classes")
 
-    wanted = work.write(dealt.select("cls").distinct(), "wanted")
-    texts = docs.join(small(wanted.select(F.col("cls").alias("id"))), "id", "left_semi").dropDuplicates(["id"])
-    sets = texts.select(F.col("id").alias("cls"), shingle_hashes(F.col("text"), n).alias("h"))
-    full = sets.join(classes.select("cls", "sig", F.col("n_shingles").alias("n")), "cls")
-    pairs = dealt.join(full, "cls").select(
-        F.struct("grp", "single").alias("g"), F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cls", "n", "sig", "h"
-    )
-    found = work.write(pairs.groupBy("g", "i", "j").applyInPandas(_links(threshold), "a long, b long"), "links")
-    comps = work.write(components(found, work, "joined"), "components")
 
-    named = named.select("id", "digest", "n_shingles").join(classes.select("digest", "n_shingles", "cls"), ["digest", "n_shingles"])
-    named = named.join(comps, named["cls"] == comps["node"], "left").select("id", "n_shingles", F.coalesce("component", "cls").alias("component_id"))
-    alone = sk.where("sig is null or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
-    out = named.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
-    return out.withColumnRenamed("id", id_col)
+def _judged(docs: DataFrame, n: int, threshold: int, work: Workspace) -> DataFrame:
+    """(id, mark, n_shingles, component_id, comp) of all rows of docs (id, text); comp numbers the components."""
+    ship(docs.sparkSession)
+    sk, classes = _classes(docs, n, threshold, work)
+    named = sk.where("sig is not null and id is not null").select("id", "mark", "n_shingles", "digest")
+    named = spread(named, classes, "digest", "id").select("id", "mark", "n_shingles", "component_id", "comp")
+    alone = sk.where("sig is null or id is null").select("id", "mark", "n_shingles", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("comp"))
+    return named.unionByName(alone)
 
 
-def _sized(df: DataFrame, key: str) -> DataFrame:
-    """Adds the rows of each key as size: counts by partial aggregation, joined back so that AQE can split large keys."""
-    return df.join(df.groupBy(key).agg(F.count("*").alias("size")), key)
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id, kept.
+
+    Rows are linked if their sets of distinct n-word shingles have 100 * intersection >= threshold * union;
+    component_id is the least id reachable, and kept marks its rows. Texts of 1 to n - 1 words are one shingle; null,
+    empty and wordless texts have none and stand alone. Rows of one id are rows of their own, whatever their texts;
+    ids are longs and a null id stands alone. An empty table gives an empty table. Other columns are not read.
+
+    Equal sets fall to a class first (a partial aggregate), so a group of copies is one row from there on. Band keys
+    of four registers give buckets. Each member of a bucket is compared with the bucket's head, by its sketch and then
+    by its full set: that joins most copies. In buckets that still have several components all pairs between them are
+    compared by sketches, block by block, and likely ones by their full sets. Links are missed only where a pair at
+    the threshold shares no band or its estimate lies ERRORS standard errors off (some 1e-9 each, 4e-7 at 80 %). Keys of
+    many rows (copies, buckets, heads, components) are dealt over several tasks."""
+    work = Workspace(docs.sparkSession, "minhash")
+    out = _judged(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), n, threshold, work).drop("mark", "comp")
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_col)
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that near_duplicates does not keep, all columns; of repeated ids all rows stay or go."""
-    gone = near_duplicates(docs, n, threshold, id_col, text_col).where(~F.col("kept")).select(id_col).distinct()
-    gone = Workspace(docs.sparkSession, "minhash-gone").write(gone, "gone")
-    return docs.join(small(gone), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs, all columns, with one row of each group: one of the least id, and of several texts of it the one of least
+    hash. Rows without words or id stand alone and stay."""
+    work = Workspace(docs.sparkSession, "minhash-kept")
+    rows = work.write(_judged(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), n, threshold, work).where("comp is not null"), "rows")
+    heads = work.write(rows.groupBy("comp").agg(F.min(F.struct("id", "mark")).alias("head"), F.count("*").alias("n")), "heads")
+    rows = spread(rows, heads, "comp", "id").withColumn("stays", F.struct("id", "mark") == F.col("head"))
+    gone = work.write(rows.where(~F.col("stays")).select("id", "mark").distinct(), "gone")
+    twice = work.write(rows.where("stays").groupBy("id", "mark").count().where("count > 1").select("id", "mark"), "twice")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"))
+    left = marked.join(small(gone), ["id", "mark"], "left_anti")
+    if not twice.isEmpty():  # equal rows of a kept id: one of them
+        several = small(twice)
+        left = left.join(several, ["id", "mark"], "left_anti").unionByName(left.join(several, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"]))
+    return left.select("row.*")
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import itertools
+import json
 import os
 import random
 import zipfile
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm import catalog, chat, decontam, graph, htmltext, langid, minhash, pieces, quality, toxicity, urls, warc
-from lexmill.llm.common import Workspace, fold
+from lexmill.llm.common import Workspace, fold, small, spread
 
 SF = "/root/testdata/sf0.001"
 WORDS = [a + b for a in ("ka", "lo", "mi", "ru", "te") for b in ("na", "po", "si", "du", "fe", "ga")]
@@ -65,11 +66,30 @@ def brute_components(texts, n, threshold):
         w = minhash_words(t)
         sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
     label = {i: i for i in sets}
-    links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
-    for _ in links:
-        for a, b in links:
-            label[a] = label[b] = min(label[a], label[b])
-    return label
+
+    def root(i):
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    of, own = {}, {}
+    for i in sorted(sets):  # equal sets once
+        key = frozenset(sets[i])
+        if key and key in own:
+            label[i] = own[key]
+        elif key:
+            own[key] = i
+    first = {i: sets[i] for i in own.values()}
+    for i, x in first.items():
+        for g in x:
+            of.setdefault(g, []).append(i)
+    for a, x in first.items():
+        for b, m in Counter(b for g in x for b in of[g] if b > a).items():
+            if 100 * m >= threshold * (len(x) + len(first[b]) - m):
+                p, q = root(a), root(b)
+                label[max(p, q)] = min(p, q)
+    return {i: root(i) for i in sets}
 
 
 def minhash_words(t):
@@ -90,15 +110,54 @@ def test_near_duplicates_brute_force(spark):
     for n, threshold in ((3, 85), (5, 80)):
         got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, texts), n, threshold).collect()}
         assert got == brute_components(list(enumerate(texts)), n, threshold)
-    small = minhash.BLOCK, minhash.GROUP_MAX
-    try:  # many blocks, and groups that go back to their buckets
-        minhash.BLOCK, minhash.GROUP_MAX = 4, 5
+    small = minhash.BLOCK
+    try:  # many blocks
+        minhash.BLOCK = 4
         got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, texts), 3, 85).collect()}
     finally:
-        minhash.BLOCK, minhash.GROUP_MAX = small
+        minhash.BLOCK = small
     assert got == brute_components(list(enumerate(texts)), 3, 85)
 
 
+def test_near_duplicates_of_one_id(spark):
+    """Rows of one id with several texts are rows of their own: no link is lost, and one row of a group stays."""
+    rng = random.Random(6)
+    a, b = prose(rng, 90), prose(rng, 90)
+    rows = [(1, a), (1, b), (2, a + " zz"), (3, b + " zz"), (4, prose(rng, 90)), (4, None), (5, b), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit("x"), "mark": F.lit(1), "n": F.lit(2)})
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in minhash.near_duplicates(docs, 3, 85).collect())
+    assert got == sorted([("1", "1"), ("1", "1"), ("2", "1"), ("3", "1"), ("4", "4"), ("4", "4"), ("5", "1"), ("None", "None")])
+    kept = minhash.drop_near_duplicates(docs.unionByName(docs.where("doc_id = 1")), 3, 85)
+    assert kept.columns == docs.columns
+    assert {(r["doc_id"], r["text"]) for r in kept.collect() if r["text"] not in (a, b)} == {(4, rows[4][1]), (4, None)}
+    assert sorted(r["text"] for r in kept.collect() if r["text"] in (a, b)) == sorted([a, b, a]) and kept.where("doc_id is null").count() == 1
+
+
+def test_near_duplicates_recall(spark):
+    """A large group of near copies and pairs close to the threshold, against brute force on 1,500 texts."""
+    rng = random.Random(9)
+    base = [prose(rng, 120).split() for _ in range(40)]
+    texts = []
+    for i in range(1500):
+        v = list(base[0 if i % 3 == 0 else rng.randrange(40)])
+        for _ in range(rng.randrange(5)):
+            v[rng.randrange(len(v))] = "x" + str(rng.randrange(50))
+        texts.append(" ".join(v))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, texts), 3, 85).collect()}
+    assert got == brute_components(list(enumerate(texts)), 3, 85)
+
+
+def test_hot_keys_are_dealt(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    work = Workspace(spark, "t")
+    keyed = work.write(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least")), "keyed")
+    out = spread(rows, keyed, "k", "v", hot=100)
+    assert out.count() == 5000 and out.where("k = 0 and least = 0").count() == 3334
+    assert spread(rows, keyed.where("k > 10"), "k", "v", hot=100).count() == rows.where("k > 10").count()
+    wide = spark.range(100).select(F.array(F.lit("x" * 1_000_000)).alias("a"))
+    assert small(wide) is wide and small(spark.range(10)).count() == 10
+
+
 def test_near_duplicates_odd_rows(spark):
     out = minhash.near_duplicates(odd_docs(spark)).collect()
     assert len(out) == 9 and all(r["kept"] for r in out)
@@ -108,15 +167,19 @@ def test_near_duplicates_odd_rows(spark):
 
 def test_register_estimates():
     rng = np.random.default_rng(1)
+    n = np.array([400])
+    chance = minhash.chance(n, n)[0]
     for j in (0.0, 0.3, 0.8, 1.0):
-        est = []
-        for _ in range(40):
-            n = 400
-            both = int(2 * n * j / (1 + j))
-            x = rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
-            a, b = x[:n], x[n - both : 2 * n - both]
-            est.append(minhash.estimate(minhash.registers(a)[None], minhash.registers(b)[None], np.array([n]), np.array([n]))[0, 0])
+        est, ok = [], []
+        for _ in range(60):
+            both = int(2 * 400 * j / (1 + j))
+            x = rng.integers(0, 2**64, 800, dtype=np.uint64)
+            same = (minhash.registers(x[:400]) == minhash.registers(x[400 - both : 800 - both])).sum()
+            est.append((same / 112 - chance) / (1 - chance))
+            ok.append(minhash.likely(np.array([same]), n, n, 80)[0])
         assert abs(np.mean(est) - j) < 0.03
+        assert all(ok) if j >= 0.8 else not any(ok) or j > 0.5
+    assert not minhash.likely(np.array([112]), np.array([70]), np.array([100]), 80)[0]
     assert abs(minhash.chance(np.array([1000]), np.array([1000]))[0] - 1.7e-4) < 3e-4
 
 
@@ -210,12 +273,16 @@ def test_chat_escapes_and_odd_rows(spark):
     assert rows[2]["turns_sha256"] == hashlib.sha256(b"\n\n").hexdigest() and rows[None]["loss_chars"] == 1
     for r in f.collect():
         assert sum(r["loss_mask"]) == (r["text_to"] - r["text_from"]) * r["in_loss"]
-    for r in chat.render(chat.format_turns(turns)).collect():
+    for r in chat.render(chat.place(chat.format_turns(turns))).collect():
         assert r["formatted"].startswith(chat.TURN) and r["formatted"].endswith(chat.END) and (r["start"] == 0) == (r["start_chars"] == 0)
     assert chat.digests(chat.format_turns(turns.limit(0))).count() == 0
     tok = chat.tokenizer(chat.DEFAULT_TOKENIZER)
-    for s in (" " * 300_000 + "x", "\n" * 5000, "a" * 100_000, "x" + "\t" * 1000 + "y" * 2000, "^" * 5000, ""):
-        assert chat.decode(tok, chat.encode(tok, s)) == s
+    for s in (" " * 300_000 + "x", "\n" * 5000, "a" * 100_000, "x" + "\t" * 1000 + "y" * 2000, "^" * 5000, "", " " * 1_500_000 + "x", "a" + " \n" * 100_000 + "b" + " " * 120_000, "x" + "\u3000" * 110_000 + "\u00a0y"):
+        ids = chat.encode(tok, s)
+        assert chat.decode(tok, ids) == s
+        if len(s) < 400_000:  # undivided
+            assert ids.tolist() == tok.encode(s, disallowed_special=())
+    assert chat.loss_mask(6, 2, 4, True).tolist() == [0, 0, 1, 1, 0, 0] and not chat.loss_mask(6, 2, 4, False).any()
 
 
 def test_url_rules_and_list(spark):
@@ -263,6 +330,31 @@ def test_warc_round_trip(spark, tmp_path):
     assert [r["record_type"] for i in (2, 4, 5, 6, 7) for r in by[i]] == ["response"] * 5
     assert bytes(by[1][0]["payload"]).decode() == big and by[5][0]["payload_digest"] == hashlib.sha256(b"").hexdigest()
     assert warc.write_packages(pages.limit(0), f"file://{tmp_path}/e").count() == 0
+    assert warc.read_packages(warc.write_packages(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
+
+
+def test_warc_rows_of_one_id(spark, tmp_path):
+    """Revisits go by id and payload: no payload is lost under another's digest."""
+    x, y = "x" * 200, "y" * 300
+    rows = [(1, "http://A.example.com/p?q=1", x), (2, "http://b.example.com/ä b", x), (2, "no scheme", y), (3, None, y), (4, "http://c.example/", "z" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = warc.write_packages(pages, f"file://{tmp_path}/w")
+    out = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or 0, r["payload_digest"]) for r in warc.read_packages(made, block=500).collect())
+    d = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert out == sorted([(1, 200, "response", 0, d(x)), (2, 200, "revisit", 1, d(x)), (2, 300, "response", 0, d(y)), (3, 300, "revisit", 2, d(y)), (4, 3_000_000, "response", 0, d(rows[4][2]))])
+    assert {r["url"] for r in warc.read_packages(made).collect()} == {"http://A.example.com/p?q=1", "http://b.example.com/%C3%A4%20b", "no%20scheme", None, "http://c.example/"}
+    with zipfile.ZipFile(made.first()["path"].removeprefix("file://")) as z:
+        assert z.testzip() is None and set(z.namelist()) == {warc.DATA, warc.INDEX, warc.MANIFEST}
+        lines = z.read(warc.INDEX).splitlines()
+        assert lines == sorted(lines) and all(b" 20240101000000 {" in x for x in lines)
+        raw = z.read(warc.DATA)
+        assert b"WARC-Type: warcinfo" in gzip.GzipFile(fileobj=io.BytesIO(raw)).read()
+        for part in json.loads(z.read(warc.MANIFEST))["resources"]:
+            assert part["hash"] == "sha256:" + hashlib.sha256(z.read(part["path"])).hexdigest()
+    assert warc.sort_key("http://A.example.com/P?q=1") == "com,example,a)/p?q=1" and warc.sort_key("urn:page:1") == "urn:page:1"
+    many = pages.where("page_id < 4").crossJoin(spark.range(300).select(F.col("id").alias("k"))).select((F.col("page_id") * 1000 + F.col("k")).alias("page_id"), F.concat("html", F.col("k").cast("string"), F.col("page_id").cast("string")).alias("html"))
+    read = warc.read_packages(warc.write_packages(many.coalesce(1), f"file://{tmp_path}/m", url_col=None), block=2000)
+    assert read.count() == many.count() and read.rdd.getNumPartitions() > 4
 
 
 def test_zip_directories(tmp_path):
