@@ -21,7 +21,7 @@ MANTISSA = 10
 #: An estimate may lie this many standard errors under the threshold and still be confirmed: 1e-9 of the pairs at the
 #: threshold lie further, as many as share no band.
 ERRORS = 6
-#: Members of a bucket are compared block by block.
+#: Members of a group of candidates are compared block by block.
 BLOCK = 384
 
 _rng = np.random.default_rng(20240229)
@@ -101,20 +101,45 @@ def _stacked(sigs) -> np.ndarray:
 
 
 def _across(threshold: int):
-    """Likely pairs of different components between the members of two blocks of a bucket, from their sketches."""
+    """Links between the members of two blocks of a group that join components which are still apart: likely pairs by
+    their sketches, best first, and sure ones by their full sets."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["blk"] == pdf["i"]], pdf[pdf["blk"] == pdf["j"]]
-        a, b = _stacked(left["sig"]), _stacked(right["sig"])
-        same = np.zeros((len(a), len(b)), np.uint8)
+        pdf = pdf.drop_duplicates("cls").reset_index(drop=True)
+        left, right = (np.nonzero((pdf["blk"] == pdf[x]).to_numpy())[0] for x in ("i", "j"))
+        sig, n, comp, cls = _stacked(pdf["sig"]), pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["cls"].to_numpy()
+        same = np.zeros((len(left), len(right)), np.uint8)
         for k in range(len(_MUL)):
-            same += a[:, k][:, None] == b[:, k][None, :]
-        ok = left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
-        x, y = np.nonzero(ok & (same > 0))
-        x, y = (z[likely(same[x, y], left["n"].to_numpy()[x], right["n"].to_numpy()[y], threshold)] for z in (x, y))
-        p, q = left["cls"].to_numpy()[x], right["cls"].to_numpy()[y]
-        out = pd.DataFrame({"a": np.maximum(p, q), "b": np.minimum(p, q)})
-        return out.drop_duplicates()
+            same += sig[left, k][:, None] == sig[right, k][None, :]
+        x, y = np.nonzero((same > 0) & (comp[left][:, None] != comp[right][None, :]))
+        same = same[x, y]
+        x, y = left[x], right[y]
+        ok = likely(same, n[x], n[y], threshold)
+        order = np.argsort(-same[ok].astype(int), kind="stable")
+        sets: dict[int, np.ndarray] = {}
+        parent: dict[int, int] = {}
+        out = []
+
+        def root(v: int) -> int:
+            while (up := parent.get(v, v)) != v:
+                parent[v] = parent.get(up, up)
+                v = up
+            return v
+
+        def full(v: int) -> frozenset:
+            if v not in sets:
+                sets[v] = frozenset(np.asarray(pdf.at[v, "h"]).tolist())
+            return sets[v]
+
+        for p, q in zip(x[ok][order].tolist(), y[ok][order].tolist(), strict=True):
+            rp, rq = root(comp[p]), root(comp[q])
+            if rp != rq:
+                a, b = full(p), full(q)
+                both = len(a & b)
+                if 100 * both >= threshold * (len(a) + len(b) - both):
+                    parent[rp] = rq
+                    out.append((cls[p], cls[q]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
@@ -152,21 +177,23 @@ def _classes(docs: DataFrame, n: int, threshold: int, work: Workspace) -> tuple[
     sets = texts.select("id", "mark", shingle_hashes(F.col("text"), n).alias("h")).join(wanted, ["id", "mark"])
     sets = work.write(sets.select("cls", "n", "sig", "h"), "sets")
 
-    # every member with its bucket's head; then, in buckets that are not one component by that, all that are apart
+    # every member with its bucket's head; then, where buckets are not one component by that, all that are apart
     stars = members.where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
     links = _confirmed(stars, sets, threshold, work, "stars")
     comps = work.write(components(links, work, "joined"), "comps")
-    at = members.select("cls", "bucket").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "bucket", F.coalesce("component", "cls").alias("comp"))
+    at = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "head", "bucket", F.coalesce("component", "cls").alias("comp"))
     at = work.write(at, "placed")
-    apart = work.write(at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n", F.col("n").alias("size")), "apart")
-    open_ = spread(at, apart, "bucket", "cls").join(wanted.select("cls", F.col("n").alias("n"), "sig"), "cls")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = open_.withColumn("blk", F.pmod(F.xxhash64("cls", F.lit(7)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    open_ = open_.select("bucket", "cls", "comp", "n", "sig", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
-    more = open_.groupBy("bucket", "i", "j").applyInPandas(_across(threshold), "a long, b long").distinct()
-    found = _confirmed(more.join(stars, ["a", "b"], "left_anti"), sets, threshold, work, "across")
-    links = links.unionByName(found)
-    comps = comps if found.isEmpty() else work.write(components(links, work, "all"), "all-comps")
+    apart = work.write(at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n"), "apart")
+    if not apart.isEmpty():
+        open_ = work.write(spread(at, apart, "bucket", "cls").select("cls", "head", "comp").distinct(), "open")
+        groups = work.write(components(open_.select(F.col("cls").alias("a"), F.col("head").alias("b")), work, "groups"), "groups")
+        sizes = work.write(groups.groupBy("component").agg(F.count("*").alias("n")), "sizes").withColumn("size", F.col("n"))
+        sized = spread(groups.withColumnRenamed("node", "cls"), sizes, "component", "cls").join(open_.select("cls", "comp").distinct(), "cls")
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        dealt = sized.withColumn("blk", F.pmod(F.xxhash64("cls", F.lit(7)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.select(F.col("component").alias("grp"), "cls", "comp", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
+        found = work.write(dealt.join(sets, "cls").groupBy("grp", "i", "j").applyInPandas(_across(threshold), "a long, b long"), "across")
+        comps = work.write(components(links.unionByName(found), work, "all"), "all-comps")
 
     placed = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("digest", "id", "rows", F.coalesce("component", "cls").alias("comp"))
     least = work.write(placed.groupBy("comp").agg(F.min("id").alias("component_id"), F.count("*").alias("n")), "least")
@@ -193,8 +220,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: st
 
     Equal sets fall to a class first (a partial aggregate), so a group of copies is one row from there on. Band keys
     of four registers give buckets. Each member of a bucket is compared with the bucket's head, by its sketch and then
-    by its full set: that joins most copies. In buckets that still have several components all pairs between them are
-    compared by sketches, block by block, and likely ones by their full sets. Links are missed only where a pair at
+    by its full set: that joins most copies. Buckets that still have several components give groups of candidates, which
+    are split into blocks; each pair of blocks compares the sketches of members of different components, and full sets
+    of likely pairs until their components are joined. No pairs are emitted but those that join something. Links are missed only where a pair at
     the threshold shares no band or its estimate lies ERRORS standard errors off (some 1e-9 each, 4e-7 at 80 %). Keys of
     many rows (copies, buckets, heads, components) are dealt over several tasks."""
     work = Workspace(docs.sparkSession, "minhash")
