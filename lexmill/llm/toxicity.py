@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
+import functools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import Workspace, fold, ship, small, table
 
 #: The classifier is fitted on this many labelled rows at most, drawn by hash of id and text from all labelled rows.
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 6_000
 #: Terms are words and their beginnings of these lengths.
 PREFIX = (3, 4, 6)
 #: A term's weight is its idf times the square of its log odds of a toxic row, as if SHRINK more rows had the term at
@@ -28,185 +26,220 @@ SHRINK = 10.0
 NEIGHBOURS, BLOCK = 20, 128
 #: Terms of so few examples have no blocks: their lists are read at once.
 RARE = 4
+#: Terms are added up until what the others can add is this part of the k-th score.
+SLACK = 0.3
 #: Votes of weight PRIOR for the share of toxic rows among the examples.
 PRIOR = 1e-3
 REJECT = 0.7
-#: Words whose terms a task remembers.
-KEPT_WORDS = 150_000
+#: Texts are taken together up to this many characters.
+CHUNK_CHARS = 800_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+_random = np.random.default_rng(20240510).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def terms(word: str) -> list[int]:
-    """The 64-bit keys of a lower-cased word and, marked by *, of its beginnings."""
-    key = xxhash.xxh64_intdigest
-    return [key(word.encode("utf-8", "surrogatepass"))] + [key(f"{word[:k]}*".encode("utf-8", "surrogatepass")) for k in PREFIX if len(word) > k]
+@functools.lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether a code point is part of a word: alphanumeric and no decimal digit."""
+    return np.array([(c := chr(i)).isalnum() and not c.isdecimal() for i in range(0x110000)])
+
+
+def multipliers(n: int) -> np.ndarray:
+    """Random odd numbers for the places of a word."""
+    global _random
+    while len(_random) < n:
+        more = np.random.default_rng([20240510, len(_random)]).integers(0, 2**63, len(_random), dtype=np.uint64)
+        _random = np.concatenate([_random, more * np.uint64(2) + np.uint64(1)])
+    return _random
+
+
+def mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """The bits of sums well spread, apart by salt."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
 
 
 class Terms:
-    """The terms of texts, by key or, with a vocabulary, by their numbers there; others are left out."""
+    """The terms of texts, by 64-bit key or, with a sorted vocabulary of keys, by their numbers there; others are left out.
+
+    A word's terms are the lower-cased word and its beginnings, hashed linearly with random multipliers for the places."""
 
     def __init__(self, keys: np.ndarray | None = None):
         self.keys = keys
-        self.rows: dict[str, int] = {}  # of known words
-        self.table = np.zeros((0, 1 + len(PREFIX)), np.uint64 if keys is None else np.int32)  # their terms
-        self.valid = np.zeros((0, 1 + len(PREFIX)), bool)
-
-    def learn(self, new: list[str]) -> None:
-        parts = [terms(w) for w in new]
-        n = np.array([len(p) for p in parts])
-        valid = np.arange(1 + len(PREFIX)) < n[:, None]
-        found = np.array([k for p in parts for k in p], np.uint64)
+
+    def of(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The terms of each whole text, repeated as they occur."""
+        part, size = [], 0
+        for t in texts:
+            t = t.lower() if isinstance(t, str) else ""
+            if part and size + len(t) > CHUNK_CHARS:
+                yield from self._of(part)
+                part, size = [], 0
+            part.append(t)
+            size += len(t) + 1
+        yield from self._of(part)
+
+    def _of(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if not texts:
+            return
+        cps = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = letters()[cps]
+        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+        start, stop = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+        n = stop - start
+        if not len(n):
+            yield from (np.empty(0, np.int64 if self.keys is not None else np.uint64) for _ in texts)
+            return
+        at, _ = _ranges(start, stop)
+        first = np.cumsum(n) - n
+        sums = (cps[at].astype(np.uint64) + np.uint64(1)) * multipliers(int(n.max()))[np.arange(len(at)) - np.repeat(first, n)]
+        words, one, of = np.unique(mixed(np.add.reduceat(sums, first), 0), return_index=True, return_inverse=True)
+        table, valid = np.zeros((len(words), 1 + len(PREFIX)), np.uint64), np.ones((len(words), 1 + len(PREFIX)), bool)
+        table[:, 0] = words
+        for k, size in enumerate(PREFIX, 1):  # of the distinct words alone
+            valid[:, k] = n[one] > size
+            at = first[one[valid[:, k]]]
+            table[valid[:, k], k] = mixed(sum((sums[at + j] for j in range(1, size)), sums[at]), size)
         if self.keys is not None:
-            at = np.minimum(np.searchsorted(self.keys, found), max(len(self.keys) - 1, 0))
-            hit = self.keys[at] == found if len(self.keys) else np.zeros(len(found), bool)
-            found = np.where(hit, at, 0)
-        else:
-            hit = np.ones(len(found), bool)
-        rows, known = np.zeros(valid.shape, self.table.dtype), np.zeros(valid.shape, bool)
-        rows[valid], known[valid] = found, hit
-        base = len(self.rows)
-        while len(self.table) < base + len(new):
-            room = np.zeros((max(4096, len(self.table)), self.table.shape[1]), self.table.dtype)
-            self.table, self.valid = np.concatenate([self.table, room]), np.concatenate([self.valid, room != 0])
-        self.table[base : base + len(new)], self.valid[base : base + len(new)] = rows, known
-        self.rows.update(zip(new, range(base, base + len(new)), strict=True))
-
-    def _of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of the text's distinct words in the table, and how often each occurs."""
-        words = Counter(_WORD.findall(text.lower())) if isinstance(text, str) else {}
-        new = [w for w in words if w not in self.rows]
-        if new:
-            if len(self.rows) + len(new) > KEPT_WORDS:
-                self.rows.clear()
-                new = list(words)
-            self.learn(new)
-        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        return self.table[at], self.valid[at], np.fromiter(words.values(), np.int64, len(words))
-
-    def distinct(self, text: str | None) -> np.ndarray:
-        """The distinct terms of the whole text, sorted."""
-        table, valid, _ = self._of(text)
-        ids = np.sort(table[valid])
-        return ids[np.append(True, ids[1:] != ids[:-1])] if len(ids) else ids
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct terms of the whole text, sorted, and how often each occurs."""
-        table, valid, n = self._of(text)
-        ids = table[valid]
-        if not len(ids):
-            return ids, np.empty(0, np.int64)
-        n = np.broadcast_to(n[:, None], valid.shape)[valid]
-        order = np.argsort(ids)
-        ids = ids[order]
-        first = np.nonzero(np.append(True, ids[1:] != ids[:-1]))[0]
-        return ids[first], np.add.reduceat(n[order], first)
+            found = np.minimum(np.searchsorted(self.keys, table[valid]), max(len(self.keys) - 1, 0))
+            hit = self.keys[found] == table[valid] if len(self.keys) else np.zeros(len(found), bool)
+            table = table.astype(np.int64)
+            table[valid] = found
+            valid[valid] = hit
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        cuts = np.searchsorted(start, ends)
+        for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            rows = of[lo:hi]
+            yield table[rows][valid[rows]]
+
+    def counts(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Distinct terms of each whole text, sorted, and how often each occurs."""
+        for ids in self.of(texts):
+            ids = np.sort(ids)
+            first = np.nonzero(np.append(True, ids[1:] != ids[:-1]))[0] if len(ids) else np.empty(0, np.int64)
+            yield ids[first], np.diff(np.append(first, len(ids)))
 
 
 class BlockMaxIndex:
-    """Inverted lists of unit vectors, in blocks of examples; a block's largest weight of a term bounds its part.
-
-    Examples are rows, sorted by id; terms are numbers, each of at least one row. rows, cols, weights: the entries of
-    all vectors, sorted by col and row."""
-
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, n_terms: int, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray):
-        self.ids, self.labels = ids, labels
-        self.rows, self.weights = rows.astype(np.uint16 if len(ids) < 1 << 16 else np.int32), weights.astype(np.float32)
-        self.starts = np.searchsorted(cols, np.arange(n_terms + 1)).astype(np.int32)
+    """Inverted lists of TF-IDF vectors, in blocks of examples; a block's largest weights of a term bound its part.
+
+    Examples are rows, sorted by id; terms are numbers, each of at least one row. rows, cols, counts: the entries of all
+    rows, sorted by col and row; weights: those of the terms. An entry weighs (1 + log count) * weight / norm of its row."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, rows: np.ndarray, cols: np.ndarray, counts: np.ndarray):
+        n, v = len(ids), len(weights)
+        self.ids, self.labels, self.terms = ids, labels, weights.astype(np.float64)
+        values, code = np.unique(counts, return_inverse=True)
+        self.tf = (1 + np.log(np.maximum(values, 1))).astype(np.float32)
+        self.code = code.astype(np.uint8 if len(values) < 256 else np.uint16 if len(values) < 1 << 16 else np.int32)
+        self.rows = rows.astype(np.uint16 if n < 1 << 16 else np.int32)
+        self.starts = np.searchsorted(cols, np.arange(v + 1)).astype(np.int32)
+        norm = np.sqrt(np.bincount(rows, (self.tf[self.code] * self.terms[cols]) ** 2, n))
+        self.scale = 1 / np.maximum(norm, 1e-12)
+        # the same by row, to finish a few rows
+        order = np.argsort(self.rows, kind="stable")
+        self.row_cols, self.row_code = cols[order].astype(np.int32), self.code[order]
+        self.row_starts = np.searchsorted(self.rows[order], np.arange(n + 1)).astype(np.int32)
+        # largest entries by block of the terms that are not rare, without the terms' weights, rounded up
         size = np.diff(self.starts)
-        # blocks of the terms that are not rare: number, first posting, postings, largest weight
         self.common = np.nonzero(size > RARE)[0].astype(np.int32)
+        self.blocks = -(-n // BLOCK)
         mine = np.nonzero(np.repeat(size > RARE, size))[0]
-        term, block = cols[mine], (self.rows[mine] // BLOCK).astype(np.uint16)
-        first = np.nonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])))[0] if len(mine) else mine
-        self.block, self.post = block[first], mine[first].astype(np.int32)
-        self.count = np.diff(np.append(first, len(mine))).astype(np.uint8 if BLOCK < 256 else np.int32)
-        self.peak = np.maximum.reduceat(self.weights[mine], first) if len(mine) else np.empty(0, np.float32)
-        self.block_starts = np.searchsorted(term[first], np.append(self.common, n_terms)).astype(np.int32)
-        self.most = np.maximum.reduceat(self.peak, self.block_starts[:-1]) if len(mine) else np.empty(0, np.float32)
-        self.blocks = -(-len(ids) // BLOCK)
+        peak = np.zeros((len(self.common), self.blocks), np.float32)
+        number = np.repeat(np.arange(len(self.common)), size[self.common])
+        np.maximum.at(peak, (number, self.rows[mine] // BLOCK), (self.tf[self.code[mine]] * self.scale[self.rows[mine]]).astype(np.float32))
+        self.peak = peak * np.float32(1 + 1e-6)
+        self.most = self.peak.max(axis=1) if self.peak.size else np.empty(0, np.float32)
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The weights of a query's unit vector."""
+        q = (1 + np.log(counts)) * self.terms[terms]
+        return q / max(float(np.sqrt(q @ q)), 1e-12)
 
     def _add(self, score: np.ndarray, lo: np.ndarray, hi: np.ndarray, q: np.ndarray) -> np.ndarray:
-        at, of = _ranges(lo, hi)
-        return score + np.bincount(self.rows[at], q[of] * self.weights[at], len(score)) if len(at) else score
+        at, n = _ranges(lo, hi)
+        return score + np.bincount(self.rows[at], np.repeat(q, n) * self.tf[self.code[at]], len(score)) if len(at) else score
+
+    def _floor(self, cosine: np.ndarray, k: int) -> float:
+        """At most the k-th best cosine: the k-th best of the blocks' best, or of all where there are few blocks."""
+        best = np.maximum.reduceat(cosine, np.arange(0, len(cosine), BLOCK)) if self.blocks >= k else cosine
+        return float(np.partition(best, len(best) - k)[len(best) - k]) if len(best) >= k else 0.0
 
     def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, without: slice | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and places of the k best over 0, exactly; ties (to six digits) go to the smaller id. without: places left out.
 
         terms, q: numbers and weights of the query's unit vector. Rare and heavy terms are added up first, until what the
-        others can add is small against the k-th score; the blocks' largest weights then rule out most examples,
-        and lists of the other terms are read for the remaining blocks alone."""
+        others can add is small against the k-th score. The blocks' largest entries of the others bound what each
+        example can still get; the few that could be among the best are finished one by one."""
         n = len(self.ids)
-        score = np.zeros(n)
         if not len(terms) or not n:
             return np.empty(0), np.empty(0, np.int64)
+        q = q * self.terms[terms]
         lo, hi = self.starts[terms], self.starts[terms + 1]
         rare = hi - lo <= RARE
-        score = self._add(score, lo[rare], hi[rare], q[rare])
-        at = np.searchsorted(self.common, terms[~rare])
-        lo, hi, q = lo[~rare], hi[~rare], q[~rare]
-        impact = q * self.most[at]
-        order = np.argsort(-impact, kind="stable")
+        common = ~rare
+        at = np.searchsorted(self.common, terms[common])
+        lo_, hi_, q_ = lo[common], hi[common], q[common]
+        impact = q_ * self.most[at]
+        order = np.argsort(-impact)
         rest = np.append(np.cumsum(impact[order][::-1])[::-1], 0.0)
-        done, step, floor = 0, 24, 0.0
-        while done < len(order):
-            now = order[done : done + step]
-            score = self._add(score, lo[now], hi[now], q[now])
-            done += len(now)
-            floor = self._kth(score, k, without)
-            if rest[done] <= 0.25 * floor:
+        done, score, floor = 0, self._add(np.zeros(n), lo[rare], hi[rare], q[rare]), 0.0
+        while True:
+            cosine = score * self.scale
+            if without is not None:
+                cosine[without] = 0
+            if done:
+                floor = self._floor(cosine, k)
+            if done == len(order) or done and rest[done] <= SLACK * floor:
                 break
-            step = min(max(24, int(np.searchsorted(-rest, -0.25 * floor)) - done), 2 * step)
+            now = done + 16 if not done else max(done + 16, min(int(np.searchsorted(-rest, -SLACK * floor)), 3 * done + 32))
+            strong = order[done:now]
+            score = self._add(score, lo_[strong], hi_[strong], q_[strong])
+            done = min(now, len(order))
         weak = order[done:]
         if len(weak):
-            e, of = _ranges(self.block_starts[at[weak]], self.block_starts[at[weak] + 1])
-            more = np.bincount(self.block[e], q[weak][of] * self.peak[e], self.blocks)
-            open_ = score + np.repeat(more, BLOCK)[:n] >= floor - 1e-6
-            live = np.zeros(self.blocks, bool)
-            live[np.nonzero(open_)[0] // BLOCK] = True
-            take = live[self.block[e]]
-            first = self.post[e][take]
-            score = self._add(score, first, first + self.count[e][take], q[weak][of[take]])
-            score[~np.repeat(live, BLOCK)[:n]] = 0
-        if without is not None:
-            score[without] = 0
-        score = np.round(score, 6)
-        floor = max(self._kth(score, k), 1e-6)
-        hits = np.nonzero(score >= floor)[0]
-        hits = hits[np.argsort(-score[hits], kind="stable")[:k]]
-        return score[hits], hits
-
-    @staticmethod
-    def _kth(score: np.ndarray, k: int, without: slice | None = None) -> float:
+            more = q_[weak].astype(np.float32) @ self.peak[at[weak]]
+            near = np.nonzero(cosine + np.repeat(more, BLOCK)[:n] >= max(floor - 1e-5, 1e-9))[0]
+            left = self._left()
+            left[terms[common][weak]] = q_[weak]
+            cuts = list(zip(self.row_starts[near].tolist(), self.row_starts[near + 1].tolist(), strict=True))
+            parts = [left[self.row_cols[i:j]] @ self.tf[self.row_code[i:j]] for i, j in cuts]
+            left[terms[common][weak]] = 0
+            cosine = cosine[near] + np.array(parts) * self.scale[near]
+        else:
+            near = np.nonzero(cosine)[0]
+            cosine = cosine[near]
+        cosine = np.round(cosine, 6)
         if without is not None:
-            score = score.copy()
-            score[without] = 0
-        return float(np.partition(score, len(score) - k)[len(score) - k]) if len(score) >= k else 0.0
+            cosine[(near >= without.start) & (near < without.stop)] = 0
+        best = np.argsort(-cosine, kind="stable")[:k]
+        best = best[cosine[best] > 0]
+        return cosine[best], near[best]
+
+    def _left(self) -> np.ndarray:
+        """A vector of zeros over the terms, kept by the task."""
+        if "zeros" not in self.__dict__:
+            self.zeros = np.zeros(len(self.terms), np.float32)
+        return self.zeros
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All places of the ranges, end to end, and the number of the range of each."""
+    """All places of the ranges, end to end, and the ranges' lengths."""
     n = (hi - lo).astype(np.int64)
-    of = np.repeat(np.arange(len(n)), n)
-    return np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n), of
+    return np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n), n
 
 
 @dataclass
 class Model:
-    """All that scoring needs, of bounded size: keys and weights of the examples' terms, index, calibration steps."""
+    """All that scoring needs, of bounded size: keys of the examples' terms, index with their weights, the examples' share."""
 
     keys: np.ndarray
-    weights: np.ndarray
-    index: BlockMaxIndex | None
+    index: BlockMaxIndex
     prior: float
 
-    def vector(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-        v = (1 + np.log(n)) * self.weights[ids]
-        return v / max(float(np.sqrt((v * v).sum())), 1e-12)
-
     def vote(self, ids: np.ndarray, n: np.ndarray, without: slice | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         """Share of toxic neighbours, each weighing by its distance, and the neighbours (cosine, place)."""
-        near, at = self.index.nearest(ids, self.vector(ids, n), NEIGHBOURS, without)
+        near, at = self.index.nearest(ids, self.index.unit(ids, n), NEIGHBOURS, without)
         w = near * near
         return float((w @ self.index.labels[at] + PRIOR * self.prior) / (w.sum() + PRIOR)), near, at
 
@@ -236,19 +269,18 @@ def draw(labelled: DataFrame, rows: int) -> DataFrame:
 
 
 def entries(drawn: DataFrame):
-    """ids and labels of the examples, sorted by id, and their terms end to end: keys, 1 + log of the counts, numbers of terms."""
+    """ids and labels of the examples, sorted by id, and their terms end to end: keys, counts, numbers of terms."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Terms()
         for pdf in batches:
             for at in range(0, len(pdf), 100):
                 part = pdf.iloc[at : at + 100]
-                found = [known.counts(t) for t in part["text"]]
-                yield pd.DataFrame({"id": part["id"], "label": part["label"], "terms": [i.astype(np.uint64).tobytes() for i, _ in found], "tf": [(1 + np.log(n)).astype(np.float32).tobytes() for _, n in found]})
+                found = list(Terms().counts(part["text"]))
+                yield pd.DataFrame({"id": part["id"], "label": part["label"], "terms": [i.tobytes() for i, _ in found], "counts": [n.astype(np.int32).tobytes() for _, n in found]})
 
-    found = drawn.mapInPandas(run, "id long, label int, terms binary, tf binary").toArrow()
+    found = drawn.mapInPandas(run, "id long, label int, terms binary, counts binary").toArrow()
     found = found.take(pc.sort_indices(found["id"]))
-    flat = [np.frombuffer(c.buffers()[2] or b"", t)for c, t in ((found["terms"].combine_chunks(), np.uint64), (found["tf"].combine_chunks(), np.float32))]
+    flat = [np.frombuffer(c.buffers()[2] or b"", t) for c, t in ((found["terms"].combine_chunks(), np.uint64), (found["counts"].combine_chunks(), np.int32))]
     sizes = pc.binary_length(found["terms"]).to_numpy().astype(np.int64) // 8
     return found["id"].to_numpy(), found["label"].to_numpy().astype(np.int64), flat[0][: sizes.sum()], flat[1][: sizes.sum()], sizes
 
@@ -259,10 +291,10 @@ def fit(docs: DataFrame, drawn: DataFrame) -> Model:
     Log odds of terms come from the drawn examples, document frequencies from all docs: each task counts the terms of
     its texts, and sums are by shuffle. What reaches the driver is bounded by the drawn rows and their terms."""
     spark = docs.sparkSession
-    ids, labels, keys, tf, sizes = entries(drawn)
+    ids, labels, keys, counts, sizes = entries(drawn)
     order = np.argsort(keys, kind="stable")
     rows = np.repeat(np.arange(len(ids), dtype=np.uint16 if len(ids) < 1 << 16 else np.int32), sizes)[order]
-    tf = tf[order]
+    counts = counts[order]
     keys = keys[order]
     del order
     first = np.ones(len(keys), bool)
@@ -274,8 +306,8 @@ def fit(docs: DataFrame, drawn: DataFrame) -> Model:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, n = Terms(shared.value), np.zeros(len(shared.value), np.int64)
         for pdf in batches:
-            for t in pdf["text"]:
-                n[known.distinct(t)] += 1
+            for ids in known.of(pdf["text"]):
+                n[ids] += 1  # once for a term, however often it is in the text
         i = np.nonzero(n)[0]
         for lo in range(0, len(i), 100_000):
             yield pd.DataFrame({"i": i[lo : lo + 100_000].astype(np.int32), "n": n[i[lo : lo + 100_000]]})
@@ -288,12 +320,9 @@ def fit(docs: DataFrame, drawn: DataFrame) -> Model:
     have = np.bincount(cols, minlength=len(keys))
     toxic = np.bincount(cols[labels[rows] == 1], minlength=len(keys))
     odds = np.log((toxic / share + SHRINK) / (have + SHRINK))
-    weights = ((np.log((1 + docs.count()) / (1 + df)) + 1) * odds**2).astype(np.float32)
-    tf = tf * weights[cols]
-    norm = np.sqrt(np.bincount(rows, tf * tf, len(ids)))
-    tf = tf / np.maximum(norm, 1e-12).astype(np.float32)[rows]
+    weights = (np.log((1 + docs.count()) / (1 + df)) + 1) * odds**2
     shared.unpersist()
-    return Model(keys, weights, BlockMaxIndex(ids, labels, len(keys), rows, cols, tf), float(share))
+    return Model(keys, BlockMaxIndex(ids, labels, weights, rows, cols, counts), float(share))
 
 
 def calibrate(drawn: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
@@ -301,10 +330,9 @@ def calibrate(drawn: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
-        known = Terms(m.keys)
         for pdf in batches:
             own = [slice(*np.searchsorted(m.index.ids, [i, i + 1]).tolist()) for i in pdf["id"]]
-            yield pd.DataFrame({"vote": [m.vote(*known.counts(t), s)[0] for t, s in zip(pdf["text"], own, strict=True)], "label": pdf["label"]})
+            yield pd.DataFrame({"vote": [m.vote(*c, s)[0] for c, s in zip(Terms(m.keys).counts(pdf["text"]), own, strict=True)], "label": pdf["label"]})
 
     votes = drawn.mapInPandas(run, "vote double, label double").toPandas().sort_values(["vote", "label"])
     if votes.empty:
@@ -324,12 +352,11 @@ def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
     shared = spark.sparkContext.broadcast(fit(docs, drawn))
     steps = calibrate(drawn, shared)
 
-    def classify(texts, memory: dict) -> tuple[list[float], list[list[dict]]]:
+    def classify(texts) -> tuple[list[float], list[list[dict]]]:
         m = shared.value
-        known = memory.setdefault("terms", Terms(m.keys))
         scores, evidence = [], []
-        for t in texts:
-            vote, near, at = m.vote(*known.counts(t))
+        for counts in Terms(m.keys).counts(texts):
+            vote, near, at = m.vote(*counts)
             scores.append(float(np.interp(vote, *steps)))
             evidence.append([{"id": int(i), "cosine": float(s), "label": int(y)} for i, s, y in zip(m.index.ids[at], near, m.index.labels[at], strict=True)])
         return scores, evidence
@@ -355,9 +382,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     classify = trained(source, labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")), train_rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory: dict = {}
         for pdf in batches:
-            scores, evidence = classify(pdf["text"], memory)
+            scores, evidence = classify(pdf["text"])
             yield pd.DataFrame({"id": pdf["id"], "score": scores, "evidence": evidence})
 
     kind = docs.schema["id"].dataType.simpleString()
@@ -374,9 +400,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict = {}
         for batch in batches:
-            scores, _ = classify(batch.column(at).to_pylist(), memory)
+            scores, _ = classify(batch.column(at).to_pylist())
             yield batch.filter(pa.array([s < REJECT for s in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

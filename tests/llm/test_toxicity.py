@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -12,31 +13,50 @@ from lexmill.llm import toxicity
 WORDS = [a + b + c for a in ("ka", "lo", "mi", "ru") for b in ("na", "po", "si", "du") for c in ("", "fe", "ga")]
 
 
-def index_of(vectors):
-    cols, rows, w = map(np.array, zip(*sorted((t, i, x) for i, v in enumerate(vectors) for t, x in v.items()), strict=True))
-    number, cols = np.unique(cols, return_inverse=True)
-    index = toxicity.BlockMaxIndex(np.arange(len(vectors)), np.zeros(len(vectors), int), len(number), rows, cols, w)
-    return index, {int(t): i for i, t in enumerate(number)}
-
-
 @pytest.mark.parametrize("terms,block", [(60, 128), (60, 16), (2000, 32), (9, 16)])
 def test_nearest_is_exact(terms, block, monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", block)
     rng = np.random.default_rng(terms + block)
-    heavy = rng.random(terms) ** 6 * 10
-    vectors = []
-    for _ in range(700):
-        v = {int(t): float(rng.integers(1, 4) * heavy[t]) + 1e-3 for t in rng.choice(terms, min(terms, 8), replace=False)}
-        n = math.sqrt(sum(x * x for x in v.values()))
-        vectors.append({t: x / n for t, x in v.items()})
-    index, number = index_of(vectors)
-    for k, q in enumerate(vectors[:80]):
-        w32 = [{t: float(np.float32(x)) for t, x in v.items()} for v in vectors]
-        want = sorted(((round(sum(w * v.get(t, 0) for t, w in q.items()), 6), i) for i, v in enumerate(w32) if i != k), key=lambda x: (-x[0], x[1]))[:25]
-        s, at = index.nearest(np.array([number[t] for t in q]), np.array(list(q.values())), 25, without=slice(k, k + 1))
-        assert s.tolist() == pytest.approx([s for s, _ in want if s > 0], abs=2e-6)
-        last = want[-1][0]
-        assert {i for s, i in zip(s, at.tolist()) if s > last + 3e-6} == {i for s, i in want if s > last + 3e-6}
+    rows = [Counter(rng.integers(0, terms, 12).tolist()) for _ in range(700)]
+    number = {t: i for i, t in enumerate(sorted({t for r in rows for t in r}))}
+    weights = rng.random(len(number)) ** 6 * 10 + 1e-3
+    cols, at, counts = map(np.array, zip(*sorted((number[t], i, n) for i, r in enumerate(rows) for t, n in r.items()), strict=True))
+    index = toxicity.BlockMaxIndex(np.arange(700), np.zeros(700, int), weights, at, cols, counts)
+    dense = np.zeros((700, len(number)))
+    dense[at, cols] = (1 + np.log(counts)) * weights[cols]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    for k in range(80):
+        t = np.array(sorted(number[x] for x in rows[k]))
+        n = np.array([rows[k][x] for x in sorted(rows[k], key=number.get)])
+        all_ = np.round(dense @ dense[k], 6)
+        all_[k] = 0
+        want = np.sort(all_)[::-1][:20]
+        s, at_ = index.nearest(t, index.unit(t, n), 20, without=slice(k, k + 1))
+        assert s.tolist() == pytest.approx(want[want > 0].tolist(), abs=2e-6)
+        assert set(at_[s > want[-1] + 3e-6]) == set(np.nonzero(all_ > want[-1] + 3e-6)[0])
+
+
+def test_terms_of_texts():
+    texts = ["Kanalo kan, KANALO! 12 x_y", None, "", "ñandú\u0301 ²a", "kan " * 70_000, "z" * 400]
+    got = list(toxicity.Terms().counts(texts))
+    want = [words(t) for t in texts]
+    assert [sorted(n.tolist()) for _, n in got] == [sorted(c.values()) for c in want]
+    keys = np.unique(np.concatenate([k for k, _ in got]))
+    assert len(keys) == len(set().union(*want))
+    numbered = list(toxicity.Terms(keys).counts(texts))
+    assert all((keys[i] == k).all() and (a == b).all() for (i, a), (k, b) in zip(numbered, got, strict=True))
+    assert not len(next(toxicity.Terms(np.empty(0, np.uint64)).counts(["kana"]))[0])
+
+
+def words(t):
+    """The terms of a text, spelled out."""
+    out = Counter()
+    for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+        out[w] += 1
+        for k in toxicity.PREFIX:
+            if len(w) > k:
+                out[w[:k] + "*"] += 1
+    return out
 
 
 def test_scores_brute_force(spark):
@@ -49,16 +69,7 @@ def test_scores_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in toxicity.score(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()}
 
-    def terms(t):
-        out = Counter()
-        for w in toxicity._WORD.findall((t or "").lower()):
-            out[w] += 1
-            for k in toxicity.PREFIX:
-                if len(w) > k:
-                    out[w[:k] + "*"] += 1
-        return out
-
-    counts = [terms(t) for t in texts]
+    counts = [words(t) for t in texts]
     df = Counter(t for c in counts for t in c)
     have, toxic = Counter(t for i in labels for t in counts[i]), Counter(t for i, y in labels.items() if y for t in counts[i])
     share = (sum(labels.values()) + 0.5) / (len(labels) + 1)
