@@ -33,7 +33,7 @@ def ship(spark: SparkSession) -> None:
     folder = os.path.realpath(tempfile.mkdtemp(prefix="lexmill-"))
     target = os.path.join(folder, "lexmill.zip")
     with zipfile.ZipFile(target, "w") as z:
-        for p in sorted((root / "lexmill").rglob("*.py")):
+        for p in sorted([*(root / "lexmill").rglob("*.py"), *(root / "lexmill").rglob("*.csv")]):
             z.write(p, str(p.relative_to(root)))
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
@@ -80,16 +80,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if n <= rows and total <= size else df
 
 
-def spread(rows: DataFrame, keyed: DataFrame, key: str, by: str, hot: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+def spread(rows: DataFrame, keyed: DataFrame, key: str | list[str], by: str, hot: int = HOT_ROWS, how: str = "inner") -> DataFrame:
     """rows joined with keyed on key, where keys of many rows are dealt over several tasks.
 
     keyed has one row for each key and its number of rows as n; it should be a written table. Keys of over hot rows
     are looked up first (there are few); their rows are dealt by the column by, and their row of keyed is repeated."""
-    parts = small(keyed.where(F.col("n") > hot).select(key, F.ceil(F.col("n") / hot).cast("int").alias("_parts")))
+    key = [key] if isinstance(key, str) else key
+    parts = small(keyed.where(F.col("n") > hot).select(*key, F.ceil(F.col("n") / hot).cast("int").alias("_parts")))
     dealt = rows.join(parts, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(F.col(by), F.lit(3)), F.col("_parts")).cast("int"), F.lit(0)))
     copies = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / hot).cast("int") - 1))
     copied = keyed.withColumn("_part", F.explode(F.when(F.col("n") > hot, copies).otherwise(F.array(F.lit(0))))).drop("n")
-    return dealt.drop("_parts").join(copied, [key, "_part"], how).drop("_part")
+    return dealt.drop("_parts").join(copied, [*key, "_part"], how).drop("_part")
 
 
 class Workspace:

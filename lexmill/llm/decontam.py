@@ -25,18 +25,23 @@ def size_class(q: Column) -> Column:
     return F.floor(F.log2(q)).cast("int")
 
 
+#: Hashes of an item's sketch beyond those that no document can miss all of: a document must hold this many and one.
+EXTRA = 3
+
+
 def sketch(items: DataFrame, n: int, threshold: int) -> DataFrame:
-    """(item, part, q, need, h): of each item the shingles of least hash, as many as its partition takes.
-
-    A document that holds need = ceil(threshold q / 100) of an item's q shingles misses q - need of them at most,
-    so of any q - need + 1 it holds one. The partition of sizes [2^p, 2^(p+1)) takes that number for its largest
-    size, which is enough for all of its items: no document can be missed."""
-    sets = items.select("item", F.explode_outer(F.array_sort(shingle_hashes(F.col("text"), n))).alias("h")).where("h is not null")
-    sizes = sets.groupBy("item").agg(F.count("*").alias("q"), F.array_sort(F.collect_list(F.struct(F.xxhash64("h").alias("m"), F.col("h")))).alias("hs"))
-    sizes = sizes.withColumn("part", size_class(F.col("q"))).withColumn("need", F.ceil(F.col("q") * threshold / 100).cast("long"))
+    """(item, mark, part, q, need, least, h): each item's MinHash sketch, the shingles of least hash, sized by its partition.
+
+    A document that holds need = ceil(threshold q / 100) of an item's q shingles misses q - need of them at most. The
+    partition of sizes [2^p, 2^(p+1)) takes that number for its largest size and 1 + EXTRA more; of a sketch of k hashes
+    such a document holds least = k - (q - need) at least, which is over 0 for all items of the partition."""
+    hashes = F.array_sort(F.transform(shingle_hashes(F.col("text"), n), lambda h: F.struct(F.xxhash64(h).alias("m"), h.alias("h"))))
+    sets = items.select("item", "mark", hashes.alias("hs")).withColumn("q", F.size("hs").cast("long")).where("q > 0")
+    sets = sets.withColumn("part", size_class(F.col("q"))).withColumn("need", F.ceil(F.col("q") * threshold / 100).cast("long"))
     top = (F.pow(F.lit(2), F.col("part") + 1) - 1).cast("long")
-    take = (top - F.ceil(top * threshold / 100) + 1).cast("int")
-    return sizes.select("item", "part", "q", "need", F.explode(F.slice("hs", 1, take)["h"]).alias("h"))
+    take = (top - F.ceil(top * threshold / 100) + 1 + EXTRA).cast("int")
+    sets = sets.withColumn("k", F.least(F.col("q"), take.cast("long")))
+    return sets.select("item", "mark", "part", "q", "need", (F.col("k") - F.col("q") + F.col("need")).alias("least"), F.explode(F.slice("hs", F.lit(1), take)["h"]).alias("h"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: int = 80, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -44,37 +49,43 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: int =
 
     Shingles are distinct runs of n words of the lower-cased (A-Z) text; an item of fewer words is one shingle
     and found only in a text of the same words. Null, empty and wordless texts and items hold nothing. Rows with
-    the same id count as one document each and are reported once; null ids are not searched. Empty tables give an
-    empty result. Other columns are not read.
+    the same id are each compared by their own text and reported once for an item; so are items. Null ids are not
+    searched. Empty tables give an empty result. Other columns are not read.
 
     Items are few and small next to documents; their sketches, counted first, go to all executors, or are joined
-    by shuffle if they are many. Documents that share a sketch hash and are long enough are candidates; their
-    texts alone are read again, and shingles are compared as text."""
+    by shuffle if they are many. A document's hashes that are in no sketch are dropped at once. Documents that hold as
+    many of an item's sketch as its containment asks for, and are long enough, are candidates; their texts alone are
+    read again, and shingles are compared as text."""
     work = Workspace(docs.sparkSession, "decontam")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    items = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("item is not null")
-    sk = work.write(sketch(items, n, threshold), "sketch")
-    by_hash = sk.groupBy("h").agg(F.min("need").alias("least"))
-    hashed = docs.where("id is not null").select("id", shingle_hashes(F.col("text"), n).alias("hs"))
-    met = hashed.select("id", F.size("hs").alias("n"), F.explode("hs").alias("h")).join(small(by_hash), "h").where("n >= least").select("id", "h")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("doc")).where("id is not null")
+    items = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark")).where("item is not null")
+    sk = work.write(sketch(items, n, threshold).distinct(), "sketch")
+    by_hash = sk.groupBy("h").agg(F.min("need").alias("shortest"))
+    hashed = docs.select("id", "doc", shingle_hashes(F.col("text"), n).alias("hs"))
+    met = hashed.select("id", "doc", F.size("hs").alias("n"), F.explode("hs").alias("h")).join(small(by_hash), "h").where("n >= shortest").select("id", "doc", "n", "h")
     met = work.write(met.distinct(), "met")
-    cands = work.write(met.join(small(sk.select("h", "item")), "h").select("id", "item").distinct(), "candidates")
-    wanted = small(cands.select("id").distinct())
-    texts = docs.join(wanted, "id", "left_semi").select("id", shingle_texts(F.col("text"), n).alias("shingles"))
-    sets = items.select("item", shingle_texts(F.col("text"), n).alias("own"))
-    pairs = texts.join(small(cands), "id").join(small(sets.select("item", "own"), 20_000), "item")
+    held = met.join(small(sk.select("h", "item", "mark", "need", "least")), "h").where("n >= need")
+    held = held.groupBy("id", "doc", "item", "mark").agg(F.count("*").alias("held"), F.first("least").alias("least")).where("held >= least")
+    cands = work.write(held.select("id", "doc", "item", "mark"), "candidates")
+    wanted = small(cands.select("id", "doc").distinct())
+    texts = docs.join(wanted, ["id", "doc"], "left_semi").select("id", "doc", shingle_texts(F.col("text"), n).alias("shingles"))
+    sets = items.select("item", "mark", shingle_texts(F.col("text"), n).alias("own"))
+    pairs = texts.join(small(cands), ["id", "doc"]).join(small(sets, 20_000), ["item", "mark"])
     pairs = pairs.withColumns({"n_item_shingles": F.size("own").cast("long"), "n_shared": F.size(F.array_intersect("own", "shingles")).cast("long")})
     hit = pairs.where(100 * F.col("n_shared") >= threshold * F.col("n_item_shingles")).where("n_item_shingles > 0")
-    out = hit.groupBy("id", "item").agg(F.max("n_item_shingles").alias("n_item_shingles"), F.max("n_shared").alias("n_shared"))
-    out = out.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item_shingles"), 6))
+    best = hit.groupBy("id", "item").agg(F.max(F.struct(F.round(F.col("n_shared") / F.col("n_item_shingles"), 6).alias("containment"), "n_item_shingles", "n_shared")).alias("b"))
+    out = best.select("id", "item", "b.n_item_shingles", "b.n_shared", "b.containment")
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: int = 80, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that hold no item."""
-    hit = contaminated(docs, items, n, threshold, id_col, item_col, text_col).select(id_col).distinct()
+    """The rows of docs, all columns, whose own text holds no item, whatever their ids."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*names).alias("row"), F.md5(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    texts = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
+    hit = contaminated(keyed, texts, n, threshold, "text_key", "item", "text").select("text_key").distinct()
     hit = Workspace(docs.sparkSession, "decontam-hit").write(hit, "hit")
-    return docs.join(small(hit), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(small(hit), "text_key", "left_anti").select("row.*")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import pkgutil
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import Workspace, ascii_lower, small, table
+from lexmill.llm.common import Workspace, ascii_lower, ship, small, spread, table
 
 #: (host and path, verdict) of production.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Listed sites and pages of production, as canonical URLs: a host and "/" lists the host and its subdomains.
-LISTED = ("casino-win.example.com/", "cheap-pills.example.com/", "free-bets.example.com/")
+#: Listed sites of production, as canonical URLs: a host and "/" lists the host and its subdomains.
+LISTED = tuple(pkgutil.get_data(__package__, "blocked_sites.csv").decode().split()[1:])
 #: Session setting that names a table of listed URLs.
 LISTED_TABLE = "lexmill.urls.listed"
-#: Bits a key, and the bits of a block: eight words of 64, one bit set in four of them for each key.
+#: Bits a key, and bits that each key sets in its block of eight words of 64.
 BITS_PER_KEY, PROBES = 16, 4
+#: Blocks of the filter at most: 32 MB that every executor gets. A longer list fills them more and lets more URLs
+#: through to the exact join, which decides.
+MOST_BLOCKS = 1 << 19
 
 
 def host_of(url: Column) -> Column:
@@ -53,21 +58,30 @@ def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("long")
 
 
-def _bits(key: Column) -> list[tuple[Column, Column]]:
-    """(word, mask) of the probes of a key."""
-    h = F.xxhash64(key, F.lit(1))
-    out = []
-    for p in range(PROBES):
-        part = F.shiftrightunsigned(h, 9 * p).bitwiseAND(F.lit(511))
-        out.append((F.shiftright(part, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), part.bitwiseAND(F.lit(63)).cast("int"))))
+def _places(key: Column) -> Column:
+    """The second hash of a key, of which each nine bits name a bit of its block."""
+    return F.xxhash64(key, F.lit(1))
+
+
+def bloom_filter(listed: DataFrame, blocks: int) -> np.ndarray:
+    """The blocked Bloom filter of the column key, as words by block: bits are set by partial aggregates."""
+    h = _places(F.col("key"))
+    bits = [F.shiftrightunsigned(h, 9 * p).bitwiseAND(F.lit(511)) for p in range(PROBES)]
+    mask = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63)).cast("int"))
+    found = listed.select(_block(F.col("key"), blocks).alias("block"), F.explode(F.array(*[F.struct(F.shiftright(b, 6).cast("int").alias("w"), mask(b).alias("m")) for b in bits])).alias("b"))
+    rows = found.groupBy("block", "b.w").agg(F.bit_or("b.m").alias("m")).toPandas()  # MOST_BLOCKS * 8 rows at most
+    out = np.zeros((blocks, 8), np.uint64)
+    out[rows["block"].to_numpy(), rows["w"].to_numpy()] = rows["m"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
-    """(block, w0..w7): the blocked Bloom filter of the column key, one row for each block in use."""
-    set_bits = listed.select(_block(F.col("key"), blocks).alias("block"), F.explode(F.array(*[F.struct(w.alias("w"), m.alias("m")) for w, m in _bits(F.col("key"))])).alias("b"))
-    words = [F.coalesce(F.bit_or(F.when(F.col("b.w") == i, F.col("b.m"))), F.lit(0).cast("long")).alias(f"w{i}") for i in range(8)]
-    return set_bits.groupBy("block").agg(*words)
+def might_hold(bloom: np.ndarray, block: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold the keys: all their bits are set."""
+    h, hit = places.view(np.uint64), np.ones(len(block), bool)
+    for p in range(PROBES):
+        bit = h >> np.uint64(9 * p) & np.uint64(511)
+        hit &= bloom[block, (bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1) == 1
+    return hit
 
 
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -78,33 +92,38 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "
     its site is listed. Null URLs and such without :// have empty host and path, no rule and the default verdict.
     Repeated rows stay, other columns are not read, empty tables of any of the three are fine.
 
-    Each page goes to the filter's blocks with its few keys; a block is eight words. Keys whose bits are set go on
-    to a join with the listed URLs by text, which removes false positives. Rules, listed URLs and blocks are
-    broadcast only if counted as few; a key of many rows is otherwise split by AQE."""
+    Each place (host and path) is judged once: its few keys are looked up in the filter, a bit set of bounded size that
+    every executor holds. Keys whose bits are set go on to a hash join with the listed URLs by text, which removes
+    false positives. Rules, listed URLs and verdicts are broadcast only if counted and measured as small; places of many
+    rows are otherwise dealt over tasks, and rows without a host take part in no join."""
+    ship(pages.sparkSession)
     work = Workspace(pages.sparkSession, "urls")
     parsed = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    sites = parsed.groupBy("host", "path").count().drop("count")  # each place is judged once
-    sites = work.write(sites, "sites")
+    sites = work.write(parsed.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n")), "sites")
 
     rules = rules.select(F.col("rule"), F.col("verdict").alias("said"), F.substring_index("rule", "/", 1).alias("suffix"), F.expr("substring(rule, instr(rule, '/'))").alias("start"))
-    fits = sites.where("host <> ''").select("host", "path", F.explode(suffixes(F.col("host"))).alias("suffix")).join(small(work.write(rules, "rules")), "suffix").where("startswith(path, start)")
+    fits = sites.select("host", "path", F.explode(suffixes(F.col("host"))).alias("suffix")).join(small(work.write(rules, "rules")), "suffix").where("startswith(path, start)")
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "said")).alias("r"))
 
     keys = work.write(listed.select(canonical(F.col("url")).alias("key")).where("key is not null").distinct(), "listed")
-    blocks = max(1, keys.count() * BITS_PER_KEY // 512 + 1)
-    bloom = work.write(bloom_filter(keys, blocks), "bloom")
+    blocks = min(MOST_BLOCKS, keys.count() * BITS_PER_KEY // 512 + 1)
+    bloom = pages.sparkSession.sparkContext.broadcast(bloom_filter(keys, blocks))
+
+    @F.pandas_udf("boolean")
+    def maybe_listed(block: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series(might_hold(bloom.value, block.to_numpy(), places.to_numpy()))
+
     probes = sites.select("host", "path", F.explode(canonical_keys(F.col("host"), F.col("path"))).alias("key"))
-    asked = probes.withColumn("block", _block(F.col("key"), blocks)).join(small(bloom), "block")
-    words = F.array(*[F.col(f"w{i}") for i in range(8)])
-    hit = F.lit(True)
-    for w, m in _bits(F.col("key")):
-        hit = hit & (F.get(words, w).bitwiseAND(m) != 0)
-    maybe = asked.where(hit).select("host", "path", "key")
+    maybe = probes.where(maybe_listed(_block(F.col("key"), blocks), _places(F.col("key"))))
     sure = maybe.join(small(keys), "key", "left_semi").select("host", "path").distinct().withColumn("listed", F.lit(True))
 
     judged = work.write(sites.join(best, ["host", "path"], "left").join(sure, ["host", "path"], "left").select(
-        "host", "path", F.col("r.rule").alias("rule"), F.col("r.said").alias("said"), F.coalesce("listed", F.lit(False)).alias("listed")), "judged")
-    out = parsed.join(small(judged, 100_000), ["host", "path"])
+        "host", "path", "n", F.col("r.rule").alias("rule"), F.col("r.said").alias("said"), F.coalesce("listed", F.lit(False)).alias("listed")), "judged")
+    named = parsed.where("host <> ''")
+    few = small(judged.drop("n"), 100_000, 16 << 20)
+    out = named.join(few, ["host", "path"]) if judged.limit(100_001).count() <= 100_000 else spread(named, judged, ["host", "path"], "id")
+    bare = parsed.where("host = ''").select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("said"), F.lit(False).alias("listed"))
+    out = out.select("id", "host", "path", "rule", "said", "listed").unionByName(bare)
     verdict = F.coalesce("said", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit(default)))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "listed")
 
@@ -120,10 +139,7 @@ def production_list(spark) -> DataFrame:
 def listed_table(spark) -> DataFrame:
     """url: the Parquet table of any size that lexmill.urls.listed names, or the package's six sites."""
     path = spark.conf.get(LISTED_TABLE, None)
-    if path:
-        return spark.read.parquet(path).select("url")
-    lines = pkgutil.get_data(__package__, "blocked_sites.csv").decode().split()[1:]  # read by the driver alone
-    return spark.createDataFrame([(u,) for u in lines], "url string")
+    return spark.read.parquet(path).select("url") if path else production_list(spark)
 
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
