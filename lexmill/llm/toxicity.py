@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import Workspace, fold, ship, small, table
 
 #: The classifier is fitted on this many labelled rows at most, drawn by hash of id and text from all labelled rows.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 4_000
 #: Terms are words and their beginnings of these lengths.
 PREFIX = (3, 4, 6)
 #: A term's weight is its idf times the square of its log odds of a toxic row, as if SHRINK more rows had the term at
@@ -129,25 +129,28 @@ class BlockMaxIndex:
     def __init__(self, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, rows: np.ndarray, cols: np.ndarray, counts: np.ndarray):
         n, v = len(ids), len(weights)
         self.ids, self.labels, self.terms = ids, labels, weights.astype(np.float64)
-        values, code = np.unique(counts, return_inverse=True)
-        self.tf = (1 + np.log(np.maximum(values, 1))).astype(np.float32)
-        self.code = code.astype(np.uint8 if len(values) < 256 else np.uint16 if len(values) < 1 << 16 else np.int32)
+        parts = [slice(i, i + 500_000) for i in range(0, max(len(counts), 1), 500_000)]  # no copies of all entries
+        self.tf = np.concatenate([(1 + np.log(counts[p])).astype(np.float32) for p in parts])
         self.rows = rows.astype(np.uint16 if n < 1 << 16 else np.int32)
         self.starts = np.searchsorted(cols, np.arange(v + 1)).astype(np.int32)
-        norm = np.sqrt(np.bincount(rows, (self.tf[self.code] * self.terms[cols]) ** 2, n))
-        self.scale = 1 / np.maximum(norm, 1e-12)
+        square = sum(np.bincount(rows[p], (self.tf[p] * self.terms[cols[p]]) ** 2, n) for p in parts)
+        self.scale = 1 / np.maximum(np.sqrt(square), 1e-12)
         # the same by row, to finish a few rows
         order = np.argsort(self.rows, kind="stable")
-        self.row_cols, self.row_code = cols[order].astype(np.int32), self.code[order]
+        self.row_cols, self.row_tf = cols[order].astype(np.int32), self.tf[order]
         self.row_starts = np.searchsorted(self.rows[order], np.arange(n + 1)).astype(np.int32)
         # largest entries by block of the terms that are not rare, without the terms' weights, rounded up
         size = np.diff(self.starts)
         self.common = np.nonzero(size > RARE)[0].astype(np.int32)
         self.blocks = -(-n // BLOCK)
-        mine = np.nonzero(np.repeat(size > RARE, size))[0]
         peak = np.zeros((len(self.common), self.blocks), np.float32)
-        number = np.repeat(np.arange(len(self.common)), size[self.common])
-        np.maximum.at(peak, (number, self.rows[mine] // BLOCK), (self.tf[self.code[mine]] * self.scale[self.rows[mine]]).astype(np.float32))
+        number = np.full(v, -1, np.int32)
+        number[self.common] = np.arange(len(self.common))
+        for p in parts:
+            of = number[cols[p]]
+            mine = of >= 0
+            at = self.rows[p][mine]
+            np.maximum.at(peak, (of[mine], at // BLOCK), (self.tf[p][mine] * self.scale[at]).astype(np.float32))
         self.peak = peak * np.float32(1 + 1e-6)
         self.most = self.peak.max(axis=1) if self.peak.size else np.empty(0, np.float32)
 
@@ -158,7 +161,7 @@ class BlockMaxIndex:
 
     def _add(self, score: np.ndarray, lo: np.ndarray, hi: np.ndarray, q: np.ndarray) -> np.ndarray:
         at, n = _ranges(lo, hi)
-        return score + np.bincount(self.rows[at], np.repeat(q, n) * self.tf[self.code[at]], len(score)) if len(at) else score
+        return score + np.bincount(self.rows[at], np.repeat(q, n) * self.tf[at], len(score)) if len(at) else score
 
     def _floor(self, cosine: np.ndarray, k: int) -> float:
         """At most the k-th best cosine: the k-th best of the blocks' best, or of all where there are few blocks."""
@@ -203,7 +206,7 @@ class BlockMaxIndex:
             left = self._left()
             left[terms[common][weak]] = q_[weak]
             cuts = list(zip(self.row_starts[near].tolist(), self.row_starts[near + 1].tolist(), strict=True))
-            parts = [left[self.row_cols[i:j]] @ self.tf[self.row_code[i:j]] for i, j in cuts]
+            parts = [left[self.row_cols[i:j]] @ self.row_tf[i:j] for i, j in cuts]
             left[terms[common][weak]] = 0
             cosine = cosine[near] + np.array(parts) * self.scale[near]
         else:
