@@ -142,12 +142,12 @@ class BlockMaxIndex:
         # largest entries by block of the terms that are not rare, without the terms' weights, rounded up
         size = np.diff(self.starts)
         self.common = np.nonzero(size > RARE)[0].astype(np.int32)
+        self.number = np.full(v, -1, np.int32)  # of the terms that are not rare
+        self.number[self.common] = np.arange(len(self.common))
         self.blocks = -(-n // BLOCK)
         peak = np.zeros((len(self.common), self.blocks), np.float32)
-        number = np.full(v, -1, np.int32)
-        number[self.common] = np.arange(len(self.common))
         for p in parts:
-            of = number[cols[p]]
+            of = self.number[cols[p]]
             mine = of >= 0
             at = self.rows[p][mine]
             np.maximum.at(peak, (of[mine], at // BLOCK), (self.tf[p][mine] * self.scale[at]).astype(np.float32))
@@ -179,9 +179,10 @@ class BlockMaxIndex:
             return np.empty(0), np.empty(0, np.int64)
         q = q * self.terms[terms]
         lo, hi = self.starts[terms], self.starts[terms + 1]
-        rare = hi - lo <= RARE
+        at = self.number[terms]
+        rare = at < 0
         common = ~rare
-        at = np.searchsorted(self.common, terms[common])
+        at = at[common]
         lo_, hi_, q_ = lo[common], hi[common], q[common]
         impact = q_ * self.most[at]
         order = np.argsort(-impact)
@@ -344,7 +345,8 @@ def calibrate(drawn: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
-    """A function of texts that gives (score, evidence) of each: the fitted and calibrated classifier.
+    """A function of texts that gives scores and neighbours: the fitted and calibrated classifier. Its attribute evidence
+    makes a column of the neighbours.
 
     docs: id, text; labels: id, label. Of an id with several texts each is an example with the id's label."""
     spark = docs.sparkSession
@@ -355,15 +357,19 @@ def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
     shared = spark.sparkContext.broadcast(fit(docs, drawn))
     steps = calibrate(drawn, shared)
 
-    def classify(texts) -> tuple[list[float], list[list[dict]]]:
+    def classify(texts) -> tuple[list[float], list[tuple[np.ndarray, np.ndarray]]]:
         m = shared.value
-        scores, evidence = [], []
-        for counts in Terms(m.keys).counts(texts):
-            vote, near, at = m.vote(*counts)
-            scores.append(float(np.interp(vote, *steps)))
-            evidence.append([{"id": int(i), "cosine": float(s), "label": int(y)} for i, s, y in zip(m.index.ids[at], near, m.index.labels[at], strict=True)])
-        return scores, evidence
+        found = [m.vote(*counts) for counts in Terms(m.keys).counts(texts)]
+        return np.interp([v for v, _, _ in found], *steps).tolist(), [(near, at) for _, near, at in found]
 
+    def evidence(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+        index = shared.value.index
+        ends = np.cumsum([0, *[len(at) for _, at in found]])
+        near, at = (np.concatenate([*x, np.empty(0, t)]) for x, t in zip(zip(*found, strict=True), (float, np.int64), strict=True)) if found else (np.empty(0), np.empty(0, np.int64))
+        parts = [pa.array(index.ids[at]), pa.array(near), pa.array(index.labels[at].astype(np.int32))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["id", "cosine", "label"]))
+
+    classify.evidence = evidence
     return classify
 
 
@@ -384,13 +390,13 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     source = docs if train_docs is None else train_docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     classify = trained(source, labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")), train_rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            scores, evidence = classify(pdf["text"])
-            yield pd.DataFrame({"id": pdf["id"], "score": scores, "evidence": evidence})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores, found = classify(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), classify.evidence(found)], ["id", "score", "evidence"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    out = docs.mapInPandas(run, f"id {kind}, score double, evidence array<struct<id:bigint,cosine:double,label:int>>")
+    out = docs.mapInArrow(run, f"id {kind}, score double, evidence array<struct<id:bigint,cosine:double,label:int>>")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), "evidence")
 
 
