@@ -15,6 +15,8 @@ BODIES = (
     f"<h1>{TITLE}</h1><p>{LONG}</p><blockquote><p>{MID}</p></blockquote><h3>Costs</h3><p>{MID} <a href='/x'>See the report</a>.</p><table><tr><td>Span</td><td>Cost</td></tr><tr><td>North</td><td>1.2</td></tr></table>",
     f"<p>{LONG}</p><p>{LONG}</p><div>{MID}</div><pre>load = 3 * span</pre><ol><li>{MID}</li><li>{SHORT}</li></ol><p>On site</p><figure><figcaption>{SHORT}</figcaption></figure>",
     f"<h1>{TITLE}</h1><p>On.</p><p>{SHORT}</p><ol><li>{MID}</li><li>{SHORT}</li><li>Piers</li></ol><p>{MID}</p><p>Engineers said</p><ul><li>Spans</li></ul>",
+    f"<h1>{TITLE}</h1><p>{MID}</p>",
+    f"<h2>{TITLE}</h2><p>{LONG}</p>",
     f"<h2>{TITLE}</h2><ul><li>{MID}</li><li>{SHORT}</li><li>{SHORT}</li><li>{MID}</li></ul><p>{SHORT}</p><dl><dt>Pier</dt><dd>{MID}</dd></dl>",
 )
 #: Containers of the body: (opening, closing).
@@ -27,6 +29,10 @@ FRAMES = (
     ("<div class='article-body story' data-content='1'>", "</div>"),
     ("<div id='wrapper' class='container page'><section class='article text' role='main' data-content='1'>", "</section></div>"),
     ("<div data-content='1'>", "</div>"),
+    ("<div class='wrap outer'><div class='row inner'><div class='col box' data-content='1'>", "</div></div></div>"),
+    ("<div><div data-content='1'>", "</div></div>"),
+    ("<div><div><div data-content='1'>", "</div></div></div>"),
+    ("<div class='grid'><div class='cell block' data-content='1'>", "</div></div>"),
     ("<article data-content='1'><section>", "</section></article>"),
     ("", ""),
 )

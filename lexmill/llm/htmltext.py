@@ -39,6 +39,7 @@ class Tree(HTMLParser):
         self.labels: list[int] = [0]
         self.linked = [0]
         self.open: list[tuple[str, int]] = [(ROOT, 0)]  # tag, block
+        self.count: Counter = Counter()  # of the open tags, so that no search goes through them all in vain
         self.hidden, self.links, self.run, self.run_linked = 0, 0, [], 0
 
     def read(self, html: str) -> Tree:
@@ -62,13 +63,14 @@ class Tree(HTMLParser):
     def pop(self, at: int) -> None:
         self.flush()
         for tag, _ in self.open[at:]:
+            self.count[tag] -= 1
             self.hidden -= tag in HIDDEN
             self.links -= tag == "a"
         del self.open[at:]
 
     def close_head(self) -> None:
         """End a head that is open, with what is open in it, but for templates."""
-        at = next((k for k, (tag, _) in enumerate(self.open) if tag == "head"), 0)
+        at = next((k for k, (tag, _) in enumerate(self.open) if tag == "head"), 0) if self.count["head"] else 0
         if at and all(tag != "template" for tag, _ in self.open[at:]):
             self.pop(at)
 
@@ -81,12 +83,13 @@ class Tree(HTMLParser):
             return
         if tag in INLINE:
             self.links += tag == "a"
+            self.count[tag] += 1
             self.open.append((tag, self.open[-1][1]))
             return
         if tag == "object" and not self.hidden and not dict(attrs).get("data"):
             return  # nothing to load: its content is shown
         closes, bounds = _CLOSES.get(tag, (("p",) if tag not in HIDDEN else (), ("button", "td", "th", "table")))
-        for k in range(len(self.open) - 1, 0, -1):
+        for k in range(len(self.open) - 1 if any(self.count[x] for x in closes) else 0, 0, -1):
             if self.open[k][0] in closes:
                 self.pop(k)
                 break
@@ -95,18 +98,23 @@ class Tree(HTMLParser):
         self.flush()
         if tag in HIDDEN:
             self.hidden += 1
+            self.count[tag] += 1
             self.open.append((tag, self.open[-1][1]))
             return
         own = dict(attrs)
         names = tuple({w.lower() for key in ("class", "id", "role", "aria-label", "itemprop") for w in _NAME.findall(own.get(key) or "")})
         label = int(own["data-content"]) if "data-content" in own else self.labels[self.open[-1][1]]
+        self.count[tag] += 1
         self.open.append((tag, self.node(tag, names, "", label)))
 
     def handle_endtag(self, tag):
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
                 if tag in INLINE:  # what it wraps goes on
                     self.links -= tag == "a"
+                    self.count[tag] -= 1
                     del self.open[k]
                 else:
                     self.pop(k)
@@ -133,6 +141,8 @@ def features(tree: Tree, i: int) -> list[str]:
     return [f"name {w}" for w in tree.names[i]]
 
 
+#: Where no text reaches a half but the best one this, what comes close to the best is taken.
+DOUBT = 0.2
 #: States of a node: no content, content, and neither itself but with content below.
 OTHER, CONTENT, WRAPPER = STATES = (0, 1, 2)
 
@@ -217,7 +227,9 @@ class Model:
         if set(tree.tags[1:]) <= {TEXT}:
             return " ".join(tree.texts[1:])  # no element at all: plain text
         p = self.marginals(tree)
-        return " ".join(t for t, tag, x in zip(tree.texts, tree.tags, p, strict=True) if tag == TEXT and x > 0.5)
+        most = max((x for tag, x in zip(tree.tags, p, strict=True) if tag == TEXT), default=0.0)
+        cut = 0.5 if most > 0.5 or most < DOUBT else 0.8 * most  # a page in doubt keeps its likeliest texts
+        return " ".join(t for t, tag, x in zip(tree.texts, tree.tags, p, strict=True) if tag == TEXT and x > cut)
 
 
 def _scale(b: list[float]) -> None:
@@ -232,7 +244,8 @@ def model() -> Model:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """(id, kept columns, text), one row for each row of pages: the text of the nodes whose marginal is over a half.
+    """(id, kept columns, text), one row for each row of pages: the text of the nodes whose marginal is over a half
+    (or, where none is, close to the page's best, if that is over DOUBT).
 
     Character references are decoded, white space in a block becomes one space, and blocks are joined by one space
     in page order. Null, empty and textless pages give an empty text; broken markup is read as browsers would,
