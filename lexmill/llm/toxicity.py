@@ -31,8 +31,9 @@ SLACK = 0.3
 #: Votes of weight PRIOR for the share of toxic rows among the examples.
 PRIOR = 1e-3
 REJECT = 0.7
-#: Texts are taken together up to this many characters.
-CHUNK_CHARS = 800_000
+#: Rows are taken from a batch by so many, and their texts together up to this many characters.
+SLICE = 500
+CHUNK_CHARS = 400_000
 
 _random = np.random.default_rng(20240510).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -307,16 +308,16 @@ def fit(docs: DataFrame, drawn: DataFrame) -> Model:
     keys = keys[first].copy()
     shared = spark.sparkContext.broadcast(keys)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n = Terms(shared.value), np.zeros(len(shared.value), np.int64)
-        for pdf in batches:
-            for ids in known.of(pdf["text"]):
+        for batch in _slices(batches):
+            for ids in known.of(batch.column(0).to_pylist()):
                 n[ids] += 1  # once for a term, however often it is in the text
         i = np.nonzero(n)[0]
         for lo in range(0, len(i), 100_000):
-            yield pd.DataFrame({"i": i[lo : lo + 100_000].astype(np.int32), "n": n[i[lo : lo + 100_000]]})
+            yield pa.RecordBatch.from_arrays([pa.array(i[lo : lo + 100_000].astype(np.int32)), pa.array(n[i[lo : lo + 100_000]])], ["i", "n"])
 
-    total = docs.select("text").mapInPandas(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    total = docs.select("text").mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(len(keys))
     df[total["i"].to_numpy()] = total["n"].to_numpy()
     del total
@@ -373,6 +374,13 @@ def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
     return classify
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that few texts are held as Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(id, score, predicted, evidence), one row for each row of docs.
 
@@ -391,7 +399,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     classify = trained(source, labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")), train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             scores, found = classify(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), classify.evidence(found)], ["id", "score", "evidence"])
 
@@ -409,7 +417,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             scores, _ = classify(batch.column(at).to_pylist())
             yield batch.filter(pa.array([s < REJECT for s in scores], pa.bool_()))
 
