@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
 from lexmill.operators import merge, ranking, scoring
 from lexmill.plans import routing
 from lexmill.sources.html import html_text
-from lexmill.sources.tagged import parse_pairs
+from lexmill.sources.tagged import parse_pairs, parse_texts
 
 STOP = ("the", "of", "and", "to", "in", "is", "de", "la", "le", "die", "der", "und")
 SYNONYMS = {"the": ["that", "this"], "of": ["from"], "la": ["le", "les"]}
 ROUTES = [("commercial", ("price", "the", "ord")), ("situational", ("is that", "que", "ein"))]
+#: Ends of a word with letters, digits and _ of all alphabets: \\b means different things to different engines.
+BEFORE, AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 GUARDS = [
-    {"when": ("the",), "unless": ("thatth",), "forbid": r"\bof\b", "forbid_note": "NOTE: of", "ensure": r"\bwith\b", "ensure_note": "NOTE: with"},
-    {"when": ("que",), "forbid": r"\ble\b", "forbid_note": "NOTE: le"},
+    {"when": ("the",), "unless": ("thatth",), "forbid": f"{BEFORE}of{AFTER}", "forbid_note": "NOTE: of", "ensure": f"{BEFORE}with{AFTER}", "ensure_note": "NOTE: with"},
+    {"when": ("que",), "forbid": f"{BEFORE}le{AFTER}", "forbid_note": "NOTE: le"},
+    {"when_any": (r"^the", r"[?]\z"), "unless_any": (f"{BEFORE}und{AFTER}",), "require": ("e", f"{BEFORE}in{AFTER}"), "require_note": "NOTE: in"},
 ]
 
 
@@ -70,10 +73,11 @@ def bm25_top10(spark, d):
 
 
 def tag_count_top1(spark, d):
-    """Tags are beginnings of the words of part names; each question gets the part with most tags in it."""
-    tags = _t(spark, d, "part").select("p_partkey", F.transform(F.split("p_name", " "), lambda w: F.lower(F.substring(w, 1, 3))).alias("tags"))
+    """Tags are language, source and kind of event; each question gets the item with most tags in it."""
+    docs = _t(spark, d, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("item"))
+    tags = docs.select("item", F.array(F.lower("lang"), F.lower("source"), F.substring_index(F.lower("source"), "c", 1), F.concat("lang", "lang")).alias("tags"))
     q = _t(spark, d, "benchmark").select("item_id", X.normalize("text").alias("q"))
-    return ranking.best(scoring.tag_hits(q, tags, "item_id", "p_partkey"), "item_id", "hits", "p_partkey")
+    return ranking.best(scoring.tag_hits(q, tags, "item_id", "item"), "item_id", "hits", "item")
 
 
 def index_filter(spark, d):
@@ -96,18 +100,33 @@ def merge_overlay(spark, d):
 
 
 def gen_cross(spark, d):
-    r, n = _t(spark, d, "region"), _t(spark, d, "nation")
-    kinds = F.explode(F.array(*[F.lit(x) for x in ("how", "when", "where")])).alias("kind")
-    rows = F.broadcast(r.select("r_name")).crossJoin(F.broadcast(n.select("n_name"))).select("r_name", "n_name", kinds)
-    numbered = rows.withColumn("n", F.row_number().over(Window.orderBy("r_name", "n_name", "kind")))
+    """All combinations of three small dimensions, numbered from the places of their values: no join and no window."""
+    dims = _t(spark, d, "region").select("r_name", F.lit(None).cast("string").alias("n_name")).unionByName(_t(spark, d, "nation").select(F.lit(None).cast("string").alias("r_name"), "n_name"))
+    lists = dims.agg(F.sort_array(F.collect_list("r_name")).alias("r"), F.sort_array(F.collect_list("n_name")).alias("n"))
+    rows = lists.select("n", F.size("n").alias("size"), F.posexplode("r").alias("i", "r_name")).repartition("i")
+    rows = rows.select("i", "r_name", "size", F.posexplode("n").alias("j", "n_name"))
+    rows = rows.select("i", "r_name", "size", "j", "n_name", F.posexplode(F.array(*[F.lit(x) for x in ("how", "when", "where")])).alias("k", "kind"))
+    numbered = rows.withColumn("n", ((F.col("i") * F.col("size") + F.col("j")) * 3 + F.col("k") + 1).cast("long"))
     return numbered.select(F.format_string("Q-%04d", "n").alias("id"), F.format_string("%s is %s in %s?", "kind", "n_name", "r_name").alias("question"))
 
 
 def txt_parse(spark, d):
-    c = _t(spark, d, "conversations").where("text is not null")
-    mark = F.when(F.col("role") == "user", "D: ").when(F.col("role") == "assistant", "R: ").otherwise("")
-    lines = c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("place"), F.concat(mark, F.regexp_replace(F.trim("text"), r"\s+", " ")).alias("line"))
-    return parse_pairs(lines)
+    return parse_pairs(_lines(spark, d))
+
+
+def _lines(spark, d) -> DataFrame:
+    """Conversations as tagged texts: users ask, assistants answer, a system text's first line holds tags; null is empty."""
+    c = _t(spark, d, "conversations")
+    mark = F.when(F.col("role") == "user", "D : ").when(F.col("role") == "assistant", "R: ")
+    first = F.when(mark.isNotNull(), F.concat(mark, "l")).otherwise(F.concat(F.lit("[TAGS : "), F.translate("l", "[]", "  "), F.lit("]")))
+    lines = c.select("conv_id", "turn", "role", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "l"))
+    return lines.select(F.col("conv_id").alias("doc"), F.struct("turn", "i").alias("place"), F.when(F.col("i") == 0, first).otherwise(F.col("l")).alias("line"))
+
+
+def txt_texts(spark, d):
+    """What tagged texts hold besides their pairs: tags, and free lines."""
+    out = parse_texts(_lines(spark, d), X.normalize_folded)
+    return out.select("doc", F.array_join("tags", "|").alias("tags"), F.array_join("norm_tags", "|").alias("norm_tags"), "text", "norm")
 
 
 def lang_fallback(spark, d):
@@ -129,20 +148,18 @@ def slot_fill(spark, d):
 
 
 def trigger_top15(spark, d):
-    """Triggers are the first words of short documents."""
-    k = _t(spark, d, "documents").where(F.length("text").between(1, 600)).select("doc_id", X.normalize_folded(F.col("text")).alias("n"))
-    k = k.select("doc_id", F.array(*[F.array_join(F.slice(F.split("n", " "), 1 + 3 * i, 3), " ") for i in range(3)]).alias("triggers"))
-    k = k.withColumn("triggers", F.filter("triggers", lambda t: t != ""))
-    q = _t(spark, d, "benchmark").select("item_id", X.normalize_folded(F.col("text")).alias("qn")).withColumn("qt", F.array_distinct(F.split("qn", " ")))
-    near = q.select("item_id", "qn", "qt", F.explode("qt").alias("token")).join(k.select("doc_id", "triggers", F.explode(F.array_distinct(F.flatten(F.transform("triggers", lambda t: F.split(t, " "))))).alias("token")), "token")
-    pairs = near.dropDuplicates(["item_id", "doc_id"])
-    s = pairs.select("item_id", "doc_id", F.round(scoring.trigger_score(F.col("qt"), F.col("qn"), F.col("triggers")), 6).alias("score")).where("score > 0")
+    """Triggers are all runs of three words of all documents, one behind the other."""
+    words = _t(spark, d, "documents").select("doc_id", X.tokens(X.normalize_folded(F.col("text"))).alias("w"))
+    at = F.sequence(F.lit(0), F.ceil(F.size("w") / 3).cast("int") - 1)
+    k = words.where("size(w) > 0").select("doc_id", F.explode(F.transform(at, lambda i: F.array_join(F.slice("w", i * 3 + 1, F.lit(3)), " "))).alias("trigger"))
+    q = _t(spark, d, "benchmark").select("item_id", X.normalize_folded(F.col("text")).alias("qn")).withColumn("qt", F.array_distinct(X.tokens(F.col("qn"))))
+    s = scoring.trigger_sums(q, k, "item_id", "doc_id").withColumn("score", F.round("score", 6))
     return ranking.top_k(s, "item_id", 15, F.desc("score"), F.asc("doc_id"))
 
 
 def trigger_texts_top15(spark, d):
     """Triggers are all sentences of all documents, whole. No SQL: every sentence against every question is too slow there."""
-    parts = F.transform(F.split("text", r"[.!?]+(?=\s|$)|\n"), X.normalize_folded)
+    parts = F.transform(F.split("text", r"[.!?]+(?=\s|$)|\n"), lambda t: X.normalize_folded(t))
     docs = _t(spark, d, "documents").select("doc_id", "text").repartition("doc_id")  # few files should not mean few tasks
     k = docs.select("doc_id", F.explode(parts).alias("trigger")).where("trigger <> ''")
     q = _t(spark, d, "benchmark").select("item_id", X.normalize_folded(F.col("text")).alias("qn")).withColumn("qt", F.array_distinct(X.tokens(F.col("qn"))))
@@ -166,11 +183,56 @@ def cascade_filter(spark, d):
     return ranking.top_k(out.drop("rank"), "item_id", 1, F.desc("score"), F.asc("doc_id")).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
+def norm_exact(spark, d):
+    """The folded form by compatibility decomposition, in Arrow batches."""
+    return _t(spark, d, "documents").select("doc_id", X.normalize_folded(F.col("text"), X.fold_exact).alias("norm"))
+
+
+def norm_blanks(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.normalize_blanks(F.col("text")).alias("norm"))
+
+
+def name_tokens(spark, d):
+    name = F.concat_ws("/", "p_name", "p_brand", F.concat("p_type", F.lit(" Ø12-"), F.col("p_size").cast("string")))
+    return _t(spark, d, "part").select("p_partkey", F.array_join(X.tokens_of_name(name), "|").alias("toks"))
+
+
+def rejected(spark, d):
+    """How many questions of each role say something in the wanted mode, nothing, or are in another mode."""
+    c = _t(spark, d, "conversations").withColumn("mode", F.when(F.col("role") == "user", "GOLD").when(F.col("turn") > 1, "gold").otherwise("other"))
+    good, blank = routing.checked(c, "text")
+    wanted, other = routing.gated(good, "mode")
+    parts = [df.select("role", F.lit(n).alias("what")) for n, df in (("asked", wanted), ("other mode", other), ("blank", blank))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("role", "what").agg(F.count("*").alias("n"))
+
+
+def slot_parse(spark, d):
+    """Extractions made from events: ready ones, ones with open fields, and text that is no JSON."""
+    e = _t(spark, d, "events")
+    found = F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"))
+    said = F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, "READY").otherwise("MISSING").alias("status"), found.alias("found"),
+        F.when(F.col("event_id") % 2 == 0, F.array(F.lit("size"), F.lit("lang"))).otherwise(F.array(F.lit("lang"), F.lit("note"))).alias("needed_fields"), F.lit("Which size?").alias("followup_question")))
+    raw = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("Sorry: "), said)).otherwise(said)
+    s = routing.slots(raw, ["size"], {"lang": "en", "note": ""})
+    return e.select("event_id", s.alias("s")).select("event_id", "s.status", "s.missing", "s.question", F.element_at("s.found", "lang").alias("lang"), F.element_at("s.found", "user").alias("user"), F.col("s.detail").isNotNull().alias("failed"))
+
+
+def whole_numbers(spark, d):
+    return _t(spark, d, "documents").select("doc_id", routing.whole_number(F.regexp_replace("source", "^src", "")).alias("n"), routing.whole_number(F.col("lang")).alias("none"))
+
+
+def label_free(spark, d):
+    """Answers under a label lose it, and texts lose the labels of all lines; the first paragraph is taken."""
+    labelled = F.concat(F.lit(" R : "), F.coalesce("text", F.lit("")))
+    lines = F.concat(F.lit("D: "), F.coalesce("text", F.lit("")))
+    return _t(spark, d, "conversations").select("conv_id", "turn", X.strip_label(labelled).alias("answer"), X.first_paragraph(X.strip_labels(lines)).alias("start"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         norm_keep_accents, norm_fold, norm_stop, norm_compact, syn_expand, route_questions, kb_overlap_top1, bm25_top10, tag_count_top1, index_filter, kb_stats,
-        merge_overlay, gen_cross, txt_parse, lang_fallback, guardrails, slot_fill, trigger_top15, trigger_texts_top15, tiered_best, cascade_filter,
+        merge_overlay, gen_cross, txt_parse, lang_fallback, guardrails, slot_fill, slot_parse, whole_numbers, label_free, norm_exact, norm_blanks, name_tokens, rejected, txt_texts, trigger_top15, trigger_texts_top15, tiered_best, cascade_filter,
     )
 } | {"html_text": html_text_pages}
 
@@ -189,6 +251,13 @@ ra as (select w, a, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) r from tf, st gr
 df as (select w, a, case when r < 0 then 0.25 * (select avg(r) from ra) else r end idf from ra)"""
 _LOW = "lower(text)"
 
+
+def _word(c: str, w: str) -> str:
+    """A word of its own in a column; null has none."""
+    return rf"coalesce(regexp_matches({c}, '(^|[^\p{{L}}\p{{N}}_]){w}($|[^\p{{L}}\p{{N}}_])'), false)"
+
+
+
 SQL = {
     "norm_keep_accents": f"select doc_id, {_NORM.format(c='text')} norm from documents",
     "norm_fold": f"select doc_id, {_FOLD.format(c='text')} norm from documents",
@@ -208,9 +277,29 @@ SQL = {
         select item_id, doc_id, round(score, 6) score from h qualify row_number() over (partition by item_id order by score desc, doc_id) = 1""",
     "bm25_top10": f"""with {_TOKENS}, s as (select item_id, doc_id, round(sum(qf * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / a))), 6) score from tf join df using (w) join q using (w) group by 1, 2)
         select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int "rank" from s qualify "rank" <= 10""",
-    "tag_count_top1": f"""with p as (select p_partkey, list_transform(string_split(p_name, ' '), lambda w: lower(substr(w, 1, 3))) tags from part),
-        s as (select item_id, p_partkey, len(list_filter(tags, lambda t: t <> '' and contains(q, t)))::int hits from (select item_id, {_NORM.format(c="text")} q from benchmark), p)
-        select item_id, p_partkey, hits from s where hits > 0 qualify row_number() over (partition by item_id order by hits desc, p_partkey) = 1""",
+    "tag_count_top1": f"""with p as (select min(doc_id) item, [lower(lang), lower(source), split_part(lower(source), 'c', 1), lang || lang] tags from documents group by lang, source),
+        s as (select item_id, item, len(list_filter(tags, lambda t: t <> '' and contains(q, t)))::int hits from (select item_id, {_NORM.format(c="text")} q from benchmark), p)
+        select item_id, item, hits from s where hits > 0 qualify row_number() over (partition by item_id order by hits desc, item) = 1""",
+    "norm_exact": f"select doc_id, {_FOLD.format(c='text')} norm from documents",
+    "norm_blanks": r"select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) norm from documents",
+    "name_tokens": r"""select p_partkey, array_to_string(list_filter(string_split(regexp_replace(lower(concat_ws('/', p_name, p_brand, p_type || ' Ø12-' || p_size)), '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), lambda x: x <> ''), '|') toks from part""",
+    "rejected": r"""with c as (select role, case when role = 'user' or turn > 1 then 'asked' else 'other mode' end m, coalesce(regexp_matches(text, '\S'), false) said from conversations)
+        select role, case when said then m else 'blank' end what, count(*) n from c group by 1, 2""",
+    "slot_parse": """with e as (select event_id, event_id % 5 = 0 bad, event_id % 3 = 0 ready, event_id % 2 = 0 even, user_id from events)
+        select event_id, case when bad then 'ERROR' when ready then 'OK' when even then 'ASK_CLIENT' else 'OK' end status, case when not bad and not ready and even then 'size' else '' end missing,
+          case when not bad and not ready and even then 'Which size?' end question, case when not bad and not ready then 'en' end lang, case when not bad then user_id::varchar end "user", bad failed from e""",
+    "whole_numbers": "select doc_id, try_cast(regexp_replace(source, '^src', '') as int) n, try_cast(lang as int) \"none\" from documents",
+    "label_free": r"""select conv_id, turn, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') answer, regexp_replace(split_part(coalesce(text, ''), chr(10) || chr(10), 1), '^\s+|\s+$', '', 'g') start from conversations""",
+    "txt_texts": rf"""with l as (select conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) s, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) i from conversations),
+        t as (select conv_id, turn, trim(unnest(string_split(translate(s, '[]', '  '), ','))) t, generate_subscripts(string_split(translate(s, '[]', '  '), ','), 1) k from l where i = 1 and role not in ('user', 'assistant')),
+        g as (select conv_id, array_to_string(list(t order by turn, k), '|') tags, array_to_string(list({_FOLD.format(c="t")} order by turn, k), '|') norm_tags from t where t <> '' group by 1),
+        x as (select conv_id, regexp_replace(coalesce(string_agg(s, chr(10) order by turn, i) filter (i > 1), ''), '^\s+|\s+$', '', 'g') x from l group by 1)
+        select conv_id doc, coalesce(tags, '') tags, coalesce(norm_tags, '') norm_tags, x "text", {_FOLD.format(c="x")} norm from x left join g using (conv_id)""",
+    "syn_expand": f"""with t as (select item_id, unnest(w) w, generate_subscripts(w, 1) i from (select item_id, list_filter(string_split({_FOLD.format(c="text")}, ' '), lambda x: x <> '') w from benchmark)),
+        g(w, k, m) as (values {", ".join(f"('{w}', {k}, '{m}')" for key, members in SYNONYMS.items() for w in (key, *members) for k, m in enumerate((key, *members)))}),
+        a as (select item_id, w, i p, 0 k from t union all select item_id, m, i + 1000000, k from t join g using (w)),
+        f as (select item_id, w, min(struct_pack(p := p, k := k)) o from a group by 1, 2)
+        select item_id, string_agg(w, ' ' order by o) expanded from f group by 1""",
     "index_filter": "select doc_id, length(text)::int n from documents where length(text) >= 500",
     "kb_stats": "select source, lang, count(*) n, sum(length(text))::bigint chars from documents group by 1, 2",
     "html_text": r"""select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
@@ -220,19 +309,21 @@ SQL = {
         select coalesce(o.doc_id, b.doc_id) doc_id, case when o.doc_id is not null then o.body else b.body end body from b full join o using (doc_id)""",
     "gen_cross": """select format('Q-{:04d}', row_number() over (order by r_name, n_name, kind)) id, kind || ' is ' || n_name || ' in ' || r_name || '?' question
         from region, nation, (values ('how'), ('when'), ('where')) v(kind)""",
-    "txt_parse": r"""with l as (select conv_id, turn, role, trim(regexp_replace(trim(text), '\s+', ' ', 'g')) s from conversations where text is not null),
-        g as (select *, sum((role = 'user')::int) over (partition by conv_id order by turn) n from l)
-        select conv_id doc, n::bigint n, max(s) filter (role = 'user') question, coalesce(trim(string_agg(s, chr(10) order by turn) filter (role <> 'user')), '') answer from g where n > 0 group by 1, 2""",
+    "txt_parse": r"""with l as (select conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) s, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) i from conversations),
+        k as (select *, role = 'user' and i = 1 q, role not in ('user', 'assistant') and i = 1 t from l), g as (select *, sum(q::int) over (partition by conv_id order by turn, i) n from k)
+        select conv_id doc, n::bigint n, max(regexp_replace(s, '^\s+|\s+$', '', 'g')) filter (q) question, coalesce(regexp_replace(string_agg(s, chr(10) order by turn, i) filter (not q), '^\s+|\s+$', '', 'g'), '') answer
+        from g where n > 0 and not t group by 1, 2""",
     "lang_fallback": """select source, coalesce(max(doc_id) filter (lang = 'es'), max(doc_id) filter (lang = 'de'), max(doc_id) filter (lang = 'en'))::varchar answer_ from documents group by 1""",
-    "guardrails": r"""with p as (select u.conv_id, u.turn, lower(u.text) q, a.text a from conversations u join conversations a on u.conv_id = a.conv_id and u.role = 'user' and a.role = 'assistant' and a.turn = u.turn + 1)
-        select conv_id, turn, concat_ws(chr(10), a, case when contains(q, 'the') and not contains(q, 'thatth') and regexp_matches(a, '\bof\b') then 'NOTE: of' end,
-          case when contains(q, 'the') and not contains(q, 'thatth') and not regexp_matches(a, '\bwith\b') then 'NOTE: with' end, case when contains(q, 'que') and regexp_matches(a, '\ble\b') then 'NOTE: le' end) answer from p""",
+    "guardrails": rf"""with p as (select u.conv_id, u.turn, lower(u.text) q, a.text a from conversations u join conversations a on u.conv_id = a.conv_id and u.role = 'user' and a.role = 'assistant' and a.turn = u.turn + 1)
+        select conv_id, turn, concat_ws(chr(10), a, case when contains(q, 'the') and not contains(q, 'thatth') and {_word('a', 'of')} then 'NOTE: of' end,
+          case when contains(q, 'the') and not contains(q, 'thatth') and not {_word('a', 'with')} then 'NOTE: with' end, case when contains(q, 'que') and {_word('a', 'le')} then 'NOTE: le' end,
+          case when (starts_with(q, 'the') or ends_with(q, '?')) and not {_word('q', 'und')} and not (contains(a, 'e') and {_word('a', 'in')}) then 'NOTE: in' end) answer from p""",
     "slot_fill": """with e as (select event_id, event_type is not null and event_type <> '' t, coalesce(value > 20, false) v, coalesce(user_id % 3 > 0, false) u from events)
         select event_id, case when v and u then 'OK' else 'ASK_CLIENT' end status, case when v and u then '' else concat_ws(',', case when not t then 'type' end, case when not u then 'user' end, case when not v then 'value' end) end missing from e""",
-    "trigger_top15": f"""with q as (select item_id, n, list_distinct(string_split(n, ' ')) t from (select item_id, {_FOLD.format(c="text")} n from benchmark)),
-        k as (select doc_id, string_split({_FOLD.format(c="text")}, ' ') w from documents where length(text) between 1 and 600),
-        g as (select doc_id, i, array_to_string(w[1 + 3 * i : 3 + 3 * i], ' ') g from k, range(3) r(i)),
-        h as (select item_id, doc_id, i, g, len(list_distinct(string_split(g, ' '))) c, len(list_intersect(t, list_distinct(string_split(g, ' ')))) x, n from q, g where g <> ''),
+    "trigger_top15": f"""with q as (select item_id, n, list_distinct(list_filter(string_split(n, ' '), lambda x: x <> '')) t from (select item_id, {_FOLD.format(c="text")} n from benchmark)),
+        k as (select doc_id, list_filter(string_split({_FOLD.format(c="text")}, ' '), lambda x: x <> '') w from documents),
+        g as (select doc_id, g, list_distinct(string_split(g, ' ')) d from (select doc_id, array_to_string(w[1 + 3 * i : 3 + 3 * i], ' ') g from (select doc_id, w, unnest(range((len(w) + 2) // 3)) i from k))),
+        h as (select item_id, doc_id, g, len(d) c, len(list_intersect(t, d)) x, n from q, g),
         s as (select item_id, doc_id, round(sum(case when c <= 1 then 0 else (case when x = c then 3.0 else 0 end) + (case when x >= greatest(1, c // 2) then x / c::double else 0 end)
           + (case when length(g) >= 10 and contains(n, g) then 0.5 else 0 end) end), 6)::double score from h group by 1, 2)
         select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int "rank" from s where score > 0 qualify "rank" <= 15""",

@@ -5,54 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.catalog import _NORM, SYNONYMS, _t
+from lexmill.catalog import _FOLD, _NORM, AFTER, BEFORE, ROUTES, SYNONYMS, _lines, _t, _word
 from lexmill.functions import text as X
 from lexmill.operators import products, ranking, scoring
-from lexmill.plans import provider, rules
-from lexmill.sources.knowledge import headed
+from lexmill.plans import answering, predicates, provider, routing, rules
+from lexmill.sources.knowledge import concatenated, headed
+from lexmill.sources.tagged import index
 
 THRESHOLD = 0.3
 CODES = ("small", "red")
-TOPICS = ("the", "of", "que", "der", "that")
-TOPIC_RULES = [{"if_any": ("the", "der"), "add": "Article."}, {"if_all": ("the", "that"), "add": "Both."}, {"add": "Always."}]
+TOPICS = {"The": "On the.", "of that": "Never, being two words.", "Quê": "Sobre que."}
+TOPIC_RULES = [{"if_any": ("The", "der"), "add": "Article."}, {"if_all": ("the", "that"), "add": "Both."}, {"add": "Always."}, {"if_any": ("the",), "add": " "}]
 PATTERNS = [
-    {"pattern": "(?i)\\bthe\\b", "mode": "augment", "answer": "More on it."},
-    {"pattern": "(?i)^re\\b", "mode": "override", "answer": "Replaced.", "priority": 1},
-    {"pattern": "(?i)\\bque\\b", "mode": "override", "answer": "Reemplazado.", "priority": 5},
-    {"pattern": "[?]$", "mode": "postscript", "answer": "P.S."},
+    {"pattern": f"(?i){BEFORE}the{AFTER}", "mode": "augment", "answer": "More on it."},
+    {"pattern": f"(?i)^re{AFTER}", "mode": "override", "answer": "Replaced.", "priority": 1},
+    {"pattern": f"(?i){BEFORE}que{AFTER}", "mode": "override", "answer": "Reemplazado.", "priority": 5},
+    {"pattern": r"[?]\z", "mode": "postscript", "answer": "P.S."},
     {"pattern": "(unclosed", "mode": "override", "answer": "Never."},
 ]
 EXPECTED = [{"family": "en", "id_hint": "1", "must_include": ["the", "an"]}, {"family": "fr", "id_hint": "", "must_include": ["le"]}, {"family": "en", "id_hint": "12", "must_include": ["zzz"]}]
 TEMPLATE = "Question: {question}\nContext: {context}\nAnswer:"
 
 
-def _questions(spark, d, expanded: bool = False) -> DataFrame:
+def _questions(spark, d) -> DataFrame:
     q = _t(spark, d, "benchmark").select("item_id", X.normalize(F.coalesce("text", F.lit(""))).alias("norm"))
-    toks = X.tokens(F.col("norm"))
-    return q.select("item_id", "norm", (X.expand(toks, SYNONYMS) if expanded else toks).alias("toks"))
+    return q.select("item_id", "norm", X.tokens(F.col("norm")).alias("toks"))
 
 
 def _named_docs(spark, d) -> DataFrame:
-    """A document's first two words are its name, the next two its tags."""
-    k = _t(spark, d, "documents").select("doc_id", X.normalize(F.coalesce("text", F.lit(""))).alias("norm")).withColumn("toks", X.tokens(F.col("norm")))
-    return k.select("doc_id", "norm", "toks", F.array_join(F.slice("toks", 1, 2), " ").alias("name"), F.slice("toks", 3, 2).alias("tags"))
+    """A document is named by its source and tagged by its language."""
+    named = [F.lower(F.coalesce(c, F.lit(""))) for c in ("source", "lang")]
+    k = _t(spark, d, "documents").select("doc_id", X.normalize(F.coalesce("text", F.lit(""))).alias("norm"), named[0].alias("name"), F.array(named[1]).alias("tags"))
+    return k.select("doc_id", "norm", X.tokens(F.col("norm")).alias("toks"), "name", "tags")
 
 
 def _top1(scored: DataFrame) -> DataFrame:
     return ranking.best(scored.withColumn("score", F.round("score", 6)), "item_id", "score", "doc_id").select("item_id", "doc_id", "score")
 
 
+def _best(questions: DataFrame, docs: DataFrame) -> DataFrame:
+    """The best document of every question, those without a shared token included."""
+    scored = scoring.hybrid(questions, docs, "item_id", "doc_id")
+    return _top1(scored.unionByName(scoring.unmatched(questions, docs, scored, "item_id", "doc_id")))
+
+
 def hybrid_top1(spark, d):
-    return _top1(scoring.hybrid(_questions(spark, d), _named_docs(spark, d), "item_id", "doc_id"))
+    return _best(_questions(spark, d), _named_docs(spark, d))
 
 
 def second_chance(spark, d):
     """The best match of the expanded question; if it is under the threshold, that of the question as it is."""
-    docs = _named_docs(spark, d)
-    first = _top1(scoring.hybrid(_questions(spark, d, expanded=True), docs, "item_id", "doc_id")).where(F.col("score") >= THRESHOLD)
-    again = _questions(spark, d).join(first.select("item_id"), "item_id", "left_anti")
-    second = _top1(scoring.hybrid(again, docs, "item_id", "doc_id"))
-    return first.withColumn("second", F.lit(False)).unionByName(second.withColumn("second", F.lit(True)))
+    q = _questions(spark, d).select(F.col("item_id").alias("q"), F.col("norm").alias("base"), "toks", X.expand(F.col("toks"), SYNONYMS).alias("expanded"))
+    top = answering.two_chances(q, _named_docs(spark, d).withColumnRenamed("doc_id", "doc"), THRESHOLD)
+    return top.select(F.col("q").alias("item_id"), F.col("doc").alias("doc_id"), "score", "second")
 
 
 def fuzzy_token_set(spark, d):
@@ -64,14 +69,15 @@ def fuzzy_token_set(spark, d):
 
 
 def best_qa(spark, d):
-    """Of a conversation's question-answer pairs the one nearest to its first question: its answer's first paragraph."""
+    """Of a conversation's question-answer pairs the one nearest to its last question: its whole answer, clamped, or
+    where that is empty the first paragraph of the conversation's system text."""
     c = _t(spark, d, "conversations")
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    q = c.where("role = 'user'").select("conv_id", "turn", X.normalize(F.coalesce("text", F.lit(""))).alias("q"))
-    first = q.groupBy("conv_id").agg(F.min(F.struct("turn", "q")).alias("f")).select("conv_id", F.col("f.q").alias("asked"))
-    pairs = q.join(a, ["conv_id", "turn"]).join(first, "conv_id").withColumn("score", scoring.fuzzy_plain(F.col("asked"), F.col("q")))
-    won = ranking.best(pairs.select("conv_id", "turn", "score", "answer"), "conv_id", "score", "turn")
-    return won.select("conv_id", "turn", "score", X.clamp(F.element_at(F.split(F.coalesce("answer", F.lit("")), "\n\n", 2), 1)).alias("answer"))
+    q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
+    last = q.groupBy("conv_id").agg(F.max(F.struct("turn", "q")).alias("f")).select("conv_id", F.col("f.q").alias("asked"))
+    text = c.where("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("s")).select("conv_id", F.col("s.text").alias("text"))
+    pairs = q.join(a, ["conv_id", "turn"]).join(last, "conv_id").join(text, "conv_id", "left").withColumnsRenamed({"turn": "place", "answer": "a"})
+    return answering.best_answer(pairs, "conv_id", X.normalize_folded(F.col("asked")), 300)
 
 
 def folder_parts(spark, d):
@@ -101,12 +107,11 @@ def product_note(spark, d):
 
 def enrich_answer(spark, d):
     answers = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("answer"))
-    return products.enrich(answers, _note(_t(spark, d, "part").where("p_size > 25")), "p_partkey", "answer", "note").groupBy("answer").agg(F.count("*").alias("n"))
+    return products.enrich(answers, _note(_t(spark, d, "part")), "p_partkey", "answer", "note").groupBy("answer").agg(F.count("*").alias("n"))
 
 
 def enrich_rules(spark, d):
-    toks = X.tokens(X.normalize(F.coalesce("text", F.lit(""))))
-    return _t(spark, d, "benchmark").select("item_id", rules.enrich_by_topic(toks, F.col("text"), TOPICS, TOPIC_RULES, "Answer:").alias("answer"))
+    return _t(spark, d, "benchmark").select("item_id", rules.enrich_by_topic(F.col("text"), F.col("text"), TOPICS, TOPIC_RULES, "Answer:", "End.").alias("answer"))
 
 
 def _turns(spark, d) -> DataFrame:
@@ -140,36 +145,108 @@ def offline_answers(spark, d):
     return provider.ask(q, "text").select("conv_id", "turn", "reply")
 
 
+def folder_text(spark, d):
+    """The parts of each language's shortest texts, joined by blank lines: a conversation is a folder, its turns are files."""
+    c = _t(spark, d, "conversations").select("conv_id", "turn", headed(F.concat_ws("-", "turn", "role"), F.col("text")).alias("part"))
+    return concatenated(c, ["conv_id"], "turn", F.col("part"))
+
+
+def _blocks(spark, d) -> DataFrame:
+    """Documents as blocks: each line is a trigger, the first one the block's question; one source is the overlay."""
+    k = _t(spark, d, "documents")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    kind = F.when(F.col("doc_id") % 7 == 0, "OVERVIEW").when(F.col("doc_id") % 5 == 0, "KILLER").otherwise("ITEM")
+    return k.select(F.col("doc_id").alias("block"), (F.coalesce(F.col("source"), F.lit("")) == "src0").alias("overlay"), F.col("doc_id").alias("place"), F.concat_ws("-", kind, F.col("doc_id").cast("string")).alias("id"),
+        F.col("lang").alias("family"), F.element_at(lines, 1).alias("question"), lines.alias("triggers"), F.array("lang").alias("tags"), F.create_map(F.coalesce("lang", F.lit("xx")), F.concat(F.lit("See "), F.col("doc_id").cast("string"))).alias("answers"))
+
+
+#: Terms of the test tables' invented words in place of the Italian ones.
+OWN_TERMS = predicates.Terms(overview=("tion",), diagnostic=("the ",), structural=(" in ",), structural_block=("ing",), ambient_block=("zzz",), negation=(" of ",), negation_block=("er",), geometry=("and",), defect=("xx",), limits=("that",), limits_id="-1")
+
+
+def _bench_questions(spark, d) -> DataFrame:
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("q"), "text")
+
+
+def block_score_top3(spark, d):
+    q = _bench_questions(spark, d).select("q", X.normalize_folded(F.col("text")).alias("norm"))
+    s = answering.block_scores(q, _blocks(spark, d)).withColumn("score", F.round("score", 6))
+    return ranking.top_k(s, "q", 3, F.desc("score"), F.asc("block"))
+
+
+def question_flags(spark, d):
+    q = _t(spark, d, "documents").select("doc_id", "lang", X.normalize_folded(F.col("text")).alias("norm"))
+    told = F.array("norm")
+    return q.select("doc_id", *[c.alias(k) for k, c in predicates.asks(F.col("norm"), OWN_TERMS).items()], *[c.alias(k) for k, c in predicates.says(F.concat_ws("-", F.lit("err"), F.col("doc_id").cast("string")), F.col("lang"), told, told, OWN_TERMS).items()])
+
+
+def answer_by_blocks(spark, d):
+    return answering.by_blocks(_bench_questions(spark, d), _blocks(spark, d), "No answer.", OWN_TERMS, lang="fr", default="en")
+
+
+def answer_by_route(spark, d):
+    """All users' turns: part names are the company's items, documents the blocks."""
+    c = _t(spark, d, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("q"), "text")
+    said = F.create_map(F.lit("gold"), F.create_map(F.lit("it"), F.when(F.col("item") % 2 == 0, F.col("name")).otherwise("")))
+    items = _t(spark, d, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("item")).withColumn("name", F.concat_ws(" ", "source", "lang"))
+    items = items.select("item", F.array(F.col("lang"), F.substring_index("source", "c", 1)).alias("tags"), F.col("item").alias("place"), said.alias("variants"), F.lit("").alias("answer_lang"), F.concat(F.lit("Item "), F.col("item").cast("string")).alias("answer"))
+    blocks = _t(spark, d, "documents").select(F.col("doc_id").alias("block"), F.col("doc_id").alias("place"), "text")
+    out = answering.by_route(c, blocks, items, ROUTES, "Ask the office.", "Case: {question}", "Case: {question}\nFound: {analysis}")
+    return out.select("q.conv_id", "q.turn", "answer", "source", "item", "block")
+
+
+def answer_by_search(spark, d):
+    """Conversations are the tagged documents; the benchmark asks."""
+    docs = index(_lines(spark, d), X.normalize_folded).withColumn("name", F.col("doc").cast("string"))
+    rich = {"topics": TOPICS, "rules": TOPIC_RULES, "prefix": "Answer:", "suffix": ""}
+    return answering.by_search(_bench_questions(spark, d), docs, SYNONYMS, rich)
+
+
+def fallback_chain(spark, d):
+    """The local answer, else the engine's: assistants' turns answer users' turns where there are any."""
+    pairs = _t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text").join(_turns(spark, d).select("conv_id", "turn", "a"), ["conv_id", "turn"], "left")
+    return provider.local_then_engine(pairs, "a", "text").select("conv_id", "turn", "reply")
+
+
+def translated_answers(spark, d):
+    """Without a provider every answer is the failed text, but for questions in the pivot language, which need none."""
+    q = _t(spark, d, "documents").select("doc_id", "text", "lang", F.lit("").alias("context"))
+    return provider.translated(q, "text", "context", "{context}\n{question}", F.col("lang"), failed="No translation.").select("doc_id", "reply")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         hybrid_top1, second_chance, fuzzy_token_set, best_qa, folder_parts, lookup_product, product_note, enrich_answer, enrich_rules, regex_rules, expected_patterns,
-        render_template, context_string, offline_answers,
+        render_template, context_string, offline_answers, folder_text, block_score_top3, question_flags, answer_by_blocks, answer_by_route, answer_by_search,
+        fallback_chain, translated_answers,
     )
 }
 
 _WORDS = "list_filter(string_split({c}, ' '), lambda x: x <> '')"
-_GROUPS = [sorted({k, *v}) for k, v in SYNONYMS.items()]
-_EXPANDED = f"list_distinct(list_concat({', '.join(['t', *[f'case when list_has_any(t, {g}) then {g} else [] end' for g in _GROUPS]])}))"
+_GROUPS = " ".join(f"when x in {(k, *v)} then {[k, *v]}" for k, v in SYNONYMS.items())
+_MORE = f"list_concat(t, flatten(list_transform(t, lambda x: case {_GROUPS} else [] end)))"
+_EXPANDED = f"list_filter({_MORE}, lambda x, i: list_position({_MORE}, x) = i)"
 
 
-def _hybrid_sql(name: str, toks: str, where: str = "true") -> str:
+def _hybrid_sql(name: str, toks: str, where: str = "true", text: str = "n") -> str:
     """CTEs that end in {name}(item_id, doc_id, score), over k, tf and df."""
     return f"""
-    {name}q as (select item_id, n, {toks} t from q0 where {where}),
+    {name}q as (select item_id, {text} n, {toks} t from q0 where {where}),
     {name}w as (select item_id, w, count(*) qf from (select item_id, unnest(t) w from {name}q) group by 1, 2),
     {name}b as (select item_id, doc_id, sum(qf * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / a))) bm, count(*) hits from tf join df using (w) join {name}w using (w) group by 1, 2),
     {name}m as (select *, max(bm) over (partition by item_id) most from {name}b),
     {name}s as (select item_id, doc_id, 0.6 * case when most > 0 then bm / most else bm end + 0.25 * hits / len(list_distinct({name}q.t))
         + 0.15 * case when {name}q.n = '' or k.n = '' then 0 when {name}q.n = k.n then 1 when contains({name}q.n, k.n) or contains(k.n, {name}q.n) then 0.5 else 0 end
-        + case when contains({name}q.n, k.name) or contains(k.name, {name}q.n) then 0.12 else 0 end + case when len(list_filter(k.tags, lambda x: contains({name}q.n, x))) > 0 then 0.08 else 0 end v
+        + case when k.name <> '' and (contains({name}q.n, k.name) or contains(k.name, {name}q.n)) then 0.12 else 0 end
+        + case when len(list_filter(k.tags, lambda x: x <> '' and (contains({name}q.n, x) or contains(x, {name}q.n)))) > 0 then 0.08 else 0 end v
         from {name}m join {name}q using (item_id) join k using (doc_id)),
     {name} as (select item_id, doc_id, round(greatest(0, least(1, v)), 6)::double score from {name}s qualify row_number() over (partition by item_id order by score desc, doc_id) = 1)"""
 
 
 _BASE = f"""
     q0 as (select item_id, n, {_WORDS.format(c="n")} t from (select item_id, {_NORM.format(c="coalesce(text, '')")} n from benchmark)),
-    k as (select doc_id, n, t, array_to_string(t[1:2], ' ') name, t[3:4] tags from (select doc_id, n, {_WORDS.format(c="n")} t from (select doc_id, {_NORM.format(c="coalesce(text, '')")} n from documents))),
+    k as (select doc_id, n, {_WORDS.format(c="n")} t, name, tags from (select doc_id, {_NORM.format(c="coalesce(text, '')")} n, lower(coalesce(source, '')) name, [lower(coalesce(lang, ''))] tags from documents)),
     tf as (select doc_id, w, count(*) f, any_value(dl) dl from (select doc_id, len(t) dl, unnest(t) w from k) group by 1, 2),
     st as (select count(*) n, avg(len(t)) a from k),
     ra as (select w, a, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) r from tf, st group by w, n, a),
@@ -178,27 +255,42 @@ _HAS = lambda t: f"list_contains(t, '{t}')"
 
 SQL = {
     "hybrid_top1": f"with {_BASE}, {_hybrid_sql('h', 't')} select * from h",
-    "second_chance": f"""with {_BASE}, {_hybrid_sql("e", _EXPANDED)}, f as (select * from e where score >= {THRESHOLD}), {_hybrid_sql("h", "t", "item_id not in (select item_id from f)")}
+    "second_chance": f"""with {_BASE}, {_hybrid_sql("e", _EXPANDED, text=f"array_to_string({_EXPANDED}, ' ')")}, f as (select * from e where score >= {THRESHOLD}), {_hybrid_sql("h", "t", "item_id not in (select item_id from f)")}
         select *, false "second" from f union all select *, true from h""",
-    "best_qa": rf"""with q as (select conv_id, turn, {_NORM.format(c="coalesce(text, '')")} q from conversations where role = 'user'), a as (select conv_id, turn - 1 turn, text a from conversations where role = 'assistant'),
-        f as (select conv_id, arg_min(q, turn) asked from q group by 1), p as (select conv_id, turn, a, case when asked = '' or q = '' then 0 when asked = q then 1 when contains(asked, q) or contains(q, asked) then 0.5 else 0 end::double score
-          from q join a using (conv_id, turn) join f using (conv_id)),
-        w as (select *, string_split(coalesce(a, ''), chr(10) || chr(10))[1] b from p qualify row_number() over (partition by conv_id order by score desc, turn) = 1)
-        select conv_id, turn, score, case when length(b) <= 1200 then b else rtrim(coalesce(nullif(regexp_extract(b[1:1200], '(?s)^(.*?[.!?])(?:\s|$)', 1), ''), b[1:1200])) || ' …' end answer from w""",
+    "best_qa": rf"""with q as (select conv_id, turn, text, {_FOLD.format(c="text")} q from conversations where role = 'user'), a as (select conv_id, turn - 1 turn, text a from conversations where role = 'assistant'),
+        f as (select conv_id, arg_max(q, turn) asked from q group by 1), t as (select conv_id, arg_min(text, turn) body from conversations where role = 'system' group by 1),
+        p as (select conv_id, turn, trim(text) matched, body, regexp_replace(coalesce(a, ''), '^\s+|\s+$', '', 'g') a, case when asked = '' or q = '' then 0 when asked = q then 1 when contains(asked, q) or contains(q, asked) then 0.5 else 0 end::double score
+          from q join a using (conv_id, turn) join f using (conv_id) left join t using (conv_id)),
+        w as (select *, case when a <> '' then a else regexp_replace(split_part(coalesce(body, ''), chr(10) || chr(10), 1), '^\s+|\s+$', '', 'g') end b from p qualify row_number() over (partition by conv_id order by score desc, turn) = 1)
+        select conv_id, case when length(b) <= 300 then b else regexp_replace(coalesce(nullif(regexp_extract(b[1:300], '(?s)^(.+?[.!?])(?:\s|$)', 1), ''), b[1:300]), '\s+$', '') || ' …' end answer, case when a <> '' then matched end matched from w""",
+    "folder_text": """select conv_id, string_agg('### FILE: ' || turn || '-' || role || ' ###' || chr(10) || coalesce(text, ''), chr(10) || chr(10) order by turn) "text" from conversations group by 1""",
+    "fallback_chain": f"""select u.conv_id, u.turn, case when trim(a.text) <> '' then a.text else '{provider.UNAVAILABLE}' end reply from conversations u left join conversations a on u.conv_id = a.conv_id and a.role = 'assistant' and a.turn = u.turn + 1 where u.role = 'user'""",
+    "translated_answers": "select doc_id, 'No translation.' reply from documents",
+    "block_score_top3": f"""with q as (select item_id q, n, list_distinct(string_split(n, ' ')) t from (select item_id, {_FOLD.format(c="text")} n from benchmark)),
+        l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) s from documents), k as (select doc_id, g, list_distinct(string_split(g, ' ')) d from (select doc_id, {_FOLD.format(c="s")} g from l) where g <> ''),
+        h as (select q, doc_id, len(d) c, len(list_intersect(t, d)) x, length(g) >= 10 and contains(n, g) inside from q, k),
+        s as (select q, doc_id, sum(case when c <= 1 then 0 else (case when x = c then 3.0 else 0 end) + (case when x >= greatest(1, c // 2) then x / c::double else 0 end) + (case when inside then 0.5 else 0 end) end)::double v from h group by 1, 2),
+        o as (select doc_id, list_distinct(string_split({_FOLD.format(c="string_split(coalesce(text, ''), chr(10))[1]")}, ' ')) d from documents),
+        b as (select q, doc_id, 3 * len(list_intersect(t, d)) / len(d)::double v from q, o),
+        z as (select q, doc_id "block", round((coalesce(s.v, 0) + b.v) * case when doc_id % 7 = 0 then 0.5 else 1 end, 6)::double score from b left join s using (q, doc_id))
+        select q, "block", score, row_number() over (partition by q order by score desc, "block")::int "rank" from z where score > 0 qualify "rank" <= 3""",
+    "question_flags": f"""with n as (select doc_id, coalesce(lang, '') l, {_FOLD.format(c="text")} n from documents), o as (select *, trim(l || ' ' || n) own from n)
+        select doc_id, contains(n, 'tion') asks_overview, contains(n, 'the ') asks_diagnostic, contains(n, ' in ') asks_structural, contains(n, ' of ') asks_negation, contains(n, 'and') asks_geometry, contains(n, 'that') asks_limits,
+          contains(own, 'ing') and not contains(own, 'zzz') is_structural, contains(own, 'er') is_negated, not contains(own, 'xx') or contains(own, 'and') is_geometric, false is_safe, contains('ERR-' || doc_id, '-1') is_limits, false is_overview from o""",
     "folder_parts": "select source, doc_id, '### FILE: ' || doc_id || ' ###' || chr(10) || coalesce(text, '') part from documents",
     "lookup_product": rf"""with u as (select distinct unnest([concat_ws(' ', 'need', p_name, p_size), upper(p_name)]) q from part), q as (select q, regexp_replace(lower(q), '[^\p{{L}}\p{{N}}]+', '', 'g') same, list_distinct({_WORDS.format(c=_NORM.format(c="q"))}) t from u),
         n as (select min(p_partkey) p_partkey, p_name, regexp_replace(lower(p_name), '[^\p{{L}}\p{{N}}]+', '', 'g') same, list_distinct({_WORDS.format(c=_NORM.format(c="p_name"))}) w from part group by p_name),
         s as (select q, p_partkey, q.same = n.same exact, len(list_intersect(t, w)) hits, list_has_any(t, ['small', 'red']) coded, len(list_filter(t, lambda x: regexp_full_match(x, '\p{{Nd}}+'))) > 0 num,
             starts_with(lower(p_name), 'small') or starts_with(lower(p_name), 'red') fam from q, n)
-        select q, p_partkey, exact, case when not exact then (hits + case when coded and num then 0.5 else 0 end + case when coded and fam then 0.25 else 0 end)::double end score from s where exact or hits > 0
+        select q, p_partkey, exact, case when not exact then (hits + case when coded and num then 0.5 else 0 end + case when coded and fam then 0.25 else 0 end)::double end score from s where exact or hits > 0 or coded and (num or fam)
         qualify row_number() over (partition by q order by exact desc, score desc, p_partkey) = 1""",
     "product_note": """select p_partkey, concat_ws(chr(10), p_name, 'size: ' || p_size, printf('price: %.2f', p_retailprice), 'brand: ' || nullif(p_brand, ''), case when p_type in ('ECONOMY', 'SMALL') then 'can be rented' end) note from part""",
-    "enrich_answer": """with n as (select p_partkey, concat_ws(chr(10), p_name, 'size: ' || p_size, printf('price: %.2f', p_retailprice), 'brand: ' || nullif(p_brand, ''), case when p_type in ('ECONOMY', 'SMALL') then 'can be rented' end) note from part where p_size > 25)
+    "enrich_answer": """with n as (select p_partkey, concat_ws(chr(10), p_name, 'size: ' || p_size, printf('price: %.2f', p_retailprice), 'brand: ' || nullif(p_brand, ''), case when p_type in ('ECONOMY', 'SMALL') then 'can be rented' end) note from part)
         select concat_ws(chr(10) || chr(10), 'line ' || l_linenumber, note) answer, count(*) n from lineitem left join n on l_partkey = p_partkey group by 1""",
-    "enrich_rules": f"""select item_id, concat_ws(chr(10) || chr(10), 'Answer:', nullif(text, ''), case when {_HAS("the")} or {_HAS("der")} then 'Article.' end, case when {_HAS("the")} and {_HAS("that")} then 'Both.' end, 'Always.') answer
-        from (select item_id, text, string_split({_NORM.format(c="coalesce(text, '')")}, ' ') t from benchmark)""",
-    "regex_rules": r"""select u.conv_id, u.turn, concat_ws(chr(10) || chr(10), case when regexp_matches(u.text, '(?i)\bque\b') then 'Reemplazado.' when regexp_matches(u.text, '(?i)^re\b') then 'Replaced.' else a.text end,
-          case when regexp_matches(u.text, '(?i)\bthe\b') then 'More on it.' end, case when regexp_matches(u.text, '[?]$') then 'P.S.' end) answer
+    "enrich_rules": f"""select item_id, concat_ws(chr(10) || chr(10), 'Answer:', nullif(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), ''), concat_ws(chr(10), case when {_HAS("the")} then 'On the.' end, case when {_HAS("que")} then 'Sobre que.' end,
+          case when {_HAS("the")} or {_HAS("der")} then 'Article.' end, case when {_HAS("the")} and {_HAS("that")} then 'Both.' end, 'Always.'), 'End.') answer from (select item_id, text, string_split({_FOLD.format(c="text")}, ' ') t from benchmark)""",
+    "regex_rules": rf"""select u.conv_id, u.turn, concat_ws(chr(10) || chr(10), case when {_word('lower(u.text)', 'que')} then 'Reemplazado.' when regexp_matches(u.text, '(?i)^re($|[^\p{{L}}\p{{N}}_])') then 'Replaced.' else a.text end,
+          case when {_word('lower(u.text)', 'the')} then 'More on it.' end, case when ends_with(u.text, '?') then 'P.S.' end) answer
         from conversations u join conversations a on u.conv_id = a.conv_id and u.role = 'user' and a.role = 'assistant' and a.turn = u.turn + 1""",
     "expected_patterns": """select doc_id, rule, coalesce(ok, false) ok from (select doc_id, 0 rule, contains(text, 'the') and contains(text, 'an') ok from documents where lang = 'en' and starts_with(doc_id::varchar, '1')
         union all select doc_id, 1, contains(text, 'le') from documents where lang = 'fr' union all select doc_id, 2, contains(text, 'zzz') from documents where lang = 'en' and starts_with(doc_id::varchar, '12'))""",

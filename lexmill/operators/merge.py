@@ -14,6 +14,6 @@ def merge_layers(layers: list[DataFrame], key: str, place: str) -> DataFrame:
     max over a struct: a partial aggregate, so repeated keys meet before the shuffle."""
     rest = [c for c in layers[0].columns if c != key]
     named = [df.withColumn("_layer", F.lit(i)) for i, df in enumerate(layers)]
-    rows = reduce(DataFrame.unionByName, named).where(F.col(key).isNotNull())
+    rows = reduce(DataFrame.unionByName, named).where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
     top = rows.groupBy(key).agg(F.max(F.struct("_layer", F.col(place).alias("_place"), *rest)).alias("t"))
     return top.select(key, *[F.col(f"t.{c}").alias(c) for c in rest])

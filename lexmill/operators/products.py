@@ -14,7 +14,8 @@ def lookup(questions: DataFrame, products: DataFrame, q: str, text: str, key: st
     A product whose compact name is the compact question goes before all others. Else the score is the number of
     shared words, + 0.5 if the question has a family code and a number, + 0.25 if it has a code and the name begins
     with a family's prefix; ties go to the least key. Candidates come from equi-joins on words and on compact names;
-    products of one name are one candidate."""
+    products of one name are one candidate. A question without any shared word scores by its codes alone: it gets the
+    first product of a family if it has a code, and else, with a code and a number, the first of all."""
     asked = questions.select(q, compact(F.col(text)).alias("same"), F.array_distinct(tokens(normalize(F.col(text)))).alias("toks"))
     coded = F.arrays_overlap("toks", F.array(*map(F.lit, codes)))
     number = F.exists("toks", lambda t: t.rlike(r"^\p{Nd}+$"))
@@ -29,6 +30,11 @@ def lookup(questions: DataFrame, products: DataFrame, q: str, text: str, key: st
     points = F.col("hits") + F.when(F.col("number"), 0.5).otherwise(0.0) + F.when(F.col("coded") & F.col("family"), 0.25).otherwise(0.0)
     exact = asked.where("same <> ''").join(names, "same").groupBy(q).agg(F.min(key).alias(key))
     both = scored.select(q, key, points.alias("score"), F.lit(0).alias("exact")).unionByName(exact.select(q, key, F.lit(None).cast("double").alias("score"), F.lit(1).alias("exact")))
+    # what a question scores without a shared word goes to the first product, or to the first of a family
+    firsts = names.agg(F.min(key).alias("first"), F.min(F.when(F.col("family"), F.col(key))).alias("kin"))
+    alone = asked.where("coded").select(q, F.when(F.col("number"), 0.5).otherwise(0.0).alias("base")).join(firsts)
+    alone = alone.select(q, F.coalesce("kin", "first").alias(key), (F.col("base") + F.when(F.col("kin").isNotNull(), 0.25).otherwise(0.0)).alias("score"))
+    both = both.unionByName(alone.where("score > 0").select(q, key, "score", F.lit(0).alias("exact")))
     top = both.groupBy(q).agg(F.max(F.struct("exact", "score", (-F.col(key)).alias("p"))).alias("t"))
     return top.select(q, (-F.col("t.p")).alias(key), (F.col("t.exact") == 1).alias("exact"), F.col("t.score").alias("score"))
 

@@ -32,6 +32,11 @@ def cascade(cands: DataFrame, by: str, stages: list[tuple[Column, Column]]) -> D
     return cands
 
 
+def preferred_first(ranked: DataFrame, by: str, preferred: Column, *order: Column) -> DataFrame:
+    """Ranks again: preferred rows before others, each part in its order. Adds rank."""
+    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.coalesce(preferred, F.lit(False))), *order)))
+
+
 def tiered(scored: DataFrame, by: str, tier: str, score: str, place: str) -> DataFrame:
     """The best row of the first tier that has any."""
     return top_k(scored, by, 1, F.asc(tier), F.desc(score), F.asc(place)).drop("rank")

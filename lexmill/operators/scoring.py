@@ -8,39 +8,54 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import counted
+
+
+def few(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df marked for broadcast if its rows, short ones, are counted as few; else left to a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
 
 def postings(df: DataFrame, key: str, toks: Column) -> DataFrame:
     """(key, token) for each distinct token."""
-    return df.select(key, F.explode(F.array_distinct(toks)).alias("token"))
+    # explode_outer: explode would have the tokens computed once more in a filter below it
+    return df.select(key, F.explode_outer(F.array_distinct(toks)).alias("token")).where("token is not null")
 
 
 def overlap(questions: DataFrame, docs: DataFrame, q: str, d: str) -> DataFrame:
     """(q, d, score): share of the question's distinct tokens that the document has. Pairs without any are absent.
 
-    questions and docs: key and an array column toks. An equi-join on tokens instead of all pairs."""
-    qs = questions.select(q, F.array_distinct("toks").alias("toks")).select(q, F.size("toks").alias("nq"), F.explode("toks").alias("token"))
-    hits = qs.join(postings(docs, d, F.col("toks")), "token").groupBy(q, d).agg(F.count("*").alias("n"), F.first("nq").alias("nq"))
+    questions and docs: key and an array column toks. An equi-join on tokens instead of all pairs; the questions'
+    tokens go to all tasks if they are counted as few, and a document's hits meet before any exchange."""
+    qs = questions.select(q, F.array_distinct("toks").alias("toks")).select(q, F.size("toks").alias("nq"), F.explode_outer("toks").alias("token")).where("token is not null")
+    hits = postings(docs, d, F.col("toks")).join(few(qs), "token").groupBy(q, d).agg(F.count("*").alias("n"), F.first("nq").alias("nq"))
     return hits.select(q, d, (F.col("n") / F.col("nq")).alias("score"))
 
 
 def _parts(questions: DataFrame, docs: DataFrame, q: str, d: str, k1: float, b: float, epsilon: float) -> DataFrame:
-    """(q, d, part): what each shared token adds to a pair's BM25; one row for a distinct token of a pair."""
-    tf = docs.select(d, F.size("toks").alias("dl"), F.explode("toks").alias("token")).groupBy(d, "token").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(stats)).select("token", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    """(q, d, part): what each shared token adds to a pair's BM25; one row for a distinct token of a pair.
+
+    Frequencies within a document are found in its row. One pass counts documents by token and, under a null token, all
+    documents and their lengths; a second meets the questions' tokens, which go to all tasks if they are few."""
+    terms = docs.select(d, F.size("toks").alias("dl"), counted(F.col("toks")).alias("terms"))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.col("dl").alias("f")))
+    sums = terms.select(F.explode_outer(F.concat("terms", whole)).alias("t")).groupBy("t.token").agg(F.count("*").alias("df"), F.sum("t.f").alias("total"))
+    stats = sums.where("token is null").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
+    raw = sums.where("token is not null").join(F.broadcast(stats)).select("token", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    wanted = questions.select(q, F.explode("toks").alias("token")).groupBy(q, "token").agg(F.count("*").alias("qf"))
+    wanted = few(questions.select(q, F.explode("toks").alias("token")).groupBy(q, "token").agg(F.count("*").alias("qf")))
     idf = raw.join(wanted.select("token").distinct(), "token", "left_semi").join(F.broadcast(mean))
     idf = idf.select("token", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    asked = wanted.join(idf, "token")
+    tf = terms.select(d, "dl", F.explode_outer("terms").alias("t")).select(d, "dl", "t.token", "t.f").where("token is not null")
     part = F.col("qf") * F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.join(idf, "token").join(wanted, "token").select(q, d, part.alias("part"))
+    return tf.join(few(asked), "token").select(q, d, part.alias("part"))
 
 
 def bm25(questions: DataFrame, docs: DataFrame, q: str, d: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(q, d, score): Okapi BM25; a negative idf becomes epsilon times the mean idf; repeated query tokens count.
 
-    docs should be cheap to read again: corpus statistics, frequencies and scores are separate passes."""
+    docs should be cheap to read again: corpus statistics and scores are separate passes."""
     return _parts(questions, docs, q, d, k1, b, epsilon).groupBy(q, d).agg(F.sum("part").alias("score"))
 
 
@@ -50,9 +65,11 @@ def fuzzy_plain(a: Column, b: Column) -> Column:
 
 
 def boost(question: Column, name: Column, tags: Column) -> Column:
-    """0.12 if name and question contain one another, 0.08 once if a tag is in the question; 0.25 at most."""
-    named = F.when(F.contains(question, name) | F.contains(name, question), 0.12).otherwise(0.0)
-    tagged = F.when(F.exists(tags, lambda t: F.contains(question, t)), 0.08).otherwise(0.0)
+    """0.12 if name and question contain one another, 0.08 once if a tag and the question do; 0.25 at most. Empty names
+    and tags give nothing, an empty question is in all others."""
+    meet = lambda t: (t != "") & (F.contains(question, t) | F.contains(t, question))
+    named = F.when(meet(name), 0.12).otherwise(0.0)
+    tagged = F.when(F.exists(tags, meet), 0.08).otherwise(0.0)
     return F.least(F.lit(0.25), named + tagged)
 
 
@@ -71,6 +88,18 @@ def hybrid(questions: DataFrame, docs: DataFrame, q: str, d: str) -> DataFrame:
     return pairs.select(q, d, F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("score"))
 
 
+def unmatched(questions: DataFrame, docs: DataFrame, scored: DataFrame, q: str, d: str) -> DataFrame:
+    """(q, d, score): for questions that share no token with any document, the first of the documents of best boost.
+
+    Documents of one name and the same tags boost alike, so only the first of each kind is compared. Kinds should be
+    few (a partial aggregate finds them); the questions are those left over."""
+    left = questions.join(scored.select(q).distinct(), q, "left_anti").select(q, F.col("norm").alias("qn"))
+    kinds = docs.groupBy("name", "tags").agg(F.min(d).alias(d))
+    kinds = kinds.agg(F.collect_list(F.struct(d, "name", "tags")).alias("kinds"))
+    met = left.join(kinds).select(q, "qn", F.explode("kinds").alias("k"))
+    return met.select(q, F.col(f"k.{d}").alias(d), boost(F.col("qn"), F.col("k.name"), F.col("k.tags")).alias("score"))
+
+
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, with the columns of the table as bits of one integer."""
     places: dict[str, int] = {}

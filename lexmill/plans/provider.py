@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.plans.rules import render
+
 UNAVAILABLE = "The text engine is not available."
 
 
@@ -17,23 +19,69 @@ def offline(prompts: list[str]) -> list[str | None]:
 
 
 def ask(df: DataFrame, prompt: str, out: str = "reply", call: Callable[[list[str]], list[str | None]] = offline, fallback: str | None = UNAVAILABLE) -> DataFrame:
-    """df with the reply to each prompt, a batch of prompts at a time; fallback where call has none or fails."""
+    """df with the reply to each prompt, a batch of prompts at a time, and out_error with what a failed call raised.
+
+    fallback where call has no reply or fails. Without a provider the reply is a literal, and no Python runs."""
+    if call is offline:
+        return df.withColumns({out: F.lit(fallback).cast("string"), f"{out}_error": F.lit(None).cast("string")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            error = None
             try:
                 replies = call(pdf[prompt].fillna("").tolist())
-            except Exception:  # whatever an engine's client raises, the batch gets the fallback
-                replies = [None] * len(pdf)
-            yield pdf.assign(**{out: [fallback if r is None else r for r in replies]})
+            except Exception as e:  # whatever an engine's client raises, the batch gets the fallback and says why
+                replies, error = [None] * len(pdf), f"{type(e).__name__}: {e}"
+            yield pdf.assign(**{out: [fallback if r is None else r for r in replies], f"{out}_error": error})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{schema}, `{out}` string")
+    return df.mapInPandas(run, f"{schema}, `{out}` string, `{out}_error` string")
+
+
+def two_pass(df: DataFrame, question: str, analyse: str, answer: str, call=offline, fallback: str | None = UNAVAILABLE) -> DataFrame:
+    """Adds analysis, solution and reply: a first call describes the case, a second answers with that as context.
+
+    analyse and answer are templates with {question} and, in the second, {analysis}."""
+    first = ask(df.withColumn("_p", render(analyse, question=F.col(question))), "_p", "analysis", call, fallback)
+    second = first.withColumn("_p", render(answer, question=F.col(question), analysis=F.col("analysis")))
+    second = ask(second, "_p", "solution", call, fallback)
+    return second.withColumn("reply", F.concat_ws("\n\n", "analysis", F.lit("─" * 40), "solution")).drop("_p")
+
+
+def translated(df: DataFrame, question: str, context: str, template: str, language: Column, translate=offline, call=offline, pivot: str = "en", failed: str = UNAVAILABLE) -> DataFrame:
+    """Adds reply: the question in the pivot language, asked with the context, and the answer in the question's language.
+
+    translate takes texts with the languages from and to in front, as "from>to:text". Whatever has no translation or
+    answer gets the failed text."""
+    to_pivot = ask(df.withColumn("_l", language).withColumn("_p", F.concat("_l", F.lit(f">{pivot}:"), F.col(question))), "_p", "_q", translate, None)
+    to_pivot = to_pivot.withColumn("_q", F.when(F.col("_l") == pivot, F.col(question)).otherwise(F.col("_q")))
+    asked = ask(to_pivot.withColumn("_p", render(template, question=F.col("_q"), context=F.col(context))), "_p", "_a", call, None)
+    back = ask(asked.withColumn("_p", F.concat(F.lit(f"{pivot}>"), "_l", F.lit(":"), F.col("_a"))), "_p", "_b", translate, None)
+    reply = F.when(F.col("_l") == pivot, F.col("_a")).otherwise(F.col("_b"))
+    ok = F.col(question).isNotNull() & F.col("_q").isNotNull() & F.col("_a").isNotNull()
+    out = back.withColumn("reply", F.coalesce(F.when(ok, reply), F.lit(failed)))
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
+
+
+def local_then_engine(df: DataFrame, local: str, question: str, call=offline, fallback: str = UNAVAILABLE) -> DataFrame:
+    """Adds reply: the local answer where there is one, else the engine's; only those without one are asked."""
+    has = F.coalesce(F.trim(F.col(local)) != "", F.lit(False))
+    found = df.where(has).withColumns({"reply": F.col(local), "reply_error": F.lit(None).cast("string")})
+    return found.unionByName(ask(df.where(~has), question, "reply", call, fallback))
+
+
+def choose(candidates: DataFrame, by: str, ident: str, rank: str, question: str, own: str, template: str, call=offline) -> DataFrame:
+    """pick() by what the engine names: it is shown the question and a line for each candidate, in order."""
+    line = F.concat(F.lit("- ID:"), F.col(ident).cast("string"), F.lit(" | Q:"), F.coalesce(own, F.lit("")))
+    shown = candidates.groupBy(by).agg(F.first(question).alias("_q"), F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), line.alias("l")))).alias("_c"))
+    shown = shown.withColumn("_p", render(template, question=F.col("_q"), candidates=F.array_join(F.col("_c.l"), "\n")))
+    named = ask(shown.select(by, "_p"), "_p", "_chosen", call, None).select(by, F.trim("_chosen").alias("_chosen"))
+    return pick(candidates.join(named, by, "left"), by, ident, rank, "_chosen")
 
 
 def pick(candidates: DataFrame, by: str, ident: str, rank: str, chosen: str) -> DataFrame:
     """The candidate of each question that the engine named in chosen, else that of least rank. One partial aggregate."""
     rest = [c for c in candidates.columns if c not in (by, ident, rank, chosen)]
     named = F.coalesce(F.col(chosen) == F.col(ident).cast("string"), F.lit(False))
-    top = candidates.groupBy(by).agg(F.min(F.struct((~named).alias("n"), rank, ident, *rest)).alias("t"))
-    return top.select(by, *[F.col(f"t.{c}").alias(c) for c in (ident, rank, *rest)])
+    first = F.min_by(F.struct(ident, rank, *rest), F.struct((~named).alias("n"), rank, ident))  # columns need no order
+    return candidates.groupBy(by).agg(first.alias("t")).select(by, *[F.col(f"t.{c}").alias(c) for c in (ident, rank, *rest)])

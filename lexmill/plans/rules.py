@@ -8,23 +8,26 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lexmill.functions.text import normalize_folded, trim_all
 
-def _list(values: tuple[str, ...]) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
+def enrich_by_topic(question: Column, answer: Column, topics: dict[str, str], rules: list[dict], prefix: str = "", suffix: str = "", normalize=normalize_folded) -> Column:
+    """prefix, answer, additions, suffix, in paragraphs; empty ones are left out. Additions stand on lines of their own.
 
-def enrich_by_topic(toks: Column, answer: Column, topics: tuple[str, ...], rules: list[dict], prefix: str = "", suffix: str = "") -> Column:
-    """prefix, answer, the texts of the rules that fire, suffix, in paragraphs; empty ones are left out.
-
-    The question's topics are those that are one of its tokens. A rule fires if any of its if_any are among them (or
-    it has none) and all of its if_all are."""
-    asked = F.array_intersect(_list(topics), toks)
-    texts = []
+    A topic adds its text if its normalised name is one of the question's words. A rule adds its text if any of its
+    if_any are (or it has none) and all of its if_all are. Terms of several words are never one word."""
+    asked = F.split(normalize(question), " ")
+    has = lambda t: F.array_contains(asked, normalize(F.lit(t)))
+    texts = [F.when(has(k), F.lit(v.strip())) for k, v in topics.items() if v.strip()]
     for r in rules:
-        some, every = r.get("if_any", ()), r.get("if_all", ())
-        fires = (F.arrays_overlap(asked, _list(some)) if some else F.lit(True)) & (F.size(F.array_except(_list(every), asked)) == 0)
-        texts.append(F.when(fires, F.lit(r["add"])))
-    return F.concat_ws("\n\n", F.nullif(F.lit(prefix), F.lit("")), F.nullif(answer, F.lit("")), *texts, F.nullif(F.lit(suffix), F.lit("")))
+        some, every = r.get("if_any") or (), r.get("if_all") or ()
+        fires = reduce(lambda a, t: a | has(t), some, F.lit(not some)) & reduce(lambda a, t: a & has(t), every, F.lit(True))
+        if (r.get("add") or "").strip():
+            texts.append(F.when(fires, F.lit(r["add"].strip())))
+    none = F.lit(None).cast("string")
+    added = F.nullif(F.concat_ws("\n", *texts), F.lit("")) if texts else none
+    said = lambda t: F.lit(t.strip()) if t.strip() else none
+    return F.concat_ws("\n\n", said(prefix), F.nullif(trim_all(F.coalesce(answer, F.lit(""))), F.lit("")), added, said(suffix))
 
 
 def usable(spark: SparkSession, rules: list[dict]) -> tuple[list[dict], list[dict]]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,7 +47,101 @@ def headed(name, text):
     return F.concat(F.lit("### FILE: "), name.cast("string"), F.lit(" ###\n"), F.coalesce(text, F.lit("")))
 
 
-def indexable(text, pairs: int | None = None):
+def concatenated(texts: DataFrame, by: list[str], order: str, part: Column, between: str = "\n\n") -> DataFrame:
+    """(by, text): the parts of each group in order, with blank lines between. A group becomes one string, so groups
+    must be small (a folder of a knowledge base); larger ones stay rows of headed()."""
+    joined = F.array_join(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p"))))["p"], between)
+    return texts.groupBy(*by).agg(joined.alias("text"))
+
+
+def stem(name: Column) -> Column:
+    """The lower-cased name of a file without its folder and suffix."""
+    return F.lower(F.regexp_replace(F.substring_index(name, "/", -1), r"(?<=.)\.[^.]*$", ""))
+
+
+def overlaid(spark: SparkSession, base: str, overlays: str, schema: str, key: str = "id", envelope: str = "items") -> DataFrame:
+    """The items of base with those of the overlays' files in their place: later files and places win, items without a
+    key are dropped, new ones added, sorted by key. Files that don't parse are passed over."""
+    own = read_items(spark, base, schema, envelope).withColumn("file", F.lit(""))
+    over = read_items(spark, overlays, schema, envelope)
+    rest = [c for c in own.columns if c not in (key, "file", "place")]
+    rows = own.unionByName(over).where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
+    top = rows.groupBy(key).agg(F.max(F.struct("file", "place", *rest)).alias("t"))
+    return top.select(key, *[F.col(f"t.{c}").alias(c) for c in rest]).orderBy(key)
+
+
+def write_items(items: DataFrame, path: str) -> None:
+    """Items as JSON lines; letters stay as they are, nulls are left out."""
+    items.write.mode("overwrite").json(path)
+
+
+class Knowledge:
+    """A knowledge base in JSON that is read once, kept in memory, and read again when its files have changed."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, envelope: str = "items"):
+        self.spark, self.path, self.schema, self.envelope = spark, path, schema, envelope
+        self.state: tuple | None = None
+        self.kept: DataFrame | None = None
+
+    def stamp(self) -> tuple:
+        """Names and times of the files, as their file system tells them; a driver's look at metadata alone."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        found = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(hadoop) or []
+        return tuple(sorted((str(f.getPath()), f.getModificationTime(), f.getLen()) for f in found))
+
+    def items(self) -> DataFrame:
+        now = self.stamp()
+        if self.kept is None or now != self.state:
+            self.reload()
+            self.state = now
+        return self.kept
+
+    def reload(self) -> DataFrame:
+        if self.kept is not None:
+            self.kept.unpersist()
+        self.kept = read_items(self.spark, self.path, self.schema, self.envelope).cache()
+        self.state = self.stamp()
+        return self.kept
+
+    def stats(self) -> DataFrame:
+        """(file, items)."""
+        return self.items().groupBy("file").agg(F.count("*").alias("items"))
+
+
+def read_enrichment(spark: SparkSession, path: str) -> dict:
+    """topics (name: text), rules, prefix and suffix of a small configuration file; all empty where there is none."""
+    schema = "topics map<string,string>, rules array<struct<if_any:array<string>,if_all:array<string>,add:string>>, prefix string, suffix string"
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        text = spark.createDataFrame([], "value string")
+    row = text.select(F.from_json("value", schema).alias("c")).select("c.*").first()
+    found = row.asDict(recursive=True) if row else {}
+    return {"topics": found.get("topics") or {}, "rules": found.get("rules") or [], "prefix": found.get("prefix") or "", "suffix": found.get("suffix") or ""}
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What a search may be told by the session's settings (lexmill.<name>), under a name or an older one."""
+
+    top_k: int = 8
+    threshold: float = 0.30
+    least_chars: int = 500
+    answer_chars: int = 1200
+
+    @classmethod
+    def of(cls, spark: SparkSession, older: dict[str, str] | None = None) -> Settings:
+        values = {}
+        for f in fields(cls):
+            for name in (f.name, *[o for o, n in (older or {}).items() if n == f.name]):
+                said = spark.conf.get(f"lexmill.{name}", None)
+                if said not in (None, ""):
+                    values[f.name] = type(f.default)(said)
+                    break
+        return cls(**values)
+
+
+def indexable(text, pairs=None):
     """Whether a text is long enough (500 characters) or has question-and-answer pairs."""
     long_enough = F.coalesce(F.length(text) >= 500, F.lit(False))
     return long_enough if pairs is None else long_enough | (F.coalesce(pairs, F.lit(0)) > 0)

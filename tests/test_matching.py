@@ -16,8 +16,6 @@ from lexmill.sources.knowledge import read_items, read_texts
 from lexmill.sources.tagged import parse_pairs
 from lexmill.streaming.answering import answer_stream
 
-SF = "/root/testdata/sf0.001"
-
 
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
@@ -176,12 +174,13 @@ def test_lookup_prefers_exact_names(spark):
 QUERIES, SQL = catalog.QUERIES | catalog_answers.QUERIES, catalog.SQL | catalog_answers.SQL
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_query_equals_sql(spark, name):
+def test_query_equals_sql(spark, name, sf):
     con = duckdb.connect()
-    for f in os.listdir(SF):
-        con.execute(f"create view {f[:-8]} as select * from '{SF}/{f}'")
-    got, want = QUERIES[name](spark, SF), con.sql(SQL[name])
+    for f in os.listdir(sf):
+        con.execute(f"create view {f[:-8]} as select * from '{sf}/{f}'")
+    got, want = QUERIES[name](spark, sf), con.sql(SQL[name])
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     assert rows(got.select(*cols)) == sorted((tuple(r) for r in want.project(", ".join(f'"{c}"' for c in cols)).fetchall()), key=str)
