@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.catalog import _FOLD, _NORM, AFTER, BEFORE, ROUTES, SYNONYMS, _lines, _t, _word
 from lexmill.functions import text as X
 from lexmill.operators import products, ranking, scoring
-from lexmill.plans import answering, predicates, provider, routing, rules
+from lexmill.plans import answering, predicates, provider, rules
 from lexmill.sources.knowledge import concatenated, headed
 from lexmill.sources.tagged import index
 
