@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import io
 import json
 import re
 import struct
