@@ -9,11 +9,29 @@ from pyspark.sql import functions as F
 REFERENCES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
+def numeric_references(c: Column) -> Column:
+    """Decimal and hexadecimal character references decoded; what names no character stays."""
+
+    def one(part: Column) -> Column:
+        dec, hexa = F.regexp_extract(part, r"^([0-9]{1,7});", 1), F.regexp_extract(part, r"^[xX]([0-9a-fA-F]{1,6});", 1)
+        n = F.when(dec != "", dec.try_cast("int")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("int"))
+        valid = F.coalesce(n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF), F.lit(False))
+        sign = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, n).otherwise(32)), 8, "0")), "UTF-32")
+        return F.when(valid, F.concat(sign, F.regexp_replace(part, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(c, "&#")
+    decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+    return F.when(F.contains(c, F.lit("&#")), decoded).otherwise(c)
+
+
 def html_text(c: Column) -> Column:
+    """The text of a page: script, style, noscript, iframe and comments go, tags become blanks, references (numeric ones
+    and REFERENCES; other names stay) are decoded, white space is collapsed."""
     out = c
     for tag in ("script", "style", "noscript", "iframe"):
         out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
     out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+    out = numeric_references(out)
     for ref, sign in REFERENCES:
         out = F.replace(out, F.lit(ref), F.lit(sign))
     return F.trim(F.regexp_replace(out, r"\s+", " "))

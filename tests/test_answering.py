@@ -7,6 +7,7 @@ from lexmill.functions import text as X
 from lexmill.operators import merge, products, scoring
 from lexmill.plans import answering, predicates, provider, routing, rules
 from lexmill.sources import knowledge, tagged
+from lexmill.sources.html import html_text
 
 
 def one(spark, col, **values):
@@ -47,6 +48,11 @@ def test_texts(spark):
     assert one(spark, F.to_json(X.counted(F.split("t", " "))), t="b a b") == '[{"token":"a","f":1},{"token":"b","f":2}]'
 
 
+def test_references(spark):
+    assert one(spark, html_text(F.col("t")), t="<p>&#39;&#x41;&#128512; &#xD800; &#; &amp;#65; &lt;b&gt;</p>") == "'A😀 &#xD800; &#; &#65; <b>"
+    assert one(spark, html_text(F.col("t")), t=None) is None
+
+
 def test_empty_keys_are_dropped(spark):
     a = spark.createDataFrame([("", "x", 0), ("1", "y", 1), (None, "z", 2)], "id string, v string, p int")
     assert rows(merge.merge_layers([a], "id", "p").select("id", "v")) == [("1", "y")]
