@@ -32,8 +32,8 @@ SLACK = 0.3
 PRIOR = 1e-3
 REJECT = 0.7
 #: Rows are taken from a batch by so many, and their texts together up to this many characters.
-SLICE = 500
-CHUNK_CHARS = 400_000
+SLICE = 300
+CHUNK_CHARS = 800_000
 
 _random = np.random.default_rng(20240510).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -188,16 +188,17 @@ class BlockMaxIndex:
         impact = q_ * self.most[at]
         order = np.argsort(-impact)
         rest = np.append(np.cumsum(impact[order][::-1])[::-1], 0.0)
-        done, score, floor = 0, self._add(np.zeros(n), lo[rare], hi[rare], q[rare]), 0.0
+        done = min(16, len(order))
+        strong = order[:done]
+        score = self._add(np.zeros(n), *(np.concatenate([x[rare], y[strong]]) for x, y in ((lo, lo_), (hi, hi_), (q, q_))))
         while True:
             cosine = score * self.scale
             if without is not None:
                 cosine[without] = 0
-            if done:
-                floor = self._floor(cosine, k)
-            if done == len(order) or done and rest[done] <= SLACK * floor:
+            floor = self._floor(cosine, k)
+            if done == len(order) or rest[done] <= SLACK * floor:
                 break
-            now = done + 16 if not done else max(done + 16, min(int(np.searchsorted(-rest, -SLACK * floor)), 3 * done + 32))
+            now = max(done + 16, min(int(np.searchsorted(-rest, -SLACK * floor)), 3 * done + 32))
             strong = order[done:now]
             score = self._add(score, lo_[strong], hi_[strong], q_[strong])
             done = min(now, len(order))
