@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import chat, decontam, fim, htmltext, langid, minhash, pieces, quality, toxicity, urls, warc
+from lexmill.llm import chat, decontam, fim, htmltext, langid, minhash, multiindex, pieces, quality, toxicity, urls, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_html_text": htmltext.op10_html_text,
+    "op11_nearest": multiindex.op11_nearest,
     "op13_fim": fim.op13_fim,
 }
 SQL = {

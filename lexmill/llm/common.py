@@ -63,21 +63,29 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark df for broadcast if its counted rows are few and short together; else leave it to a shuffle join.
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has few rows, and few bytes in them: its rows are counted, its texts, binaries and arrays measured.
 
-    Texts, binaries and arrays are measured, not guessed. df should be cheap to read again, such as a table that a
-    Workspace has written; no more than rows + 1 rows are looked at."""
-    wide = [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType))]
+    df should be cheap to read again, such as a table that a Workspace has written; no more than rows + 1 rows are
+    looked at."""
+    wide = [f for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType))]
     length = F.lit(16 * len(df.columns)).cast("long")
-    for c, f in zip(wide, (f for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType))), strict=True):
+    for f in wide:
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.ArrayType):
-            flat = F.octet_length(F.array_join(c, "")) if isinstance(f.dataType.elementType, T.StringType) else F.lit(0)
-            length = length + F.coalesce(F.size(c) * 16 + flat, F.lit(0))
+            inner = f.dataType.elementType
+            flat = F.octet_length(F.array_join(c, "")) if isinstance(inner, T.StringType) else F.lit(0)
+            each = 16 * (len(inner.fields) if isinstance(inner, T.StructType) else 1)
+            length = length + F.coalesce(F.size(c) * each + flat, F.lit(0))
         else:
             length = length + F.coalesce(F.octet_length(c), F.lit(0))
     n, total = df.limit(rows + 1).select(length.alias("b")).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and total <= size else df
+    return n <= rows and total <= size
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark df for broadcast if it fits; else leave it to a shuffle join."""
+    return F.broadcast(df) if fits(df, rows, size) else df
 
 
 def spread(rows: DataFrame, keyed: DataFrame, key: str | list[str], by: str, hot: int = HOT_ROWS, how: str = "inner") -> DataFrame:
@@ -93,6 +101,11 @@ def spread(rows: DataFrame, keyed: DataFrame, key: str | list[str], by: str, hot
     return dealt.drop("_parts").join(copied, [*key, "_part"], how).drop("_part")
 
 
+def meet(rows: DataFrame, keyed: DataFrame, key: str | list[str], by: str, how: str = "inner", most: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """rows joined with keyed, as spread() does it, or by broadcast where keyed fits. Either way no key fills a task."""
+    return rows.join(F.broadcast(keyed.drop("n")), key, how) if fits(keyed, most, size) else spread(rows, keyed, key, by, how=how)
+
+
 class Workspace:
     """Intermediate tables as Parquet in the folder that driver and executors share.
 
@@ -116,13 +129,16 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Unset, a session on one machine gets a temporary one; on a cluster, where
-    the driver's disk is not the executors', that is an error."""
+    """The folder of spark.checkpoint.dir. Unset, a session on one machine gets a temporary one, the same for the whole
+    application; on a cluster, where the driver's disk is not the executors', that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='lexmill-checkpoints-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _own_dirs.setdefault(app, _own_dirs.get(app) or f"file://{tempfile.mkdtemp(prefix='lexmill-checkpoints-')}")
     return folder.rstrip("/")
