@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import chat, decontam, fim, htmltext, langid, minhash, multiindex, pieces, quality, toxicity, urls, warc
+from lexmill.llm import chat, decontam, fim, htmltext, langid, minhash, multiindex, negatives, pieces, quality, toxicity, urls, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_html_text": htmltext.op10_html_text,
     "op11_nearest": multiindex.op11_nearest,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_fim": fim.op13_fim,
 }
 SQL = {
@@ -26,5 +27,6 @@ SQL = {
     "op5_chat_format": chat.ORACLE,
     "op6_url_filter": urls.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
     "op13_fim": fim.ORACLE,
 }
