@@ -22,7 +22,9 @@ WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+
 #: Runs of white space (Unicode's, a fixed value) of this many signs are cut out before the pattern sees them, where it
 #: would cut itself: it would run out of stack over some million of them.
 SPACES = 100_000
-_SPACES = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{SPACES},}}")
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: It starts at the start of a run alone and gives nothing back, so each run is gone through once.
+_SPACES = re.compile(rf"(?<![{_WHITE}])[{_WHITE}]{{{SPACES},}}+")
 #: Rows that are held decoded at a time.
 CHUNK = 1000
 #: The template's own marks, in the order of their reserved ids behind the tokenizer's vocabulary.

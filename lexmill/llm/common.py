@@ -94,7 +94,7 @@ def spread(rows: DataFrame, keyed: DataFrame, key: str | list[str], by: str, hot
     keyed has one row for each key and its number of rows as n; it should be a written table. Keys of over hot rows
     are looked up first (there are few); their rows are dealt by the column by, and their row of keyed is repeated."""
     key = [key] if isinstance(key, str) else key
-    parts = small(keyed.where(F.col("n") > hot).select(*key, F.ceil(F.col("n") / hot).cast("int").alias("_parts")))
+    parts = small(keyed.where(F.col("n") > hot).select(*key, F.ceil(F.col("n") / hot).cast("int").alias("_parts")).distinct())
     dealt = rows.join(parts, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(F.col(by), F.lit(3)), F.col("_parts")).cast("int"), F.lit(0)))
     copies = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / hot).cast("int") - 1))
     copied = keyed.withColumn("_part", F.explode(F.when(F.col("n") > hot, copies).otherwise(F.array(F.lit(0))))).drop("n")
@@ -102,8 +102,16 @@ def spread(rows: DataFrame, keyed: DataFrame, key: str | list[str], by: str, hot
 
 
 def meet(rows: DataFrame, keyed: DataFrame, key: str | list[str], by: str, how: str = "inner", most: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """rows joined with keyed, as spread() does it, or by broadcast where keyed fits. Either way no key fills a task."""
-    return rows.join(F.broadcast(keyed.drop("n")), key, how) if fits(keyed, most, size) else spread(rows, keyed, key, by, how=how)
+    """rows joined with keyed by broadcast where keyed fits, else as spread() does it. Either way no key fills a task.
+
+    keyed may lack n, and may then have several rows for a key: rows are counted by key where that is needed."""
+    key = [key] if isinstance(key, str) else key
+    if fits(keyed, most, size):
+        return rows.join(F.broadcast(keyed.drop("n")), key, how)
+    if "n" not in keyed.columns:
+        counts = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS)
+        keyed = keyed.join(counts, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return spread(rows, keyed, key, by, how=how)
 
 
 class Workspace:

@@ -31,14 +31,18 @@ ROOT, TEXT = "#root", "#text"
 
 
 class Tree(HTMLParser):
-    """Block elements and runs of text, parents before children. Inline elements melt into their block."""
+    """Block elements and runs of text, parents before children. Inline elements melt into their block.
 
-    def __init__(self) -> None:
+    labelled: data-content is the label of an element and what it holds, as in the pages that a model is trained from. On any other
+    page the attribute is the page's own and means nothing."""
+
+    def __init__(self, labelled: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.labelled = labelled
         self.tags, self.names, self.parents, self.texts = [ROOT], [()], [-1], [""]
         self.labels: list[int] = [0]
         self.linked = [0]
-        self.open: list[tuple[str, int]] = [(ROOT, 0)]  # tag, block
+        self.open: list[tuple[str, int, bool]] = [(ROOT, 0, False)]  # tag, block, and whether it hides what it holds
         self.count: Counter = Counter()  # of the open tags, so that no search goes through them all in vain
         self.hidden, self.links, self.run, self.run_linked = 0, 0, [], 0
 
@@ -62,16 +66,16 @@ class Tree(HTMLParser):
 
     def pop(self, at: int) -> None:
         self.flush()
-        for tag, _ in self.open[at:]:
+        for tag, _, hides in self.open[at:]:
             self.count[tag] -= 1
-            self.hidden -= tag in HIDDEN
+            self.hidden -= hides
             self.links -= tag == "a"
         del self.open[at:]
 
     def close_head(self) -> None:
         """End a head that is open, with what is open in it, but for templates."""
-        at = next((k for k, (tag, _) in enumerate(self.open) if tag == "head"), 0) if self.count["head"] else 0
-        if at and all(tag != "template" for tag, _ in self.open[at:]):
+        at = next((k for k, (tag, *_) in enumerate(self.open) if tag == "head"), 0) if self.count["head"] else 0
+        if at and all(tag != "template" for tag, *_ in self.open[at:]):
             self.pop(at)
 
     def handle_starttag(self, tag, attrs):
@@ -81,10 +85,12 @@ class Tree(HTMLParser):
             self.run.append(" ")
         if tag in VOID or tag in ("html", "body"):
             return
+        hides = tag in HIDDEN or any(name == "hidden" for name, _ in attrs)
         if tag in INLINE:
             self.links += tag == "a"
             self.count[tag] += 1
-            self.open.append((tag, self.open[-1][1]))
+            self.hidden += hides
+            self.open.append((tag, self.open[-1][1], hides))
             return
         if tag == "object" and not self.hidden and not dict(attrs).get("data"):
             return  # nothing to load: its content is shown
@@ -96,16 +102,16 @@ class Tree(HTMLParser):
             if self.open[k][0] in bounds:
                 break
         self.flush()
-        if tag in HIDDEN:
+        if hides:
             self.hidden += 1
             self.count[tag] += 1
-            self.open.append((tag, self.open[-1][1]))
+            self.open.append((tag, self.open[-1][1], True))
             return
         own = dict(attrs)
         names = tuple({w.lower() for key in ("class", "id", "role", "aria-label", "itemprop") for w in _NAME.findall(own.get(key) or "")})
-        label = int(own["data-content"]) if "data-content" in own else self.labels[self.open[-1][1]]
+        label = int(own["data-content"]) if self.labelled and "data-content" in own else self.labels[self.open[-1][1]]
         self.count[tag] += 1
-        self.open.append((tag, self.node(tag, names, "", label)))
+        self.open.append((tag, self.node(tag, names, "", label), False))
 
     def handle_endtag(self, tag):
         if not self.count[tag]:
@@ -115,6 +121,7 @@ class Tree(HTMLParser):
                 if tag in INLINE:  # what it wraps goes on
                     self.links -= tag == "a"
                     self.count[tag] -= 1
+                    self.hidden -= self.open[k][2]
                     del self.open[k]
                 else:
                     self.pop(k)
@@ -164,7 +171,7 @@ class Model:
         seen, total = [Counter() for _ in STATES], [Counter() for _ in STATES]
         pair: Counter = Counter()
         for page in pages:
-            tree = Tree().read(page)
+            tree = Tree(labelled=True).read(page)
             of = states(tree)
             for i in range(1, len(of)):
                 for f in features(tree, i):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import Workspace, ascii_lower, ship, small, spread, table
+from lexmill.llm.common import Workspace, ascii_lower, meet, ship, table
 
 #: (host and path, verdict) of production.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -94,15 +94,16 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "
 
     Each place (host and path) is judged once: its few keys are looked up in the filter, a bit set of bounded size that
     every executor holds. Keys whose bits are set go on to a hash join with the listed URLs by text, which removes
-    false positives. Rules, listed URLs and verdicts are broadcast only if counted and measured as small; places of many
-    rows are otherwise dealt over tasks, and rows without a host take part in no join."""
+    false positives. Rules, listed URLs and verdicts are broadcast only if counted and measured as small; domains, keys and
+    places of many rows are otherwise dealt over tasks, and rows without a host take part in no join."""
     ship(pages.sparkSession)
     work = Workspace(pages.sparkSession, "urls")
     parsed = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     sites = work.write(parsed.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n")), "sites")
 
     rules = rules.select(F.col("rule"), F.col("verdict").alias("said"), F.substring_index("rule", "/", 1).alias("suffix"), F.expr("substring(rule, instr(rule, '/'))").alias("start"))
-    fits = sites.select("host", "path", F.explode(suffixes(F.col("host"))).alias("suffix")).join(small(work.write(rules, "rules")), "suffix").where("startswith(path, start)")
+    under = sites.select("host", "path", F.explode(suffixes(F.col("host"))).alias("suffix"))
+    fits = meet(under, work.write(rules, "rules"), "suffix", "path").where("startswith(path, start)")
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "said")).alias("r"))
 
     keys = work.write(listed.select(canonical(F.col("url")).alias("key")).where("key is not null").distinct(), "listed")
@@ -115,13 +116,12 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "
 
     probes = sites.select("host", "path", F.explode(canonical_keys(F.col("host"), F.col("path"))).alias("key"))
     maybe = probes.where(maybe_listed(_block(F.col("key"), blocks), _places(F.col("key"))))
-    sure = maybe.join(small(keys), "key", "left_semi").select("host", "path").distinct().withColumn("listed", F.lit(True))
+    sure = meet(maybe, keys, "key", "path", "left_semi").select("host", "path").distinct().withColumn("listed", F.lit(True))
 
     judged = work.write(sites.join(best, ["host", "path"], "left").join(sure, ["host", "path"], "left").select(
         "host", "path", "n", F.col("r.rule").alias("rule"), F.col("r.said").alias("said"), F.coalesce("listed", F.lit(False)).alias("listed")), "judged")
     named = parsed.where("host <> ''")
-    few = small(judged.drop("n"), 100_000, 16 << 20)
-    out = named.join(few, ["host", "path"]) if judged.limit(100_001).count() <= 100_000 else spread(named, judged, ["host", "path"], "id")
+    out = meet(named, judged, ["host", "path"], "id", "inner", 100_000, 16 << 20)
     bare = parsed.where("host = ''").select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("said"), F.lit(False).alias("listed"))
     out = out.select("id", "host", "path", "rule", "said", "listed").unionByName(bare)
     verdict = F.coalesce("said", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit(default)))
