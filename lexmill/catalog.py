@@ -63,12 +63,14 @@ def kb_overlap(spark, d):
 
 
 def kb_overlap_top1(spark, d):
-    return ranking.best(kb_overlap(spark, d), "item_id", "score", "doc_id", 0.18).select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    q, k = _toks(_t(spark, d, "benchmark"), "item_id"), _toks(_t(spark, d, "documents"), "doc_id")
+    s = scoring.overlap_best(q, k, "item_id", "doc_id", 1, 0.18)
+    return ranking.best(s, "item_id", "score", "doc_id", 0.18).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 def bm25_top10(spark, d):
     q, k = _toks(_t(spark, d, "benchmark"), "item_id"), _toks(_t(spark, d, "documents"), "doc_id")
-    s = scoring.bm25(q, k, "item_id", "doc_id").withColumn("score", F.round("score", 6))
+    s = scoring.bm25_best(q, k, "item_id", "doc_id", 10).withColumn("score", F.round("score", 6))
     return ranking.top_k(s, "item_id", 10, F.desc("score"), F.asc("doc_id"))
 
 

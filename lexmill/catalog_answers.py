@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.catalog import _FOLD, _NORM, AFTER, BEFORE, ROUTES, SYNONYMS, _lines, _t, _word
 from lexmill.functions import text as X
 from lexmill.operators import products, ranking, scoring
+from lexmill.operators.joins import stored
 from lexmill.plans import answering, predicates, provider, rules
 from lexmill.sources.knowledge import concatenated, headed
 from lexmill.sources.tagged import index
@@ -45,7 +46,7 @@ def _top1(scored: DataFrame) -> DataFrame:
 
 def _best(questions: DataFrame, docs: DataFrame) -> DataFrame:
     """The best document of every question, those without a shared token included."""
-    scored = scoring.hybrid(questions, docs, "item_id", "doc_id")
+    scored = stored(scoring.hybrid_best(questions, docs, "item_id", "doc_id"))
     return _top1(scored.unionByName(scoring.unmatched(questions, docs, scored, "item_id", "doc_id")))
 
 

@@ -85,16 +85,20 @@ def counted(toks: Column) -> Column:
     return bind(F.sort_array(toks), runs)
 
 
-def expand(toks: Column, synonyms: dict[str, list[str]]) -> Column:
-    """Tokens with, behind them, key and members of each synonym group they belong to; first mention kept."""
+def expand(toks: Column, synonyms: dict[str, list[str]], normalize=None) -> Column:
+    """Tokens with, behind them, key and members of each synonym group they belong to; first mention kept.
+
+    A token belongs to a group as it stands, so one that normalising changes (as accents are) has to be given that way; normalize:
+    applied to what is added, as to the tokens before. What is empty then is left out."""
     groups: dict[str, list[str]] = {}
     for key, members in synonyms.items():
         for word in (key, *members):
             groups.setdefault(word, []).extend((key, *members))
-    pairs = [x for w, g in groups.items() for x in (F.lit(w), F.array(*map(F.lit, dict.fromkeys(g))))]
+    said = lambda w: F.lit(w) if normalize is None else normalize(F.lit(w))
+    pairs = [x for w, g in groups.items() for x in (F.lit(w), F.array(*map(said, dict.fromkeys(g))))]
     table = F.create_map(*pairs)
     more = F.flatten(F.transform(toks, lambda t: F.coalesce(F.try_element_at(table, t), F.array().cast("array<string>"))))
-    return F.array_distinct(F.concat(toks, more))
+    return F.array_distinct(F.filter(F.concat(toks, more), lambda t: t != ""))
 
 
 def any_of(c: Column, terms: tuple[str, ...]) -> Column:

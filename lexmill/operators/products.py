@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import compact, normalize, tokens
+from lexmill.operators.joins import word_join
 
 
 def lookup(questions: DataFrame, products: DataFrame, q: str, text: str, key: str, name: str, codes: tuple[str, ...], prefixes: tuple[str, ...]) -> DataFrame:
@@ -25,7 +26,7 @@ def lookup(questions: DataFrame, products: DataFrame, q: str, text: str, key: st
     for p in prefixes:
         family = family | F.startswith(F.lower(name), F.lit(p))
     names = names.select(key, compact(F.col(name)).alias("same"), F.array_distinct(tokens(normalize(F.col(name)))).alias("words"), family.alias("family"))
-    by_word = asked.select(q, "coded", "number", F.explode("toks").alias("w")).join(names.select(key, "family", F.explode("words").alias("w")), "w")
+    by_word = word_join(names.select(key, "family", F.explode("words").alias("w")), asked.select(q, "coded", "number", F.explode("toks").alias("w")), "w", key)
     scored = by_word.groupBy(q, key).agg(F.count("*").alias("hits"), F.first("coded").alias("coded"), F.first("number").alias("number"), F.first("family").alias("family"))
     points = F.col("hits") + F.when(F.col("number"), 0.5).otherwise(0.0) + F.when(F.col("coded") & F.col("family"), 0.25).otherwise(0.0)
     exact = asked.where("same <> ''").join(names, "same").groupBy(q).agg(F.min(key).alias(key))

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import counted
-
-
-def few(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df marked for broadcast if its rows, short ones, are counted as few; else left to a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+from lexmill.operators import names, topk
+from lexmill.operators.joins import few, spread_out, stored, word_join
 
 
 def postings(df: DataFrame, key: str, toks: Column) -> DataFrame:
@@ -28,7 +23,7 @@ def overlap(questions: DataFrame, docs: DataFrame, q: str, d: str) -> DataFrame:
     questions and docs: key and an array column toks. An equi-join on tokens instead of all pairs; the questions'
     tokens go to all tasks if they are counted as few, and a document's hits meet before any exchange."""
     qs = questions.select(q, F.array_distinct("toks").alias("toks")).select(q, F.size("toks").alias("nq"), F.explode_outer("toks").alias("token")).where("token is not null")
-    hits = postings(docs, d, F.col("toks")).join(few(qs), "token").groupBy(q, d).agg(F.count("*").alias("n"), F.first("nq").alias("nq"))
+    hits = word_join(postings(docs, d, F.col("toks")), qs, "token", d).groupBy(q, d).agg(F.count("*").alias("n"), F.first("nq").alias("nq"))
     return hits.select(q, d, (F.col("n") / F.col("nq")).alias("score"))
 
 
@@ -49,16 +44,65 @@ def _parts(questions: DataFrame, docs: DataFrame, q: str, d: str, k1: float, b:
     asked = wanted.join(idf, "token")
     tf = terms.select(d, "dl", F.explode_outer("terms").alias("t")).select(d, "dl", "t.token", "t.f").where("token is not null")
     part = F.col("qf") * F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.join(few(asked), "token").select(q, d, part.alias("part"))
+    return word_join(tf, asked, "token", d).select(q, d, part.alias("part"))
 
 
 def bm25(questions: DataFrame, docs: DataFrame, q: str, d: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(q, d, score): Okapi BM25; a negative idf becomes epsilon times the mean idf; repeated query tokens count.
+    """(q, d, score): Okapi BM25 of all pairs that share a token; a negative idf becomes epsilon times the mean idf; repeated
+    query tokens count. For the best documents alone bm25_best() is the way.
 
     docs should be cheap to read again: corpus statistics and scores are separate passes."""
     return _parts(questions, docs, q, d, k1, b, epsilon).groupBy(q, d).agg(F.sum("part").alias("score"))
 
 
+class Bm25:
+    """Documents' terms with their saturated frequencies, written once, and the weights of questions' tokens.
+
+    terms: d and the arrays tokens and xs, x being what a token of weight 1 adds to the document's score. Corpus
+    statistics are two aggregates over it: lengths, and documents and the largest x by token. keep: columns of docs that stay."""
+
+    def __init__(self, docs: DataFrame, d: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, keep: tuple[str, ...] = ()):
+        self.epsilon = epsilon
+        counts = spread_out(docs, d).select(d, *keep, F.size("toks").alias("dl"), counted(F.col("toks")).alias("terms"))
+        counts = stored(counts.select(d, *keep, "dl", F.col("terms.token").alias("tokens"), F.col("terms.f").alias("fs")))
+        n, mean = counts.agg(F.count("*"), F.avg("dl")).first()
+        long = k1 * (1 - b + b * F.col("dl") / F.lit(float(mean or 1.0)))
+        self.terms = counts.select(d, *keep, "tokens", F.transform("fs", lambda f: f * (k1 + 1) / (f + long)).alias("xs"))
+        each = self.terms.select(F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("xs").alias("x"))))
+        by = each.groupBy("token").agg(F.count("*").alias("df"), F.max("x").alias("top"))
+        self.stats = stored(by.select("token", "df", "top", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
+        self.mean = self.stats.agg(F.avg("raw")).first()[0] or 0.0
+
+    def asked(self, questions: DataFrame, q: str) -> DataFrame:
+        """(q, token, w, qf, df, top): questions' tokens that any document has; w is their number times the idf."""
+        wanted = questions.select(q, F.explode("toks").alias("token")).groupBy(q, "token").agg(F.count("*").alias("qf"))
+        wanted = stored(wanted)
+        idf = F.when(F.col("raw") < 0, self.epsilon * self.mean).otherwise(F.col("raw"))
+        return self.stats.join(few(wanted), "token").select(q, "token", (F.col("qf") * idf).alias("w"), "qf", "df", "top")
+
+
+def bm25_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """(q, d, score): bm25() of the pairs that may be among the k best of their question, ties included; see topk."""
+    model = Bm25(docs, d, k1, b, epsilon)
+    asked = model.asked(questions, q).withColumn("u", F.lit(0.0))
+    return topk.candidates(asked, model.terms, q, d, k).select(q, d, "score")
+
+
+def overlap_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int, least: float | None = None) -> DataFrame:
+    """(q, d, score): overlap() of the pairs that may be among the k best of their question, ties included; see topk.
+
+    least: scores below it are not wanted."""
+    terms = stored(spread_out(docs, d).select(d, F.array_distinct("toks").alias("tokens")))
+    qs = stored(questions.select(q, F.array_distinct("toks").alias("toks")).select(q, F.size("toks").alias("nq"), F.explode("toks").alias("token")))
+    df = terms.select(F.explode("tokens").alias("token")).join(few(qs.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    asked = qs.join(few(stored(df)), "token").select(q, "token", F.lit(0.0).alias("w"), (1 / F.col("nq")).alias("u"), "df", F.lit(1.0).alias("top"), "nq")
+    ones = terms.withColumn("xs", F.array_repeat(F.lit(1.0), F.size("tokens")))
+    found = topk.candidates(asked, ones, q, d, k, least=least)
+    nq = few(qs.select(q, "nq").distinct())
+    out = found.join(nq, q).select(q, d, (F.col("hits") / F.col("nq")).alias("score"))
+    return out if least is None else out.where(F.col("score") >= least)
+
+
 def fuzzy_plain(a: Column, b: Column) -> Column:
     """1 for equal texts, 0.5 if one contains the other, else 0; 0 for empty ones."""
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.5).otherwise(0.0)
@@ -88,16 +132,54 @@ def hybrid(questions: DataFrame, docs: DataFrame, q: str, d: str) -> DataFrame:
     return pairs.select(q, d, F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("score"))
 
 
-def unmatched(questions: DataFrame, docs: DataFrame, scored: DataFrame, q: str, d: str) -> DataFrame:
-    """(q, d, score): for questions that share no token with any document, the first of the documents of best boost.
+#: What fuzzy likeness and boost add at most.
+BONUS = 0.15 + 0.20
+
+
+def hybrid_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int = 1, full: bool = False) -> DataFrame:
+    """(q, d, score): hybrid() of the pairs that may be among the k best of their question, ties included.
+
+    The question's best BM25 comes first; with it, BM25 and overlap are one sum over shared words, and topk gives the pairs
+    that can still be among the best when likeness and boost are added. Only these pairs have their texts fetched. full: likeness is
+    the token-set ratio (of the pairs that can reach the best with it) instead of its plain form."""
+    model = Bm25(docs, d, keep=("norm", "name", "tags"))
+    asked = stored(model.asked(questions, q))
+    flat = asked.withColumn("u", F.lit(0.0))
+    most = topk.candidates(flat, model.terms.select(d, "tokens", "xs"), q, d, 1).groupBy(q).agg(F.max("score").alias("most"))
+    told = stored(questions.select(q, F.col("norm").alias("qn"), F.size(F.array_distinct("toks")).alias("nq")).join(most, q))
+    weight = 0.6 * F.when(F.col("most") > 0, F.col("w") / F.col("most")).otherwise(F.col("w"))
+    both = asked.join(few(told.select(q, "most", "nq")), q).select(q, "token", weight.alias("w"), (0.25 / F.col("nq")).alias("u"), "df", "top")
+    own = model.terms.select(F.struct(F.col(d).alias("id"), "name", "tags", F.size("tokens").alias("nd")).alias("_d"), "tokens", "xs")
+    asking = few(told.select(q, "qn", "nq"))
+
+    def more(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(asking, q)
+        # a text within another shares all its words but the first and the last
+        near = F.lit(True) if full else F.col("n") + F.col("unseen") >= F.least(F.col("nq"), F.col("_d.nd")) - 2
+        return pairs.withColumns({"known": boost(F.col("qn"), F.col("_d.name"), F.col("_d.tags")), "maybe": F.when(near, 0.15).otherwise(0.0)})
+
+    found = stored(topk.candidates(both, own, q, "_d", k, bonus=BONUS, more=more).select(q, F.col("_d.id").alias(d)))
+    found = stored(topk.whole(found, flat, model.terms.select(d, "tokens", "xs"), q, d))
+    texts = model.terms.join(few(found.select(d).distinct()), d, "left_semi").select(d, "norm", "name", "tags")
+    pairs = found.join(few(told), q).join(texts, d)
+    bm = F.when(F.col("most") > 0, F.col("score") / F.col("most")).otherwise(F.col("score"))
+    base = 0.6 * bm + 0.25 * F.col("hits") / F.col("nq")
+    pairs = pairs.select(q, d, base.alias("base"), boost(F.col("qn"), F.col("name"), F.col("tags")).alias("boost"), "qn", "norm")
+    if full:
+        least = F.col("base") + F.col("boost")
+        pairs = stored(pairs.withColumns({"least": least, "most": least + 0.15 * ratio_bound(F.col("qn"), F.col("norm"))}))
+        kth = pairs.groupBy(q).agg(F.get(F.sort_array(F.collect_list("least"), False), F.lit(k - 1)).alias("kth"))  # a few more than k
+        pairs = pairs.join(few(kth), q).where(F.col("kth").isNull() | (F.col("most") >= F.col("kth") - topk.SLACK))
+        fuzzy = fuzzy_full(F.col("qn"), F.col("norm"))
+    else:
+        fuzzy = fuzzy_plain(F.col("qn"), F.col("norm"))
+    return pairs.select(q, d, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("base") + 0.15 * fuzzy + F.col("boost"))).alias("score"))
+
 
-    Documents of one name and the same tags boost alike, so only the first of each kind is compared. Kinds should be
-    few (a partial aggregate finds them); the questions are those left over."""
+def unmatched(questions: DataFrame, docs: DataFrame, scored: DataFrame, q: str, d: str) -> DataFrame:
+    """(q, d, score): for questions that share no token with any document, the first of the documents of best boost."""
     left = questions.join(scored.select(q).distinct(), q, "left_anti").select(q, F.col("norm").alias("qn"))
-    kinds = docs.groupBy("name", "tags").agg(F.min(d).alias(d))
-    kinds = kinds.agg(F.collect_list(F.struct(d, "name", "tags")).alias("kinds"))
-    met = left.join(kinds).select(q, "qn", F.explode("kinds").alias("k"))
-    return met.select(q, F.col(f"k.{d}").alias(d), boost(F.col("qn"), F.col("k.name"), F.col("k.tags")).alias("score"))
+    return names.first_by_name(stored(left), docs, q, d, boost)
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -129,17 +211,33 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(found)
 
 
+def fuzzy_full(a: Column, b: Column) -> Column:
+    """The token-set ratio of two texts, 0 to 1, in Arrow batches. Costs the product of the lengths: for winners, not for all."""
+
+    @F.pandas_udf("double")
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([token_set_ratio(x or "", y or "") / 100 for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return ratios(a, b)
+
+
 def fuzzy_ratio(pairs: DataFrame, a: str, b: str, out: str = "fuzzy") -> DataFrame:
-    """pairs with the token-set ratio of two text columns, 0 to 1. Costs the product of the lengths: for winners, not for all."""
-    fields = [f for f in pairs.schema.fields if f.name not in (a, b)]
+    """pairs with fuzzy_full() of two columns in their place."""
+    return pairs.withColumn(out, fuzzy_full(F.col(a), F.col(b))).drop(a, b)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ratio = [token_set_ratio(x or "", y or "") / 100 for x, y in zip(pdf[a], pdf[b], strict=True)]
-            yield pdf.drop(columns=[a, b]).assign(**{out: ratio})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return pairs.mapInPandas(run, f"{schema}, `{out}` double")
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What the token-set ratio of two texts, 0 to 1, can be at most: from the lengths of their common words and rests."""
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda t: t != ""))
+    length = lambda w: F.greatest(F.length(F.array_join(w, " ")), F.lit(0))
+    x, y = words(a), words(b)
+    both, left, right = F.array_intersect(x, y), F.array_except(x, y), F.array_except(y, x)
+    n = length(both)
+    shared = n + (F.size(both) > 0).cast("int")
+    p, r = shared + length(left), shared + length(right)
+    best = F.greatest(2 * (shared + F.least(length(left), length(right))) / (p + r), F.when(F.size(both) > 0, F.greatest(2 * n / (n + p), 2 * n / (n + r))).otherwise(0.0))
+    whole = (F.size(both) > 0) & ((F.size(left) == 0) | (F.size(right) == 0))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(whole, 1.0).otherwise(F.least(F.lit(1.0), best))
 
 
 def trigger_score(q_toks: Column, q_norm: Column, triggers: Column) -> Column:
@@ -169,7 +267,7 @@ def trigger_sums(questions: DataFrame, triggers: DataFrame, q: str, d: str) -> D
     k = k.withColumn("words", F.transform(longest, lambda x: x["w"]))
     k = k.select(d, "trigger", "words", "n", "half", F.explode(F.slice("words", F.lit(1), F.col("n") - F.col("half") + 1)).alias("token"))
     asked = questions.select(q, "qn", "qt", F.explode("qt").alias("token"))
-    met = k.join(asked, "token").withColumn("shared", F.array_intersect("words", "qt"))
+    met = word_join(k, asked, "token", d).withColumn("shared", F.array_intersect("words", "qt"))
     met = met.where((F.size("shared") >= F.col("half")) & (F.get("shared", F.lit(0)) == F.col("token")))
     met = met.withColumn("hits", F.size("shared"))
     whole = F.when(F.col("hits") == F.col("n"), F.lit(3.0)).otherwise(F.lit(0.0))
@@ -192,5 +290,5 @@ def tag_hits(questions: DataFrame, items: DataFrame, q: str, d: str) -> DataFram
     at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1))), lambda i: F.substring(F.col("q"), i, F.lit(n)))
     runs = questions.select(q, "q", F.explode(F.array_distinct(F.concat(at(1), at(2), at(3)))).alias("run"))
     tags = items.select(d, F.explode("tags").alias("tag")).where("tag <> ''").groupBy(d, "tag").agg(F.count("*").alias("k"))
-    met = runs.join(tags.withColumn("run", F.substring("tag", 1, 3)), "run").where(F.contains("q", "tag"))
+    met = word_join(tags.withColumn("run", F.substring("tag", 1, 3)), runs, "run", d).where(F.contains("q", "tag"))
     return met.groupBy(q, d).agg(F.sum("k").cast("int").alias("hits"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
 from lexmill.operators import ranking, scoring
+from lexmill.operators.joins import stored
 from lexmill.plans import predicates, provider, routing, rules
 from lexmill.plans.predicates import Terms
 
@@ -48,7 +49,7 @@ def by_route(questions: DataFrame, blocks: DataFrame, items: DataFrame, routes:
     two = provider.two_pass(situational, "text", analyse, solve, call).select("q", F.col("reply").alias("answer"), F.lit(TWO_PASS).alias("source"), none(items, "item"), none(blocks, "block"))
 
     toks = lambda df, key: df.select(key, X.tokens(X.normalize(F.coalesce("text", F.lit("")))).alias("toks"))
-    shared = scoring.overlap(toks(technical, "q"), toks(blocks, "block"), "q", "block").join(blocks.select("block", "place"), "block")
+    shared = scoring.overlap_best(toks(technical, "q"), toks(blocks, "block"), "q", "block", 1, least).join(blocks.select("block", "place"), "block")
     meta = ranking.best(shared, "q", "score", "place", least).select("q", "block")
     one = provider.ask(technical, "text", "answer", call).join(meta, "q", "left").select("q", "answer", F.lit(ENGINE).alias("source"), none(items, "item"), "block")
     rest = blank.select("q", F.lit(None).cast("string").alias("answer"), F.lit(EMPTY).alias("source"), none(items, "item"), none(blocks, "block"))
@@ -94,12 +95,14 @@ def by_blocks(questions: DataFrame, blocks: DataFrame, fallback: str, terms: Ter
         "family", "id", F.lit(mode).alias("mode"), F.lit(lang).alias("lang"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def best_answer(pairs: DataFrame, by: str, question: Column, limit: int = 1200) -> DataFrame:
+def best_answer(pairs: DataFrame, by: str, question: Column, limit: int = 1200, full: bool = False) -> DataFrame:
     """(by, answer, matched): of each document's pairs the one whose question is most like the question asked, the first
     of equals; its answer without a label, whole. Where that is empty, the first paragraph of the text without labels.
 
-    pairs: by, text, q, a, place, one row for each pair (q null: a document without pairs). question: normalised."""
-    score = F.when(X.normalize_folded(F.col("q")) == "", 0.0).otherwise(scoring.fuzzy_plain(question, X.normalize_folded(F.col("q"))))
+    pairs: by, text, q, a, place, one row for each pair (q null: a document without pairs). question: normalised. full: by
+    the token-set ratio instead of its plain form."""
+    alike = scoring.fuzzy_full if full else scoring.fuzzy_plain
+    score = F.when(X.normalize_folded(F.col("q")) == "", 0.0).otherwise(alike(question, X.normalize_folded(F.col("q"))))
     rows = pairs.select(by, "text", "place", F.trim("q").alias("q"), X.strip_label(F.coalesce("a", F.lit(""))).alias("a"), F.when(F.col("q").isNull(), -1.0).otherwise(score).alias("s"))
     won = rows.groupBy(by).agg(F.max(F.struct("s", (-F.col("place")).alias("p"), "q", "a", "text")).alias("w"))
     start = X.first_paragraph(X.strip_labels(X.trim_all(F.coalesce("w.text", F.lit("")))))
@@ -107,7 +110,7 @@ def best_answer(pairs: DataFrame, by: str, question: Column, limit: int = 1200)
     return won.select(by, X.clamp(F.when(none, start).otherwise(F.col("w.a")), limit).alias("answer"), F.when(~none, F.col("w.q")).alias("matched"))
 
 
-def two_chances(questions: DataFrame, index: DataFrame, threshold: float = 0.30) -> DataFrame:
+def two_chances(questions: DataFrame, index: DataFrame, threshold: float = 0.30, full: bool = False) -> DataFrame:
     """(q, doc, score, second): the best document of the expanded question; under the threshold that of the question as
     it is, whatever it scores. Both are asked in one search.
 
@@ -115,30 +118,32 @@ def two_chances(questions: DataFrame, index: DataFrame, threshold: float = 0.30)
     plain = F.struct(F.lit(True).alias("second"), F.col("base").alias("norm"), F.col("toks").alias("toks"))
     wide = F.struct(F.lit(False).alias("second"), F.array_join("expanded", " ").alias("norm"), F.col("expanded").alias("toks"))
     both = questions.select("q", F.explode(F.array(wide, plain)).alias("v")).select(F.struct("q", "v.second").alias("key"), "v.norm", "v.toks")
-    scored = scoring.hybrid(both, index, "key", "doc")
+    both, index = stored(both), stored(index)
+    scored = stored(scoring.hybrid_best(both, index, "key", "doc", full=full))
     scored = scored.unionByName(scoring.unmatched(both, index, scored, "key", "doc")).withColumn("score", F.round("score", 6))
     best = ranking.best(scored, "key", "score", "doc").select("key.q", "key.second", "doc", "score")
     top = best.groupBy("q").agg(F.min_by(F.struct("doc", "score", "second"), F.when(~F.col("second") & (F.col("score") >= threshold), 0).otherwise(F.when(F.col("second"), 1).otherwise(2))).alias("t"))
     return top.select("q", "t.*")
 
 
-def by_search(questions: DataFrame, docs: DataFrame, synonyms: dict[str, list[str]], enrichment: dict | None = None, stop: tuple[str, ...] = (), threshold: float = 0.30, limit: int = 1200) -> DataFrame:
+def by_search(questions: DataFrame, docs: DataFrame, synonyms: dict[str, list[str]], enrichment: dict | None = None, stop: tuple[str, ...] = (), threshold: float = 0.30, limit: int = 1200, full: bool = False) -> DataFrame:
     """(q, answer, found, score, doc, matched): the document of best hybrid score and the best answer in it.
 
     questions: q, text; docs: doc, name, text, norm, norm_tags, qas, as sources.tagged.index gives them. The expanded question is
     searched first; under the threshold the question as it is takes its best, whatever it scores, so only documents
-    without any text give no answer. Enrichment (topics, rules, prefix, suffix) is added to what was found."""
+    without any text give no answer. Enrichment (topics, rules, prefix, suffix) is added to what was found. full: texts and
+    the questions of pairs are compared by their token-set ratio, not by its plain form. Synonyms are normalised as texts are."""
     norm = lambda c: X.normalize_stop(c, stop)
     asked = questions.select("q", "text", norm(F.col("text")).alias("base"))
     words = X.tokens(F.col("base"))
     said = F.array_join(F.flatten(F.transform("qas", lambda x: F.array(norm(x["q"]), norm(x["a"])))), " ")
     index = docs.select("doc", "norm", "name", F.col("norm_tags").alias("tags"), X.tokens(F.concat_ws(" ", "norm", said)).alias("toks"))
 
-    expanded = X.expand(words, synonyms) if synonyms else words
-    top = two_chances(asked.select("q", "base", words.alias("toks"), expanded.alias("expanded")), index, threshold)
+    expanded = X.expand(words, synonyms, norm) if synonyms else words
+    top = two_chances(asked.select("q", "base", words.alias("toks"), expanded.alias("expanded")), index, threshold, full)
     pairs = top.join(asked, "q").join(docs.select("doc", F.col("text").alias("body"), F.posexplode_outer("qas").alias("place", "qa")), "doc")
     pairs = pairs.select(F.col("q").alias("asked"), F.col("body").alias("text"), F.coalesce("place", F.lit(0)).alias("place"), F.col("qa.q").alias("q"), F.col("qa.a").alias("a"), "base")
-    answers = best_answer(pairs, "asked", F.col("base"), limit).withColumnRenamed("asked", "q")
+    answers = best_answer(pairs, "asked", F.col("base"), limit, full).withColumnRenamed("asked", "q")
     out = top.join(answers, "q").join(asked.select("q", "text"), "q")
     has = F.col("answer") != ""
     e = enrichment or {}
