@@ -9,7 +9,7 @@ from lexmill.catalog import _FOLD, _NORM, AFTER, BEFORE, ROUTES, SYNONYMS, _line
 from lexmill.functions import text as X
 from lexmill.operators import products, ranking, scoring
 from lexmill.operators.joins import stored
-from lexmill.plans import answering, predicates, provider, rules
+from lexmill.plans import answering, predicates, provider, rulebook, rules
 from lexmill.sources.knowledge import concatenated, headed
 from lexmill.sources.tagged import index
 
@@ -182,7 +182,30 @@ def question_flags(spark, d):
 
 
 def answer_by_blocks(spark, d):
-    return answering.by_blocks(_bench_questions(spark, d), _blocks(spark, d), "No answer.", OWN_TERMS, lang="fr", default="en")
+    out = answering.by_blocks(_bench_questions(spark, d), _blocks(spark, d), "No answer.", OWN_TERMS, lang="fr", default="en")
+    return out.withColumn("score", F.round("score", 6))
+
+
+def _word_rules(spark, d) -> DataFrame:
+    """A rule for each longer word of the benchmark: its mode and priority come from the word's length."""
+    words = _t(spark, d, "benchmark").select(F.explode(X.tokens(X.normalize_folded(F.col("text")))).alias("rule")).where("length(rule) >= 4").distinct()
+    mode = F.element_at(F.array(*map(F.lit, ("override", "augment", "postscript"))), (F.length("rule") % 3 + 1).cast("int"))
+    return words.select("rule", F.concat(F.lit("(?i) "), "rule", F.lit("[a-z]*[ .,]")).alias("pattern"), mode.alias("mode"), F.concat(F.lit("See "), "rule").alias("answer"), F.length("rule").alias("priority"))
+
+
+def rule_table(spark, d):
+    """Answers of all turns after a table of as many rules as the benchmark has longer words."""
+    turns = _turns(spark, d).select(F.struct("conv_id", "turn").alias("q"), F.col("q").alias("text"), F.col("a").alias("answer"))
+    return rulebook.answers(turns, _word_rules(spark, d)).select("q.conv_id", "q.turn", "answer")
+
+
+def expectation_table(spark, d):
+    """Expectations as a table: each benchmark item expects its first two words of the documents of a language and an id's beginning."""
+    words = X.tokens(X.normalize(F.coalesce("text", F.lit(""))))
+    lang = F.element_at(F.array(*map(F.lit, ("en", "fr", "de"))), (F.col("item_id") % 3 + 1).cast("int"))
+    told = _t(spark, d, "benchmark").select(F.col("item_id").alias("rule"), lang.alias("family"), (F.col("item_id") % 10).cast("string").alias("id_hint"), F.slice(words, F.lit(1), F.lit(2)).alias("must_include"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("family"), F.lower("text").alias("answer"))
+    return rulebook.expectations(docs, told).groupBy("rule").agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("int")).alias("held"))
 
 
 def answer_by_route(spark, d):
@@ -220,7 +243,7 @@ QUERIES = {
     for f in (
         hybrid_top1, second_chance, fuzzy_token_set, best_qa, folder_parts, lookup_product, product_note, enrich_answer, enrich_rules, regex_rules, expected_patterns,
         render_template, context_string, offline_answers, folder_text, block_score_top3, question_flags, answer_by_blocks, answer_by_route, answer_by_search,
-        fallback_chain, translated_answers,
+        fallback_chain, translated_answers, rule_table, expectation_table,
     )
 }
 
@@ -278,6 +301,24 @@ SQL = {
     "question_flags": f"""with n as (select doc_id, coalesce(lang, '') l, {_FOLD.format(c="text")} n from documents), o as (select *, trim(l || ' ' || n) own from n)
         select doc_id, contains(n, 'tion') asks_overview, contains(n, 'the ') asks_diagnostic, contains(n, ' in ') asks_structural, contains(n, ' of ') asks_negation, contains(n, 'and') asks_geometry, contains(n, 'that') asks_limits,
           contains(own, 'ing') and not contains(own, 'zzz') is_structural, contains(own, 'er') is_negated, not contains(own, 'xx') or contains(own, 'and') is_geometric, false is_safe, contains('ERR-' || doc_id, '-1') is_limits, false is_overview from o""",
+    "rule_table": rf"""with w as (select distinct r from (select unnest(string_split({_FOLD.format(c="text")}, ' ')) r from benchmark) where length(r) >= 4),
+        p as (select u.conv_id, u.turn, u.text q, a.text a from conversations u join conversations a on u.conv_id = a.conv_id and u.role = 'user' and a.role = 'assistant' and a.turn = u.turn + 1),
+        m as (select conv_id, turn, r, length(r) % 3 k, row_number() over (partition by conv_id, turn order by length(r) desc, r) o from p join w on regexp_matches(q, '(?i) ' || r || '[a-z]*[ .,]')),
+        g as (select conv_id, turn, 'See ' || (arg_min(r, o) filter (k = 0)) x, list('See ' || r order by o) filter (k = 1) y, list('See ' || r order by o) filter (k = 2) z from m group by 1, 2)
+        select conv_id, turn, array_to_string(list_concat(list_concat(case when coalesce(x, a) is null then [] else [coalesce(x, a)] end, coalesce(y, [])), coalesce(z, [])), chr(10) || chr(10)) answer from p left join g using (conv_id, turn)""",
+    "expectation_table": rf"""with r as (select item_id, ['en', 'fr', 'de'][item_id % 3 + 1] l, (item_id % 10)::varchar h, ({_WORDS.format(c=_NORM.format(c="coalesce(text, '')"))})[1:2] w from benchmark)
+        select item_id "rule", count(*) n, sum(coalesce(len(list_filter(w, lambda x: not contains(lower(text), x))) = 0, false)::int)::bigint held from r join documents on l = lang and starts_with(doc_id::varchar, h) group by 1""",
+    "answer_by_route": rf"""with u as (select conv_id, turn, text, lower(coalesce(text, '')) low, {_NORM.format(c="lower(coalesce(text, ''))")} n from conversations where role = 'user'),
+        c as (select *, case when not regexp_matches(low, '\S') then 'blank' when {" or ".join(f"contains(low, '{t}')" for t in ROUTES[0][1])} then 'c' when {" or ".join(f"contains(low, '{t}')" for t in ROUTES[1][1])} then 's' else 't' end r from u),
+        i as (select min(doc_id) item, lower(lang) a, lower(split_part(source, 'c', 1)) b, concat_ws(' ', source, lang) name from documents group by lang, source),
+        h as (select conv_id, turn, item, name, coalesce((a <> '' and contains(n, a))::int, 0) + coalesce((b <> '' and contains(n, b))::int, 0) hits from c, i where r = 'c'),
+        f as (select * from h where hits > 0 qualify row_number() over (partition by conv_id, turn order by hits desc, item) = 1),
+        t as (select conv_id, turn, list_distinct({_WORDS.format(c="n")}) t from c where r = 't'), k as (select doc_id, list_distinct({_WORDS.format(c=_NORM.format(c="coalesce(text, '')"))}) t from documents),
+        o as (select conv_id, turn, doc_id, count(*) / any_value(nq)::double s from (select conv_id, turn, len(t) nq, unnest(t) w from t) join (select doc_id, unnest(t) w from k) using (w) group by 1, 2, 3),
+        b as (select * from o where s >= 0.18 qualify row_number() over (partition by conv_id, turn order by s desc, doc_id) = 1)
+        select conv_id, turn, case r when 'c' then case when item is null then 'Ask the office.' when item % 2 = 0 and name <> '' then name else 'Item ' || item end when 's' then '{provider.UNAVAILABLE}' || chr(10) || chr(10) || repeat('─', 40) || chr(10) || chr(10) || '{provider.UNAVAILABLE}' when 't' then '{provider.UNAVAILABLE}' end answer,
+          case r when 'c' then case when item is null then '{answering.NO_LOCAL}' else '{answering.LOCAL}' end when 's' then '{answering.TWO_PASS}' when 't' then '{answering.ENGINE}' else '{answering.EMPTY}' end source, item, doc_id "block"
+        from c left join f using (conv_id, turn) left join b using (conv_id, turn)""",
     "folder_parts": "select source, doc_id, '### FILE: ' || doc_id || ' ###' || chr(10) || coalesce(text, '') part from documents",
     "lookup_product": rf"""with u as (select distinct unnest([concat_ws(' ', 'need', p_name, p_size), upper(p_name)]) q from part), q as (select q, regexp_replace(lower(q), '[^\p{{L}}\p{{N}}]+', '', 'g') same, list_distinct({_WORDS.format(c=_NORM.format(c="q"))}) t from u),
         n as (select min(p_partkey) p_partkey, p_name, regexp_replace(lower(p_name), '[^\p{{L}}\p{{N}}]+', '', 'g') same, list_distinct({_WORDS.format(c=_NORM.format(c="p_name"))}) w from part group by p_name),
@@ -299,3 +340,16 @@ SQL = {
     "context_string": "select p_partkey, concat_ws(', ', 'brand: ' || nullif(p_brand, ''), 'type: ' || nullif(nullif(p_type, 'SMALL'), ''), 'size: ' || p_size) context from part",
     "offline_answers": f"select conv_id, turn, '{provider.UNAVAILABLE}' reply from conversations where role = 'user'",
 }
+_SCORED = SQL["block_score_top3"].split("z as (")[0]
+_KILLS = " or ".join([*(f"contains(upper(id), '{t}')" for t in OWN_TERMS.killer_ids), *(f"contains(fu, '{t}')" for t in OWN_TERMS.killer)])
+#: Five stages in turn: each narrows a question's candidates if it asks for it and any stays.
+_STAGES = ", ".join(f"c{i + 1} as (select * exclude g from (select *, max({keep}) over (partition by q) g from c{i}) where not (asks_{ask} and g) or {keep})" for i, (ask, keep) in enumerate((("s", "is_s"), ("n", "is_n"), ("g", "is_g"), ("d", "is_safe"))))
+SQL["answer_by_blocks"] = f"""{_SCORED} z as (select q, doc_id, (coalesce(s.v, 0) + b.v) * case when doc_id % 7 = 0 then 0.5 else 1 end score from b left join s using (q, doc_id)),
+    e as (select doc_id, lang, source, case when doc_id % 7 = 0 then 'OVERVIEW' when doc_id % 5 = 0 then 'KILLER' else 'ITEM' end || '-' || doc_id id, string_split(coalesce(text, ''), chr(10))[1] || ' ' || replace(coalesce(text, ''), chr(10), ' ') told from documents),
+    m as (select *, {_FOLD.format(c="told")} own, {_FOLD.format(c="id || ' ' || told")} nm, {_FOLD.format(c="concat_ws(' ', id, told, lang)")} fu from e),
+    y as (select *, contains(own, 'ing') and not contains(own, 'zzz') is_s, contains(own, 'er') is_n, not contains(nm, 'xx') or contains(nm, 'and') is_g, not ({_KILLS}) is_safe, contains(upper(id), '-1') is_l from m),
+    x as (select *, contains(n, 'tion') asks_o, contains(n, 'the ') asks_d, contains(n, ' in ') asks_s, contains(n, ' of ') asks_n, contains(n, 'and') asks_g, contains(n, 'that') asks_l from q),
+    v as (select x.q, y.*, score, asks_d, asks_s, asks_n, asks_g, asks_l, unnest(case when source = 'src0' then [0] when doc_id % 7 = 0 and asks_o then [1, 2] else [2] end) tier from z join y using (doc_id) join x on x.q = z.q where score > 0),
+    c0 as (select * from (select * from v qualify tier = min(tier) over (partition by q)) qualify row_number() over (partition by q order by score desc, doc_id) <= 15), {_STAGES},
+    w as (select * from c4 qualify row_number() over (partition by q order by (asks_l and is_l) desc, score desc, doc_id) = 1)
+    select q.q, w.q is not null ok, case when w.q is not null and coalesce(lang in ('fr', 'en'), false) then 'See ' || doc_id else 'No answer.' end answer, lang family, id, 'gold' "mode", 'fr' "lang", round(coalesce(score, 0), 6)::double score from q left join w on w.q = q.q"""
