@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.catalog import _FOLD, _NORM, AFTER, BEFORE, ROUTES, SYNONYMS, _lines, _t, _word
 from lexmill.functions import text as X
 from lexmill.operators import products, ranking, scoring
-from lexmill.operators.joins import stored
+from lexmill.operators.joins import shared_dir, stored
 from lexmill.plans import answering, predicates, provider, rulebook, rules
 from lexmill.sources.knowledge import concatenated, headed
 from lexmill.sources.tagged import index
+from lexmill.streaming.answering import answer_stream
 
 THRESHOLD = 0.3
 CODES = ("small", "red")
@@ -208,17 +211,30 @@ def expectation_table(spark, d):
     return rulebook.expectations(docs, told).groupBy("rule").agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("int")).alias("held"))
 
 
-def answer_by_route(spark, d):
-    """All users' turns: part names are the company's items, documents the blocks."""
-    c = _t(spark, d, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("q"), "text")
+def _routed(turns: DataFrame, documents: DataFrame) -> DataFrame:
+    c = turns.where("role = 'user'").select(F.struct("conv_id", "turn").alias("q"), "text")
     said = F.create_map(F.lit("gold"), F.create_map(F.lit("it"), F.when(F.col("item") % 2 == 0, F.col("name")).otherwise("")))
-    items = _t(spark, d, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("item")).withColumn("name", F.concat_ws(" ", "source", "lang"))
+    items = documents.groupBy("lang", "source").agg(F.min("doc_id").alias("item")).withColumn("name", F.concat_ws(" ", "source", "lang"))
     items = items.select("item", F.array(F.col("lang"), F.substring_index("source", "c", 1)).alias("tags"), F.col("item").alias("place"), said.alias("variants"), F.lit("").alias("answer_lang"), F.concat(F.lit("Item "), F.col("item").cast("string")).alias("answer"))
-    blocks = _t(spark, d, "documents").select(F.col("doc_id").alias("block"), F.col("doc_id").alias("place"), "text")
+    blocks = documents.select(F.col("doc_id").alias("block"), F.col("doc_id").alias("place"), "text")
     out = answering.by_route(c, blocks, items, ROUTES, "Ask the office.", "Case: {question}", "Case: {question}\nFound: {analysis}")
     return out.select("q.conv_id", "q.turn", "answer", "source", "item", "block")
 
 
+def answer_by_route(spark, d):
+    """All users' turns: part names are the company's items, documents the blocks."""
+    return _routed(_t(spark, d, "conversations"), _t(spark, d, "documents"))
+
+
+def stream_answers(spark, d):
+    """answer_by_route over a stream of the turns, one file a batch, all that is there."""
+    schema = _t(spark, d, "conversations").schema
+    turns = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/conversation[s].parquet")
+    to = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    answer_stream(turns, lambda batch: _routed(batch, _t(spark, d, "documents")), f"{to}/out", f"{to}/progress").awaitTermination()
+    return spark.read.parquet(f"{to}/out").drop("batch")
+
+
 def answer_by_search(spark, d):
     """Conversations are the tagged documents; the benchmark asks."""
     docs = index(_lines(spark, d), X.normalize_folded).withColumn("name", F.col("doc").cast("string"))
@@ -243,7 +259,7 @@ QUERIES = {
     for f in (
         hybrid_top1, second_chance, fuzzy_token_set, best_qa, folder_parts, lookup_product, product_note, enrich_answer, enrich_rules, regex_rules, expected_patterns,
         render_template, context_string, offline_answers, folder_text, block_score_top3, question_flags, answer_by_blocks, answer_by_route, answer_by_search,
-        fallback_chain, translated_answers, rule_table, expectation_table,
+        fallback_chain, translated_answers, rule_table, expectation_table, stream_answers,
     )
 }
 
@@ -340,6 +356,7 @@ SQL = {
     "context_string": "select p_partkey, concat_ws(', ', 'brand: ' || nullif(p_brand, ''), 'type: ' || nullif(nullif(p_type, 'SMALL'), ''), 'size: ' || p_size) context from part",
     "offline_answers": f"select conv_id, turn, '{provider.UNAVAILABLE}' reply from conversations where role = 'user'",
 }
+SQL["stream_answers"] = SQL["answer_by_route"]
 _SCORED = SQL["block_score_top3"].split("z as (")[0]
 _KILLS = " or ".join([*(f"contains(upper(id), '{t}')" for t in OWN_TERMS.killer_ids), *(f"contains(fu, '{t}')" for t in OWN_TERMS.killer)])
 #: Five stages in turn: each narrows a question's candidates if it asks for it and any stays.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.operators.joins import stored, word_join
 from lexmill.plans.rules import render
 
 UNAVAILABLE = "The text engine is not available."
@@ -18,24 +21,58 @@ def offline(prompts: list[str]) -> list[str | None]:
     return [None] * len(prompts)
 
 
-def ask(df: DataFrame, prompt: str, out: str = "reply", call: Callable[[list[str]], list[str | None]] = offline, fallback: str | None = UNAVAILABLE) -> DataFrame:
-    """df with the reply to each prompt, a batch of prompts at a time, and out_error with what a failed call raised.
+def _called(call: Callable[[list[str]], list[str | None]], prompts: list[str], tries: int, pause: float) -> tuple[list[str | None], str | None]:
+    """The replies to some prompts, and what the last try raised if all failed. Pauses between tries double."""
+    for k in range(tries):
+        try:
+            return list(call(prompts)), None
+        except Exception as e:  # whatever an engine's client raises
+            error = f"{type(e).__name__}: {e}"
+            if k + 1 < tries:
+                time.sleep(pause * 2**k)
+    return [None] * len(prompts), error
+
+
+def replies_to(prompts: DataFrame, prompt: str, call: Callable[[list[str]], list[str | None]], kept: str | None = None, size: int = 64, parallel: int = 4, tries: int = 3, pause: float = 0.2) -> DataFrame:
+    """(key, reply, error): one row for each distinct prompt, key being its digest; null is asked as an empty prompt.
+
+    A prompt is asked once, size prompts a call, at most parallel calls at a time in each task; a failed call is repeated, with growing
+    pauses. kept: path of a Parquet table of replies: what is in it is not asked again, and new replies are added to
+    it, failures not. The calls are made once, when the table is written, whatever is read from it later."""
+    spark = prompts.sparkSession
+    asked = prompts.select(F.coalesce(prompt, F.lit("")).alias("prompt")).groupBy(F.sha2("prompt", 256).alias("key")).agg(F.first("prompt").alias("prompt"))
+    known = None
+    if kept is not None:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(kept)
+        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+            known = spark.read.schema("key string, reply string").parquet(kept)
+            asked = asked.join(known, "key", "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(parallel) as pool:
+            for pdf in batches:
+                parts = [pdf.iloc[at : at + size] for at in range(0, len(pdf), size)]
+                said = pool.map(lambda part: _called(call, part["prompt"].tolist(), tries, pause), parts)
+                for part, (replies, error) in zip(parts, said, strict=True):
+                    yield pd.DataFrame({"key": part["key"], "reply": replies, "error": error})
+
+    made = stored(asked.mapInPandas(run, "key string, reply string, error string"))
+    if kept is None:
+        return made
+    out = made if known is None else made.unionByName(stored(known.join(prompts.select(F.sha2(F.coalesce(prompt, F.lit("")), 256).alias("key")).distinct(), "key", "left_semi").withColumn("error", F.lit(None).cast("string"))))
+    made.where("error is null").select("key", "reply").write.mode("append").parquet(kept)
+    return out
+
+
+def ask(df: DataFrame, prompt: str, out: str = "reply", call: Callable[[list[str]], list[str | None]] = offline, fallback: str | None = UNAVAILABLE, **how) -> DataFrame:
+    """df with the reply to each prompt, and out_error with what a failed call raised; see replies_to() for how.
 
     fallback where call has no reply or fails. Without a provider the reply is a literal, and no Python runs."""
     if call is offline:
         return df.withColumns({out: F.lit(fallback).cast("string"), f"{out}_error": F.lit(None).cast("string")})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            error = None
-            try:
-                replies = call(pdf[prompt].fillna("").tolist())
-            except Exception as e:  # whatever an engine's client raises, the batch gets the fallback and says why
-                replies, error = [None] * len(pdf), f"{type(e).__name__}: {e}"
-            yield pdf.assign(**{out: [fallback if r is None else r for r in replies], f"{out}_error": error})
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{schema}, `{out}` string, `{out}_error` string")
+    said = replies_to(df, prompt, call, **how).select("key", F.col("reply").alias(out), F.col("error").alias(f"{out}_error"))
+    rows = df.withColumns({"key": F.sha2(F.coalesce(prompt, F.lit("")), 256), "_row": F.monotonically_increasing_id()})
+    return word_join(rows, said, "key", "_row").drop("key", "_row").withColumn(out, F.coalesce(out, F.lit(fallback)))
 
 
 def two_pass(df: DataFrame, question: str, analyse: str, answer: str, call=offline, fallback: str | None = UNAVAILABLE) -> DataFrame:

@@ -8,11 +8,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.operators.joins import few, stored
 
-def read_items(spark: SparkSession, path: str, schema: str, envelope: str = "items", strict: bool = False) -> DataFrame:
+
+def read_items(spark: SparkSession, path: str | list[str], schema: str, envelope: str = "items", strict: bool = False) -> DataFrame:
     """(file, place, and the fields of schema) of JSON files that hold a list of items, or an object with one.
 
-    path: a file, folder or glob. Rows are ordered by file and place where a caller sorts them, never by listing. A
+    path: a file, folder or glob, or several. Rows are ordered by file and place where a caller sorts them, never by listing. A
     missing path gives no rows and a file that does not parse none either; strict raises for both."""
     try:
         files = spark.read.text(path, wholetext=True)
@@ -25,7 +27,7 @@ def read_items(spark: SparkSession, path: str, schema: str, envelope: str = "ite
     text = F.trim(F.regexp_replace("value", "^﻿", ""))
     bare = F.from_json(F.when(F.startswith(text, F.lit("[")), text), item, options)
     wrapped = F.from_json(F.when(F.startswith(text, F.lit("{")), text), f"struct<`{envelope}`: {item}>", options)[envelope]
-    valid = F.expr("try_parse_json(value)").isNotNull()
+    valid = F.call_function("try_parse_json", text).isNotNull()
     items = F.when(valid, F.coalesce(bare, wrapped))
     if strict:
         items = F.coalesce(items, F.raise_error(F.concat(F.lit("no items in "), F.col("file"))).cast(item))
@@ -34,12 +36,12 @@ def read_items(spark: SparkSession, path: str, schema: str, envelope: str = "ite
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, name, text) of all .txt files below a folder, whatever the case of the suffix; none if it is missing."""
+    """(file, name, text) of all .txt files below a folder, whatever the case of the suffix, by path; none if it is missing."""
     try:
         files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[tT][xX][tT]").text(folder, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], "file string, name string, text string")
-    return files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    return files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("text")).orderBy("file")
 
 
 def headed(name, text):
@@ -76,38 +78,57 @@ def write_items(items: DataFrame, path: str) -> None:
 
 
 class Knowledge:
-    """A knowledge base in JSON that is read once, kept in memory, and read again when its files have changed."""
+    """A knowledge base in JSON files that is read once, written as a table, and brought up to date when its files change.
+
+    A manifest has each file's time and length. Of what changed, new and rewritten files alone are read again, and rows of
+    files that are gone or rewritten are left out; all other rows are taken over from the table as it is."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, envelope: str = "items"):
         self.spark, self.path, self.schema, self.envelope = spark, path, schema, envelope
-        self.state: tuple | None = None
+        self.manifest: dict[str, tuple[int, int]] = {}
         self.kept: DataFrame | None = None
 
-    def stamp(self) -> tuple:
-        """Names and times of the files, as their file system tells them; a driver's look at metadata alone."""
+    def found(self) -> dict[str, tuple[int, int]]:
+        """Time and length of all files of the path (a file, folder or glob), as their file system tells them; a driver's look at
+        metadata alone."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        found = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(hadoop) or []
-        return tuple(sorted((str(f.getPath()), f.getModificationTime(), f.getLen()) for f in found))
+        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        out: dict[str, tuple[int, int]] = {}
+        for top in fs.globStatus(hadoop) or []:
+            files = fs.listStatus(top.getPath()) if top.isDirectory() else [top]
+            for f in files:
+                if not f.isDirectory() and f.getPath().getName()[:1] not in "_.":
+                    out[str(f.getPath())] = (f.getModificationTime(), f.getLen())
+        return out
 
     def items(self) -> DataFrame:
-        now = self.stamp()
-        if self.kept is None or now != self.state:
-            self.reload()
-            self.state = now
+        """The rows as the files are now; see read_items()."""
+        now = self.found()
+        if self.kept is None or now != self.manifest:
+            gone = [f for f in self.manifest if now.get(f) != self.manifest[f]]
+            fresh = [f for f in now if self.manifest.get(f) != now[f]]
+            rows = read_items(self.spark, fresh, self.schema, self.envelope) if fresh else self.spark.createDataFrame([], f"file string, place int, {self.schema}")
+            if self.kept is not None:
+                left = self.spark.createDataFrame([(f,) for f in gone], "gone string")
+                rows = rows.unionByName(self.kept.join(few(left), _plain(F.col("file")) == F.col("gone"), "left_anti"))
+            self.kept, self.manifest = stored(rows), now
         return self.kept
 
     def reload(self) -> DataFrame:
-        if self.kept is not None:
-            self.kept.unpersist()
-        self.kept = read_items(self.spark, self.path, self.schema, self.envelope).cache()
-        self.state = self.stamp()
-        return self.kept
+        """All files read again."""
+        self.kept, self.manifest = None, {}
+        return self.items()
 
     def stats(self) -> DataFrame:
         """(file, items)."""
         return self.items().groupBy("file").agg(F.count("*").alias("items"))
 
 
+def _plain(file: Column) -> Column:
+    """A file as its file system spells it: without escapes, and local ones with one slash."""
+    return F.regexp_replace(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+
+
 def read_enrichment(spark: SparkSession, path: str) -> dict:
     """topics (name: text), rules, prefix and suffix of a small configuration file; all empty where there is none."""
     schema = "topics map<string,string>, rules array<struct<if_any:array<string>,if_all:array<string>,add:string>>, prefix string, suffix string"
