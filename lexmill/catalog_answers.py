@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.catalog import _FOLD, _NORM, AFTER, BEFORE, ROUTES, SYNONYMS, _lines, _t, _word
 from lexmill.functions import text as X
-from lexmill.operators import products, ranking, scoring
+from lexmill.operators import language, products, ranking, scoring
 from lexmill.operators.joins import shared_dir, stored
 from lexmill.plans import answering, predicates, provider, rulebook, rules
 from lexmill.sources.knowledge import concatenated, headed
@@ -254,12 +254,34 @@ def translated_answers(spark, d):
     return provider.translated(q, "text", "context", "{context}\n{question}", F.col("lang"), failed="No translation.").select("doc_id", "reply")
 
 
+def _profiles(spark, d) -> DataFrame:
+    return language.profiles(_t(spark, d, "documents").select("lang", "text"), "lang", "text")
+
+
+def detected_languages(spark, d):
+    """The language of every turn and its distance, by profiles of all documents."""
+    turns = _t(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("q"), "text")
+    return language.detect(turns, _profiles(spark, d), "q", "text").select("q.conv_id", "q.turn", "lang", "distance")
+
+
+def _echo(prompts: list[str]) -> list[str | None]:
+    """An engine for tests: says how long its prompt is, and its last words."""
+    return [f"{len(p)}: {p[-20:]}" for p in prompts]
+
+
+def engine_answers(spark, d):
+    """Users' turns put to an engine that echoes, found in their own language, asked in English and put back."""
+    q = _t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text", F.lit("none").alias("context"))
+    return provider.translated(q, "text", "context", "{context}\n{question}", _profiles(spark, d), _echo, _echo).select("conv_id", "turn", "reply")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         hybrid_top1, second_chance, fuzzy_token_set, best_qa, folder_parts, lookup_product, product_note, enrich_answer, enrich_rules, regex_rules, expected_patterns,
         render_template, context_string, offline_answers, folder_text, block_score_top3, question_flags, answer_by_blocks, answer_by_route, answer_by_search,
         fallback_chain, translated_answers, rule_table, expectation_table, stream_answers,
+        detected_languages, engine_answers,
     )
 }
 
@@ -356,6 +378,17 @@ SQL = {
     "context_string": "select p_partkey, concat_ws(', ', 'brand: ' || nullif(p_brand, ''), 'type: ' || nullif(nullif(p_type, 'SMALL'), ''), 'size: ' || p_size) context from part",
     "offline_answers": f"select conv_id, turn, '{provider.UNAVAILABLE}' reply from conversations where role = 'user'",
 }
+_RANKS = r"""{n}w as (select k, w, count(*) c from (select k, unnest(list_filter(string_split_regex(lower(coalesce(t, '')), '[^\p{{L}}]+'), lambda w: w <> '')) w from {n}t) group by 1, 2),
+    {n}g as (select k, g, sum(c) c from (select k, c, unnest(list_filter(flatten([[('_' || w || '_')[i : i + n - 1] for i in range(1, length(w) + 4 - n)] for n in [1, 2, 3]]), lambda g: g <> '_')) g from {n}w) group by 1, 2),
+    {n} as (select k, g, row_number() over (partition by k order by c desc, g) - 1 r from {n}g qualify r < 300)"""
+_DETECTED = f"""lt as (select lang k, text t from documents where lang is not null), {_RANKS.format(n="l")}, qt as (select {{c_id: conv_id, t_id: turn}} k, text t from conversations), {_RANKS.format(n="q")},
+    z as (select k, count(*) m from q group by 1), o as (select q.k, l.k lang, sum(abs(q.r - l.r) - 300) s from q join l on q.g = l.g group by 1, 2),
+    found as (select k.c_id conv_id, k.t_id turn, lang, (s + m * 300)::bigint distance from o join z using (k) qualify row_number() over (partition by k order by s, lang) = 1)"""
+SQL["detected_languages"] = f"with {_DETECTED} select * from found"
+_ECHO = lambda t: f"(length({t}) || ': ' || right({t}, 20))"
+SQL["engine_answers"] = f"""with {_DETECTED}, u as (select conv_id, turn, text, coalesce(lang, 'en') lang from conversations left join found using (conv_id, turn) where role = 'user'),
+    v as (select *, case when lang = 'en' then text else {_ECHO("(lang || '>en:' || text)")} end q from u), a as (select *, {_ECHO("('none' || chr(10) || q)")} a from v)
+    select conv_id, turn, case when text is null then '{provider.UNAVAILABLE}' when lang = 'en' then a else {_ECHO("('en>' || lang || ':' || a)")} end reply from a"""
 SQL["stream_answers"] = SQL["answer_by_route"]
 _SCORED = SQL["block_score_top3"].split("z as (")[0]
 _KILLS = " or ".join([*(f"contains(upper(id), '{t}')" for t in OWN_TERMS.killer_ids), *(f"contains(fu, '{t}')" for t in OWN_TERMS.killer)])

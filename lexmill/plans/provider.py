@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators.joins import stored, word_join
+from lexmill.operators.language import with_language
 from lexmill.plans.rules import render
 
 UNAVAILABLE = "The text engine is not available."
@@ -85,12 +86,14 @@ def two_pass(df: DataFrame, question: str, analyse: str, answer: str, call=offli
     return second.withColumn("reply", F.concat_ws("\n\n", "analysis", F.lit("─" * 40), "solution")).drop("_p")
 
 
-def translated(df: DataFrame, question: str, context: str, template: str, language: Column, translate=offline, call=offline, pivot: str = "en", failed: str = UNAVAILABLE) -> DataFrame:
+def translated(df: DataFrame, question: str, context: str, template: str, language: Column | DataFrame, translate=offline, call=offline, pivot: str = "en", failed: str = UNAVAILABLE) -> DataFrame:
     """Adds reply: the question in the pivot language, asked with the context, and the answer in the question's language.
 
-    translate takes texts with the languages from and to in front, as "from>to:text". Whatever has no translation or
+    language: the question's, or profiles of languages (see operators.language) by which it is found; without one it counts
+    as the pivot. translate takes texts with the languages from and to in front, as "from>to:text". Whatever has no translation or
     answer gets the failed text."""
-    to_pivot = ask(df.withColumn("_l", language).withColumn("_p", F.concat("_l", F.lit(f">{pivot}:"), F.col(question))), "_p", "_q", translate, None)
+    known = with_language(df, question, language, "_l", pivot) if isinstance(language, DataFrame) else df.withColumn("_l", language)
+    to_pivot = ask(known.withColumn("_p", F.concat("_l", F.lit(f">{pivot}:"), F.col(question))), "_p", "_q", translate, None)
     to_pivot = to_pivot.withColumn("_q", F.when(F.col("_l") == pivot, F.col(question)).otherwise(F.col("_q")))
     asked = ask(to_pivot.withColumn("_p", render(template, question=F.col("_q"), context=F.col(context))), "_p", "_a", call, None)
     back = ask(asked.withColumn("_p", F.concat(F.lit(f"{pivot}>"), "_l", F.lit(":"), F.col("_a"))), "_p", "_b", translate, None)
