@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +41,28 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def worker_cache(owner: str, size: int):
+    """lru_cache() for what a worker keeps from task to task, under its owner's name."""
+
+    def wrap(f):
+        kept = functools.lru_cache(maxsize=size)(f)
+        _caches[f"{owner}.{f.__name__}"] = kept.cache_clear
+        return kept
+
+    return wrap
+
+
+def alone(owner: str) -> None:
+    """Drop what other operators keep in this worker: workers go on from one stage of a pipeline to the next, and models
+    of stages that are over would fill their memory."""
+    for name, clear in _caches.items():
+        if not name.startswith(f"{owner}."):
+            clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from array import array
@@ -13,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import ship, table
+from lexmill.llm.common import ship, table, worker_cache
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -251,7 +250,7 @@ def uniform(owner: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
     return (z >> np.uint64(32)).astype(np.int64)
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache("pieces", 2)
 def lattice(model: str, theta: float) -> Lattice:
     return Lattice(model, theta)
 

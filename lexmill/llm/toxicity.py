@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Workspace, fold, ship, small, table
+from lexmill.llm.common import Workspace, alone, fold, ship, small, table
 
 #: The classifier is fitted on this many labelled rows at most, drawn by hash of id and text from all labelled rows.
 TRAIN_ROWS = 4_000
@@ -278,6 +278,7 @@ def entries(drawn: DataFrame):
     """ids and labels of the examples, sorted by id, and their terms end to end: keys, counts, numbers of terms."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        alone("toxicity")
         for pdf in batches:
             for at in range(0, len(pdf), 100):
                 part = pdf.iloc[at : at + 100]
@@ -310,6 +311,7 @@ def fit(docs: DataFrame, drawn: DataFrame) -> Model:
     shared = spark.sparkContext.broadcast(keys)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("toxicity")
         known, n = Terms(shared.value), np.zeros(len(shared.value), np.int64)
         for batch in _slices(batches):
             for ids in known.of(batch.column(0).to_pylist()):
@@ -335,6 +337,7 @@ def calibrate(drawn: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
     """The calibration from votes of the examples, each without those of its own id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        alone("toxicity")
         m = model.value
         for pdf in batches:
             own = [slice(*np.searchsorted(m.index.ids, [i, i + 1]).tolist()) for i in pdf["id"]]
@@ -400,6 +403,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     classify = trained(source, labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")), train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("toxicity")
         for batch in _slices(batches):
             scores, found = classify(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), classify.evidence(found)], ["id", "score", "evidence"])
@@ -418,6 +422,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("toxicity")
         for batch in _slices(batches):
             scores, _ = classify(batch.column(at).to_pylist())
             yield batch.filter(pa.array([s < REJECT for s in scores], pa.bool_()))
