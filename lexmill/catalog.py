@@ -57,11 +57,6 @@ def route_questions(spark, d):
     return q.select("conv_id", "turn", routing.route(F.col("text"), ROUTES, "technical").alias("route"))
 
 
-def kb_overlap(spark, d):
-    q, k = _toks(_t(spark, d, "benchmark"), "item_id"), _toks(_t(spark, d, "documents"), "doc_id")
-    return scoring.overlap(q, k, "item_id", "doc_id")
-
-
 def kb_overlap_top1(spark, d):
     q, k = _toks(_t(spark, d, "benchmark"), "item_id"), _toks(_t(spark, d, "documents"), "doc_id")
     s = scoring.overlap_best(q, k, "item_id", "doc_id", 1, 0.18)
@@ -171,13 +166,16 @@ def trigger_texts_top15(spark, d):
 
 def tiered_best(spark, d):
     """Documents of one source are the overlay, which goes before the rest."""
-    source = _t(spark, d, "documents").select("doc_id", F.coalesce(F.col("source") != "src0", F.lit(True)).cast("int").alias("tier"))
-    s = kb_overlap(spark, d).where("score >= 0.18").join(source, "doc_id")
+    q, docs = _toks(_t(spark, d, "benchmark"), "item_id"), _t(spark, d, "documents")
+    over = F.coalesce(F.col("source") == "src0", F.lit(False))
+    tiers = [scoring.overlap_best(q, _toks(docs.where(c), "doc_id"), "item_id", "doc_id", 1, 0.18).withColumn("tier", F.lit(k)) for k, c in enumerate((over, ~over))]
+    s = tiers[0].unionByName(tiers[1])
     return ranking.tiered(s, "item_id", "tier", "score", "doc_id").select("item_id", "doc_id", "tier", F.round("score", 6).alias("score"))
 
 
 def cascade_filter(spark, d):
-    s = ranking.top_k(kb_overlap(spark, d), "item_id", 15, F.desc("score"), F.asc("doc_id"))
+    q, k = _toks(_t(spark, d, "benchmark"), "item_id"), _toks(_t(spark, d, "documents"), "doc_id")
+    s = ranking.top_k(scoring.overlap_best(q, k, "item_id", "doc_id", 15), "item_id", 15, F.desc("score"), F.asc("doc_id"))
     s = s.join(_t(spark, d, "documents").select("doc_id", (F.col("lang") == "en").alias("english")), "doc_id")
     s = s.join(_t(spark, d, "benchmark").select("item_id", F.contains("text", F.lit("that")).alias("asks"), (F.length("text") > 200).alias("long")), "item_id")
     stages = [(F.col("asks"), F.col("english")), (F.lit(True), F.col("score") >= 0.3), (F.col("long"), F.col("rank") <= 3)]

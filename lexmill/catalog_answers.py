@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.catalog import SQL as TEXTS_SQL
 from lexmill.catalog import _FOLD, _NORM, AFTER, BEFORE, ROUTES, SYNONYMS, _lines, _t, _word
 from lexmill.functions import text as X
 from lexmill.operators import language, products, ranking, scoring
@@ -403,3 +404,24 @@ SQL["answer_by_blocks"] = f"""{_SCORED} z as (select q, doc_id, (coalesce(s.v, 0
     c0 as (select * from (select * from v qualify tier = min(tier) over (partition by q)) qualify row_number() over (partition by q order by score desc, doc_id) <= 15), {_STAGES},
     w as (select * from c4 qualify row_number() over (partition by q order by (asks_l and is_l) desc, score desc, doc_id) = 1)
     select q.q, w.q is not null ok, case when w.q is not null and coalesce(lang in ('fr', 'en'), false) then 'See ' || doc_id else 'No answer.' end answer, lang family, id, 'gold' "mode", 'fr' "lang", round(coalesce(score, 0), 6)::double score from q left join w on w.q = q.q"""
+_STOPPED = r"trim(regexp_replace(regexp_replace(strip_accents(lower(coalesce({c}, ''))), '[^a-z0-9\s_-]', ' ', 'g'), '\s+', ' ', 'g'))"
+_SEARCHED = lambda name, toks, where="true", text="n": _hybrid_sql(name, toks, where, text).replace("count(*) hits", "count(*) filter (list_contains(ws, w)) hits").replace("join df using (w)", "join df using (w) join (select doc_id, ws from k) using (doc_id)")
+#: Tags and free lines, and numbered lines of pairs, as txt_texts and txt_parse have them.
+_TAGGED = TEXTS_SQL["txt_texts"].removeprefix("with ").split("select conv_id doc,")[0].strip()
+_PAIRED = "kk as (" + TEXTS_SQL["txt_parse"].split(" k as (", 1)[1].split("select conv_id doc")[0].strip().replace("g as (", "gg as (").replace("from k)", "from kk)")
+_CORPUS = "tf as" + _BASE.split("tf as", 1)[1]
+SQL["answer_by_search"] = rf"""with {_TAGGED}, {_PAIRED},
+    pp as (select conv_id, n, max(regexp_replace(s, '^\s+|\s+$', '', 'g')) filter (q) qu, coalesce(regexp_replace(string_agg(s, chr(10) order by turn, i) filter (not q), '^\s+|\s+$', '', 'g'), '') an from gg where n > 0 and not t group by 1, 2),
+    said as (select conv_id, string_agg({_STOPPED.format(c="qu")} || ' ' || {_STOPPED.format(c="an")}, ' ' order by n) said from pp group by 1),
+    tl as (select conv_id, list({_FOLD.format(c="t")} order by turn, k) tags from t where t <> '' group by 1),
+    k as (select conv_id doc_id, {_FOLD.format(c="x")} n, {_WORDS.format(c=f"concat_ws(' ', {_FOLD.format(c='x')}, said)")} t, {_WORDS.format(c=_FOLD.format(c="x"))} ws, conv_id::varchar name, coalesce(tags, []) tags, x body from x left join said using (conv_id) left join tl using (conv_id) where length(x) >= 500 or said is not null),
+    q0 as (select item_id, n, {_WORDS.format(c="n")} t from (select item_id, {_STOPPED.format(c="text")} n from benchmark)),
+    {_CORPUS}, {_SEARCHED("e", _EXPANDED, text=f"array_to_string({_EXPANDED}, ' ')")}, ef as (select * from e where score >= {THRESHOLD}), {_SEARCHED("h", "t", "item_id not in (select item_id from ef)")},
+    top as (select * from ef union all select * from h),
+    c as (select item_id, doc_id, top.score, q0.n base, pp.n pn, trim(qu) matched, regexp_replace(coalesce(an, ''), '^\s+|\s+$', '', 'g') a, k.body, {_FOLD.format(c="qu")} f from top join q0 using (item_id) join k using (doc_id) left join pp on conv_id = doc_id),
+    w as (select *, case when a <> '' then a else regexp_replace(split_part(body, chr(10) || chr(10), 1), '^\s+|\s+$', '', 'g') end b from c
+      qualify row_number() over (partition by item_id order by case when f is null then -1 when f = '' or base = '' then 0 when base = f then 1 when contains(base, f) or contains(f, base) then 0.5 else 0 end desc, pn) = 1),
+    v as (select *, case when length(b) <= 1200 then b else regexp_replace(coalesce(nullif(regexp_extract(b[1:1200], '(?s)^(.+?[.!?])(?:\s|$)', 1), ''), b[1:1200]), '\s+$', '') || ' …' end answer from w),
+    y as (select item_id, t from (select item_id, string_split({_STOPPED.format(c="text")}, ' ') t from benchmark))
+    select item_id q, concat_ws(chr(10) || chr(10), 'Answer:', answer, concat_ws(chr(10), case when {_HAS("the")} then 'On the.' end, case when {_HAS("que")} then 'Sobre que.' end,
+      case when {_HAS("the")} or {_HAS("der")} then 'Article.' end, case when {_HAS("the")} and {_HAS("that")} then 'Both.' end, 'Always.')) answer, true found, round(score, 3) score, doc_id doc, case when a <> '' then matched end matched from v join y using (item_id)"""

@@ -137,19 +137,24 @@ BONUS = 0.15 + 0.20
 
 
 def hybrid_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int = 1, full: bool = False) -> DataFrame:
-    """(q, d, score): hybrid() of the pairs that may be among the k best of their question, ties included.
+    """(q, d, score): hybrid() of the pairs that may be among the k best of their question, ties included. docs may have words, the
+    tokens that overlap counts, where these are fewer than toks.
 
     The question's best BM25 comes first; with it, BM25 and overlap are one sum over shared words, and topk gives the pairs
     that can still be among the best when likeness and boost are added. Only these pairs have their texts fetched. full: likeness is
     the token-set ratio (of the pairs that can reach the best with it) instead of its plain form."""
-    model = Bm25(docs, d, keep=("norm", "name", "tags"))
+    own = ("words",) if "words" in docs.columns else ()
+    model = Bm25(docs, d, keep=("norm", "name", "tags", *own))
+    if own:
+        model.terms = stored(model.terms.withColumn("ys", F.transform("tokens", lambda t: F.array_contains("words", t).cast("int"))).drop("words"))
+    ys = [c for c in model.terms.columns if c == "ys"]
     asked = stored(model.asked(questions, q))
     flat = asked.withColumn("u", F.lit(0.0))
     most = topk.candidates(flat, model.terms.select(d, "tokens", "xs"), q, d, 1).groupBy(q).agg(F.max("score").alias("most"))
     told = stored(questions.select(q, F.col("norm").alias("qn"), F.size(F.array_distinct("toks")).alias("nq")).join(most, q))
     weight = 0.6 * F.when(F.col("most") > 0, F.col("w") / F.col("most")).otherwise(F.col("w"))
     both = asked.join(few(told.select(q, "most", "nq")), q).select(q, "token", weight.alias("w"), (0.25 / F.col("nq")).alias("u"), "df", "top")
-    own = model.terms.select(F.struct(F.col(d).alias("id"), "name", "tags", F.size("tokens").alias("nd")).alias("_d"), "tokens", "xs")
+    own = model.terms.select(F.struct(F.col(d).alias("id"), "name", "tags", F.size(F.filter(F.split("norm", " "), lambda t: t != "")).alias("nd")).alias("_d"), "tokens", "xs", *ys)
     asking = few(told.select(q, "qn", "nq"))
 
     def more(pairs: DataFrame) -> DataFrame:
@@ -159,7 +164,7 @@ def hybrid_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int =
         return pairs.withColumns({"known": boost(F.col("qn"), F.col("_d.name"), F.col("_d.tags")), "maybe": F.when(near, 0.15).otherwise(0.0)})
 
     found = stored(topk.candidates(both, own, q, "_d", k, bonus=BONUS, more=more).select(q, F.col("_d.id").alias(d)))
-    found = stored(topk.whole(found, flat, model.terms.select(d, "tokens", "xs"), q, d))
+    found = stored(topk.whole(found, flat, model.terms.select(d, "tokens", "xs", *ys), q, d))
     texts = model.terms.join(few(found.select(d).distinct()), d, "left_semi").select(d, "norm", "name", "tags")
     pairs = found.join(few(told), q).join(texts, d)
     bm = F.when(F.col("most") > 0, F.col("score") / F.col("most")).otherwise(F.col("score"))

@@ -20,27 +20,32 @@ SLACK = 2e-6
 
 
 def _part():
-    return F.col("w") * F.col("x") + F.col("u")
+    return F.col("w") * F.col("x") + F.col("u") * F.col("y")
+
+
+def _with_ys(terms: DataFrame) -> DataFrame:
+    return terms if "ys" in terms.columns else terms.withColumn("ys", F.array_repeat(F.lit(1), F.size("tokens")))
 
 
 def whole(pairs: DataFrame, asked: DataFrame, terms: DataFrame, q: str, d: str, tiny: bool = False) -> DataFrame:
     """(q, d, score, hits) of pairs: a question's words are looked up in its document's row."""
+    terms = _with_ys(terms)
     told = asked.groupBy(q).agg(F.collect_list("token").alias("asked"), F.collect_list(F.struct("w", "u")).alias("parts"))  # a question's words
     met = terms.join(few(pairs), d).join(F.broadcast(told) if tiny else told, q)
     met = met.withColumn("shared", F.array_intersect("tokens", "asked"))
     at = lambda values, places, t: F.get(values, (F.array_position(places, t) - 1).cast("int"))
-    hits = F.transform("shared", lambda t: F.struct(at("xs", "tokens", t).alias("x"), at("parts", "asked", t).alias("p")))
-    score = F.aggregate("hits", F.lit(0.0), lambda a, t: a + t["p"]["w"] * t["x"] + t["p"]["u"])
-    return met.select(q, d, F.size("shared").alias("hits_"), hits.alias("hits")).select(q, d, score.alias("score"), F.col("hits_").alias("hits"))
+    hits = F.transform("shared", lambda t: F.struct(at("xs", "tokens", t).alias("x"), at("ys", "tokens", t).alias("y"), at("parts", "asked", t).alias("p")))
+    score = F.aggregate("met", F.lit(0.0), lambda a, t: a + t["p"]["w"] * t["x"] + t["p"]["u"] * t["y"])
+    return met.select(q, d, hits.alias("met")).select(q, d, score.alias("score"), F.aggregate("met", F.lit(0), lambda a, t: a + t["y"]).alias("hits"))
 
 
 def candidates(asked: DataFrame, terms: DataFrame, q: str, d: str, k: int, least: float | None = None, bonus: float = 0.0, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(q, d, score, and hits, the words shared) of all pairs that may be among the k best of their question, ties and those within
+    """(q, d, score, and hits, the words shared whose y is 1) of all pairs that may be among the k best of their question, ties and those within
     SLACK included: a few more than k for each.
 
-    A score is the sum of w * x + u over the words that a question and a document share. asked: q, token, w, u, and
+    A score is the sum of w * x + u * y over the words that a question and a document share. asked: q, token, w, u >= 0, and
     of the token df, the documents that have it, and top, their largest x. terms: d and, in the same order, the arrays
-    tokens and xs >= 0. least: scores below it are not wanted.
+    tokens, xs >= 0 and ys, 0 or 1 (1 where there is no ys). least: scores below it are not wanted.
 
     A caller may add to a score what takes a pair's texts: bonus at most. more(pairs) adds to pairs (q, d, n: words
     shared of those seen, unseen: words not looked at) the columns known, what is added for certain, and maybe, what may come to
@@ -52,6 +57,7 @@ def candidates(asked: DataFrame, terms: DataFrame, q: str, d: str, k: int, least
     first, and the last ones, the common words with the long lists, are passed over as far as they alone cannot come to
     more than a share of the threshold. Documents meet by the other words; what a pair has from these, and can have from those
     at most, tells whether it is scored whole. Sums meet in a document's task before any exchange."""
+    terms = _with_ys(terms)
     n = terms.count()
     share = min(1.0, SAMPLE * (k / max(n, 1)) ** 0.5)
     order = Window.partitionBy(q).orderBy("df", "token")
@@ -63,11 +69,11 @@ def candidates(asked: DataFrame, terms: DataFrame, q: str, d: str, k: int, least
         F.sum(F.least(F.col("w"), F.lit(0.0)) * F.col("top")).over(Window.partitionBy(q)).alias("low")))
     tiny = fits(asked)
     chosen = F.pmod(F.xxhash64(F.col(d), F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20))
-    rows = terms.select(d, chosen.alias("chosen"), F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("xs").alias("x"))))
+    rows = terms.select(d, chosen.alias("chosen"), F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("xs").alias("x"), F.col("ys").alias("y"))))
 
     words = asked.select(q, "token", "w", "u", "low", "lead")
     first = word_join(rows.where("chosen"), words, "token", d, tiny=tiny).unionByName(word_join(rows.where("not chosen"), words.where("lead"), "token", d, tiny=tiny))
-    first = first.groupBy(q, d).agg((F.sum(_part()) + F.min("low")).alias("reached"), F.count("*").alias("n"), F.lit(0).alias("unseen"))
+    first = first.groupBy(q, d).agg((F.sum(_part()) + F.min("low")).alias("reached"), F.sum("y").alias("n"), F.lit(0).alias("unseen"))
     if more is not None:
         first = more(first).select(q, d, (F.col("reached") + F.col("known")).alias("reached"))
     kth = first.withColumn("r", F.row_number().over(Window.partitionBy(q).orderBy(F.desc("reached")))).where(F.col("r") <= k).where(F.col("r") == k)
@@ -83,7 +89,7 @@ def candidates(asked: DataFrame, terms: DataFrame, q: str, d: str, k: int, least
     open_ = open_.withColumns({"shut": shut, "unseen": F.sum((~opened).cast("int")).over(each)}).where(opened)
     open_ = open_.select(q, "token", "w", "u", "bound", "shut", "unseen")
     met = word_join(rows, open_ if tiny else stored(open_), "token", d, tiny=tiny)
-    met = met.groupBy(q, d).agg(F.sum(_part()).alias("part"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("bound", "shut", "unseen")])
+    met = met.groupBy(q, d).agg(F.sum(_part()).alias("part"), F.sum("y").alias("n"), *[F.first(c).alias(c) for c in ("bound", "shut", "unseen")])
     reach = F.col("part") + F.col("shut")
     met = met.where(reach + bonus >= F.col("bound"))
     found = stored((met if more is None else more(met).where(reach + F.col("known") + F.col("maybe") >= F.col("bound"))).select(q, d))

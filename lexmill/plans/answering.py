@@ -114,7 +114,7 @@ def two_chances(questions: DataFrame, index: DataFrame, threshold: float = 0.30,
     """(q, doc, score, second): the best document of the expanded question; under the threshold that of the question as
     it is, whatever it scores. Both are asked in one search.
 
-    questions: q, base, toks, expanded (words); index: doc, norm, toks, name, tags."""
+    questions: q, base, toks, expanded (words); index: doc, norm, toks, name, tags, and words, if overlap counts other ones than toks."""
     plain = F.struct(F.lit(True).alias("second"), F.col("base").alias("norm"), F.col("toks").alias("toks"))
     wide = F.struct(F.lit(False).alias("second"), F.array_join("expanded", " ").alias("norm"), F.col("expanded").alias("toks"))
     both = questions.select("q", F.explode(F.array(wide, plain)).alias("v")).select(F.struct("q", "v.second").alias("key"), "v.norm", "v.toks")
@@ -137,7 +137,7 @@ def by_search(questions: DataFrame, docs: DataFrame, synonyms: dict[str, list[st
     asked = questions.select("q", "text", norm(F.col("text")).alias("base"))
     words = X.tokens(F.col("base"))
     said = F.array_join(F.flatten(F.transform("qas", lambda x: F.array(norm(x["q"]), norm(x["a"])))), " ")
-    index = docs.select("doc", "norm", "name", F.col("norm_tags").alias("tags"), X.tokens(F.concat_ws(" ", "norm", said)).alias("toks"))
+    index = docs.select("doc", "norm", "name", F.col("norm_tags").alias("tags"), X.tokens(F.concat_ws(" ", "norm", said)).alias("toks"), X.tokens(F.col("norm")).alias("words"))
 
     expanded = X.expand(words, synonyms, norm) if synonyms else words
     top = two_chances(asked.select("q", "base", words.alias("toks"), expanded.alias("expanded")), index, threshold, full)
