@@ -58,6 +58,13 @@ def hybrid_top1(spark, d):
     return _best(_questions(spark, d), _named_docs(spark, d))
 
 
+def hybrid_full_top1(spark, d):
+    """hybrid_top1 with the token-set ratio inside the ranking. No SQL: subsequences need a table for each pair."""
+    questions, docs = _questions(spark, d), _named_docs(spark, d)
+    scored = stored(scoring.hybrid_best(questions, docs, "item_id", "doc_id", full=True))
+    return _top1(scored.unionByName(scoring.unmatched(questions, docs, scored, "item_id", "doc_id")))
+
+
 def second_chance(spark, d):
     """The best match of the expanded question; if it is under the threshold, that of the question as it is."""
     q = _questions(spark, d).select(F.col("item_id").alias("q"), F.col("norm").alias("base"), "toks", X.expand(F.col("toks"), SYNONYMS).alias("expanded"))
@@ -279,7 +286,7 @@ def engine_answers(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        hybrid_top1, second_chance, fuzzy_token_set, best_qa, folder_parts, lookup_product, product_note, enrich_answer, enrich_rules, regex_rules, expected_patterns,
+        hybrid_top1, hybrid_full_top1, second_chance, fuzzy_token_set, best_qa, folder_parts, lookup_product, product_note, enrich_answer, enrich_rules, regex_rules, expected_patterns,
         render_template, context_string, offline_answers, folder_text, block_score_top3, question_flags, answer_by_blocks, answer_by_route, answer_by_search,
         fallback_chain, translated_answers, rule_table, expectation_table, stream_answers,
         detected_languages, engine_answers,
