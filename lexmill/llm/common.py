@@ -112,13 +112,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if fits(df, rows, size) else df
 
 
-def spread(rows: DataFrame, keyed: DataFrame, key: str | list[str], by: str, hot: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+def spread(rows: DataFrame, keyed: DataFrame, key: str | list[str], by: str, hot: int = HOT_ROWS, how: str = "inner", once: bool = True) -> DataFrame:
     """rows joined with keyed on key, where keys of many rows are dealt over several tasks.
 
-    keyed has one row for each key and its number of rows as n; it should be a written table. Keys of over hot rows
+    keyed has one row for each key (unless once is false) and its number of rows as n; it should be a written table. Keys of over hot rows
     are looked up first (there are few); their rows are dealt by the column by, and their row of keyed is repeated."""
     key = [key] if isinstance(key, str) else key
-    parts = small(keyed.where(F.col("n") > hot).select(*key, F.ceil(F.col("n") / hot).cast("int").alias("_parts")).distinct())
+    parts = keyed.where(F.col("n") > hot).select(*key, F.ceil(F.col("n") / hot).cast("int").alias("_parts"))
+    parts = small(parts if once else parts.distinct())
     dealt = rows.join(parts, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(F.col(by), F.lit(3)), F.col("_parts")).cast("int"), F.lit(0)))
     copies = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / hot).cast("int") - 1))
     copied = keyed.withColumn("_part", F.explode(F.when(F.col("n") > hot, copies).otherwise(F.array(F.lit(0))))).drop("n")
@@ -132,10 +133,11 @@ def meet(rows: DataFrame, keyed: DataFrame, key: str | list[str], by: str, how:
     key = [key] if isinstance(key, str) else key
     if fits(keyed, most, size):
         return rows.join(F.broadcast(keyed.drop("n")), key, how)
-    if "n" not in keyed.columns:
+    once = "n" in keyed.columns
+    if not once:
         counts = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS)
         keyed = keyed.join(counts, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return spread(rows, keyed, key, by, how=how)
+    return spread(rows, keyed, key, by, how=how, once=once)
 
 
 class Workspace:
