@@ -23,31 +23,32 @@ def _numeric(part: Column) -> Column:
     return F.when(valid, F.concat(sign, F.regexp_replace(part, "^[^;]*;", "")))
 
 
-def _named(part: Column) -> Column:
-    """The longest name that stands behind an ampersand, decoded, and the rest; null if there is none."""
+def _named(part: Column, bare_too: bool) -> Column:
+    """The longest name that stands behind an ampersand, decoded, and the rest; null if there is none. bare_too: also those that
+    may go without a semicolon, without one."""
     table = lambda names: F.from_json(F.lit(json.dumps(names)), "map<string,string>")
     short, full, bare = (table({n: NAMES[n] for n in names}) for names in ([f"{n}" for n in NAMES if n.rstrip(";") in _BARE], NAMES, _BARE))
-    name = F.regexp_extract(part, "^[a-zA-Z][a-zA-Z0-9]{0,31};?", 0)
+    name = F.regexp_extract(part, "^[a-zA-Z][a-zA-Z0-9]{0,31};" + "?" * bare_too, 0)
     rest = lambda n: F.substring(part, n + 1, F.length(part))
-    cuts = [F.concat(F.try_element_at(bare, F.substring(name, 1, n)), rest(F.lit(n))) for n in range(max(map(len, _BARE)), 1, -1)]
+    cuts = [F.concat(F.try_element_at(bare, F.substring(name, 1, n)), rest(F.lit(n))) for n in range(max(map(len, _BARE)), 1, -1)] if bare_too else []
     return F.when(name != "", F.coalesce(*[F.concat(F.try_element_at(t, name), rest(F.length(name))) for t in (short, full)], *cuts))
 
 
-def references(c: Column) -> Column:
+def references(c: Column, bare_too: bool = True) -> Column:
     """Character references decoded, each once: numeric ones with a semicolon that name a character, and all of HTML's names, with a
-    semicolon or, for those that may, without, the longest that fits. Other ampersands stay."""
+    semicolon or (bare_too), for those that may, without, the longest that fits. Other ampersands stay."""
     parts = F.split(c, "&")
-    one = lambda p: F.coalesce(F.when(F.startswith(p, F.lit("#")), _numeric(p)).otherwise(_named(p)), F.concat(F.lit("&"), p))
+    one = lambda p: F.coalesce(F.when(F.startswith(p, F.lit("#")), _numeric(p)).otherwise(_named(p, bare_too)), F.concat(F.lit("&"), p))
     decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
     return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
-def html_text(c: Column) -> Column:
+def html_text(c: Column, bare_too: bool = True) -> Column:
     """The text of a page: script, style, noscript, iframe and comments go, tags become blanks, references, named
-    and numeric, are decoded, white space is collapsed."""
+    and numeric, are decoded (see references), white space is collapsed."""
     out = c
     for tag in ("script", "style", "noscript", "iframe"):
         out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
     out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    out = references(out)
+    out = references(out, bare_too)
     return F.trim(F.regexp_replace(out, r"\s+", " "))
