@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import counted
-from lexmill.operators import names, topk
+from lexmill.operators import dense, names, topk
 from lexmill.operators.joins import few, spread_out, stored, word_join
 
 
@@ -265,8 +265,10 @@ def trigger_sums(questions: DataFrame, triggers: DataFrame, q: str, d: str) -> D
 
     questions: key, qn and qt (its distinct words); triggers: key and trigger, one row each, of any number. A trigger of
     n words scores with half of them in the question at least, so one of any n - half + 1 words is there: these, the
-    longest, are joined with the questions' words, and a pair is scored at the first word it shares. Sums are partial."""
+    longest, are joined with the questions' words, and a pair is scored at the first word it shares. What is in a question may begin
+    and end within words, so it is found by its first characters. Sums are partial."""
     k = triggers.select(d, "trigger", F.array_distinct(F.split("trigger", " ")).alias("words")).withColumn("n", F.size("words")).where("n > 1")
+    long = k.where(F.length("trigger") >= dense.RUN).select(d, "trigger")
     k = k.withColumn("half", F.greatest(F.lit(1), F.floor(F.col("n") / 2).cast("int")))
     longest = F.sort_array(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     k = k.withColumn("words", F.transform(longest, lambda x: x["w"]))
@@ -276,11 +278,25 @@ def trigger_sums(questions: DataFrame, triggers: DataFrame, q: str, d: str) -> D
     met = met.where((F.size("shared") >= F.col("half")) & (F.get("shared", F.lit(0)) == F.col("token")))
     met = met.withColumn("hits", F.size("shared"))
     whole = F.when(F.col("hits") == F.col("n"), F.lit(3.0)).otherwise(F.lit(0.0))
-    inside = F.when((F.length("trigger") >= 10) & F.contains("qn", "trigger"), F.lit(0.5)).otherwise(F.lit(0.0))
-    scored = met.select(q, d, (whole + F.col("hits") / F.col("n") + inside).alias("part"))
+    scored = met.select(q, d, (whole + F.col("hits") / F.col("n")).alias("part"))
+    spelled = questions.select(q, "qn", F.explode(names.runs(F.col("qn"), dense.RUN)).alias("run"))
+    inside = word_join(long.withColumn("run", F.substring("trigger", 1, dense.RUN)), spelled, "run", d).where(F.contains("qn", "trigger"))
+    scored = scored.unionByName(inside.select(q, d, F.lit(0.5).alias("part")))
     return scored.groupBy(q, d).agg(F.sum("part").alias("score"))
 
 
+def trigger_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int) -> DataFrame | None:
+    """(q, d, score, kind): of each question and kind of documents the k best by score and place, and what comes within
+    dense.SLACK of them; None if the questions are too many to be held by a task: then trigger_sums() is the way.
+
+    questions: key, qn and qt; docs: key (each once), place, kind, triggers, own and factor; see dense.trigger_best()."""
+    rows = dense.held(questions.select(q, "qn", "qt"), docs.schema[d].dataType)
+    if rows is None:
+        return None
+    found = dense.trigger_best(rows, docs, d, k)
+    return dense.keyed(found, rows, questions.schema[q].dataType, q).select(q, d, "score", "kind")
+
+
 def block_score(triggers_score: Column, q_toks: Column, own_toks: Column, overview: Column) -> Column:
     """Trigger scores and three times the share of the block's own question; half of it for overview blocks."""
     share = F.size(F.array_intersect(q_toks, own_toks)) / F.greatest(F.size(F.array_distinct(own_toks)), F.lit(1))

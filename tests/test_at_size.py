@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill import catalog
+from lexmill.operators import dense, scoring
 
 
 def test_cut_references_as_in_sql(spark, tmp_path):
@@ -14,3 +15,33 @@ def test_cut_references_as_in_sql(spark, tmp_path):
     sql = duckdb.connect()
     sql.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     assert got == dict(sql.execute(catalog.SQL["html_text"]).fetchall())
+
+
+def test_triggers_that_begin_and_end_within_words(spark, monkeypatch):
+    """A trigger in a question counts whatever words they share; by a pass over the documents and by joins alike."""
+    said = [(1, ["alpha beta", "no way"]), (2, ["alpha beta gamma", "alpha", "be be be", "alpha beta"]), (3, []), (4, ["way no", "no way", "no way to"])]
+    docs = spark.createDataFrame([(d, d, d % 2, t, ["no", "way", "no"], 0.5 if d == 4 else 1.0) for d, t in said], "d long, place long, kind int, triggers array<string>, own array<string>, factor double")
+    asked = spark.createDataFrame([(7, "xalpha betay"), (8, "xalpha beta gammay"), (9, "no way"), (10, "")], "q long, qn string").withColumn("qt", F.array_distinct(F.split("qn", " ")))
+    sums = {(r["q"], r["d"]): r["score"] for r in scoring.trigger_sums(asked, docs.select("d", F.explode("triggers").alias("trigger")), "q", "d").collect()}
+    want = {}
+    for q, qn in ((7, "xalpha betay"), (8, "xalpha beta gammay"), (9, "no way"), (10, "")):
+        for d, triggers in said:
+            total = 0.0
+            for t in triggers:
+                words = set(t.split())
+                hits = len(words & set(qn.split()))
+                if len(words) > 1:
+                    total += 3 * (hits == len(words)) + (hits / len(words) if hits >= max(1, len(words) // 2) else 0) + 0.5 * (len(t) >= 10 and t in qn)
+            if total:
+                want[q, d] = total
+    assert sums == pytest.approx(want)
+    own = {q: 3 * len({"no", "way"} & set(qn.split())) / 2 for q, qn in ((7, "xalpha betay"), (8, "xalpha beta gammay"), (9, "no way"), (10, ""))}
+    every = {(q, d): (want.get((q, d), 0) + own[q]) * (0.5 if d == 4 else 1) for q in own for d, _ in said}
+    got = {(r["q"], r["d"]): r["score"] for r in scoring.trigger_best(asked, docs.coalesce(1), "q", "d", 1).collect()}
+    first = {}
+    for (q, d), s in sorted(every.items(), key=lambda x: (-x[1], x[0])):
+        if s > 0:
+            first.setdefault((q, d % 2), (d, s))
+    assert got == pytest.approx({(q, d): s for (q, _), (d, s) in first.items()})
+    monkeypatch.setattr(dense, "BROADCAST_ROWS", 0)
+    assert scoring.trigger_best(asked, docs, "q", "d", 1) is None
