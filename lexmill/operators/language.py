@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import counted
 from lexmill.operators.joins import few, spread_out, stored, word_join
 
 #: Runs of a profile, and letters of a run at most.
@@ -39,16 +40,30 @@ def profiles(texts: DataFrame, lang: str, text: str, top: int = TOP) -> DataFram
     return stored(ranks(texts.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), text), "lang", text, top))
 
 
+def text_runs(text: Column) -> Column:
+    """All runs of a text's words, repeated ones too."""
+    return F.flatten(F.transform(letters(text), word_runs))
+
+
+def own_ranks(texts: DataFrame, key: str, text: str, top: int = TOP) -> DataFrame:
+    """(key, grams): ranks() within the row, for texts whose keys differ: the commonest runs in order, and no exchange."""
+    grams = texts.select(key, counted(text_runs(F.col(text))).alias("g"))
+    order = F.slice(F.sort_array(F.transform("g", lambda x: F.struct((-x["f"]).alias("n"), x["token"].alias("gram")))), 1, top)
+    return grams.select(key, order["gram"].alias("grams"))
+
+
 def detect(texts: DataFrame, known: DataFrame, key: str, text: str, top: int = TOP) -> DataFrame:
     """(key, lang, distance): of each text the language whose profile its own runs are least out of place in, ties by name.
 
     A run that a profile lacks is as far off as the profile is long. Texts without any run of any profile are absent. key
-    names a text: rows of one key count as one text."""
-    own = ranks(texts, key, text, top)
-    sizes = own.groupBy(key).agg(F.count("*").alias("runs"))
+    names a text: rows of one key count as one text. Only the texts themselves meet by key; runs are counted and ranked in a
+    row, and sums by language meet in its task before any exchange."""
+    whole = texts.groupBy(key).agg(F.concat_ws(" ", F.collect_list(text)).alias("_t"))
+    own = own_ranks(whole, key, "_t", top)
+    met = own.select(key, F.size("grams").alias("runs"), F.posexplode("grams").alias("rank", "gram"))
     off = F.abs(F.col("rank") - F.col("place")) - top
-    met = word_join(own, known.select("lang", "gram", F.col("rank").alias("place")), "gram", key).groupBy(key, "lang").agg(F.sum(off).alias("off"))
-    far = met.join(sizes, key).select(key, "lang", (F.col("off") + F.col("runs") * top).cast("long").alias("distance"))
+    met = word_join(met, known.select("lang", "gram", F.col("rank").alias("place")), "gram", key).groupBy(key, "lang").agg(F.sum(off).alias("off"), F.first("runs").alias("runs"))
+    far = met.select(key, "lang", (F.col("off") + F.col("runs") * top).cast("long").alias("distance"))
     best = far.groupBy(key).agg(F.min(F.struct("distance", "lang")).alias("t"))
     return best.select(key, F.col("t.lang").alias("lang"), F.col("t.distance").alias("distance"))
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill import catalog
-from lexmill.operators import dense, scoring
+from lexmill.operators import dense, language, scoring
 
 
 def test_cut_references_as_in_sql(spark, tmp_path):
@@ -45,3 +45,17 @@ def test_triggers_that_begin_and_end_within_words(spark, monkeypatch):
     assert got == pytest.approx({(q, d): s for (q, _), (d, s) in first.items()})
     monkeypatch.setattr(dense, "BROADCAST_ROWS", 0)
     assert scoring.trigger_best(asked, docs, "q", "d", 1) is None
+
+
+def test_runs_ranked_within_rows(spark):
+    """Runs counted in a row are those counted by key, and a key's rows are one text; only texts and sums are exchanged."""
+    said = [(1, "The cat, the cat and THE hat"), (2, "él y ella"), (3, ""), (4, None), (5, "a" * 5 + " " + " ".join("abcdefgh"[i:] for i in range(8))), (1, "more of it")]
+    texts = spark.createDataFrame(said, "k long, t string")
+    one = texts.groupBy("k").agg(F.concat_ws(" ", F.collect_list("t")).alias("t"))
+    want = {(r["k"], r["rank"], r["gram"]) for r in language.ranks(one, "k", "t", 20).collect()}
+    got = language.own_ranks(one, "k", "t", 20).select("k", F.posexplode("grams").alias("rank", "gram")).collect()
+    assert {(r["k"], r["rank"], r["gram"]) for r in got} == want
+    known = language.profiles(spark.createDataFrame([("en", "the cat and the hat of it"), ("es", "él y ella")], "lang string, text string"), "lang", "text")
+    found = language.detect(texts, known, "k", "t")
+    assert {(r["k"], r["lang"]) for r in found.collect()} >= {(1, "en"), (2, "es")} and found.where("k in (3, 4)").count() == 0
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
