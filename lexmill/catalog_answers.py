@@ -182,7 +182,7 @@ def _bench_questions(spark, d) -> DataFrame:
 
 def block_score_top3(spark, d):
     q = _bench_questions(spark, d).select("q", X.normalize_folded(F.col("text")).alias("norm"))
-    s = answering.block_scores(q, _blocks(spark, d)).withColumn("score", F.round("score", 6))
+    s = answering.block_best(q, _blocks(spark, d), 3).withColumn("score", F.round("score", 6))
     return ranking.top_k(s, "q", 3, F.desc("score"), F.asc("block"))
 
 

@@ -91,7 +91,15 @@ def bm25_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int, k1:
 def overlap_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int, least: float | None = None) -> DataFrame:
     """(q, d, score): overlap() of the pairs that may be among the k best of their question, ties included; see topk.
 
-    least: scores below it are not wanted."""
+    least: scores below it are not wanted. Where the questions fit as a broadcast side does, a task holds them and gives out what may
+    be among the k best by score and place (docs' column place, else d): one pass over the documents, no pairs exchanged."""
+    place = "place" if "place" in docs.columns else d
+    rows = dense.held(questions.select(q, F.array_distinct("toks").alias("toks")), docs.schema[d].dataType, docs.schema[place].dataType)
+    if rows is not None:
+        told = spread_out(docs, d).select(d, F.col(place).alias("place"), F.array_distinct("toks").alias("tokens"))
+        told = stored(told) if len(rows) > dense.PASS else told
+        out = dense.keyed(dense.shares(rows, told, d, k, least), rows, questions.schema[q].dataType, q).select(q, d, "score")
+        return out if least is None else out.where(F.col("score") >= least)
     terms = stored(spread_out(docs, d).select(d, F.array_distinct("toks").alias("tokens")))
     qs = stored(questions.select(q, F.array_distinct("toks").alias("toks")).select(q, F.size("toks").alias("nq"), F.explode("toks").alias("token")))
     df = terms.select(F.explode("tokens").alias("token")).join(few(qs.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
@@ -290,7 +298,7 @@ def trigger_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int)
     dense.SLACK of them; None if the questions are too many to be held by a task: then trigger_sums() is the way.
 
     questions: key, qn and qt; docs: key (each once), place, kind, triggers, own and factor; see dense.trigger_best()."""
-    rows = dense.held(questions.select(q, "qn", "qt"), docs.schema[d].dataType)
+    rows = dense.held(questions.select(q, "qn", "qt"), docs.schema[d].dataType, docs.schema["place"].dataType)
     if rows is None:
         return None
     found = dense.trigger_best(rows, docs, d, k)

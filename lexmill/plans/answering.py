@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
-from lexmill.operators import ranking, scoring
-from lexmill.operators.joins import stored
+from lexmill.operators import dense, ranking, scoring
+from lexmill.operators.joins import few, stored
 from lexmill.plans import predicates, provider, routing, rules
 from lexmill.plans.predicates import Terms
 
@@ -49,25 +49,55 @@ def by_route(questions: DataFrame, blocks: DataFrame, items: DataFrame, routes:
     two = provider.two_pass(situational, "text", analyse, solve, call).select("q", F.col("reply").alias("answer"), F.lit(TWO_PASS).alias("source"), none(items, "item"), none(blocks, "block"))
 
     toks = lambda df, key: df.select(key, X.tokens(X.normalize(F.coalesce("text", F.lit("")))).alias("toks"))
-    shared = scoring.overlap_best(toks(technical, "q"), toks(blocks, "block"), "q", "block", 1, least).join(blocks.select("block", "place"), "block")
+    told = blocks.select("block", "place", X.tokens(X.normalize(F.coalesce("text", F.lit("")))).alias("toks"))
+    shared = scoring.overlap_best(toks(technical, "q"), told, "q", "block", 1, least).join(blocks.select("block", "place"), "block")
     meta = ranking.best(shared, "q", "score", "place", least).select("q", "block")
     one = provider.ask(technical, "text", "answer", call).join(meta, "q", "left").select("q", "answer", F.lit(ENGINE).alias("source"), none(items, "item"), "block")
     rest = blank.select("q", F.lit(None).cast("string").alias("answer"), F.lit(EMPTY).alias("source"), none(items, "item"), none(blocks, "block"))
     return local.unionByName(two).unionByName(one).unionByName(rest)
 
 
+def _block_texts(blocks: DataFrame, *more: Column) -> DataFrame:
+    """block, its normalised triggers, its own words, the factor of overview blocks, and more."""
+    told = F.filter(F.transform(F.coalesce("triggers", F.array().cast("array<string>")), lambda t: X.normalize_folded(t)), lambda t: t != "")
+    return blocks.select("block", told.alias("triggers"), X.split_words(X.normalize_folded(F.col("question"))).alias("own"), F.when(_overview(), 0.5).otherwise(1.0).alias("factor"), *more)
+
+
+def _overview() -> Column:
+    return F.contains(F.upper(F.coalesce("id", F.lit(""))), F.lit("OVERVIEW"))
+
+
+def _asked_words(questions: DataFrame) -> DataFrame:
+    return questions.select("q", F.col("norm").alias("qn"), F.array_distinct(X.split_words(F.col("norm"))).alias("qt"))
+
+
 def block_scores(questions: DataFrame, blocks: DataFrame) -> DataFrame:
     """(q, block, score): trigger scores and three times the share of a block's own words that the question has; half of
-    it for overview blocks. Pairs that score nothing are absent.
+    it for overview blocks. Pairs that score nothing are absent. For the best blocks alone block_best() is the way.
 
     questions: q, norm; blocks: block, id, question, triggers. Both parts are token joins, and sums are partial."""
-    asked = questions.select("q", F.col("norm").alias("qn"), F.array_distinct(X.split_words(F.col("norm"))).alias("qt"))
-    told = blocks.select("block", F.explode("triggers").alias("t")).select("block", X.normalize_folded(F.col("t")).alias("trigger")).where("trigger <> ''")
-    own = blocks.select("block", X.split_words(X.normalize_folded(F.col("question"))).alias("toks"))
-    share = scoring.overlap(own, asked.select("q", F.col("qt").alias("toks")), "block", "q").select("q", "block", (3 * F.col("score")).alias("score"))
+    asked, texts = _asked_words(questions), _block_texts(blocks)
+    told = texts.select("block", F.explode("triggers").alias("trigger"))
+    share = scoring.overlap(texts.select("block", F.col("own").alias("toks")), asked.select("q", F.col("qt").alias("toks")), "block", "q").select("q", "block", (3 * F.col("score")).alias("score"))
     both = scoring.trigger_sums(asked, told, "q", "block").select("q", "block", "score").unionByName(share).groupBy("q", "block").agg(F.sum("score").alias("score"))
-    overview = blocks.select("block", F.contains(F.upper(F.coalesce("id", F.lit(""))), F.lit("OVERVIEW")).alias("o"))
-    return both.join(overview, "block").select("q", "block", (F.col("score") * F.when(F.col("o"), 0.5).otherwise(1.0)).alias("score")).where("score > 0")
+    return both.join(texts.select("block", "factor"), "block").select("q", "block", (F.col("score") * F.col("factor")).alias("score")).where("score > 0")
+
+
+def block_best(questions: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(q, block, score): block_scores() of pairs that may be among the k best by score and place of their question and kind of
+    blocks (overlay, overview, other), written once; of all pairs where the questions are too many for one pass.
+
+    blocks: as for block_scores(), block and place being whole numbers, and overlay."""
+    kind = F.when(F.col("overlay"), 0).when(_overview(), 1).otherwise(2)
+    dealt = blocks.repartition("block")  # few files should not mean few tasks
+    told = _block_texts(dealt, "place", kind.alias("kind"))
+    found = scoring.trigger_best(_asked_words(questions), told, "q", "block", k)
+    if found is None:
+        return block_scores(questions, blocks)
+    found = stored(found)  # k of each task
+    kth = found.withColumn("rank", F.row_number().over(Window.partitionBy("q", "kind").orderBy(F.desc("score"))))
+    kth = kth.where(F.col("rank") == k).select("q", "kind", (F.col("score") - dense.SLACK).alias("least"))
+    return stored(found.join(F.broadcast(kth), ["q", "kind"], "left").where(F.col("least").isNull() | (F.col("score") >= F.col("least"))).select("q", "block", "score"))
 
 
 def by_blocks(questions: DataFrame, blocks: DataFrame, fallback: str, terms: Terms = Terms(), template: str = "{question}\n{candidates}", call=provider.offline, lang: str = "it", default: str = "it", mode: str = "gold", limit: int = 15) -> DataFrame:
@@ -79,9 +109,12 @@ def by_blocks(questions: DataFrame, blocks: DataFrame, fallback: str, terms: Ter
     are candidates, which the predicates narrow and the engine picks from (the first, where there is none)."""
     asked, _ = routing.checked(questions.select("q", "text"), "text")
     asked = asked.withColumn("norm", X.normalize_folded(F.col("text")))
+    asked = stored(asked)
     flags = asked.select("q", "text", *[c.alias(k) for k, c in predicates.asks(F.col("norm"), terms).items()])
-    marked = blocks.select("block", "overlay", "place", "id", "family", "question", "answers", *[c.alias(k) for k, c in predicates.says(F.col("id"), F.col("question"), F.col("triggers"), F.col("tags"), terms).items()])
-    scored = block_scores(asked, blocks).join(marked, "block").join(flags, "q")
+    pairs = block_best(asked, blocks, limit)
+    told = blocks.join(few(pairs.select("block").distinct()), "block", "left_semi")  # only these blocks' texts are searched for terms
+    marked = told.select("block", "overlay", "place", "id", "family", "question", "answers", *[c.alias(k) for k, c in predicates.says(F.col("id"), F.col("question"), F.col("triggers"), F.col("tags"), terms).items()])
+    scored = pairs.join(marked, "block").join(flags, "q")
     tier = F.when(F.col("overlay"), F.array(F.lit(0))).when(F.col("is_overview") & F.col("asks_overview"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
     tiers = scored.withColumn("tier", F.explode(tier))
     first = tiers.groupBy("q").agg(F.min("tier").alias("tier"))

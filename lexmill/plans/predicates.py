@@ -71,16 +71,17 @@ def asks(norm: Column, terms: Terms = Terms()) -> dict[str, Column]:
 def says(ident: Column, question: Column, triggers: Column, tags: Column, terms: Terms = Terms()) -> dict[str, Column]:
     """What a block says, one flag each: in its question and triggers, with its id, or with id and tags."""
     text = lambda c: F.coalesce(c, F.lit(""))
+    once = lambda c, body: F.element_at(F.transform(F.array(c), body), 1)  # noqa: E731  # a text is normalised once, not for each term
     told = F.array_join(F.coalesce(triggers, F.array().cast("array<string>")), " ")
     own = normalize_folded(F.concat_ws(" ", text(question), told))
     named = normalize_folded(F.concat_ws(" ", text(ident), text(question), told))
     full = normalize_folded(F.concat_ws(" ", F.nullif(ident, F.lit("")), F.nullif(question, F.lit("")), F.nullif(told, F.lit("")), F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ")))
     upper = F.upper(text(ident))
     return {
-        "is_structural": any_of(own, terms.structural_block) & ~any_of(own, terms.ambient_block),
-        "is_negated": any_of(own, terms.negation_block),
-        "is_geometric": ~any_of(named, terms.defect) | any_of(named, terms.geometry),
-        "is_safe": ~(any_of(upper, terms.killer_ids) | any_of(full, terms.killer)),
+        "is_structural": once(own, lambda t: any_of(t, terms.structural_block) & ~any_of(t, terms.ambient_block)),
+        "is_negated": once(own, lambda t: any_of(t, terms.negation_block)),
+        "is_geometric": once(named, lambda t: ~any_of(t, terms.defect) | any_of(t, terms.geometry)),
+        "is_safe": ~(any_of(upper, terms.killer_ids) | once(full, lambda t: any_of(t, terms.killer))),
         "is_limits": F.contains(upper, F.lit(terms.limits_id)),
         "is_overview": F.contains(upper, F.lit("OVERVIEW")),
     }
