@@ -84,8 +84,16 @@ class Bm25:
 def bm25_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(q, d, score): bm25() of the pairs that may be among the k best of their question, ties included; see topk."""
     model = Bm25(docs, d, k1, b, epsilon)
-    asked = model.asked(questions, q).withColumn("u", F.lit(0.0))
-    return topk.candidates(asked, model.terms, q, d, k).select(q, d, "score")
+    return _sums_best(stored(model.asked(questions, q)), model.terms, q, d, k)
+
+
+def _sums_best(asked: DataFrame, terms: DataFrame, q: str, d: str, k: int) -> DataFrame:
+    """(q, d, score) of the pairs that may be among the k best: in one pass over the documents where the questions fit as a
+    broadcast side does, else by pruned joins."""
+    rows = dense.held(asked.groupBy(q).agg(F.collect_list(F.struct("token", "w")).alias("parts")), terms.schema[d].dataType)
+    if rows is None:
+        return topk.candidates(asked.withColumn("u", F.lit(0.0)), terms, q, d, k).select(q, d, "score")
+    return dense.keyed(dense.sums(rows, terms, d, k), rows, asked.schema[q].dataType, q).select(q, d, "score")
 
 
 def overlap_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int, least: float | None = None) -> DataFrame:
@@ -158,7 +166,7 @@ def hybrid_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int =
     ys = [c for c in model.terms.columns if c == "ys"]
     asked = stored(model.asked(questions, q))
     flat = asked.withColumn("u", F.lit(0.0))
-    most = topk.candidates(flat, model.terms.select(d, "tokens", "xs"), q, d, 1).groupBy(q).agg(F.max("score").alias("most"))
+    most = _sums_best(asked, model.terms.select(d, "tokens", "xs"), q, d, 1).groupBy(q).agg(F.max("score").alias("most"))
     told = stored(questions.select(q, F.col("norm").alias("qn"), F.size(F.array_distinct("toks")).alias("nq")).join(most, q))
     weight = 0.6 * F.when(F.col("most") > 0, F.col("w") / F.col("most")).otherwise(F.col("w"))
     both = asked.join(few(told.select(q, "most", "nq")), q).select(q, "token", weight.alias("w"), (0.25 / F.col("nq")).alias("u"), "df", "top")
