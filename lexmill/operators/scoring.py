@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.functions.text import counted
 from lexmill.operators import dense, names, topk
@@ -133,6 +134,12 @@ def boost(question: Column, name: Column, tags: Column) -> Column:
     return F.least(F.lit(0.25), named + tagged)
 
 
+def boosts(questions: list[str], name: str | None, tags: tuple[str | None, ...]) -> list[float]:
+    """boost() of some questions within a task."""
+    meet = lambda q, t: bool(t) and (t in q or q in t)
+    return [min(0.25, (0.12 if meet(q, name) else 0.0) + (0.08 if any(meet(q, t) for t in tags) else 0.0)) for q in questions]
+
+
 def hybrid(questions: DataFrame, docs: DataFrame, q: str, d: str) -> DataFrame:
     """(q, d, score): 0.6 BM25 over the question's best + 0.25 overlap + 0.15 fuzzy + boost, within 0 and 1.
 
@@ -158,7 +165,8 @@ def hybrid_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int =
 
     The question's best BM25 comes first; with it, BM25 and overlap are one sum over shared words, and topk gives the pairs
     that can still be among the best when likeness and boost are added. Only these pairs have their texts fetched. full: likeness is
-    the token-set ratio (of the pairs that can reach the best with it) instead of its plain form."""
+    the token-set ratio (of the pairs that can reach the best with it) instead of its plain form; where the questions fit as a
+    broadcast side does, that is one pass over the documents, after one over those of best BM25, whose scores are its thresholds."""
     own = ("words",) if "words" in docs.columns else ()
     model = Bm25(docs, d, keep=("norm", "name", "tags", *own))
     if own:
@@ -166,8 +174,14 @@ def hybrid_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int =
     ys = [c for c in model.terms.columns if c == "ys"]
     asked = stored(model.asked(questions, q))
     flat = asked.withColumn("u", F.lit(0.0))
-    most = _sums_best(asked, model.terms.select(d, "tokens", "xs"), q, d, 1).groupBy(q).agg(F.max("score").alias("most"))
+    near = _sums_best(asked, model.terms.select(d, "tokens", "xs"), q, d, k if full else 1)
+    near = stored(near) if full else near
+    most = near.groupBy(q).agg(F.max("score").alias("most"))
     told = stored(questions.select(q, F.col("norm").alias("qn"), F.size(F.array_distinct("toks")).alias("nq")).join(most, q))
+    if full:
+        rows = dense.held(asked.groupBy(q).agg(F.collect_list(F.struct("token", "w")).alias("parts")).join(told, q), model.terms.schema[d].dataType)
+        if rows is not None:
+            return _likeliest(rows, model.terms, near.select(d).distinct(), q, d, k, asked.schema[q].dataType)
     weight = 0.6 * F.when(F.col("most") > 0, F.col("w") / F.col("most")).otherwise(F.col("w"))
     both = asked.join(few(told.select(q, "most", "nq")), q).select(q, "token", weight.alias("w"), (0.25 / F.col("nq")).alias("u"), "df", "top")
     own = model.terms.select(F.struct(F.col(d).alias("id"), "name", "tags", F.size(F.filter(F.split("norm", " "), lambda t: t != "")).alias("nd")).alias("_d"), "tokens", "xs", *ys)
@@ -197,6 +211,17 @@ def hybrid_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int =
     return pairs.select(q, d, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("base") + 0.15 * fuzzy + F.col("boost"))).alias("score"))
 
 
+def _likeliest(rows: list, terms: DataFrame, near: DataFrame, q: str, d: str, k: int, key: T.DataType) -> DataFrame:
+    """(q, d, score) of the pairs that may be among the k best by the token-set ratio. near: documents from which a
+    question's k-th best is a threshold for all others."""
+    search = lambda rows, docs: dense.likeliest(rows, docs, d, k, boosts, token_set_ratio)
+    first = search([r.asDict() | {"least": None} for r in rows], terms.join(few(near), d, "left_semi"))
+    kth = first.groupBy("_i").agg(F.get(F.sort_array(F.collect_list("score"), False), F.lit(k - 1)).alias("least"))  # k of each task
+    least = dict(kth.collect())
+    found = search([r.asDict() | {"least": least.get(i)} for i, r in enumerate(rows)], terms)
+    return dense.keyed(found, rows, key, q).select(q, d, "score")
+
+
 def unmatched(questions: DataFrame, docs: DataFrame, scored: DataFrame, q: str, d: str) -> DataFrame:
     """(q, d, score): for questions that share no token with any document, the first of the documents of best boost."""
     left = questions.join(scored.select(q).distinct(), q, "left_anti").select(q, F.col("norm").alias("qn"))

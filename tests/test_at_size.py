@@ -1,11 +1,13 @@
 """What showed on larger tables: results against SQL, and searches of few questions by matrices against all pairs."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill import catalog
-from lexmill.operators import dense, language, scoring
+from lexmill.operators import dense, language, scoring, topk
 
 
 def test_cut_references_as_in_sql(spark, tmp_path):
@@ -59,3 +61,37 @@ def test_runs_ranked_within_rows(spark):
     found = language.detect(texts, known, "k", "t")
     assert {(r["k"], r["lang"]) for r in found.collect()} >= {(1, "en"), (2, "es")} and found.where("k in (3, 4)").count() == 0
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_full_likeness_in_one_pass(spark, monkeypatch):
+    """The token-set ratio inside the ranking, without joins of all pairs: as of all pairs, and as by joins where fewer words count."""
+    rng = random.Random(3)
+    draw = lambda n: " ".join(f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(n))
+    said = [(i, draw(rng.randrange(40)), f"n{i % 7}", [f"w{i % 5}", None]) for i in range(150)] + [(150, "w3 w4", None, []), (151, "w3 w4", "", []), (152, "", "w3", ["w4"])]
+    docs = spark.createDataFrame(said, "d long, norm string, name string, tags array<string>").withColumn("toks", F.filter(F.split("norm", " "), lambda t: t != ""))
+    asked = spark.createDataFrame([(f"q{i}", draw(rng.randrange(1, 9))) for i in range(40)] + [("x", "w3 w4"), ("y", "w3"), ("z", ""), ("none", "v")], "q string, norm string")
+    asked = asked.withColumn("toks", F.filter(F.split("norm", " "), lambda t: t != ""))
+
+    def firsts(df, k):
+        by = {}
+        for r in df.collect():
+            by.setdefault(r["q"], []).append((-round(r["score"], 6), r["d"]))
+        return {q: sorted(x)[:k] for q, x in by.items()}
+
+    fewer = docs.withColumn("words", F.slice("toks", 1, 6))
+    with monkeypatch.context() as m:
+        m.setattr(dense, "BROADCAST_ROWS", 0)
+        joined = {k: firsts(scoring.hybrid_best(asked, fewer, "q", "d", k, full=True), k) for k in (1, 3)}
+    with monkeypatch.context() as m:
+        m.setattr(scoring, "fuzzy_plain", scoring.fuzzy_full)
+        every = scoring.hybrid(asked, docs, "q", "d").collect()
+    every = spark.createDataFrame(every, "q string, d long, score double")
+
+    def refused(*_, **__):
+        raise AssertionError("pairs by joins")
+
+    monkeypatch.setattr(topk, "candidates", refused)
+    monkeypatch.setattr(dense, "SLICE", 16)
+    for k in (1, 3):
+        assert firsts(scoring.hybrid_best(asked, docs, "q", "d", k, full=True), k) == firsts(every, k)
+        assert firsts(scoring.hybrid_best(asked, fewer, "q", "d", k, full=True), k) == joined[k]
