@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from lexmill.functions.text import counted
 from lexmill.operators import dense, names, topk
-from lexmill.operators.joins import few, spread_out, stored, word_join
+from lexmill.operators.joins import few, fits, spread_out, stored, word_join
 
 
 def postings(df: DataFrame, key: str, toks: Column) -> DataFrame:
@@ -106,7 +106,7 @@ def overlap_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int,
     rows = dense.held(questions.select(q, F.array_distinct("toks").alias("toks")), docs.schema[d].dataType, docs.schema[place].dataType)
     if rows is not None:
         told = spread_out(docs, d).select(d, F.col(place).alias("place"), F.array_distinct("toks").alias("tokens"))
-        told = stored(told) if len(rows) > dense.PASS else told
+        told = stored(told) if len(rows) > dense.asked_at_once(k) else told
         out = dense.keyed(dense.shares(rows, told, d, k, least), rows, questions.schema[q].dataType, q).select(q, d, "score")
         return out if least is None else out.where(F.col("score") >= least)
     terms = stored(spread_out(docs, d).select(d, F.array_distinct("toks").alias("tokens")))
@@ -344,13 +344,23 @@ def block_score(triggers_score: Column, q_toks: Column, own_toks: Column, overvi
     return (triggers_score + 3 * share) * F.when(overview, 0.5).otherwise(1.0)
 
 
+#: Distinct tags that are looked for in every question.
+LOOKED = 1000
+
+
 def tag_hits(questions: DataFrame, items: DataFrame, q: str, d: str) -> DataFrame:
     """(q, d, hits): how many of an item's tags are substrings of the question's text q; repeats of a tag count.
 
-    questions: key and q; items: key and tags. An equi-join of the text's runs of one to three characters with the
-    beginnings of the tags, then the test, instead of all pairs."""
-    at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1))), lambda i: F.substring(F.col("q"), i, F.lit(n)))
-    runs = questions.select(q, "q", F.explode(F.array_distinct(F.concat(at(1), at(2), at(3)))).alias("run"))
-    tags = items.select(d, F.explode("tags").alias("tag")).where("tag <> ''").groupBy(d, "tag").agg(F.count("*").alias("k"))
-    met = word_join(tags.withColumn("run", F.substring("tag", 1, 3)), runs, "run", d).where(F.contains("q", "tag"))
+    questions: key and q; items: key and tags. Some distinct tags, however many items have them, are looked for in each text; beyond
+    LOOKED it is an equi-join of the text's runs of one to three characters with the beginnings of the tags, then the test,
+    instead of all pairs."""
+    tags = stored(items.select(d, F.explode("tags").alias("tag")).where("tag <> ''").groupBy(d, "tag").agg(F.count("*").alias("k")))
+    each = tags.select("tag").distinct()
+    if fits(each, LOOKED):
+        met = questions.select(q, "q").join(F.broadcast(each), F.contains("q", "tag")).select(q, "tag")
+        met = word_join(met, tags, "tag", q)
+    else:
+        at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1))), lambda i: F.substring(F.col("q"), i, F.lit(n)))
+        runs = questions.select(q, "q", F.explode(F.array_distinct(F.concat(at(1), at(2), at(3)))).alias("run"))
+        met = word_join(tags.withColumn("run", F.substring("tag", 1, 3)), runs, "run", d).where(F.contains("q", "tag"))
     return met.groupBy(q, d).agg(F.sum("k").cast("int").alias("hits"))

@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,73 @@ def test_full_likeness_in_one_pass(spark, monkeypatch):
     for k in (1, 3):
         assert firsts(scoring.hybrid_best(asked, docs, "q", "d", k, full=True), k) == firsts(every, k)
         assert firsts(scoring.hybrid_best(asked, fewer, "q", "d", k, full=True), k) == joined[k]
+
+
+def test_words_counted_in_bits(spark, monkeypatch):
+    """Overlap by bits of documents, taken in small parts and with ties of all kinds, as of all pairs, and never by matrix rows."""
+    rng = random.Random(8)
+    draw = lambda n: list({f"w{min(int(rng.expovariate(0.08)), 90)}" for _ in range(n)})
+    said = [(i, 1000 - i if i % 2 else i, draw(rng.randrange(60))) for i in range(700)] + [(700 + i, 2000 + i, [f"w{j}" for j in range(91)]) for i in range(3)] + [(800, 5, []), (801, 1, [f"w{j}" for j in range(40)])]
+    docs = spark.createDataFrame(said, "d long, place long, toks array<string>")
+    asked = spark.createDataFrame([(i, draw(rng.randrange(1, 40))) for i in range(60)] + [(60, ["w1"]), (61, []), (62, ["none"]), (63, [f"w{j}" for j in range(91)])], "q int, toks array<string>")
+
+    def firsts(df, k):
+        place, by = {d: p for d, p, _ in said}, {}
+        for r in df.collect():
+            by.setdefault(r["q"], []).append((-round(r["score"], 6), place[r["d"]], r["d"]))
+        return {q: sorted(x)[:k] for q, x in by.items()}
+
+    def refused(*_, **__):
+        raise AssertionError("pairs by joins")
+
+    every = scoring.overlap(asked, docs, "q", "d").cache()
+    monkeypatch.setattr(topk, "candidates", refused)
+    for k, least in ((1, None), (1, 0.5), (4, None), (9, 0.3)):
+        want = firsts(every if least is None else every.where(F.col("score") >= least), k)
+        assert firsts(scoring.overlap_best(asked, docs.coalesce(1), "q", "d", k, least), k) == want
+        rows = [r for r in asked.collect()]
+        told = docs.coalesce(1).withColumnRenamed("toks", "tokens")
+        parts = dense.shares(rows, told, "d", k, least, size=7)  # passes of seven questions
+        found = dense.keyed(parts, rows, asked.schema["q"].dataType, "q")
+        assert firsts(found if least is None else found.where(F.col("score") >= least), k) == want
+
+
+def test_documents_in_parts():
+    """Parts hold as many documents and words as a task may take, and a question's best stay those of all documents."""
+    rng = random.Random(2)
+    words = [[f"w{rng.randrange(50)}" for _ in range(12)] for _ in range(40)]
+    words = [list(set(ws)) for ws in words]
+    docs = [sorted({rng.randrange(50) for _ in range(rng.randrange(30))}) for _ in range(900)]
+    asked = dense.Bits(words)
+    asked.docs, asked.WORDS, asked.DIGIT = 128, 700, 1 << 9
+    sizes = np.array([len(d) for d in docs])
+    parts = asked.dealt(sizes)
+    assert sorted(i for p in parts for i in p.tolist()) == list(range(900)) and max(map(len, parts)) <= 128
+    assert max(int(sizes[p].sum()) for p in parts) <= 700 + 30
+    place = {w: i for i, w in enumerate(asked.vocabulary.to_pylist())}
+    best = dense.Best(len(words), 2)
+    for p in parts:
+        p = np.sort(p)
+        codes = [[place[f"w{t}"] for t in docs[i] if f"w{t}" in place] for i in p.tolist()]
+        flat = np.array([c for cs in codes for c in cs], np.int64)
+        row = np.repeat(np.arange(len(p)), [len(cs) for cs in codes])
+        for q, doc, h in asked.best_of(flat, row, len(p), 2, best):
+            best.add(q, p[doc], h / asked.n[q], p[doc], h)
+        best.prune()
+    got = {q: [tuple(x) for x in part[["hits", "d"]].head(2).to_numpy().tolist()] for q, part in best.prune().groupby("q")}
+    for q, ws in enumerate(words):
+        hits = sorted((-len({f"w{t}" for t in d} & set(ws)), i) for i, d in enumerate(docs))
+        assert got[q] == [(-h, i) for h, i in hits[:2]]
+
+
+@pytest.mark.parametrize("looked", [1000, 0])
+def test_tags_in_texts(spark, monkeypatch, looked):
+    """Some distinct tags are looked for in each text, many by joins of runs; repeats, short and empty tags, none exchanged with texts."""
+    said = [(1, "the cat sat"), (2, "a"), (3, ""), (4, None), (5, "concatenate")]
+    tags = [(1, ["cat", "cat", ""]), (2, ["a", None]), (3, ["the cat sat on"]), (4, []), (5, ["ten", "at"])]
+    monkeypatch.setattr(scoring, "LOOKED", looked)
+    got = scoring.tag_hits(spark.createDataFrame(said, "asked long, q string"), spark.createDataFrame(tags, "item long, tags array<string>"), "asked", "item")
+    want = {(k, i): sum(t in q for t in ts if t) for k, q in said if q for i, ts in tags if any(t in q for t in ts if t)}
+    assert {(r["asked"], r["item"]): r["hits"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("substring(q" in plan) == (looked == 0)
