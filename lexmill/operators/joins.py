@@ -14,6 +14,8 @@ BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 #: Keys of more rows than this are dealt over several tasks.
 HOT_ROWS = 20_000
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -28,12 +30,17 @@ def shared_dir(spark) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, batch: int | None = None) -> DataFrame:
     """df as a Parquet table of the shared folder: made once, read as often as a plan needs it, and still there when an
-    executor is lost. The table goes when the application ends."""
+    executor is lost. The table goes when the application ends. batch: rows that go to Python at a time meanwhile, where these are long."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, before if batch is None else str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)

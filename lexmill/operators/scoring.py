@@ -175,7 +175,7 @@ def hybrid_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int =
     asked = stored(model.asked(questions, q))
     flat = asked.withColumn("u", F.lit(0.0))
     near = _sums_best(asked, model.terms.select(d, "tokens", "xs"), q, d, k if full else 1)
-    near = stored(near) if full else near
+    near = stored(near, dense.SLICE) if full else near
     most = near.groupBy(q).agg(F.max("score").alias("most"))
     told = stored(questions.select(q, F.col("norm").alias("qn"), F.size(F.array_distinct("toks")).alias("nq")).join(most, q))
     if full:
@@ -214,7 +214,7 @@ def hybrid_best(questions: DataFrame, docs: DataFrame, q: str, d: str, k: int =
 def _likeliest(rows: list, terms: DataFrame, near: DataFrame, q: str, d: str, k: int, key: T.DataType) -> DataFrame:
     """(q, d, score) of the pairs that may be among the k best by the token-set ratio. near: documents from which a
     question's k-th best is a threshold for all others."""
-    search = lambda rows, docs: dense.likeliest(rows, docs, d, k, boosts, token_set_ratio)
+    search = lambda rows, docs: stored(dense.likeliest(rows, docs, d, k, boosts, token_set_ratio), dense.SLICE)
     first = search([r.asDict() | {"least": None} for r in rows], terms.join(few(near), d, "left_semi"))
     kth = first.groupBy("_i").agg(F.get(F.sort_array(F.collect_list("score"), False), F.lit(k - 1)).alias("least"))  # k of each task
     least = dict(kth.collect())
